@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
+from lithic.llm import licences, topk
 from lithic.llm.decontaminate import op1_decontamination
+from lithic.llm.licences import op7_licence_scan
+from lithic.llm.maintext import op5_html_extraction
 from lithic.llm.passages import op8_passage_dedup
+from lithic.llm.quality import op2_quality_classifier
+from lithic.llm.sentencepieces import op4_sentencepiece
 from lithic.llm.simhash import op9_simhash_near_dedup
 from lithic.llm.substrings import op3_substring_suffix_dedup
+from lithic.llm.topk import op6_exact_topk
+from lithic.llm.urlrank import op10_url_filter
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_substring_suffix_dedup": op3_substring_suffix_dedup,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op5_html_extraction": op5_html_extraction,
+    "op6_exact_topk": op6_exact_topk,
+    "op7_licence_scan": op7_licence_scan,
     "op8_passage_dedup": op8_passage_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_url_filter": op10_url_filter,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_exact_topk": topk.ORACLE, "op7_licence_scan": licences.ORACLE}
