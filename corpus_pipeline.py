@@ -1,11 +1,67 @@
-"""Corpus pipeline; its stages follow."""
+"""A corpus pipeline of five stages, each an operator of lithic.llm over all that its predecessor kept.
 
+Every stage but the last takes and returns the columns of documents. Documents that the classifier rejects go; of each
+group of near duplicates one stays; repeated passages are cut out of texts; documents that hold benchmark passages go;
+what is left is encoded into pieces, and decoded again to prove that nothing is lost.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lithic.llm.common import table
+from lithic.llm.decontaminate import decontaminate
+from lithic.llm.passages import remove_passages
+from lithic.llm.quality import THRESHOLD, score_quality, train
+from lithic.llm.sentencepieces import encode_decode
+from lithic.llm.simhash import first_of_each
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score reaches the threshold stay."""
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs, model).where(F.col("score") >= THRESHOLD).select("row.*")
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of linked fingerprints, the document with the least id stays."""
+    return first_of_each(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of repeated passages are cut out; documents stay, with the words that are left, and n_chars follows."""
+    found = remove_passages(docs)
+    new = {"text": F.col("m.kept"), "n_chars": F.when(F.col("m.n_removed") > 0, F.length("m.kept").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return found.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark window go."""
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("m.items") == 0).select("row.*")
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, and whether decoding gives the text back."""
+    found = encode_decode(docs.select("doc_id", "text"), keep=["doc_id"])
+    return found.select("row.doc_id", F.size("m.ids").cast("long").alias("n_tokens"), F.col("m.ids").alias("ids"), "m.round_trip")
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("sentencepiece", sentencepiece),
+]
+
+#: SQL has no trees, automata or pieces; tests/llm holds the stages against plain versions.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
