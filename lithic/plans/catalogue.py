@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lithic.plans.dialect import DUCK, SPARK, Spark
+from lithic.sources import relations
+
 Query = Callable[[SparkSession, str], DataFrame]
+Body = Callable[[Spark], str]
 _queries: dict[str, Query] = {}
 _oracle: dict[str, str] = {}
+_MODULES = ("search", "binding", "graphs", "aggregates", "windows", "scalars", "rules", "changes", "feeds")
 
 
 def query(name: str, sql: str | None = None):
@@ -25,8 +31,19 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def both(name: str, *needs: str):
+    """Registers a query from one body(dialect) -> SQL over the relations it needs, for Spark and as its own oracle."""
+
+    def add(body: Body) -> Body:
+        query(name, relations.with_ctes(body(DUCK), DUCK, needs))(lambda spark, sf_dir: relations.run(spark, sf_dir, body(SPARK), needs))
+        return body
+
+    return add
+
+
 def _load() -> None:
-    pass
+    for m in _MODULES:
+        importlib.import_module(f"lithic.operators.{m}")
 
 
 def queries() -> dict[str, Query]:
