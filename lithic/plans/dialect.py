@@ -13,6 +13,8 @@ class Spark:
     name = "spark"
 
     def lit(self, s: str) -> str:
+        if "${" in s:  # else taken for a variable
+            return " || ".join(self.lit(x) for x in s.replace("${", "$\0{").split("\0"))
         return "r'" + s + "'" if "'" not in s else "'" + s.replace(chr(92), chr(92) * 2).replace("'", chr(92) + "'") + "'"
 
     def rlike(self, x: str, pattern: str) -> str:
