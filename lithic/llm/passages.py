@@ -13,6 +13,9 @@ occurrences; a null doc_id is carried through.
 
 from __future__ import annotations
 
+import os
+from itertools import compress
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -20,28 +23,26 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithic.llm.common import table
-from lithic.llm.repeats import Scheme, Spans, blocks_of, dealt, repeated_blocks, sorted_keys, spans_of, wanted, window_runs, with_texts
+from lithic.llm.common import save, table
+from lithic.llm.repeats import Refs, Scheme, Spans, blocks_of, by_doc, dealt, repeated_blocks, span_of, window_runs, with_texts
 
 WINDOW, GRAM = 35, 12
 
 
-class _Hashes(dict):
-    """Word -> 64-bit hash, remembered within a process; emptied when it is large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = out = xxhash.xxh3_64_intdigest(word)
-        return out
+def _hash():
+    """Spark gives all its Python workers one hash seed, and bytes then hash alike everywhere; else xxHash."""
+    return hash if os.environ.get("PYTHONHASHSEED", "").isdigit() else xxhash.xxh3_64_intdigest
 
 
-_hashes = _Hashes()
+def hashes(words: list[bytes]) -> np.ndarray:
+    h = _hash()
+    if h is hash:
+        return np.fromiter(map(h, words), np.int64, len(words)).view(np.uint64)
+    return np.fromiter(map(h, words), np.uint64, len(words))
 
 
 def symbols(text: bytes) -> np.ndarray:
-    words = text.split()
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    return hashes(text.split())
 
 
 def scheme_of(window: int) -> Scheme:
@@ -51,27 +52,24 @@ def scheme_of(window: int) -> Scheme:
 def _confirm(scheme: Scheme):
     def windows(texts: pa.Table, refs: pa.Table) -> pa.Table:
         """All windows of the distinct blocks that this bucket stands for."""
-        keys, order = sorted_keys(refs)
-        n, seen = refs.column("n").to_numpy()[order], np.zeros(len(keys), bool)
+        known = Refs(refs)
+        texts_ = texts.column("t").to_pylist() if len(known.keys) else []
+        h = [symbols(t) if t else None for t in texts_]
+        blocks = blocks_of(h, scheme)
+        hit, at = known.find_once(blocks)
+        n = known.column("n").to_numpy()
         out: list[list[np.ndarray]] = []
-        for t in texts.column("t").to_pylist() if len(keys) else []:
-            if not t:
-                continue
-            h = symbols(t)
-            blocks = blocks_of(h, scheme)
-            hit, at = wanted(blocks, keys, seen)
-            if not len(hit):
-                continue
-            count = blocks.count[hit]
+        for doc, part in by_doc(blocks.doc[hit]):
+            b, k = hit[part], at[part]
+            count = blocks.count[b]
             off = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            start = np.repeat(blocks.first[hit], count) + off
-            out.append([np.repeat(keys["a"][at], count).view(np.int64), np.repeat(keys["b"][at], count).view(np.int64), off.astype(np.int32), Spans(h)(start, start + scheme.window).view(np.int64), np.repeat(n[at], count)])
+            start = np.repeat(blocks.first[b], count) + off
+            w = Spans(h[doc])(start, start + scheme.window)
+            out.append([np.repeat(known.anchor[k], count).view(np.int64), np.repeat(known.block[k], count).view(np.int64), off.astype(np.int32), w.view(np.int64), np.repeat(n[k], count)])
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, d) for d in (np.int64, np.int64, np.int32, np.int64, np.int64)]
         return pa.table(dict(zip(("anchor", "block", "off", "w", "n"), cols, strict=True)))
 
     def confirm(docs: DataFrame, text: str, distinct: DataFrame) -> DataFrame:
-        from lithic.llm.common import save
-
         return window_runs(save(with_texts(docs, text, distinct, "rep", windows, "anchor long, block long, off int, w long, n long")))
 
     return confirm
@@ -79,33 +77,30 @@ def _confirm(scheme: Scheme):
 
 def _locate(scheme: Scheme, texts: list[bytes | None], refs: pa.Table) -> list[tuple[list[bytes], np.ndarray | None]]:
     """Of each text: its words, and which of them repeated windows cover (None: none)."""
-    keys, order = sorted_keys(refs)
-    runs = refs.column("runs").take(pa.array(order)).to_pylist()
-    seen = np.zeros(len(keys), bool)
+    words = [t.split() if t else [] for t in texts]
+    out: list[tuple[list[bytes], np.ndarray | None]] = [(w, None) for w in words]
+    known = Refs(refs)
+    if not len(known.keys):
+        return out
+    blocks = blocks_of([hashes(w) if len(w) >= scheme.window else None for w in words], scheme)
+    runs = known.column("runs").to_pylist()
     numbers: dict[bytes, int] = {}
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    out: list[tuple[list[bytes], np.ndarray | None]] = []
-    for t in texts:
-        words = t.split() if t else []
-        out.append((words, None))
-        if len(words) >= scheme.window and not seen.all():
-            blocks = blocks_of(symbols(t), scheme)
-            hit, at = wanted(blocks, keys, seen)
-            for s, e in spans_of(blocks, hit, [runs[i] for i in at], scheme.window):
-                automaton.add_word(tuple(numbers.setdefault(w, len(numbers) + 1) for w in words[s:e]), e - s)
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    hit, at = known.find_once(blocks)
+    for doc, first, count, k in zip(blocks.doc[hit].tolist(), blocks.first[hit].tolist(), blocks.count[hit].tolist(), at.tolist(), strict=True):
+        for s, e in span_of(first, count, runs[k], scheme.window):
+            automaton.add_word(tuple([numbers.setdefault(w, len(numbers) + 1) for w in words[doc][s:e]]), e - s)
     if not len(automaton):
         return out
     automaton.make_automaton()
-    for i, (words, _) in enumerate(out):
-        if len(words) < scheme.window:
-            continue
-        cover, last = np.zeros(len(words) + 1, np.int64), -1
-        for end, size in automaton.iter(tuple(numbers.get(w, 0) for w in words)):
-            cover[end + 1 - size] += 1
-            cover[end + 1] -= 1
-            last = end
-        if last >= 0:
-            out[i] = (words, np.cumsum(cover[:-1]) > 0)
+    # a text without any such block holds no repeated window, so it needs no reading
+    for i in np.unique(blocks.doc[known.find(blocks)[0]]).tolist():
+        get, found = numbers.get, []
+        found = list(automaton.iter(tuple([get(w, 0) for w in words[i]])))
+        if found:
+            ends, sizes = np.array(found).T
+            cover = np.bincount(ends + 1 - sizes, minlength=len(words[i]) + 1) - np.bincount(ends + 1, minlength=len(words[i]) + 1)
+            out[i] = (words[i], np.cumsum(cover[:-1]) > 0)
     return out
 
 
@@ -122,7 +117,7 @@ def remove_passages(docs: DataFrame, text: str = "text", ids: tuple[str, ...] =
         for t, (words, cover) in zip(raw, _locate(scheme, raw, refs), strict=True):
             n.append(len(words))
             removed.append(0 if cover is None else int(cover.sum()))
-            kept.append(t if cover is None else b" ".join([w for w, c in zip(words, cover.tolist(), strict=True) if not c]))
+            kept.append(t if cover is None else b" ".join(compress(words, (~cover).tolist())))
         return pa.table({"row": texts.column("row"), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text] or [F.lit(0).alias("_")]).alias("row")

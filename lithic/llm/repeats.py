@@ -30,7 +30,8 @@ _B = np.uint64(0x9E3779B97F4A7C15)
 _B_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _PLACE = np.uint64(24)
 _AT = np.uint64((1 << 24) - 1)
-_MOST = 1 << 23  # symbols of a text that are looked at together
+_MOST = 1 << 22  # symbols of a long text that are looked at together
+_TOGETHER = 1 << 17  # of short texts
 
 
 class Scheme(NamedTuple):
@@ -40,6 +41,7 @@ class Scheme(NamedTuple):
 
 
 class Blocks(NamedTuple):
+    doc: np.ndarray  # number of the text
     first: np.ndarray  # first window of each block
     count: np.ndarray  # windows in it
     place: np.ndarray  # offset of the anchor from the first window
@@ -106,25 +108,61 @@ def least_in(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:n], x[width - size : width - size + n])
 
 
-def blocks_of(h: np.ndarray, scheme: Scheme, spans: Spans | None = None) -> Blocks:
-    """The blocks of one text. Texts beyond 2^23 symbols are looked at in overlapping parts; a block that a part's
-    end cuts in two is still right, as blocks that differ are compared by their windows."""
+def _blocks(h: np.ndarray, ends: np.ndarray, scheme: Scheme) -> Blocks:
+    """The blocks of texts laid end to end; ends: where each one ends. No window crosses an end."""
     w, k = scheme.window, scheme.gram
-    if len(h) > _MOST:
-        parts = [(s, blocks_of(h[s : s + _MOST + w - 1], scheme)) for s in range(0, len(h) - w + 1, _MOST)]
-        return Blocks(np.concatenate([b.first + s for s, b in parts]), *(np.concatenate([b[i] for _, b in parts]) for i in range(1, 5)))
+    none = np.zeros(0, np.int64)
     if len(h) < w:
-        none = np.zeros(0, np.int64)
-        return Blocks(none, none, none, none.view(np.uint64), none.view(np.uint64))
+        return Blocks(none, none, none, none, none.view(np.uint64), none.view(np.uint64))
     grams = gram_hashes(h, k)
     ordered = (grams >> _PLACE << _PLACE) | np.arange(len(grams), dtype=np.uint64)
     at = (least_in(ordered, w - k + 1) & _AT).astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    whole = doc[: len(at)] == doc[w - 1 :]
+    change = np.ones(len(at), bool)
+    change[1:] = (at[1:] != at[:-1]) | (whole[1:] != whole[:-1])
+    first = np.flatnonzero(change)
     count = np.diff(np.append(first, len(at)))
+    inside = whole[first]
+    first, count = first[inside], count[inside]
     place = at[first] - first
-    spans = spans or Spans(h)
-    block = mix(spans(first, first + count + w - 1) ^ mix((count * 4096 + place).astype(np.uint64)))
-    return Blocks(first, count, place, grams[at[first]], block)
+    block = mix(Spans(h)(first, first + count + w - 1) ^ mix((count * 4096 + place).astype(np.uint64)))
+    doc = doc[first]
+    return Blocks(doc, first - np.concatenate(([0], ends[:-1]))[doc], count, place, grams[at[first]], block)
+
+
+def _joined(parts: list[Blocks]) -> Blocks:
+    return Blocks(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+
+
+def blocks_of(texts: list[np.ndarray | None], scheme: Scheme) -> Blocks:
+    """The blocks of texts, given as symbols, by text and place. Short texts are looked at together; a text beyond
+    2^22 symbols in overlapping parts. A block that a part's end cuts in two is still right, as blocks that differ are
+    compared by their windows."""
+    w, out, held, size = scheme.window, [], [], 0
+
+    def flush() -> None:
+        nonlocal held, size
+        if held:
+            got = _blocks(np.concatenate([texts[i] for i in held]), np.cumsum([len(texts[i]) for i in held]), scheme)
+            out.append(got._replace(doc=np.array(held)[got.doc]))
+        held, size = [], 0
+
+    for i, h in enumerate(texts):
+        if h is None or len(h) < w:
+            continue
+        if len(h) > _MOST:
+            for s in range(0, len(h) - w + 1, _MOST):
+                part = h[s : s + _MOST + w - 1]
+                got = _blocks(part, np.array([len(part)]), scheme)
+                out.append(got._replace(doc=got.doc + i, first=got.first + s))
+            continue
+        held.append(i)
+        size += len(h)
+        if size > _TOGETHER:
+            flush()
+    flush()
+    return _joined(out) if out else _blocks(np.zeros(0, np.uint64), np.zeros(0, np.int64), scheme)
 
 
 def dealt(docs: DataFrame, text: str, ids: list[str], bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int]:
@@ -134,8 +172,9 @@ def dealt(docs: DataFrame, text: str, ids: list[str], bucket_bytes: int = BUCKET
     return docs.withColumn("_bucket", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in [*ids, text]]), F.lit(n)).cast("int")), n
 
 
-def _keys(blocks: Blocks) -> np.ndarray:
-    return np.rec.fromarrays([blocks.anchor, blocks.block], names="a,b")
+def key_of(anchor: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """One number for both, for sorting; matches are held against both."""
+    return mix(anchor ^ mix(block))
 
 
 def block_rows(docs: DataFrame, text: str, scheme: Scheme) -> DataFrame:
@@ -144,21 +183,13 @@ def block_rows(docs: DataFrame, text: str, scheme: Scheme) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            parts: dict[int, list[Blocks]] = {}
-            for bucket, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if t:
-                    found = blocks_of(scheme.symbols(t), scheme)
-                    if len(found.first):
-                        parts.setdefault(bucket, []).append(found)
-            bs, keys, ns = [], [], []
-            for bucket, found in parts.items():
-                unique, n = np.unique(np.concatenate([_keys(x) for x in found]), return_counts=True)
-                bs.append(np.full(len(unique), bucket, np.int32))
-                keys.append(unique)
-                ns.append(n.astype(np.int32))
-            if bs:
-                k = np.concatenate(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bs)), pa.array(k["a"].view(np.int64)), pa.array(k["b"].view(np.int64)), pa.array(np.concatenate(ns))], ["bucket", "anchor", "block", "n"])
+            got = blocks_of([scheme.symbols(t) if t else None for t in b.column(1).to_pylist()], scheme)
+            if not len(got.doc):
+                continue
+            bucket = b.column(0).to_numpy(zero_copy_only=False)[got.doc]
+            _, at, n = np.unique(key_of(got.anchor, got.block) ^ mix(bucket.astype(np.uint64)), return_index=True, return_counts=True)
+            cols = [bucket[at].astype(np.int32), got.anchor[at].view(np.int64), got.block[at].view(np.int64), n.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["bucket", "anchor", "block", "n"])
 
     return docs.select("_bucket", F.col(f"`{text}`").cast("binary").alias("t")).mapInArrow(run, "bucket int, anchor long, block long, n int")
 
@@ -169,24 +200,39 @@ def with_texts(docs: DataFrame, text: str, refs: DataFrame, by: str, fn, schema:
     return left.groupBy("_bucket").cogroup(refs.groupBy(by)).applyInArrow(fn, schema)
 
 
-def wanted(blocks: Blocks, keys: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of blocks, those in the sorted keys that aren't seen yet, and their places in keys; each key once, then seen."""
-    if not len(keys) or not len(blocks.first):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    own = _keys(blocks)
-    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-    hit = np.flatnonzero((keys[at] == own) & ~seen[at])
-    _, first = np.unique(at[hit], return_index=True)
-    hit = np.sort(hit[first])
-    seen[at[hit]] = True
-    return hit, at[hit]
+def by_doc(doc: np.ndarray):
+    """(document, places of its rows), for each document in doc."""
+    order = np.argsort(doc, kind="stable")
+    cuts = np.flatnonzero(np.diff(doc[order], prepend=-1))
+    for a, b in zip(cuts, np.append(cuts[1:], len(doc)), strict=True):
+        yield int(doc[order[a]]), order[a:b]
 
 
-def sorted_keys(refs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, order) of the columns anchor and block."""
-    keys = np.rec.fromarrays([refs.column(c).to_numpy().view(np.uint64) for c in ("anchor", "block")], names="a,b")
-    order = np.argsort(keys, order=("a", "b"))
-    return keys[order], order
+class Refs:
+    """The rows of a bucket, by the anchor and block that they speak of."""
+
+    def __init__(self, table: pa.Table):
+        anchor, block = (table.column(c).to_numpy().view(np.uint64) for c in ("anchor", "block"))
+        self.order = np.argsort(key_of(anchor, block))
+        self.anchor, self.block = anchor[self.order], block[self.order]
+        self.keys, self.table = key_of(self.anchor, self.block), table
+
+    def column(self, name: str) -> pa.ChunkedArray:
+        return self.table.column(name).take(pa.array(self.order))
+
+    def find(self, blocks: Blocks) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the blocks are spoken of, and by which row."""
+        if not len(self.keys) or not len(blocks.doc):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, key_of(blocks.anchor, blocks.block)), len(self.keys) - 1)
+        hit = np.flatnonzero((self.anchor[at] == blocks.anchor) & (self.block[at] == blocks.block))
+        return hit, at[hit]
+
+    def find_once(self, blocks: Blocks) -> tuple[np.ndarray, np.ndarray]:
+        """The same, only the first block for each row."""
+        hit, at = self.find(blocks)
+        at, first = np.unique(at, return_index=True)
+        return hit[first], at
 
 
 def repeated_blocks(docs: DataFrame, text: str, scheme: Scheme, confirm) -> DataFrame:
@@ -215,16 +261,14 @@ def window_runs(windows: DataFrame) -> DataFrame:
     return offs.select("anchor", "block", F.flatten(F.transform("offs", lambda o: F.array(o, o + 1))).alias("runs"))
 
 
-def spans_of(blocks: Blocks, hit: np.ndarray, runs: list, window: int) -> list[tuple[int, int]]:
-    """Spans of symbols that the repeated windows of these blocks cover; runs: of each hit."""
-    out = []
-    for b, r in zip(hit.tolist(), runs, strict=True):
-        first = int(blocks.first[b])
-        own: list[tuple[int, int]] = []
-        for s, e in [(0, int(blocks.count[b]))] if r is None else zip(r[::2], r[1::2], strict=True):
-            if own and own[-1][1] == first + s + window - 1:  # goes on from the run before
-                own[-1] = (own[-1][0], first + e + window - 1)
-            else:
-                own.append((first + s, first + e + window - 1))
-        out += own
+def span_of(first: int, count: int, runs: list[int] | None, window: int) -> list[tuple[int, int]]:
+    """Spans of symbols that a block's repeated windows cover: those in runs, or all."""
+    if runs is None:
+        return [(first, first + count + window - 1)]
+    out: list[tuple[int, int]] = []
+    for s, e in zip(runs[::2], runs[1::2], strict=True):
+        if out and out[-1][1] == first + s + window - 1:  # goes on from the run before
+            out[-1] = (out[-1][0], first + e + window - 1)
+        else:
+            out.append((first + s, first + e + window - 1))
     return out

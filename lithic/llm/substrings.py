@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithic.llm.common import save, spread, table
-from lithic.llm.repeats import Scheme, Spans, blocks_of, dealt, mix, repeated_blocks, sorted_keys, spans_of, wanted, window_runs, with_texts
+from lithic.llm.repeats import Refs, Scheme, Spans, blocks_of, by_doc, dealt, mix, repeated_blocks, span_of, window_runs, with_texts
 
 WINDOW, GRAM = 200, 32
 #: Distinct blocks of one anchor beyond which its windows are counted in a shuffle.
@@ -153,25 +153,23 @@ def _confirm(scheme: Scheme, crowd: int, text_bytes: int):
 
     def copy(texts: pa.Table, refs: pa.Table) -> pa.Table:
         """The bytes of the distinct blocks that this bucket stands for; of crowded anchors, their windows."""
-        keys, order = sorted_keys(refs)
-        n, crowded = refs.column("n").to_numpy()[order], refs.column("crowded").to_numpy(zero_copy_only=False)[order]
-        seen = np.zeros(len(keys), bool)
+        known = Refs(refs)
+        texts_ = texts.column("t").to_pylist() if len(known.keys) else []
+        h = [symbols(t) if t else None for t in texts_]
+        blocks = blocks_of(h, scheme)
+        hit, at = known.find_once(blocks)
+        n, crowded = known.column("n").to_numpy(), known.column("crowded").to_numpy(zero_copy_only=False)
         rows: list[tuple] = []
-        for t in texts.column("t").to_pylist() if len(keys) else []:
-            if not t:
-                continue
-            h = symbols(t)
-            blocks = blocks_of(h, scheme)
-            hit, at = wanted(blocks, keys, seen)
-            spans = Spans(h) if crowded[at].any() else None
-            for b, k in zip(hit.tolist(), at.tolist(), strict=True):
+        for doc, part in by_doc(blocks.doc[hit]):
+            spans = Spans(h[doc]) if crowded[at[part]].any() else None
+            for b, k in zip(hit[part].tolist(), at[part].tolist(), strict=True):
                 first, count = int(blocks.first[b]), int(blocks.count[b])
-                key = (int(keys["a"][k : k + 1].view(np.int64)[0]), int(keys["b"][k : k + 1].view(np.int64)[0]), int(n[k]))
+                key = (int(known.anchor[k : k + 1].view(np.int64)[0]), int(known.block[k : k + 1].view(np.int64)[0]), int(n[k]))
                 if crowded[k]:
                     start = np.arange(first, first + count)
                     rows += [(*key, None, off, w) for off, w in enumerate(spans(start, start + window).view(np.int64).tolist())]
                 else:
-                    rows.append((*key, t[first : first + count + window - 1], 0, 0))
+                    rows.append((*key, texts_[doc][first : first + count + window - 1], 0, 0))
         cols = list(zip(*rows, strict=True)) or [()] * 6
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
         return pa.table({c: pa.array(v, k) for c, v, k in zip(("anchor", "block", "n", "bytes", "off", "w"), cols, kinds, strict=True)})
@@ -210,26 +208,23 @@ def remove_substrings(docs: DataFrame, text: str = "text", ids: tuple[str, ...]
     refs = repeated_blocks(docs_, text, scheme, _confirm(scheme, crowd, text_bytes))
 
     def apply(texts: pa.Table, refs: pa.Table) -> pa.Table:
-        keys, order = sorted_keys(refs)
-        runs = refs.column("runs").take(pa.array(order)).to_pylist()
-        n, spans, kept = [], [], []
-        for t in texts.column("t").to_pylist():
-            t = t or b""
+        known = Refs(refs)
+        runs = known.column("runs").to_pylist()
+        kept = [t or b"" for t in texts.column("t").to_pylist()]
+        n, spans = [len(t) for t in kept], [[] for _ in kept]
+        blocks = blocks_of([symbols(t) if len(t) >= window else None for t in kept], scheme) if len(known.keys) else None
+        hit, at = known.find(blocks) if blocks else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        for doc, part in by_doc(blocks.doc[hit] if blocks else hit):
+            own = hit[part]
             cut: list[int] = []
-            if len(keys) and len(t) >= window:
-                blocks = blocks_of(symbols(t), scheme)
-                own = np.rec.fromarrays([blocks.anchor, blocks.block], names="a,b")
-                at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                hit = np.flatnonzero(keys[at] == own)
-                for s, e in spans_of(blocks, hit, [runs[i] for i in at[hit]], window):
+            for first, count, k in zip(blocks.first[own].tolist(), blocks.count[own].tolist(), at[part].tolist(), strict=True):
+                for s, e in span_of(first, count, runs[k], window):
                     if cut and s <= cut[-1]:
                         cut[-1] = max(cut[-1], e)
                     else:
                         cut += [s, e]
-            n.append(len(t))
-            spans.append(cut)
-            edges = [0, *cut, len(t)]
-            kept.append(b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if cut else t)
+            t, edges = kept[doc], [0, *cut, n[doc]]
+            spans[doc], kept[doc] = cut, b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
         return pa.table({"row": texts.column("row"), "n_bytes": pa.array(n, pa.int64()), "spans": pa.array(spans, pa.list_(pa.int32())), "kept": pa.array(kept, pa.binary())})
 
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text] or [F.lit(0).alias("_")]).alias("row")
