@@ -38,6 +38,9 @@ SIGNS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social sidebar side rail widget menu menus nav navbar navigation navigate breadcrumb breadcrumbs pagination pager masthead header footer foot copyright legal disclaimer comment comments commentlist disqus reply replies respond discussion related recommended recommendations search toolbar complementary contentinfo form".split()
 )
 ARTICLE = frozenset("article main".split())
+#: What stands inside an element that isn't the article: it is left out anyway, so the element costs what its own tag
+#: does, however long it is, and can't cut an article in two.
+INNER = "inner"
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -76,7 +79,7 @@ def tokens_of(page: str) -> list[Token]:
         raw = page[at:upto]
         if raw:
             n = len(raw.split())
-            kind = ("word" if not links else "link word") + (" outside" if opened else "")
+            kind = INNER if opened else "link word" if links else "word"
             out.append(Token(kind, n, raw, False, bool(opened), at))
 
     for m in _TOKEN.finditer(page):
@@ -85,7 +88,7 @@ def tokens_of(page: str) -> list[Token]:
         name = (m[3] or "").lower()
         if not name:  # comments, declarations, and elements whose content is no text
             continue
-        closing, attributes = bool(m[2]), m[4] or ""
+        closing, attributes, within = bool(m[2]), m[4] or "", bool(opened)
         if not closing:
             if opened:
                 if name not in VOID and not attributes.rstrip().endswith("/"):
@@ -95,7 +98,8 @@ def tokens_of(page: str) -> list[Token]:
                     opened.append(name)
             inside += name in ARTICLE
             links += name == "a"
-        out.append(Token(f"{'/' * closing}{name}{' outside' if opened else ''}", 1, None, name in BLOCK, bool(opened), m.start()))
+        kind = INNER if within else f"{'/' * closing}{name}{' outside' if opened else ''}"
+        out.append(Token(kind, 1, None, name in BLOCK, bool(opened), m.start()))
         if name == "br":
             out.append(Token("br space", 0, " ", False, bool(opened), m.start()))
         if closing:
@@ -128,6 +132,8 @@ class Weights(NamedTuple):
     unseen: float  # of a kind of tag that no labelled page has
 
     def score(self, t: Token) -> float:
+        if t.kind == INNER:
+            return 0.0
         if t.text is None:
             return min(self.kinds.get(t.kind, self.unseen) - self.price, -0.01)
         return self.kinds.get(t.kind, 0.0) * t.size
@@ -180,13 +186,14 @@ def learn(pages: list[tuple[str, str]]) -> Weights:
         hits = [i for i, t in enumerate(tokens) if t.text and not t.outside and t.text.strip() and (t.text.strip() in first or last in t.text)]
         a, b = (hits[0], hits[-1]) if hits else (0, -1)
         for i, t in enumerate(tokens):
-            (inside if a <= i <= b and not t.outside else outside)[t.kind] += t.size
+            if t.kind != INNER:
+                (inside if a <= i <= b and not t.outside else outside)[t.kind] += t.size
     n_in, n_out, kinds = sum(inside.values()), sum(outside.values()), inside.keys() | outside.keys()
     # the prior of half a token of each kind on either side keeps rare kinds moderate
     weight = {k: math.log((inside[k] + 0.5) / (n_in + 0.5 * len(kinds))) - math.log((outside[k] + 0.5) / (n_out + 0.5 * len(kinds))) for k in kinds}
-    for k in kinds:  # words score positive, unless they stand outside
+    for k in kinds:  # words score positive
         if "word" in k:
-            weight[k] = min(weight[k], -0.5) if "outside" in k else max(weight[k], 0.3)
+            weight[k] = max(weight[k], 0.3)
     made = [Weights(weight, price, -0.5) for price in (0.25, 0.5, 1.0, 2.0, 4.0)]
     return max(made, key=lambda w: (sum(extract(p, w) == t for p, t in pages), -w.price))
 

@@ -202,6 +202,8 @@ def with_texts(docs: DataFrame, text: str, refs: DataFrame, by: str, fn, schema:
 
 def by_doc(doc: np.ndarray):
     """(document, places of its rows), for each document in doc."""
+    if not len(doc):
+        return
     order = np.argsort(doc, kind="stable")
     cuts = np.flatnonzero(np.diff(doc[order], prepend=-1))
     for a, b in zip(cuts, np.append(cuts[1:], len(doc)), strict=True):
