@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 Body = Callable[[Spark], str]
 _queries: dict[str, Query] = {}
 _oracle: dict[str, str] = {}
-_MODULES = ("search", "binding", "graphs", "aggregates", "windows", "scalars", "rules", "changes", "feeds")
+_MODULES = ("search", "binding", "graphs", "aggregates", "windows", "scalars", "rules", "changes", "feeds", "extraction", "editing")
 
 
 def query(name: str, sql: str | None = None):
