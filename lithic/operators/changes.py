@@ -63,14 +63,14 @@ def _(d):
 def _(d):
     # three hashes tell what became of a staged write
     return f"""select path, case when disk = backup then 'abandoned' when disk = new then 'committed' when disk is null then 'orphan' else 'needs_review' end as outcome from (
-        select b.path, {d.sha('b.content')} as backup, {d.sha("concat(b.content, ' edited')")} as new, {d.sha("case when b.file_id % 21 = 0 then concat(a.content, '?') else a.content end")} as disk from before b left join after a on a.file_id = b.file_id) x"""
+        select b.path, {d.sha('b.content')} as backup, {d.sha("concat(b.content, ' edited')")} as new, {d.sha("case when b.file_id % 21 = 0 then a.content || '?' else a.content end")} as disk from before b left join after a on a.file_id = b.file_id) x"""
 
 
 @both("mut06_txn_recovery", "before", "after")
 def _(d):
     return f"""select dir, n, case when n_disk = 0 then 'needs_review' when external > 0 then 'needs_review' when landed = 0 then 'abandoned' else 'committed_recovered' end as outcome from (
         select dir, count(*) as n, count(disk) as n_disk, cast(count_if(disk = new) as bigint) as landed, cast(count_if(disk <> new and disk <> backup) as bigint) as external from (
-        select {d.extract('b.path', '^([^/]*)')} as dir, {d.sha('b.content')} as backup, {d.sha("concat(b.content, ' edited')")} as new, {d.sha("case when b.file_id % 49 = 0 then concat(a.content, '?') else a.content end")} as disk from before b left join after a on a.file_id = b.file_id) x group by dir) y"""
+        select {d.extract('b.path', '^([^/]*)')} as dir, {d.sha('b.content')} as backup, {d.sha("concat(b.content, ' edited')")} as new, {d.sha("case when b.file_id % 49 = 0 then a.content || '?' else a.content end")} as disk from before b left join after a on a.file_id = b.file_id) x group by dir) y"""
 
 
 @both("mut07_edit_status", "files")
