@@ -220,7 +220,7 @@ def _(spark, sf_dir):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = cycles(list(zip(pdf.src, pdf.dst, strict=True)))
-        return pd.DataFrame({"cycle": found, "length": [len(c) for c in found]})
+        return pd.DataFrame({"cycle": pd.Series(found, dtype=object), "length": pd.Series([len(c) for c in found], dtype="int32")})
 
     return edges.groupBy("g").applyInPandas(run, "cycle array<string>, length int")
 
