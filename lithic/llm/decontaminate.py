@@ -11,8 +11,12 @@ part; repeated items count once, repeated documents each on their own; an item s
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
+from collections.abc import Iterable
+from itertools import repeat
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +26,9 @@ from lithic.llm.common import annotate, batch_conf, save, table
 
 WINDOW = 10
 #: Bytes of benchmark text whose index is broadcast at once; a larger benchmark is taken in shards of that size.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
+#: Candidates of one document that are verified together.
+_PROBES = 1 << 20
 
 _KEEP = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
@@ -40,12 +46,6 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_KEEP).split() if text else []
 
 
-def windows_of(words: list[bytes], window: int) -> list[tuple[bytes, ...]]:
-    if not words:
-        return []
-    return [tuple(words[i : i + window]) for i in range(max(1, len(words) - window + 1))]
-
-
 def document_frequency(docs: DataFrame, text: str, vocabulary: frozenset[bytes]) -> dict[bytes, int]:
     """In how many documents each word of the vocabulary occurs; the vocabulary is that of one benchmark shard."""
     spark = docs.sparkSession
@@ -64,34 +64,69 @@ def document_frequency(docs: DataFrame, text: str, vocabulary: frozenset[bytes])
     return {bytes(r.w): r.n for r in rows.groupBy("w").agg(F.sum("n").alias("n")).collect()}  # bounded by the vocabulary
 
 
-def prefix_index(items: list[tuple[str, bytes]], frequency: dict[bytes, int], window: int) -> dict[bytes, list]:
-    """Rarest word -> [(its offset, window, item ids)]."""
-    owners: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-    for item, text in items:
-        for w in windows_of(words_of(text), window):
-            owners[w].add(item)
-    index: dict[bytes, list] = defaultdict(list)
-    for w, ids in owners.items():
-        rare = min(w, key=lambda x: (frequency.get(x, 0), x))
-        if frequency.get(rare, 0):  # a word that no document has needs no probe
-            index[rare].append((w.index(rare), w, frozenset(ids)))
-    return dict(index)
-
-
-def hits(words: list[bytes], index: dict[bytes, list]) -> tuple[list[tuple[int, int]], set[str]]:
+class Index(NamedTuple):
+    """The windows of one benchmark shard under their rarest words. Words are numbered from 1; 0 is any other word."""
+
+    numbers: dict[bytes, int]
+    words: np.ndarray  # of the items, end to end
+    first: np.ndarray  # by word: where its windows begin below; those of the next word follow
+    at: np.ndarray  # where a window begins in words
+    size: np.ndarray  # its words
+    offset: np.ndarray  # of the rarest word in it
+    owner: np.ndarray  # its item
+    items: list[str]
+
+
+def prefix_index(items: list[tuple[str, bytes]], frequency: dict[bytes, int], window: int) -> Index:
+    numbers: dict[bytes, int] = {}
+    split = [(item, words_of(text)) for item, text in items]
+    split = [(item, words) for item, words in split if words]
+    texts = [np.fromiter((numbers.setdefault(w, len(numbers) + 1) for w in words), np.int32, len(words)) for _, words in split]
+    words, length = np.concatenate([*texts, np.zeros(0, np.int32)]), np.array([len(t) for t in texts], np.int64)
+    size = np.minimum(length, window)
+    count = length - size + 1
+    owner = np.repeat(np.arange(len(texts)), count)
+    at = np.repeat(np.cumsum(length) - length - (np.cumsum(count) - count), count) + np.arange(len(owner))
+    size = size[owner]
+    seen, rank = np.zeros(len(numbers) + 1, bool), np.zeros(len(numbers) + 1, np.int64)
+    for r, w in enumerate(sorted(numbers, key=lambda w: (frequency.get(w, 0), w))):
+        rank[numbers[w]], seen[numbers[w]] = r, frequency.get(w, 0) > 0
+    offset, least = np.zeros(len(at), np.int64), rank[words[at]]
+    for j in range(1, window):
+        there = rank[words[at + np.minimum(j, size - 1)]]
+        offset[there < least] = j
+        least = np.minimum(least, there)
+    rare = words[at + offset]
+    order = np.argsort(rare, kind="stable")
+    order = order[seen[rare[order]]]  # a word that no document has needs no probe
+    first = np.searchsorted(rare[order], np.arange(len(numbers) + 2))
+    return Index(numbers, words, first.astype(np.int32), at[order].astype(np.int32), size[order].astype(np.int16), offset[order].astype(np.int16), owner[order].astype(np.int32), [item for item, _ in split])
+
+
+def hits(words: list[bytes], index: Index) -> tuple[list[tuple[int, int]], set[str]]:
     """Merged spans of words inside occurring windows, and the items these windows belong to."""
-    n, spans, items = len(words), [], set()
-    for i, word in enumerate(words):
-        if word in index:
-            for offset, w, ids in index[word]:
-                start, end = i - offset, i - offset + len(w)
-                if start >= 0 and end <= n and tuple(words[start:end]) == w:
-                    spans.append((start, end))
-                    items |= ids
-    return merged(spans), items
-
-
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    n = len(words)
+    ids = np.fromiter(map(index.numbers.get, words, repeat(0)), np.int32, n)
+    each = index.first[ids + 1] - index.first[ids]
+    probes = np.flatnonzero(each)
+    spans: set[tuple[int, int]] = set()
+    owners: set[int] = set()
+    for part in np.split(probes, np.flatnonzero(np.diff(np.cumsum(each[probes], dtype=np.int64) // _PROBES)) + 1):
+        k = each[part]
+        e = np.repeat(index.first[ids[part]] - (np.cumsum(k) - k), k) + np.arange(k.sum())
+        start, size = np.repeat(part, k) - index.offset[e], index.size[e].astype(np.int64)
+        fits = (start >= 0) & (start + size <= n)
+        e, start, size = e[fits], start[fits], size[fits]
+        for j in range(int(size.max(initial=0))):  # word for word; few candidates outlive the first
+            step = np.minimum(j, size - 1)
+            same = ids[start + step] == index.words[index.at[e] + step]
+            e, start, size = e[same], start[same], size[same]
+        spans.update(zip(start.tolist(), (start + size).tolist(), strict=True))
+        owners.update(np.unique(index.owner[e]).tolist())
+    return merged(spans), {index.items[i] for i in owners}
+
+
+def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for s, e in sorted(spans):
         if out and s <= out[-1][1]:
