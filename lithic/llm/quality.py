@@ -9,8 +9,9 @@ Labels are read from a sample of at most ``sample`` labelled rows (by hashed id,
 sample's size); everything else covers all rows. Labels, language, source and id are no inputs of the score.
 
 Cases: null and empty texts have all statistics zero and are scored like any other; without labels of both kinds the
-score is the labels' mean, or 0.5; repeated labels of one id each count; a null doc_id counts as the text "null" for
-the fold.
+score is the labels' mean, or 0.5; of equal labels of one id one counts, and of rows that share a labelled id one (the
+least by its statistics), so that what is gathered stays within the sample; a null doc_id counts as the text "null"
+for the fold.
 """
 
 from __future__ import annotations
@@ -207,11 +208,12 @@ def fold(id_col: str = "doc_id") -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Model:
     """A model of the labelled rows whose fold isn't 0."""
-    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold() != 0)).select("doc_id", F.col(label).cast("int").alias("_label"))
+    known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold() != 0)).select("doc_id", F.col(label).cast("int").alias("_label")).distinct()
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "_label").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most ``sample`` rows of two numbers
-    got = with_statistics(rows.select("_label", "text"), keep=["_label"]).select("row._label", "m.*").toPandas()
-    got = got.sort_values(list(got.columns)).head(4 * sample)  # the fit doesn't hang on the order of partitions
+    one = with_statistics(rows, keep=["doc_id", "_label"]).groupBy("row.doc_id", "row._label").agg(F.min("m").alias("m"))
+    got = one.select("_label", "m.*").toPandas()  # a row for each label at most
+    got = got.sort_values(list(got.columns))  # the fit doesn't hang on the order of partitions
     return fit(got[list(STATISTICS)].to_numpy(float), got["_label"].to_numpy(float))
 
 
