@@ -219,10 +219,10 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the near duplicates: of each component, the row with the least id (ties: any one of them, chosen
-    by the text) stays."""
+    by the text) stays. Components without any id keep a row each."""
     prints = save(fingerprints(docs, text).select("row", "m.fp"))
     found = near_duplicates(prints.select("fp", F.col(f"row.`{id_col}`").alias("id")), "id")
     # rows that could stay: those whose id is their component's least; of repeated rows with that id one stays
-    kept = prints.join(found.select("fp", "component_id"), "fp").where(F.col(f"row.`{id_col}`").eqNullSafe(F.col("component_id")))
-    one = Window.partitionBy("component_id").orderBy(F.xxhash64(F.col(f"row.`{text}`")), "fp")
+    kept = prints.join(found, "fp").where(F.col(f"row.`{id_col}`").eqNullSafe(F.col("component_id")))
+    one = Window.partitionBy("root").orderBy(F.xxhash64(F.col(f"row.`{text}`")), "fp")
     return kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").select("row.*")
