@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 from lithic.llm.common import save, table
 
 DAMPING, ROUNDS, THRESHOLD = 0.85, 12, 0.5
-#: Rounds after which the ranks are written and lineage ends.
-EVERY = 3
 
 
 class Rule(NamedTuple):
@@ -71,7 +69,8 @@ def edges_of(pages: DataFrame, url: str = "url", html: str = "html") -> DataFram
 
 def propagate(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
     """hosts: (host, good, bad), the seeds' weights. Returns (host, trust, distrust), each summing to 1 if it has a
-    seed; what a host without links would pass on goes back to the seeds."""
+    seed; what a host without links would pass on goes back to the seeds. Each round is written once, which ends its
+    lineage, and read back for the mass that is left (two numbers) and for the next round."""
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "n", F.lit(True).alias("fwd")).union(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), "n", F.lit(False).alias("fwd")))
     outs = both.groupBy("a", "fwd").agg(F.sum("n").alias("all"))
     flow = save(both.join(outs, ["a", "fwd"]).select("a", "b", "fwd", (F.col("n") / F.col("all")).alias("w")))
@@ -80,13 +79,11 @@ def propagate(hosts: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     ranks = save(hosts.select("host", share("good", total.g).alias("t0"), share("bad", total.d).alias("d0")).withColumns({"trust": F.col("t0"), "distrust": F.col("d0")}))
     if flow.limit(1).count() == 0:  # nothing to spread along
         return ranks.select("host", "trust", "distrust")
-    for k in range(rounds):
+    for _ in range(rounds):
         sent = flow.join(ranks, flow.a == ranks.host).groupBy("b").agg(F.sum(F.when(F.col("fwd"), F.col("trust") * F.col("w")).otherwise(0.0)).alias("t"), F.sum(F.when(~F.col("fwd"), F.col("distrust") * F.col("w")).otherwise(0.0)).alias("d"))
-        got = ranks.join(sent, ranks.host == sent.b, "left").select("host", "t0", "d0", (damping * F.coalesce("t", F.lit(0.0))).alias("t"), (damping * F.coalesce("d", F.lit(0.0))).alias("d"))
-        if (k + 1) % EVERY == 0 or k == rounds - 1:
-            got = save(got)
-        left = got.agg((1 - F.sum("t")).alias("t"), (1 - F.sum("d")).alias("d"))  # one row
-        ranks = got.crossJoin(F.broadcast(left.select(F.col("t").alias("rt"), F.col("d").alias("rd")))).select("host", "t0", "d0", (F.col("t") + F.col("rt") * F.col("t0")).alias("trust"), (F.col("d") + F.col("rd") * F.col("d0")).alias("distrust"))
+        got = save(ranks.join(sent, ranks.host == sent.b, "left").select("host", "t0", "d0", (damping * F.coalesce("t", F.lit(0.0))).alias("t"), (damping * F.coalesce("d", F.lit(0.0))).alias("d")))
+        left = got.agg((1 - F.sum("t")).alias("t"), (1 - F.sum("d")).alias("d")).first()
+        ranks = got.select("host", "t0", "d0", (F.col("t") + F.lit(left.t) * F.col("t0")).alias("trust"), (F.col("d") + F.lit(left.d) * F.col("d0")).alias("distrust"))
     return ranks.select("host", "trust", "distrust")
 
 
