@@ -71,6 +71,27 @@ def test_decontamination(spark, docs, texts):
     assert all(not r.m["items"] for r in decontaminate.decontaminate(docs, bench.limit(0)).collect())
 
 
+def test_window_index(monkeypatch):
+    """Any words, windows and rarities, few candidates at a time or all at once, against every place of every window."""
+    rng = np.random.default_rng(12)
+    for trial in range(300):
+        words, window = [b"a", b"b", b"c", b"dd"][: int(rng.integers(1, 5))], int(rng.integers(1, 7))
+        some = lambda most, of: [of[int(k)] for k in rng.integers(0, len(of), int(rng.integers(0, most)))]
+        items = [(str(i), b" ".join(some(10, words))) for i in range(int(rng.integers(0, 6)))]
+        doc = some(40, [*words, b"zz"])
+        monkeypatch.setattr(decontaminate, "_PROBES", (1, 3, 1 << 20)[trial % 3])
+        spans, found = decontaminate.hits(doc, decontaminate.prefix_index(items, {w: int(rng.integers(1, 6)) for w in set(doc)}, window))
+        hit, holds = set(), set()
+        for i, t in items:
+            w = t.split()
+            for k in range(max(1, len(w) - window + 1) if w else 0):
+                part = w[k : k + window]
+                at = [p for p in range(len(doc) - len(part) + 1) if doc[p : p + len(part)] == part]
+                hit |= {p + j for p in at for j in range(len(part))}
+                holds |= {i} if at else set()
+        assert found == holds and hit == {k for a, b in spans for k in range(a, b)}
+
+
 def plain_passages(texts, window):
     words = [(t or "").encode().split() for _, t, *_ in texts]
     seen = Counter(tuple(w[k : k + window]) for w in words for k in range(len(w) - window + 1))
@@ -178,6 +199,11 @@ def test_first_of_each(spark):
     kept = simhash.first_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
     assert kept.columns == ["doc_id", "text"]
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 5]
+    # groups without ids, and one id on different texts: each group keeps a row
+    other = " ".join(f"b{i}" for i in range(300))
+    rows = [(None, t), (None, other), (None, other), (7, "one two three"), (7, "four five six seven"), (7, "one two three")]
+    kept = simhash.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.text for r in kept) == sorted({t, other, "one two three", "four five six seven"})
 
 
 def test_components(spark):
@@ -253,6 +279,8 @@ def test_quality(spark):
     held = [r for r in got if r.held and r.doc_id is not None and r.doc_id < 900]
     assert np.mean([(r.score >= 0.3) == (r.doc_id % 3 != 0) for r in held]) > 0.97
     assert quality.train(d, labels.limit(0)).rules == []
+    # a labelled id that many rows share counts once, so it doesn't move the model
+    assert quality.train(d.union(d.where("doc_id = 7").crossJoin(spark.range(500)).select("doc_id", "text")), labels.union(labels)) == model
 
 
 LICENCE_DOCS = [
