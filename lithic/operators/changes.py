@@ -167,3 +167,26 @@ def _(d):
 @both("snk06_journal_table", "usage")
 def _(d):
     return "select event_id, status, lag(status) over (partition by session order by event_id) as previous from usage"
+
+
+@both("snk01_bulk_insert", "symbols")
+def _(d):
+    # rows go out by file, so that a file's rows are replaced together; 180 rows made one statement
+    return "select bucket, count(*) as n, count(distinct file_id) as n_files, cast(ceil(count(*) / 180.0) as bigint) as statements from (select file_id % 16 as bucket, file_id from symbols) s group by bucket"
+
+
+@both("snk04_log_rotation", "usage")
+def _(d):
+    # a session's log is rotated by size, and the last three generations stay
+    written = "select session, event_id, cast(floor((sum(length(tool) + length(props) + 40) over (partition by session order by event_id) - 1) / 400) as bigint) as generation from usage"
+    return f"select session, event_id, last - generation as age, last - generation < 3 as kept from (select w.*, max(generation) over (partition by session) as last from ({written}) w) x"
+
+
+@both("snk05_rules_text", "files")
+def _(d):
+    return "select dir, concat('# ', dir, ': ', cast(count(*) as varchar(20)), ' files, ', cast(count(distinct lang) as varchar(20)), ' languages, longest ', cast(max(size) as varchar(20))) as text from files group by dir"
+
+
+@both("snk07_metadata", "files", "symbols")
+def _(d):
+    return "select 'files' as relation, count(*) as n, max(file_id) as last_id from files union all select 'symbols', count(*), max(id) from symbols"

@@ -65,6 +65,14 @@ def write_snapshot(tables: dict[str, DataFrame], root: str) -> None:
         (df.repartitionByRange(by).sortWithinPartitions(by) if by else df).write.mode("overwrite").parquet(f"{root}/{name}")
 
 
+def open_snapshot(spark: SparkSession, root: str, names: tuple[str, ...] = ("files", "symbols", "refs")) -> dict[str, DataFrame]:
+    """The relations of a written snapshot, also as temporary views of these names."""
+    tables = {n: spark.read.parquet(f"{root}/{n}") for n in names}
+    for n, df in tables.items():
+        df.createOrReplaceTempView(n)
+    return tables
+
+
 def upsert(base: DataFrame, changed: DataFrame, gone: DataFrame, key: str = "path") -> DataFrame:
     """The next snapshot: what neither changed nor went, and what changed."""
     kept = base.join(changed.select(key), key, "left_anti").join(gone.select(key), key, "left_anti")

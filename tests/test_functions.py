@@ -10,6 +10,7 @@ from lithic.functions import extract as X
 from lithic.operators import editing, graphs, search
 from lithic.operators.extraction import SAMPLES
 from lithic.operators.windows import pack
+from lithic.plans.invoke import USAGE, invoke
 from lithic.sources import trees
 from lithic.streaming import feeds
 
@@ -117,6 +118,8 @@ def test_tree_index(spark, tmp_path):
     assert bound["Runner"].target_symbol_id is not None and bound["run"].source_symbol_id is not None
     trees.write_snapshot(got, f"{tmp_path}/snap")
     assert spark.read.parquet(f"{tmp_path}/snap/symbols").count() == got["symbols"].count()
+    assert trees.open_snapshot(spark, f"{tmp_path}/snap")["refs"].count() == got["refs"].count()
+    assert spark.sql("select count(*) from symbols s join files f on f.file_id = s.file_id").first()[0] == got["symbols"].count()
 
 
 def test_logs(spark, tmp_path):
@@ -149,3 +152,14 @@ def test_sync(spark):
     out = []
     feeds.sync(lambda df: out.append(sorted(map(tuple, df.collect()))), lambda: base)(changes, 0)
     assert out == [[("a", 3), ("c", 1), ("d", 1)]]
+
+
+def test_invoke(spark, tmp_path):
+    out, log, data = f"{tmp_path}/out", f"{tmp_path}/log", "/root/testdata/sf0.001"
+    ok = invoke(spark, "agg19_language_buckets", data, lambda df: df.write.parquet(out), log)
+    assert ok.success and ok.metrics["rows"] == spark.read.parquet(out).count() > 0
+    again = invoke(spark, "agg19_language_buckets", data, lambda df: df.write.parquet(out), log)  # the folder is there
+    unknown = invoke(spark, "no_such", data, lambda df: None, log)
+    assert (again.status, unknown.error_code) == ("error", "UNKNOWN_TOOL")
+    rows = trees.read_log(spark, log, USAGE).collect()
+    assert sorted((r.tool, r.success) for r in rows) == [("agg19_language_buckets", False), ("agg19_language_buckets", True), ("no_such", False)]
