@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lithic.operators.windows import common_ends
 from lithic.plans.catalogue import both
 
 # The order in which a conflict is told. base, current: hashes; sym: whether a symbol is meant.
@@ -88,7 +89,10 @@ def _(d):
 
 @both("mut09_min_diff", "before", "after")
 def _(d):
-    return """select b.path, cast(length(b.content) as bigint) as old_size, cast(length(a.content) as bigint) as new_size, a.content = b.content as same, substr(a.content, 1, length(b.content)) = b.content as appended_only from before b join after a on a.file_id = b.file_id"""
+    # what is left between the equal ends is the change, told as a hunk's head
+    text = lambda x: f"cast({x} as varchar(20))"
+    return f"""select file_id, greatest(removed, added) as lines_changed, concat('@@ -', {text('prefix + 1')}, ',', {text('removed')}, ' +', {text('prefix + 1')}, ',', {text('added')}, ' @@') as head
+        from (select file_id, prefix, n_old - prefix - suffix as removed, n_new - prefix - suffix as added from {common_ends(d)} e) x"""
 
 
 @both("mut10_diff_facts", "before", "after")
@@ -190,3 +194,38 @@ def _(d):
 @both("snk07_metadata", "files", "symbols")
 def _(d):
     return "select 'files' as relation, count(*) as n, max(file_id) as last_id from files union all select 'symbols', count(*), max(id) from symbols"
+
+
+WORKTREES = [
+    (1, True, False, False, None, None),
+    (2, False, False, False, None, None),
+    (3, True, True, False, None, None),
+    (4, True, False, True, None, None),
+    (5, True, False, False, "write", None),
+    (6, True, False, False, "verify", None),
+    (7, True, False, False, "merge", "c7"),
+    (8, True, False, False, "branch", "c8"),
+]
+
+
+@both("mut11_worktree_outcome", "labels")
+def _(d):
+    # a clean repository on a branch is asked for; a step that fails after the commit leaves the commit's branch alone
+    outcome = "case when not is_repo then 'not_a_git_repo' when dirty then 'dirty_workspace' when detached then 'detached_head' when failed is null then 'merged' when commit_id is not null then 'merge_failed_commit_preserved' else 'transaction_rolled_back' end"
+    return f"select i, outcome, outcome = 'merge_failed_commit_preserved' as keeps_branch, outcome = 'merged' as marks_dirty, (select count(*) from labels) as n from (select i, {outcome} as outcome from {d.table('i, is_repo, dirty, detached, failed, commit_id', WORKTREES)} v) x"
+
+
+@both("mut12_lock_claims", "usage")
+def _(d):
+    # a claim against the last one on the same file: one's own token holds on, a holder that was not heard of for 30 s
+    # loses the lock, and else a claim waits for up to 2 s; only the holder's token releases
+    claims = "select event_id, session % 7 as file_id, session as token, event_id * 1000 as at_ms, status <> 'ok' as released from usage"
+    held = "select c.*, lag(token) over w as holder, lag(at_ms) over w as heard, lag(released) over w as was_released from (" + claims + ") c window w as (partition by file_id order by at_ms, event_id)"
+    return f"select event_id, file_id, case when holder is null or was_released then 'free' when holder = token then 'held' when at_ms - heard > 30000 then 'stale_takeover' when at_ms - heard > 28000 then 'takeover_while_waiting' else 'timeout' end as outcome, coalesce(holder = token, false) as may_release from ({held}) x"
+
+
+@both("stm14_circuit_breaker", "usage")
+def _(d):
+    # three failures on end open the circuit; a success closes it
+    return """select event_id, tool, failures, failures >= 3 as opened from (select event_id, tool, cast(sum(case when status = 'ok' then 0 else 1 end) over (partition by tool, run order by event_id rows between unbounded preceding and current row) as bigint) as failures
+        from (select event_id, tool, status, sum(case when status = 'ok' then 1 else 0 end) over (partition by tool order by event_id rows between unbounded preceding and current row) as run from (select event_id, case when session % 3 = 0 then 'parse' else tool end as tool, status from usage) u) x) y"""

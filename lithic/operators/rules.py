@@ -6,7 +6,7 @@ no source code, so every engine also runs over small snippets that hit and miss
 
 from __future__ import annotations
 
-from lithic.operators.aggregates import style
+from lithic.operators.aggregates import js_round, style
 from lithic.plans.catalogue import both
 
 _W = "(^|[^A-Za-z0-9_.])"
@@ -129,8 +129,10 @@ TODOS = [(1, "// TODO(ann): fix it", 3), (2, "# FIXME broken", 40), (3, "/* HACK
 @both("rul07_active_todos", "lines")
 def _(d):
     kind = d.extract("x", "(?:^|[^A-Za-z])(TODO|FIXME|XXX|HACK)(?:[^A-Za-z]|$)")
-    return f"""select i, kind, {d.extract('x', '(?:TODO|FIXME|XXX|HACK)[(]([a-z]+)[)]')} as author, case kind when 'FIXME' then 'high' when 'TODO' then 'medium' else 'low' end as priority, age > 7 as stale
-        from (select i, x, age, {kind} as kind from (select i, x, age from {d.table('i, x, age', TODOS)} v union all select file_id * 1000 + line, text, file_id % 30 from lines) u) t where kind <> ''"""
+    # what stands in a file that is being edited comes first, then what was touched within a week
+    days = "concat('modified ', cast(age as varchar(20)), ' days ago')"
+    return f"""select i, kind, {d.extract('x', '(?:TODO|FIXME|XXX|HACK)[(]([a-z]+)[)]')} as author, case when edited then 'high' when age < 7 then 'medium' else 'low' end as priority, case when edited then 'file being edited' when age < 7 then {days} else concat({days}, ', unchanged') end as reason
+        from (select i, x, age, edited, {kind} as kind from (select i, x, age, age = 8 as edited from {d.table('i, x, age', TODOS)} v union all select file_id * 1000 + line, text, file_id % 30, file_id % 5 = 0 from lines) u) t where kind <> ''"""
 
 
 IMPORTS = [(1, "import os"), (1, "import sys as system"), (1, "from a.b import c, d as e"), (1, "print(os.path, e)"), (2, "import {x, y} from './m'"), (2, "const z = require('q')"), (2, "x(z)")]
@@ -159,13 +161,32 @@ def _(d):
         t as (select dir, style, n, sum(n) over (partition by dir) as total, row_number() over (partition by dir order by n desc, style) as rn from s) select dir, style as dominant, n, cast(total as bigint) as total, n >= 0.7 * total as consistent from t where rn = 1"""
 
 
-DANGEROUS = ("eval(", "exec(", "innerHTML", "document.write", "pickle.loads", "yaml.load(", "os.system", "subprocess.call", "shell=True", "md5", "rm -rf", "chmod 777", "password", "secret", "disable_ssl", "verify=False")
+# Names whose presence makes a change to a file reach far.
+DANGEROUS = ("eval", "Function", "exec", "execSync", "execFile", "execFileSync", "spawn", "spawnSync", "child_process", "__import__", "os.system", "subprocess", "sys.exit", "unsafe", "ptr::read", "transmute")
+
+
+QUALITY = [
+    (1, "function a() {\n  return eval(b.c.d.e)\n}"),
+    (2, "class Tidy {}\nconst MAX = 1\nfunction fine() {}"),
+    (3, "process.exec(x)\nsubprocess.spawn()\nunsafe { transmute(y) }"),
+    (4, ""),
+    (5, "class lower {}\nfunction Not_this() {}\nlet y = 1"),
+]
 
 
 @both("rul11_quality_dimensions", "files")
 def _(d):
-    n = " + ".join(f"case when instr(content, '{x}') > 0 then 1 else 0 end" for x in DANGEROUS)
-    return f"select path, {n} as dangerous, {d.count('content', chr(92) + 'n')} + 1 as loc, {d.count('content', '[.] ')} as sentences, {d.count('content', '[,;]')} as pauses from files"
+    # each dimension from 0 to 1, 1 being best; what a parser would count is estimated from the text
+    real = lambda x: f"cast({x} as double)"
+    n = " + ".join(f"case when instr(x, '{w}') > 0 then 1 else 0 end" for w in DANGEROUS)
+    violations = f"{d.count('x', '(^|[^A-Za-z0-9_])(process|global|root|eval|Function)([^A-Za-z0-9_]|$)')} + {d.count('x', '([A-Za-z0-9_$]+[.]){3,}[A-Za-z0-9_$]+')}"
+    named = d.count("x", "(function|const|let|var|class)[ ]+[A-Za-z_]")
+    fits = f"{d.count('x', 'function[ ]+[a-z][A-Za-z0-9]*[^A-Za-z0-9_]')} + {d.count('x', '(const|let|var)[ ]+([a-z][A-Za-z0-9]*|[A-Z][A-Z0-9_]*)[^A-Za-z0-9_]')} + {d.count('x', 'class[ ]+[A-Z][A-Za-z0-9]*[^A-Za-z0-9_]')}"
+    facts = f"select i, {d.count('x', chr(92) + 'n')} + 1 as loc, 1 + {d.count('x', '(^|[^A-Za-z])(if|for|while|case|catch)([^A-Za-z]|$)')} as cyc, {d.count('x', '[{]')} as nesting, {violations} as violations, {n} as dangerous, length(x) as size, {named} as named, {fits} as fits from (select i, x from {d.table('i, x', QUALITY)} v union all select file_id + 100, content from files where content is not null) t"
+    dims = f"""select i, dangerous, violations, {js_round(f"1 - least({real(1)}, ({real('cyc')} / 20 + {real('cyc - 1')} / 30) / 2)")} as tech_debt, {js_round(f"1 - least({real(1)}, {real('violations')} / 5)")} as arch, {js_round(f"1 - least({real(1)}, {real('dangerous')} * {real(0.3)} + least({real(1)}, {real('size')} / 50000) * {real(0.7)})")} as blast,
+        {js_round(f"1 - least({real(1)}, {real('nesting')} / sqrt({real('loc')}) / 3)")} as engineering, {js_round(f"case when named > 0 then {real('fits')} / named else {real(0.5)} end")} as paradigm from ({facts}) f"""
+    total = " + ".join(f"{c} * {real(w)}" for c, w in (("tech_debt", 0.25), ("arch", 0.2), ("blast", 0.2), ("engineering", 0.2), ("paradigm", 0.15)))
+    return f"select x.*, {js_round(total)} as overall from ({dims}) x"
 
 
 @both("rul12_export_exemptions", "symbols", "lines")

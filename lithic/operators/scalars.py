@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lithic.operators.aggregates import style
+from lithic.operators.aggregates import js_round, style
 from lithic.plans.catalogue import both
 
 NAMES = [(1, "getUserName"), (2, "get_user_name"), (3, "MAX_SIZE"), (4, "UserModel"), (5, "x"), (6, "HTMLParser"), (7, "fetchAll2"), (8, "_private"), (9, "kebab-case"), (10, "")]
@@ -64,17 +64,28 @@ def _(d):
 
 
 QUERIES = [(1, "who calls the parser"), (2, "unused functions in src"), (3, "how complex is main"), (4, "what imports util"), (5, "find user login"), (6, "callees of render"), (7, "dead code"), (8, "impact of rename"), (9, "")]
-INTENTS = [("callers", "who calls|callers|called by"), ("callees", "callees|what does .* call"), ("dead", "dead|unused"), ("complexity", "complex"), ("imports", "import|depend"), ("impact", "impact|affect|rename"), ("tests", "test"), ("symbol", "find|where|search")]
+# Intents in the order in which they are tried, over lower-cased text.
+INTENTS = [
+    ("findFunction", "function +[a-z0-9_]+|method +[a-z0-9_]+|where is [a-z0-9_]+ (function|method|defined)|find +(the +)?[a-z0-9_]+ +(function|method)"),
+    ("findClass", "class +[a-z0-9_]+|where is [a-z0-9_]+ class|find +(the +)?[a-z0-9_]+ +class"),
+    ("findVariable", "variable +[a-z0-9_]+|where is [a-z0-9_]+ (variable|const)"),
+    ("whereUsed", "(where|how|what) +(is +)?[a-z0-9_]+ +(used|called|referenced)|who calls [a-z0-9_]+|impact.*[a-z0-9_]+"),
+    ("deadCode", "dead *code|unused +(function|code)|never +called|what.*not.*used"),
+    ("dependencyTree", "dependency +(tree|graph|chain)|depend.*module|import.*graph"),
+    ("complexity", "complex|hard to understand|too many lines"),
+    ("search", "search +(for +)?[a-z0-9_]+|find +(the +)?[a-z0-9_]+|locate +[a-z0-9_]+"),
+]
 
 
 @both("str12_tokenise", "conversations")
 def _(d):
-    tokens = d.distinct(d.keep(d.split(d.replace("lower(x)", "[^a-z0-9_]+", " "), " "), "w", "length(w) >= 2"))
-    return f"select i, {d.size(tokens)} as n_tokens from (select i, x from {d.table('i, x', QUERIES)} v union all select conv_id * 1000 + turn, text from conversations) t"
+    # Latin words and runs of Han characters are kept
+    tokens = d.keep(d.split(d.replace("x", "[^A-Za-z0-9_\u4e00-\u9fff]+", " "), " "), "w", "w <> ''")
+    return f"select i, {d.size(tokens)} as n_tokens, {d.join(d.slice(tokens, '1', '5'), '|')} as first5 from (select i, x from {d.table('i, x', QUERIES)} v union all select conv_id * 1000 + turn, text from conversations) t"
 
 
 def intent(d, x: str) -> str:
-    return "case " + " ".join(f"when {d.rlike(f'lower({x})', p)} then '{n}'" for n, p in INTENTS) + " else 'none' end"
+    return "case " + " ".join(f"when {d.rlike(f'lower({x})', p)} then '{n}'" for n, p in INTENTS) + " else 'search' end"
 
 
 @both("str13_intent", "conversations")
@@ -119,8 +130,14 @@ def _(d):
 
 @both("str16_closest_window", "lines")
 def _(d):
-    asked = "'the of and in to'"
-    return f"select path, line, score from (select path, line, score, row_number() over (partition by path order by score desc, line) as rn from (select path, line, {jaccard(d, words(d, 'text'), words(d, asked))} as score from lines where length(text) < 600) x where score >= 0.1) y where rn = 1"
+    # two lines are asked for: if they are there but for white space, that is said; else the likest two lines, if like enough
+    plain = lambda x: d.trim(d.replace(x, "[ \\t\\n]+", " "))
+    score = jaccard(d, words(d, plain("pair")), words(d, plain("asked")))
+    return f"""with p as (select file_id, line, text || chr(10) || lead(text) over (partition by file_id order by line) as pair from lines where length(text) < 400),
+        q as (select file_id, case when file_id % 2 = 0 then replace(pair, ' ', '  ') else concat('some other words ', pair) end as asked from p where line = 2 and pair is not null),
+        s as (select p.file_id, line, {score} as similarity, instr({plain('pair')}, {plain('asked')}) > 0 as same from p join q on q.file_id = p.file_id where pair is not null)
+        select file_id, line, case when same then 'whitespace_normalized' else 'closest' end as found_via, case when same then cast(1.0 as double) else {js_round('similarity')} end as similarity
+        from (select s.*, row_number() over (partition by file_id order by same desc, similarity desc, line) as rn from s) x where rn = 1 and (same or similarity >= 0.3)"""
 
 
 @both("str17_edit_distance", "symbols")
@@ -131,7 +148,9 @@ def _(d):
 @both("str18_occurrences", "files")
 def _(d):
     # apart, and overlapping: at every place where it starts
-    return "select path, cast((length(content) - length(replace(content, 'th', ''))) / 2 as bigint) as apart, cast((length(content) - length(replace(content, 'aa', ''))) / 2 as bigint) as doubled from files"
+    # a run of n letters holds n - 1 pairs of them
+    runs = lambda x: f"cast(length({x}) - length({d.replace(x, 'e{2,}', '')}) as bigint) - {d.count(x, 'e{2,}')}"
+    return f"select path, cast((length(content) - length(replace(content, 'ee', ''))) / 2 as bigint) as apart, {runs('content')} as overlapping from (select path, content from files union all select x, x from {d.table('x', [('eee',), ('eeeee e ee',), ('',)])} v) t"
 
 
 PATCH = "--- a/x.js\n+++ b/x.js\n@@ -1,2 +1,3 @@\n a\n+b\n+c\n-d\n--- a/y.py\n+++ b/y.py\n@@ -5 +5 @@\n+z"
@@ -153,10 +172,15 @@ def _(d):
     return f"select i, x, {d.join(parts, '|')} as params, {d.size(parts)} as n from (select i, x from {d.table('i, x', SIGNATURES)} v union all select id, signature from symbols where start_line = 1) t"
 
 
+LITERALS = [(1, "limit = the"), (2, "# the end"), (3, "  // the"), (4, "print(the)"), (5, "def the(the, the, the):"), (6, "assert the"), (7, "f(the)")]
+
+
 @both("str22_literal_confidence", "lines")
 def _(d):
-    score = f"1.0 - case when {d.rlike('text', '^[ ]*[#%&]')} then 0.5 else 0.0 end - case when length(text) < 20 then 0.2 else 0.0 end - case when {d.rlike('text', '[0-9]')} then 0.1 else 0.0 end"
-    return f"select path, line, cast({score} as double) as confidence, case when {score} >= 0.8 then 'high' when {score} >= 0.5 then 'medium' else 'low' end as level from lines"
+    # What each sign of a line takes from the confidence that the literal in it is meant
+    signs = [("instr(x, '=') > 0", 0.2), (d.rlike("x", "^[ \\t]*#"), 0.5), (d.rlike("x", "^[ \\t]*//"), 0.5), (d.rlike("x", "print|log|console[.]"), 0.2), (d.rlike("x", "def |function "), 0.3), ("instr(x, 'assert') > 0", 0.1), ("length(x) - length(replace(x, 'the', '')) > 6", 0.2)]
+    score = "greatest(cast(0 as double), cast(1 as double)" + "".join(f" - cast(case when {c} then {w} else 0.0 end as double)" for c, w in signs) + ")"
+    return f"select i, {js_round('score')} as confidence, case when score >= 0.8 then 'high' else 'medium' end as level from (select i, {score} as score from (select i, x from {d.table('i, x', LITERALS)} v union all select file_id * 1000 + line, text from lines) t where instr(x, 'the') > 0) y where score >= 0.5"
 
 
 CONSTANTS = [(1, "MAX = 10"), (2, "const url = fetch(x)"), (3, "A: int = -3"), (4, "NAME = true;"), (5, "nothing")]
@@ -268,17 +292,22 @@ def _(d):
 
 @both("mth01_complexity", "symbols")
 def _(d):
-    return "select path, name, start_line, least(10, cast(ceil((end_line - start_line + 1) / 10.0) as bigint)) as cyclomatic, least(10, cast(ceil((end_line - start_line + 1) / 15.0) as bigint)) as cognitive from symbols"
+    return "select path, name, start_line, loc, cyclomatic, cognitive, least(10, cast(floor((cyclomatic + cognitive) / 2.0 + 0.5) as bigint)) as score from (select path, name, start_line, end_line - start_line + 1 as loc, least(10, cast(ceil((end_line - start_line + 1) / 10.0) as bigint)) as cyclomatic, least(10, cast(ceil((end_line - start_line + 1) / 15.0) as bigint)) as cognitive from symbols) x"
 
 
 @both("mth02_index_estimate", "files")
 def _(d):
-    return "select lang, count(*) as n, cast(ceil(1 + count(*) / 100.0) as bigint) as seconds, concat(cast(cast(ceil(1 + count(*) / 100.0) as bigint) as varchar(20)), ' s') as label from files group by lang"
+    text = lambda x: f"cast(cast({x} as bigint) as varchar(20))"
+    minutes = "ceil(seconds / 60.0)"
+    label = f"case when seconds < 60 then concat('~', {text('greatest(1, seconds)')}, 's') when {minutes} < 60 then concat('~', {text(minutes)}, ' min') else concat('~', {text(f'floor({minutes} / 60.0)')}, 'h', case when {minutes} % 60 <> 0 then concat(' ', {text(f'{minutes} % 60')}, 'm') else '' end) end"
+    sizes = [("one", 1), ("small", 737), ("large", 20_000), ("huge", 500_000), ("full", 359_900)]
+    return f"select k, n, seconds, {label} as label from (select k, n, cast(ceil(1 + n / 100.0) as bigint) as seconds from (select k, cast(n as bigint) as n from {d.table('k, n', sizes)} v union all select lang, count(*) from files group by lang) t) x"
 
 
 @both("mth03_task_weight", "usage")
 def _(d):
-    return "select tool, count(*) as n, greatest(1, least(4, cast(floor(max(metric) / 25.0) as bigint))) as weight from usage group by tool"
+    # a heavy task takes half of the slots, three at least, and never more than there are
+    return "select slots, least(slots, greatest(3, cast(floor(slots / 2.0) as bigint))) as heavy, n from (select session % 12 + 1 as slots, count(*) as n from usage group by 1) x"
 
 
 @both("dat01_age_buckets", "usage")

@@ -29,8 +29,9 @@ def _(d):
 
 @both("win04_context", "lines")
 def _(d):
-    return """select path, line, concat(case when before is null then '' else concat(before, '|') end, text, case when after is null then '' else concat('|', after) end) as context from (
-        select path, line, text, lag(text) over (partition by path order by line) as before, lead(text) over (partition by path order by line) as after from lines) x where instr(text, 'from') > 0"""
+    # one line about a hit, and how many there are within five
+    return """select path, line, concat(case when before is null then '' else concat(before, '|') end, text, case when after is null then '' else concat('|', after) end) as context, n_within_5 from (
+        select path, line, text, lag(text) over (partition by path order by line) as before, lead(text) over (partition by path order by line) as after, count(*) over (partition by path order by line rows between 5 preceding and 5 following) as n_within_5 from lines) x where instr(text, 'from') > 0"""
 
 
 def pack(sizes: list[int], budget: int, most: int) -> list[int]:
@@ -62,10 +63,24 @@ def _(d):
     return f"select path, line, cast(sum({n}) over (partition by path order by line rows between unbounded preceding and current row) % 2 as bigint) as inside from lines"
 
 
+def _block(name: str, n: int) -> list[str]:
+    return [f"function {name}(a) {{", *["  a = '}' + a"] * (n - 2), "}"]
+
+
+#: A file of code: blocks of 60, 1, 50 and 51 lines, with lines of no block between them.
+CODE = [*_block("longest", 60), "x = 1", "function one() { return 1 }", *_block("fits", 50), "", *_block("over", 51)]
+
+
 @both("win07_long_blocks", "lines")
 def _(d):
-    # gaps and islands: runs of long lines
-    return """select path, min(line) as start_line, count(*) as n from (select path, line, line - row_number() over (partition by path order by line) as island from lines where length(text) > 120) x group by path, island having count(*) >= 2"""
+    # depth runs over braces outside strings; a block lasts from the line that opens it to the one that closes it
+    bare = d.replace("text", "'[^']*'", "") if d.name == "duck" else "regexp_replace(text, \"'[^']*'\", '')"
+    change = f"length(replace({bare}, '}}', '')) - length(replace({bare}, '{{', ''))"
+    source = f"(select 'code' as path, cast(i as bigint) as line, x as text from {d.table('i, x', list(enumerate(CODE, 1)))} v union all select path, line, text from lines)"
+    return f"""with r as (select path, line, text, sum({change}) over (partition by path order by line rows between unbounded preceding and current row) as depth from {source} s),
+        e as (select path, line, text, depth, coalesce(lag(depth) over (partition by path order by line), 0) as before from r),
+        g as (select path, line, text, sum(case when before <= 0 and depth > 0 then 1 else 0 end) over (partition by path order by line rows between unbounded preceding and current row) as block from e where depth > 0 or before > 0)
+        select path, {d.extract('min(case when rn = 1 then text end)', 'function +([A-Za-z_]+)')} as name, min(line) as start_line, count(*) as n from (select path, block, line, text, row_number() over (partition by path, block order by line) as rn from g) x group by path, block having count(*) > 50"""
 
 
 @both("win08_range_conflicts", "symbols")
@@ -78,7 +93,20 @@ def _(d):
     return "select path, start_line, start_line + coalesce(delta, 0) as moved_to from (select path, start_line, cast(sum(length(name) % 5 - 2) over (partition by path order by start_line rows between unbounded preceding and 1 preceding) as bigint) as delta from symbols) x"
 
 
+def common_ends(d) -> str:
+    """file_id, n_old, n_new, prefix, suffix: equal lines at both ends of a file's two versions; no line counts twice."""
+    lines_ = lambda t: d.each(f"(select file_id, content as c_ from {t}) q", d.split("c_", "\\n"), "i t", "file_id")
+    placed = lambda t: f"(select file_id, i, t, count(*) over (partition by file_id) as n from {lines_(t)} p_)"
+
+    def pairs(place: str) -> str:
+        """Lines of both versions side by side at a place, which counts from 0: the first place that differs."""
+        old, new = place.replace("x.", "b."), place.replace("x.", "a.")
+        return f"(select b.file_id, min(case when b.t <> a.t then {old} end) as n_same, max(b.n) as n_old, max(a.n) as n_new from {placed('before')} b join {placed('after')} a on a.file_id = b.file_id and {new} = {old} group by b.file_id)"
+
+    return f"""(select file_id, n_old, n_new, prefix, least(ending, least(n_old, n_new) - prefix) as suffix from (
+        select f.file_id, f.n_old, f.n_new, coalesce(f.n_same, least(f.n_old, f.n_new)) as prefix, coalesce(l.n_same, least(f.n_old, f.n_new)) as ending from {pairs('x.i - 1')} f join {pairs('x.n - x.i')} l on l.file_id = f.file_id) e_)"""
+
+
 @both("win10_common_prefix", "before", "after")
 def _(d):
-    lines_ = lambda t, s: d.each(f"(select file_id, content as {s} from {t}) q", d.split(s, "\\n"), "i t", "file_id")
-    return f"""select b.file_id, min(case when b.t <> a.t then b.i end) as first_difference, count(*) as n_common_places from {lines_('before', 'x')} b join {lines_('after', 'y')} a on a.file_id = b.file_id and a.i = b.i group by b.file_id"""
+    return f"select file_id, prefix, suffix, n_new - prefix - suffix as added, n_old - prefix - suffix as removed from {common_ends(d)} x"
