@@ -69,7 +69,11 @@ def batch_edit(text: str, edits: list[tuple[str, str, bool]], partial: bool = Fa
 def suggestions(text: str, old: str, least: float = 0.5) -> list[tuple[int, float]]:
     """Lines that are like the first line of old, best first."""
     first = old.split("\n")[0]
-    got = [(i, difflib.SequenceMatcher(None, first, x).ratio()) for i, x in enumerate(text.split("\n"), 1)]
+    got = []
+    for i, x in enumerate(text.split("\n"), 1):
+        m = difflib.SequenceMatcher(None, first, x)
+        if m.real_quick_ratio() > least and m.quick_ratio() > least:  # bounds from above, which spare long lines
+            got.append((i, m.ratio()))
     return sorted(((i, round(r, 4)) for i, r in got if r > least), key=lambda x: (-x[1], x[0]))[:3]
 
 
@@ -152,7 +156,8 @@ def over_rows(df: DataFrame, fn, schema: str) -> DataFrame:
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relation(spark, sf_dir, "files").select("path", "content")
+    """Files that have content."""
+    return relation(spark, sf_dir, "files").where("content is not null").select("path", "content")
 
 
 @query("mut02_write_symbol")
@@ -179,7 +184,7 @@ def _(spark, sf_dir):
 
 @query("str17_similar_lines")
 def _(spark, sf_dir):
-    return over_rows(_files(spark, sf_dir).where("path like 'src1%'"), lambda f: [(f.path, i, r) for i, r in suggestions(f.content[:4000], f.content[:80] + "x")], "path string, line int, ratio double")
+    return over_rows(_files(spark, sf_dir), lambda f: [(f.path, i, r) for i, r in suggestions(f.content, f.content[:80] + "x")], "path string, line int, ratio double")
 
 
 @query("str20_search_replace")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lithic.operators.binding import first_elsewhere
 from lithic.plans.catalogue import both, query
 from lithic.sources.relations import relation
 
@@ -41,7 +42,7 @@ def _(d):
 
 @both("grf02_dependencies", "imports")
 def _(d):
-    return """with recursive r as (select src as root, src, dst, 1 as depth from imports where src % 5 = 0 union all select r.root, i.src, i.dst, r.depth + 1 from r join imports i on i.src = r.dst where r.depth < 2)
+    return """with recursive r as (select src as root, src, dst, 1 as depth from imports union all select r.root, i.src, i.dst, r.depth + 1 from r join imports i on i.src = r.dst where r.depth < 2)
         select root, src, dst, min(depth) as depth from r group by root, src, dst"""
 
 
@@ -105,10 +106,11 @@ def _(d):
 
 @both("grf11_pick_candidate", "functions")
 def _(d):
-    # the hint of the module path from its end, then the first by id
-    hint = f"concat('/', lower({d.extract('u.dir', '#([0-9])')}))"
-    return f"""select id, candidate from (select u.id, c.id as candidate, row_number() over (partition by u.id order by case when instr(lower(c.path), {hint}) > 0 then 0 else 1 end, c.id) as rn
-        from functions u join functions c on c.name = u.name and c.id <> u.id where u.id <= 60) x where rn = 1"""
+    # the hint of the module path, then the first by id
+    hinted = f"(select id, name, {d.extract('path', '/([0-9])')} as hint from functions) c_"
+    pick = lambda t: f"case when {t}.home = u.id then {t}.next_id else {t}.first_id end"
+    return f"""select u.id, coalesce({pick('h')}, {pick('a')}) as candidate from (select id, name, {d.extract('dir', '#([0-9])')} as hint from functions) u join {first_elsewhere('(select id as own, id, name from functions) f_', 'name', 'own')} a on a.name = u.name
+        left join {first_elsewhere(hinted.replace('select id,', 'select id as own, id,'), 'name, hint', 'own')} h on h.name = u.name and h.hint = u.hint where a.n_all > 1"""
 
 
 @query("grf12_bfs_large")

@@ -24,7 +24,7 @@ def _(d):
     code = [(1, 'a = "b c" + d'), (2, "f('x', \"y\")"), (3, "no strings")]
     strip = lambda x: d.replace(d.replace(x, '"[^"]*"', '""'), "'[^']*'", "")
     rows = " union all ".join(f"select {i} as i, {d.lit(c) if chr(39) not in c or d.name == 'duck' else chr(34) + c.replace(chr(34), chr(92) + chr(34)) + chr(34)} as x" for i, c in code)
-    return f"select i, {strip('x')} as stripped from ({rows}) v union all select file_id * 1000 + line, {strip('text')} from lines where line <= 2"
+    return f"select i, {strip('x')} as stripped from ({rows}) v union all select file_id * 1000 + line, {strip('text')} from lines"
 
 
 @both("str05_strip_comments", "lines")
@@ -125,7 +125,7 @@ def jaccard(d, a: str, b: str) -> str:
 
 @both("str15_jaccard", "lines")
 def _(d):
-    return f"select path, line, {jaccard(d, words(d, 'text'), words(d, 'before'))} as similarity from (select path, line, text, lag(text) over (partition by path order by line) as before from lines where length(text) < 400) x where before is not null"
+    return f"select path, line, {jaccard(d, words(d, 'text'), words(d, 'before'))} as similarity from (select path, line, text, lag(text) over (partition by path order by line) as before from lines) x where before is not null"
 
 
 @both("str16_closest_window", "lines")
@@ -133,7 +133,7 @@ def _(d):
     # two lines are asked for: if they are there but for white space, that is said; else the likest two lines, if like enough
     plain = lambda x: d.trim(d.replace(x, "[ \\t\\n]+", " "))
     score = jaccard(d, words(d, plain("pair")), words(d, plain("asked")))
-    return f"""with p as (select file_id, line, text || chr(10) || lead(text) over (partition by file_id order by line) as pair from lines where length(text) < 400),
+    return f"""with p as (select file_id, line, text || chr(10) || lead(text) over (partition by file_id order by line) as pair from lines),
         q as (select file_id, case when file_id % 2 = 0 then replace(pair, ' ', '  ') else concat('some other words ', pair) end as asked from p where line = 2 and pair is not null),
         s as (select p.file_id, line, {score} as similarity, instr({plain('pair')}, {plain('asked')}) > 0 as same from p join q on q.file_id = p.file_id where pair is not null)
         select file_id, line, case when same then 'whitespace_normalized' else 'closest' end as found_via, case when same then cast(1.0 as double) else {js_round('similarity')} end as similarity
@@ -142,7 +142,9 @@ def _(d):
 
 @both("str17_edit_distance", "symbols")
 def _(d):
-    return "select a.name, b.name as suggestion, cast(levenshtein(a.name, b.name) as bigint) as distance from (select distinct name from symbols where length(name) between 4 and 5 and name < 'C') a join (select distinct name, substr(name, 1, 2) as p from symbols where length(name) between 4 and 6) b on b.p = substr(a.name, 1, 2) and a.name <> b.name where levenshtein(a.name, b.name) <= 2"
+    # names that begin alike; lengths that differ by more than the distance allowed can't be near
+    names = "(select name, substr(name, 1, 2) as p, length(name) as n from symbols group by name)"
+    return f"select a.name, b.name as suggestion, cast(levenshtein(a.name, b.name) as bigint) as distance from {names} a join {names} b on b.p = a.p and a.name <> b.name and abs(a.n - b.n) <= 1 where levenshtein(a.name, b.name) <= 1"
 
 
 @both("str18_occurrences", "files")
@@ -169,7 +171,7 @@ SIGNATURES = [(1, "function f(a, b = 2, ...rest)"), (2, "def g(self, x: int = 1,
 @both("str21_parameters", "symbols")
 def _(d):
     parts = d.keep(d.map(d.split(d.extract("x", "[(]([^)]*)[)]"), ","), "p", d.trim(d.replace("p", "[:=].*$", ""))), "p", "p <> '' and p <> 'self'")
-    return f"select i, x, {d.join(parts, '|')} as params, {d.size(parts)} as n from (select i, x from {d.table('i, x', SIGNATURES)} v union all select id, signature from symbols where start_line = 1) t"
+    return f"select i, x, {d.join(parts, '|')} as params, {d.size(parts)} as n from (select i, x from {d.table('i, x', SIGNATURES)} v union all select id, signature from symbols) t"
 
 
 LITERALS = [(1, "limit = the"), (2, "# the end"), (3, "  // the"), (4, "print(the)"), (5, "def the(the, the, the):"), (6, "assert the"), (7, "f(the)")]
@@ -262,7 +264,7 @@ def _(d):
 def _(d):
     stem, parent = d.extract("path", "([^/.]*)[.][^/]*$"), d.extract("path", "^(.*)/[^/]*$")
     forms = d.list(f"concat({parent}, '/', {stem}, '.test.js')", f"concat({parent}, '/__tests__/', {stem}, '.js')", f"concat('tests/test_', {stem}, '.py')", f"concat({parent}, '/', {stem}, '_test.go')")
-    return f"select id, i, candidate from {d.each('(select id, path from functions where id <= 100) q', forms, 'i candidate', 'id')}"
+    return f"select id, i, candidate from {d.each('(select id, path from functions) q', forms, 'i candidate', 'id')}"
 
 
 GLOBS = [(1, "**/*.js"), (2, "src/*.py"), (3, "src/**/x"), (4, "exact.txt")]

@@ -12,9 +12,10 @@ KINDS = ("call", "import", "extends", "implements", "assign", "use")
 
 
 def refs_page(d: Spark, where: str, limit: int, source: str = "refs") -> str:
-    """The first rows in a total order, with the number of all and whether some are left out."""
-    return f"""select path, line, place, target_name, kind, n_all, n_all > {limit} as truncated from (
-        select r.*, count(*) over () as n_all, row_number() over (order by path, line, place) as rn from {source} r where {where}) x where rn <= {limit}"""
+    """The first rows in a total order, with the number of all and whether some are left out: a top-k and a count, so
+    that no task sees all rows."""
+    return f"""select path, line, place, target_name, kind, n_all, n_all > {limit} as truncated from (select * from {source} r where {where} order by path, line, place limit {limit}) x
+        cross join (select count(*) as n_all from {source} r where {where}) c"""
 
 
 @both("src01_collect_files", "files")
@@ -68,7 +69,7 @@ def _(d):
 
 @both("src06_capped_walk", "files")
 def _(d):
-    return "select path, size, n_all > 200 as truncated from (select path, size, count(*) over () as n_all, row_number() over (order by path) as rn from files) x where rn <= 200"
+    return "select path, size, n_all > 200 as truncated from (select path, size from files order by path limit 200) x cross join (select count(*) as n_all from files) c"
 
 
 @both("src07_bounded_read", "files")
@@ -109,15 +110,15 @@ def _(d):
 
 @both("flt05_preview_fallback", "refs")
 def _(d):
-    return """select path, line, target_name, scope, n_all from (
-        select r.*, count(*) over (partition by scope) as n_all, row_number() over (partition by scope order by path, line, place) as rn, max(case when scope = 'file' then 1 else 0 end) over () as in_file
-        from (select r.*, case when file_id = 3 then 'file' else 'workspace' end as scope from refs r where target_name = 'from') r) x
-        where (scope = 'file' or in_file = 0) and rn <= 20"""
+    # the file's own hits, or the workspace's where the file has none: the first of each and their number
+    first = lambda scope, where: f"select * from (select path, line, target_name, '{scope}' as scope from refs where target_name = 'from' and {where} order by path, line, place limit 20) {scope}_"
+    return f"""select x.path, x.line, x.target_name, x.scope, case x.scope when 'file' then c.n_file else c.n_other end as n_all from ({first('file', 'file_id = 3')} union all {first('workspace', 'file_id <> 3')}) x
+        cross join (select cast(count_if(file_id = 3) as bigint) as n_file, cast(count_if(file_id <> 3) as bigint) as n_other from refs where target_name = 'from') c where x.scope = 'file' or c.n_file = 0"""
 
 
 @both("flt06_symbol_search", "symbols")
 def _(d):
-    return "select name, type, path, start_line from (select s.*, row_number() over (order by name, path, start_line) as rn from symbols s where instr(lower(name), lower('TIon')) > 0) x where rn <= 30"
+    return "select name, type, path, start_line from symbols where instr(lower(name), lower('TIon')) > 0 order by name, path, start_line limit 30"
 
 
 @both("flt07_symbols_at_line", "symbols")
@@ -172,7 +173,7 @@ def _(d):
 def _(d):
     asked = [(1, "src1/en"), (2, "src7/en/7.txt"), (3, "nowhere/x.txt"), (4, "src2")]
     return f"""select a.i, a.arg, case when f.path is not null then 'ok' when a.i in (select a2.i from {d.table('i, arg', asked)} a2 join (select distinct dir, concat(dir, '/', lang) as sub from files) p on a2.arg = p.dir or a2.arg = p.sub) then 'DIR_AS_FILE' else 'FILE_NOT_FOUND' end as code
-        from (select i, arg from {d.table('i, arg', asked)} q union all select file_id + 100, path from files where file_id % 50 = 0) a left join files f on f.path = a.arg"""
+        from (select i, arg from {d.table('i, arg', asked)} q union all select file_id + 100, path from files) a left join files f on f.path = a.arg"""
 
 
 @both("flt14_comment_imports", "refs", "lines")
@@ -236,7 +237,7 @@ def _(d):
 
 @both("top11_lru_eviction", "usage")
 def _(d):
-    return "select session, last_used, rn <= 50 as kept from (select session, last_used, row_number() over (order by last_used desc, session) as rn from (select session, max(event_id) as last_used from usage group by session) a) x"
+    return "select a.session, a.last_used, k.session is not null as kept from (select session, max(event_id) as last_used from usage group by session) a left join (select session from usage group by session order by max(event_id) desc, session limit 50) k on k.session = a.session"
 
 
 @both("top12_hash_sample", "files")
