@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from lithic.plans.catalogue import both
-from lithic.plans.dialect import Spark
+from lithic.plans.catalogue import both, query
+from lithic.plans.dialect import DUCK, Spark
+from lithic.sources import relations
 
 # File extensions and directory names that indexing knows.
 EXTENSIONS = {"js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "py": "python", "go": "go", "rs": "rust", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "hpp": "cpp", "java": "java", "sh": "bash", "bash": "bash", "txt": "text"}
@@ -248,3 +249,10 @@ def _(d):
 @both("top13_keep_newest", "usage")
 def _(d):
     return "select tool, event_id from (select tool, event_id, row_number() over (partition by tool order by event_id desc) as rn from usage where status = 'ok') x where rn <= 3"
+
+
+@query("src18_endpoint", relations.with_ctes("select path, line, place, target_name, kind from refs where target_name = 'thand'", DUCK, ("refs",)))
+def _(spark, sf_dir):
+    from lithic.plans.routes import serve
+
+    return serve(spark, sf_dir, "/references/thand").select("path", "line", "place", "target_name", "kind")

@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lithic.functions import extract as X
 from lithic.operators import editing, graphs, search
+from lithic.operators.binding import first_elsewhere
 from lithic.operators.extraction import SAMPLES
-from lithic.operators.windows import pack
+from lithic.operators.windows import common_ends, pack
+from lithic.plans import catalogue
+from lithic.plans.dialect import SPARK
 from lithic.plans.invoke import USAGE, invoke
+from lithic.plans.routes import serve
 from lithic.sources import trees
+from lithic.sources.relations import relation
 from lithic.streaming import feeds
 
 FILES = dict(SAMPLES)
@@ -163,3 +170,52 @@ def test_invoke(spark, tmp_path):
     assert (again.status, unknown.error_code) == ("error", "UNKNOWN_TOOL")
     rows = trees.read_log(spark, log, USAGE).collect()
     assert sorted((r.tool, r.success) for r in rows) == [("agg19_language_buckets", False), ("agg19_language_buckets", True), ("no_such", False)]
+
+
+def test_common_ends(spark):
+    rng = random.Random(5)
+    pairs = [("\n".join(rng.choices("ab", k=rng.randint(1, 5))), "\n".join(rng.choices("ab", k=rng.randint(1, 5)))) for _ in range(60)]
+
+    def plain(old, new):
+        old, new, prefix, suffix = old.split("\n"), new.split("\n"), 0, 0
+        while prefix < min(len(old), len(new)) and old[prefix] == new[prefix]:
+            prefix += 1
+        while suffix < min(len(old), len(new)) - prefix and old[-1 - suffix] == new[-1 - suffix]:
+            suffix += 1
+        return len(old), len(new), prefix, suffix
+
+    try:
+        for name, k in (("before", 0), ("after", 1)):
+            spark.createDataFrame([(i, p[k]) for i, p in enumerate(pairs)], "file_id long, content string").createOrReplaceTempView(name)
+        got = {r.file_id: (r.n_old, r.n_new, r.prefix, r.suffix) for r in spark.sql(f"select * from {common_ends(SPARK)}").collect()}
+    finally:
+        spark.catalog.dropTempView("before"), spark.catalog.dropTempView("after")
+    assert got == {i: plain(*p) for i, p in enumerate(pairs)}
+
+
+def test_first_elsewhere(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.choice("abc"), rng.randint(1, 4)) for i in range(30)] + [(99, "lone", 1)]
+    spark.createDataFrame(rows, "id long, name string, file_id long").createOrReplaceTempView("candidates_")
+    got = {r.name: r for r in spark.sql(f"select * from {first_elsewhere('candidates_', 'name', 'file_id')}").collect()}
+    for name in ("a", "b", "c", "lone"):
+        for home in range(1, 6):
+            want = min((i for i, n, f in rows if n == name and f != home), default=None)
+            assert (got[name].next_id if got[name].home == home else got[name].first_id) == want
+        assert got[name].n_all == sum(n == name for _, n, _ in rows)
+
+
+def test_long_blocks(spark):
+    rows = catalogue.queries()["win07_long_blocks"](spark, "/root/testdata/sf0.001").where("path = 'code'").collect()
+    assert sorted((r.name, r.start_line, r.n) for r in rows) == [("longest", 1, 60), ("over", 114, 51)]
+
+
+def test_routes(spark):
+    data = "/root/testdata/sf0.001"
+    edges = relation(spark, data, "calls").collect()
+    assert serve(spark, data, f"/callers/{edges[0].dst}").count() == sum(e.dst == edges[0].dst for e in edges)
+    assert serve(spark, data, "/stats").count() == 1 and 0 < serve(spark, data, "/search?q=THE").count() <= 30
+    for url in ("/nothing", "/callers", "/stats/x", "/"):
+        with pytest.raises(LookupError):
+            serve(spark, data, url)
+    assert serve(spark, data, "/symbols/' or 1=1 --").count() == 0
