@@ -8,8 +8,9 @@ words score positive and tags negative. The contiguous region with the largest s
 article; of its blocks, those that aren't inside such an element are the text.
 
 Cases: null and empty html give an empty text, as do pages without any word outside such elements; unclosed and cut
-tags end with the page; character references without a semicolon are decoded as browsers do; ties go to the region
-that starts first. Blocks are joined by a line feed; white space in a block is one space.
+tags end with the page; character references without a semicolon are decoded as browsers do; quotes enclose
+an attribute's value only after its equals sign, so that a stray one doesn't swallow what follows; ties go to the
+region that starts first. Blocks are joined by a line feed; white space in a block is one space.
 """
 
 from __future__ import annotations
@@ -42,8 +43,8 @@ ARTICLE = frozenset("article main".split())
 #: does, however long it is, and can't cut an article in two.
 INNER = "inner"
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
-_NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))|[^>])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
+_NAMED = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _PART = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -59,11 +60,13 @@ class Token(NamedTuple):
     start: int
 
 
-def _signs(attributes: str) -> bool:
+def _signs(attributes: str, inside: int) -> bool:
+    """Inside an article, what calls itself a header is the article's own, as a header element is there."""
     if "hidden" in attributes and re.search(r"\bhidden\b(?!\s*=\s*.?false)|aria-hidden\s*=\s*.?true", attributes, re.I):
         return True
     for _, value in _NAMED.findall(attributes):
-        if not SIGNS.isdisjoint(x.lower() for part in _PART.findall(value) for x in _CAMEL.split(part)):
+        found = SIGNS.intersection(x.lower() for part in _PART.findall(value) for x in _CAMEL.split(part))
+        if found and not (inside and found == {"header"}):
             return True
     return False
 
@@ -94,7 +97,7 @@ def tokens_of(page: str) -> list[Token]:
                 if name not in VOID and not attributes.rstrip().endswith("/"):
                     opened.append(name)
             elif name not in VOID and name not in ("html", "body") and not attributes.rstrip().endswith("/"):
-                if name in HIDDEN or name in ASIDE and not (name == "header" and inside) or name not in ARTICLE and attributes and _signs(attributes):
+                if name in HIDDEN or name in ASIDE and not (name == "header" and inside) or name not in ARTICLE and attributes and _signs(attributes, inside):
                     opened.append(name)
             inside += name in ARTICLE
             links += name == "a"

@@ -315,6 +315,10 @@ def test_labelled_pages_are_extracted():
     page = "<body><div class='ad'>buy now</div><article><h1>A &amp; B</h1><p>one\n two<br>three &amp four<script>x<1</script></p><div class=comments><p>me too</p></div><p>last <b>w</b>ord</article><footer>&copy; x</footer>"
     assert maintext.extract(page, weights) == "A & B\none two three & four\nlast word"
     assert maintext.extract("plain words " + html.escape("<b>"), weights) == "plain words <b>"
+    stray = "<nav><a href=/x>menu</a></nav><article><p title=it's>it stays here</p><p data-id='comment-1' class=lead>and this</p></article><footer>end</footer>"
+    assert maintext.extract(stray, weights) == "it stays here\nand this"
+    own = "<div class='site-header'>shop</div><article><div class='entry-header'><h1>Title of it</h1></div><p>words of the text go on</p></article>"
+    assert maintext.extract(own, weights) == "Title of it\nwords of the text go on"
 
 
 def test_region():
