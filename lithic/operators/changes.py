@@ -118,7 +118,7 @@ def _(d):
 
 @both("stm05_mid_parse_change", "before", "after")
 def _(d):
-    return "select b.path, case when a.mtime - b.mtime > 1 then 'dirty' else 'fresh' end as state from before b join after a on a.file_id = b.file_id where b.file_id % 2 = 0"
+    return "select b.path, case when a.mtime - b.mtime > 1 then 'dirty' else 'fresh' end as state from before b join after a on a.file_id = b.file_id"
 
 
 @both("stm06_extractor_version", "before")

@@ -251,8 +251,8 @@ def _(d):
     return "select tool, event_id from (select tool, event_id, row_number() over (partition by tool order by event_id desc) as rn from usage where status = 'ok') x where rn <= 3"
 
 
-@query("src18_endpoint", relations.with_ctes("select path, line, place, target_name, kind from refs where target_name = 'thand'", DUCK, ("refs",)))
+@query("src18_endpoint", relations.with_ctes("select path, line, place, target_name, kind from refs where target_name = 'the'", DUCK, ("refs",)))
 def _(spark, sf_dir):
     from lithic.plans.routes import serve
 
-    return serve(spark, sf_dir, "/references/thand").select("path", "line", "place", "target_name", "kind")
+    return serve(spark, sf_dir, "/references/the").select("path", "line", "place", "target_name", "kind")
