@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 
 from lithic.llm.common import table
 from lithic.llm.decontaminate import decontaminate
+from lithic.llm.nearcopies import first_of_alike
 from lithic.llm.passages import remove_passages
 from lithic.llm.quality import THRESHOLD, score_quality, train
 from lithic.llm.sentencepieces import encode_decode
-from lithic.llm.simhash import first_of_each
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +25,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints, the document with the least id stays."""
-    return first_of_each(docs)
+    """Of each component of texts whose five-word shingles are alike (Jaccard 0.8 or more), the document with the least id
+    stays."""
+    return first_of_alike(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

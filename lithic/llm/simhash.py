@@ -37,6 +37,17 @@ _CHUNK = 1 << 15
 METRICS = T.StructType([T.StructField("fp", T.LongType()), T.StructField("n_words", T.LongType())])
 
 
+def shingle_hashes(words: list[bytes], shingle: int, seed: int) -> np.ndarray:
+    """The XXH64 of each word shingle; of all words if they are no more than a shingle."""
+    n, digest = len(words), xxhash.xxh64_intdigest
+    if n <= shingle:
+        return np.array([digest(b" ".join(words), seed)] if n else [], "<u8")
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[: n - shingle + 1].tolist()
+    return np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), "<u8", n - shingle + 1)
+
+
 def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> tuple[int, int]:
     """(fingerprint, number of words)."""
     words = text.lower().split() if text else []
@@ -45,10 +56,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
         return 0, 0
     if n <= shingle:
         return xxhash.xxh64_intdigest(b" ".join(words), seed), n
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[: n - shingle + 1].tolist()
-    hashes = np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), "<u8", n - shingle + 1)
+    hashes = shingle_hashes(words, shingle, seed)
     counts = np.zeros(64, np.int64)
     for i in range(0, len(hashes), _CHUNK):
         counts += np.unpackbits(hashes[i : i + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
