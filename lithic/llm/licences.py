@@ -86,6 +86,10 @@ RULES = [
 _HINT = "licen|permi|redistribut|reserved|warrant|free software|unencumbered|the hope|spdx|mozilla|neither the name|cc"
 
 
+#: What the scan looks for: each known sentence holds one. The SQL has its own.
+_WORDS = _HINT + "|under|free"
+
+
 def normalised(sentence: str) -> str:
     return re.sub(r" +", " ", re.sub(r"[^a-z0-9.+-]", " ", sentence.lower())).strip(" .")
 
@@ -105,7 +109,7 @@ def _sentences(text: Column) -> Column:
     """Normalised sentences that hold a licence word."""
     named = F.regexp_replace(text, r"([Ii]dentifier):[ \t]+", "$1 ")  # a colon ends a sentence, but not this one
     cut = F.split(F.regexp_replace(named, r"([.!?;:])[ \t]+", "$1\n"), "\n")
-    plain = F.transform(F.filter(cut, lambda s: F.lower(s).rlike(_HINT)), lambda s: F.regexp_replace(F.regexp_replace(F.lower(s), "[^a-z0-9.+-]", " "), " +", " "))
+    plain = F.transform(F.filter(cut, lambda s: F.lower(s).rlike(_WORDS)), lambda s: F.regexp_replace(F.regexp_replace(F.lower(s), "[^a-z0-9.+-]", " "), " +", " "))
     return F.transform(plain, lambda s: F.regexp_replace(s, r"^[ .]+|[ .]+$", ""))
 
 
@@ -114,7 +118,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     known = sentence_table()
     lookup = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    hint = F.lower(body).rlike(_HINT)
+    hint = F.lower(body).rlike(_WORDS)
 
     def ids(t: Column) -> Column:
         return F.transform(F.filter(_sentences(t), lambda s: s.isin(list(known))), lambda s: F.element_at(lookup, s))
