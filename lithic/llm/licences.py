@@ -105,9 +105,20 @@ def sentence_table() -> dict[str, str]:
     return out
 
 
+def known_parts() -> tuple[dict[str, str], dict[str, list[str]]]:
+    """sentence_table() with each text cut as the scan cuts texts, and the identifiers of the parts of those that break.
+    The last part has the text's own identifier; parts that texts share have the first one's."""
+    out, parts = {s: i for s, i in sentence_table().items() if i not in SENTENCES}, {}
+    for key, text in SENTENCES.items():
+        cut = [normalised(x) for x in re.sub(r"([.!?;:])[ \t]+", "\\1\n", re.sub(r"\b([Vv])\.[ \t]+(?=\d)", r"\1 ", text)).split("\n")]
+        parts[key] = [out.setdefault(x, key if n == len(cut) else f"{key}.{n}") for n, x in enumerate(cut, 1)]
+    return out, parts
+
+
 def _sentences(text: Column) -> Column:
     """Normalised sentences that hold a licence word."""
     named = F.regexp_replace(text, r"([Ii]dentifier):[ \t]+", "$1 ")  # a colon ends a sentence, but not this one
+    named = F.regexp_replace(named, r"\b([Vv])\.[ \t]+(?=\d)", "$1 ")  # nor does this full stop
     cut = F.split(F.regexp_replace(named, r"([.!?;:])[ \t]+", "$1\n"), "\n")
     plain = F.transform(F.filter(cut, lambda s: F.lower(s).rlike(_WORDS)), lambda s: F.regexp_replace(F.regexp_replace(F.lower(s), "[^a-z0-9.+-]", " "), " +", " "))
     return F.transform(plain, lambda s: F.regexp_replace(s, r"^[ .]+|[ .]+$", ""))
@@ -115,7 +126,8 @@ def _sentences(text: Column) -> Column:
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs as ``row``, and ``m``: ids (the known sentences in order), licences, kinds (in the rules' order)."""
-    known = sentence_table()
+    known, parts = known_parts()
+    rules_ = [(n, k, [x for i in r for x in parts.get(i, [i])]) for n, k, r in RULES]
     lookup = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     hint = F.lower(body).rlike(_WORDS)
@@ -127,7 +139,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     read = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.when(hint, ids(body)).otherwise(none).alias("by_line"), F.when(hint, ids(F.regexp_replace(body, r"[ \t]*\r?\n[ \t]*", " "))).otherwise(none).alias("joined"))
     found = read.select("row", F.when(F.size("joined") > F.size("by_line"), F.col("joined")).otherwise(F.col("by_line")).alias("ids"))
     line = F.concat(F.lit(","), F.array_join("ids", ","), F.lit(","))
-    hits = [F.when(line.rlike(",(?:[^,]*,)*?".join(["," + re.escape(r[0]), *map(re.escape, r[1:])]) + ","), F.struct(F.lit(n).alias("licence"), F.lit(k).alias("kind"))) for n, k, r in RULES]
+    hits = [F.when(line.rlike(",(?:[^,]*,)*?".join(["," + re.escape(r[0]), *map(re.escape, r[1:])]) + ","), F.struct(F.lit(n).alias("licence"), F.lit(k).alias("kind"))) for n, k, r in rules_]
     rules = F.filter(F.array(*hits), lambda x: x.isNotNull())
     hit = F.when(F.size("ids") > 0, rules).otherwise(F.array().cast("array<struct<licence:string,kind:string>>"))
     return found.withColumn("hit", hit).select("row", F.struct("ids", F.array_distinct("hit.licence").alias("licences"), F.array_distinct("hit.kind").alias("kinds")).alias("m"))

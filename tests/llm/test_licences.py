@@ -16,3 +16,10 @@ def test_every_table_entry_is_found(spark):
     got = _scan(spark, list(names))
     assert [m.ids for m in got] == [[i] for i in names.values()]
     assert [m.licences for m in _scan(spark, ["Released under MIT.", "Distributed\tunder GPL-3.0."])] == [["MIT"], ["GPL-3.0"]]
+
+
+def test_every_rule_fires_on_its_own_sentences(spark):
+    rules = [(n, [licences.SENTENCES[i] for i in r]) for n, _, r in licences.RULES if r[0] in licences.SENTENCES]
+    got = _scan(spark, [" ".join(t) for _, t in rules] + ["\n".join(t) for _, t in rules] + [" ".join(t).replace(" of the", " of\nthe") for _, t in rules])
+    for m, (name, _) in zip(got, rules * 3, strict=True):
+        assert m.licences[0] == name  # shorter rules of the same text may follow
