@@ -4,7 +4,8 @@ Known licence sentences have identifiers. A text is cut into sentences, those th
 (lower case; what is neither letter, digit nor one of . + - becomes one space) and looked up; what is found is the
 text's sequence of identifiers. Rules are tried in order, a longer text before the notice that it begins with: a rule
 holds if its identifiers occur in the sequence in its order, others between them allowed. The sequence is read twice,
-with line ends as sentence ends and with lines joined, and the reading that knows more sentences counts.
+with line ends as sentence ends and with lines joined: rules are tried on both readings and their licences united, and
+the sentences listed are those of the reading that knows more.
 
 No shuffle and no join: the sentence table is of fixed size and stands in the plan, as a set for the first look and a
 map for the few sentences that are in it.
@@ -137,9 +138,10 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 
     none = F.array().cast("array<string>")
     read = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.when(hint, ids(body)).otherwise(none).alias("by_line"), F.when(hint, ids(F.regexp_replace(body, r"[ \t]*\r?\n[ \t]*", " "))).otherwise(none).alias("joined"))
-    found = read.select("row", F.when(F.size("joined") > F.size("by_line"), F.col("joined")).otherwise(F.col("by_line")).alias("ids"))
-    line = F.concat(F.lit(","), F.array_join("ids", ","), F.lit(","))
-    hits = [F.when(line.rlike(",(?:[^,]*,)*?".join(["," + re.escape(r[0]), *map(re.escape, r[1:])]) + ","), F.struct(F.lit(n).alias("licence"), F.lit(k).alias("kind"))) for n, k, r in rules_]
+    found = read.select("*", F.when(F.size("joined") > F.size("by_line"), F.col("joined")).otherwise(F.col("by_line")).alias("ids"))
+    lines = [F.concat(F.lit(","), F.array_join(c, ","), F.lit(",")) for c in ("by_line", "joined")]
+    holds = lambda r: [line.rlike(",(?:[^,]*,)*?".join(["," + re.escape(r[0]), *map(re.escape, r[1:])]) + ",") for line in lines]
+    hits = [F.when(holds(r)[0] | holds(r)[1], F.struct(F.lit(n).alias("licence"), F.lit(k).alias("kind"))) for n, k, r in rules_]
     rules = F.filter(F.array(*hits), lambda x: x.isNotNull())
     hit = F.when(F.size("ids") > 0, rules).otherwise(F.array().cast("array<struct<licence:string,kind:string>>"))
     return found.withColumn("hit", hit).select("row", F.struct("ids", F.array_distinct("hit.licence").alias("licences"), F.array_distinct("hit.kind").alias("kinds")).alias("m"))

@@ -23,3 +23,10 @@ def test_every_rule_fires_on_its_own_sentences(spark):
     got = _scan(spark, [" ".join(t) for _, t in rules] + ["\n".join(t) for _, t in rules] + [" ".join(t).replace(" of the", " of\nthe") for _, t in rules])
     for m, (name, _) in zip(got, rules * 3, strict=True):
         assert m.licences[0] == name  # shorter rules of the same text may follow
+
+
+def test_both_readings_count(spark):
+    grant, notice = (licences.SENTENCES[i].replace(" of ", " of\n") for i in ("mit.grant", "mit.notice"))
+    lines = "\n".join(["Released under Apache-2.0", "Released under GPL-3.0", "Released under ISC", "Released under MPL-2.0"])
+    (m,) = _scan(spark, [f"{grant}\n{notice}\n\n{lines}\nThe end"])
+    assert set(m.licences) == {"MIT", "Apache-2.0", "GPL-3.0", "ISC", "MPL-2.0"}
