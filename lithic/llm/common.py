@@ -60,7 +60,7 @@ def batch_conf(spark: SparkSession) -> None:
 def annotate(df: DataFrame, text: str, fn, schema: T.StructType, keep: list[str] | None = None) -> DataFrame:
     """Runs fn over the texts of df, batch by batch, beside the rows they belong to.
 
-    fn gets a list of the texts as UTF-8 bytes (None for null) and returns one list per field of schema.
+    fn gets a list of the texts as UTF-8 bytes (None for null) and returns one list, or Arrow array, per field of schema.
     The result has two columns, ``row`` (df's own columns, or those named in keep) and ``m`` (schema), so that
     names of the two can't clash. No shuffle.
     """
@@ -74,7 +74,7 @@ def annotate(df: DataFrame, text: str, fn, schema: T.StructType, keep: list[str]
     def run(batches):
         for b in batches:
             lists = fn(b.column(1).to_pylist())
-            cols = [pa.array(v, type=arrow.field(i).type) for i, v in enumerate(lists)]
+            cols = [v.cast(arrow.field(i).type) if isinstance(v, pa.Array) else pa.array(v, type=arrow.field(i).type) for i, v in enumerate(lists)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.StructArray.from_arrays(cols, names)], ["row", "m"])
 
     return source.mapInArrow(run, out)
