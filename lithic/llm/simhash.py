@@ -13,7 +13,10 @@ of each node's pattern; when they exceed the limit, the whole node is dropped. W
 forest of its links, not its pairs, and components come from these forests.
 
 Cases: null and empty texts have the fingerprint zero, linked like any other; texts shorter than a shingle are one
-shingle; equal fingerprints are one node; a null doc_id is never a component's name unless no other is there.
+shingle; equal fingerprints are one node; a null doc_id is never a component's name unless no other is there. Repeated
+rows, also those of one id, are each returned, and meet as one node; a component takes its least id, so ties don't arise.
+Very long texts are hashed whole, a part at a time; an empty table gives an empty one; other columns of the documents
+keep their names inside ``row``.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +51,14 @@ def shingle_hashes(words: list[bytes], shingle: int, seed: int) -> np.ndarray:
     return np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts, ends[shingle - 1 :].tolist(), strict=True)), "<u8", n - shingle + 1)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), _CHUNK):
+        counts += np.unpackbits(hashes[i : i + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits((2 * counts > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> tuple[int, int]:
     """(fingerprint, number of words)."""
     words = text.lower().split() if text else []
@@ -56,11 +67,7 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) ->
         return 0, 0
     if n <= shingle:
         return xxhash.xxh64_intdigest(b" ".join(words), seed), n
-    hashes = shingle_hashes(words, shingle, seed)
-    counts = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), _CHUNK):
-        counts += np.unpackbits(hashes[i : i + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits((2 * counts > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0]), n
+    return majority(shingle_hashes(words, shingle, seed)), n
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, seed: int = SEED, keep: list[str] | None = None) -> DataFrame:
@@ -224,13 +231,3 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(prints)
     return prints.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
-
-def first_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the near duplicates: of each component, the row with the least id (ties: any one of them, chosen
-    by the text) stays. Components without any id keep a row each."""
-    prints = save(fingerprints(docs, text).select("row", "m.fp"))
-    found = near_duplicates(prints.select("fp", F.col(f"row.`{id_col}`").alias("id")), "id")
-    # rows that could stay: those whose id is their component's least; of repeated rows with that id one stays
-    kept = prints.join(found, "fp").where(F.col(f"row.`{id_col}`").eqNullSafe(F.col("component_id")))
-    one = Window.partitionBy("root").orderBy(F.xxhash64(F.col(f"row.`{text}`")), "fp")
-    return kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").select("row.*")
