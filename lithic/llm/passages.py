@@ -2,18 +2,17 @@
 
 A window of 35 consecutive words that starts anywhere else too, in the same document or another, is repeated; words
 that repeated windows cover are removed. Windows are judged on the input. Recurring passages are confirmed across the
-corpus first (lithic.llm.repeats). Then, for each bucket of documents, the confirmed passages that its documents hold
-are compiled into an automaton over word numbers, and all documents of the bucket are streamed through it, which
-locates every occurrence word for word. An automaton holds passages of its own bucket only, so its size is bounded by
-the bucket's texts, and a document is read by one automaton.
+corpus first, and one copy of each is taken from a text that holds it (lithic.llm.repeats). Each bucket of documents is
+sent the passages that its blocks point to; they are compiled into automata over word numbers, shards of bounded size,
+and all documents of the bucket are streamed through each, which locates every occurrence word for word.
 
 Cases: null and empty texts have no words; texts shorter than a window keep all; repeated rows count as further
-occurrences; a null doc_id is carried through.
+occurrences, in whatever number; a null doc_id is carried through. Very long texts are read whole. Which copy of a
+passage is taken makes no difference. An empty table gives an empty one; other columns keep their names inside ``row``.
 """
 
 from __future__ import annotations
 
-import os
 from itertools import compress
 
 import ahocorasick
@@ -23,22 +22,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithic.llm.common import save, table
-from lithic.llm.repeats import Refs, Scheme, Spans, blocks_of, by_doc, dealt, repeated_blocks, span_of, window_runs, with_texts
+from lithic.llm.common import table
+from lithic.llm.repeats import Scheme, Spans, dealt, repeated_blocks, span_of, window_runs, with_texts
 
 WINDOW, GRAM = 35, 12
-
-
-def _hash():
-    """Spark gives all its Python workers one hash seed, and bytes then hash alike everywhere; else xxHash."""
-    return hash if os.environ.get("PYTHONHASHSEED", "").isdigit() else xxhash.xxh3_64_intdigest
+#: Words of passages in one automaton.
+SHARD = 400_000
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
-    h = _hash()
-    if h is hash:
-        return np.fromiter(map(h, words), np.int64, len(words)).view(np.uint64)
-    return np.fromiter(map(h, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def symbols(text: bytes) -> np.ndarray:
@@ -49,80 +42,74 @@ def scheme_of(window: int) -> Scheme:
     return Scheme(window, max(1, min(GRAM, window // 2)), symbols)
 
 
-def _confirm(scheme: Scheme):
-    def windows(texts: pa.Table, refs: pa.Table) -> pa.Table:
-        """All windows of the distinct blocks that this bucket stands for."""
-        known = Refs(refs)
-        texts_ = texts.column("t").to_pylist() if len(known.keys) else []
-        h = [symbols(t) if t else None for t in texts_]
-        blocks = blocks_of(h, scheme)
-        hit, at = known.find_once(blocks)
-        n = known.column("n").to_numpy()
-        out: list[list[np.ndarray]] = []
-        for doc, part in by_doc(blocks.doc[hit]):
-            b, k = hit[part], at[part]
-            count = blocks.count[b]
-            off = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            start = np.repeat(blocks.first[b], count) + off
-            w = Spans(h[doc])(start, start + scheme.window)
-            out.append([np.repeat(known.anchor[k], count).view(np.int64), np.repeat(known.block[k], count).view(np.int64), off.astype(np.int32), w.view(np.int64), np.repeat(n[k], count)])
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, d) for d in (np.int64, np.int64, np.int32, np.int64, np.int64)]
-        return pa.table(dict(zip(("anchor", "block", "off", "w", "n"), cols, strict=True)))
-
-    def confirm(docs: DataFrame, text: str, distinct: DataFrame) -> DataFrame:
-        return window_runs(save(with_texts(docs, text, distinct, "rep", windows, "anchor long, block long, off int, w long, n long")))
-
-    return confirm
-
-
-def _locate(scheme: Scheme, texts: list[bytes | None], refs: pa.Table) -> list[tuple[list[bytes], np.ndarray | None]]:
-    """Of each text: its words, and which of them repeated windows cover (None: none)."""
-    words = [t.split() if t else [] for t in texts]
-    out: list[tuple[list[bytes], np.ndarray | None]] = [(w, None) for w in words]
-    known = Refs(refs)
-    if not len(known.keys):
-        return out
-    blocks = blocks_of([hashes(w) if len(w) >= scheme.window else None for w in words], scheme)
-    runs = known.column("runs").to_pylist()
+def _cut(scheme: Scheme):
+    def cut(text: bytes, h: np.ndarray, first: np.ndarray, count: np.ndarray, differ: np.ndarray):
+        words, spans = text.split(), Spans(h) if differ.any() else None
+        passages = [b" ".join(words[a : a + n + scheme.window - 1]) for a, n in zip(first.tolist(), count.tolist(), strict=True)]
+        windows = [spans(np.arange(a, a + n), np.arange(a, a + n) + scheme.window).view(np.int64) if d else None for a, n, d in zip(first.tolist(), count.tolist(), differ.tolist(), strict=True)]
+        return passages, windows
+
+    return cut
+
+
+def _confirm(passages: DataFrame) -> DataFrame:
+    """Counts the windows of passages that differ."""
+    return window_runs(passages.select("anchor", "block", "n", F.posexplode("windows").alias("off", "w")))
+
+
+def _automata(passages: list[tuple[bytes, list[int] | None]], window: int, shard: int):
+    """(numbers of words, automaton), each of about so many words of the passages' repeated parts."""
     numbers: dict[bytes, int] = {}
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    hit, at = known.find_once(blocks)
-    for doc, first, count, k in zip(blocks.doc[hit].tolist(), blocks.first[hit].tolist(), blocks.count[hit].tolist(), at.tolist(), strict=True):
-        for s, e in span_of(first, count, runs[k], scheme.window):
-            automaton.add_word(tuple([numbers.setdefault(w, len(numbers) + 1) for w in words[doc][s:e]]), e - s)
-    if not len(automaton):
-        return out
-    automaton.make_automaton()
-    # a text without any such block holds no repeated window, so it needs no reading
-    for i in np.unique(blocks.doc[known.find(blocks)[0]]).tolist():
-        get, found = numbers.get, []
-        found = list(automaton.iter(tuple([get(w, 0) for w in words[i]])))
-        if found:
-            ends, sizes = np.array(found).T
-            cover = np.bincount(ends + 1 - sizes, minlength=len(words[i]) + 1) - np.bincount(ends + 1, minlength=len(words[i]) + 1)
-            out[i] = (words[i], np.cumsum(cover[:-1]) > 0)
-    return out
+    automaton, size = None, 0
+    for text, runs in passages:
+        words = text.split()
+        for s, e in span_of(0, len(words) - window + 1, runs, window):
+            automaton = automaton or ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+            automaton.add_word(tuple([numbers.setdefault(w, len(numbers) + 1) for w in words[s:e]]), e - s)
+            size += e - s
+        if size > shard:
+            automaton.make_automaton()
+            yield numbers, automaton
+            numbers, automaton, size = {}, None, 0
+    if automaton:
+        automaton.make_automaton()
+        yield numbers, automaton
+
+
+def locate(texts: list[bytes | None], passages: list[tuple[bytes, list[int] | None]], window: int, shard: int = SHARD) -> list[tuple[list[bytes], np.ndarray | None]]:
+    """Of each text: its words, and which of them occurrences of the passages' repeated parts cover (None: none)."""
+    words = [t.split() if t else [] for t in texts]
+    cover: list[np.ndarray | None] = [None] * len(words)
+    for numbers, automaton in _automata(passages, window, shard):
+        get = numbers.get
+        for i, ws in enumerate(words):
+            if len(ws) >= window and (found := list(automaton.iter(tuple([get(w, 0) for w in ws])))):
+                ends, sizes = np.array(found).T
+                if cover[i] is None:
+                    cover[i] = np.zeros(len(ws) + 1, np.int64)
+                np.add.at(cover[i], ends + 1 - sizes, 1)
+                np.add.at(cover[i], ends + 1, -1)
+    return [(ws, None if c is None else np.cumsum(c[:-1]) > 0) for ws, c in zip(words, cover, strict=True)]
 
 
 def remove_passages(docs: DataFrame, text: str = "text", ids: tuple[str, ...] = ("doc_id",), window: int = WINDOW) -> DataFrame:
     """docs' other columns as ``row``, and ``m``: n_words, n_removed, kept (the kept words joined by one space, or the
     text as it was where nothing is removed)."""
     scheme = scheme_of(window)
-    docs_, _ = dealt(docs, text, list(ids))
-    refs = repeated_blocks(docs_, text, scheme, _confirm(scheme))
+    docs_ = dealt(docs, text, list(ids))
+    refs = repeated_blocks(docs_, scheme, _cut(scheme), _confirm)
 
     def apply(texts: pa.Table, refs: pa.Table) -> pa.Table:
         raw = texts.column("t").to_pylist()
         n, removed, kept = [], [], []
-        for t, (words, cover) in zip(raw, _locate(scheme, raw, refs), strict=True):
+        for t, (words, cover) in zip(raw, locate(raw, list(zip(refs.column("text").to_pylist(), refs.column("runs").to_pylist(), strict=True)), window), strict=True):
             n.append(len(words))
             removed.append(0 if cover is None else int(cover.sum()))
             kept.append(t if cover is None else b" ".join(compress(words, (~cover).tolist())))
         return pa.table({"row": texts.column("row"), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
-    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text] or [F.lit(0).alias("_")]).alias("row")
-    kind = docs_.select(rest).schema["row"].dataType.simpleString()
-    got = with_texts(docs_, text, refs, "bucket", apply, f"row {kind}, n_words long, n_removed long, kept binary", [rest])
+    kind = docs_.docs.schema["row"].dataType.simpleString()
+    got = with_texts(docs_, refs, "bucket", apply, f"row {kind}, n_words long, n_removed long, kept binary", row=True)
     return got.select("row", F.struct("n_words", "n_removed", F.col("kept").cast("string").alias("kept")).alias("m"))
 
 

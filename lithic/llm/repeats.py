@@ -5,12 +5,14 @@ by hash (leftmost on ties); equal windows have equal anchors at equal offsets. C
 form a *block*. So a corpus of n symbols is described by some n / (window / 2) blocks, and only these are shuffled:
 
 1. anchors that occur once in the corpus end there;
-2. where all occurrences of an anchor are in equal blocks, all their windows are repeated;
-3. where blocks differ, one copy of each distinct block is taken back to its text and a *confirm* step of the
-   operator finds which of its windows occur in others.
-
-The result is, by bucket of documents, the blocks with the runs of their windows that are repeated. Texts are dealt
-to buckets by id and text, so that copies of one text spread, and a bucket's texts have a bounded size.
+2. one copy of each distinct block that is left is taken back to its text, which gives the block's *passage*;
+3. where all occurrences of an anchor are in equal blocks, all their windows are repeated; where blocks differ, a
+   *confirm* step of the operator finds which of their windows occur in others.
+
+The result is, by bucket of documents, the passages that its documents hold by hash, with the runs of their windows that
+are repeated; the operator then finds the passages themselves in the bucket's texts. Texts are dealt to buckets by id and
+text, so that a bucket's texts have a bounded size; a bucket that holds more, as many equal rows or one long text, is
+salted, and what is known of it goes to each of its salts. Keys that hold very many rows are salted in joins.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ _PLACE = np.uint64(24)
 _AT = np.uint64((1 << 24) - 1)
 _MOST = 1 << 22  # symbols of a long text that are looked at together
 _TOGETHER = 1 << 17  # of short texts
+#: Rows of one key in a join beyond which it is salted; more where all keys have so many, so that at most MOST_HOT are.
+HOT, MOST_HOT = 1000, 100_000
 
 
 class Scheme(NamedTuple):
@@ -165,11 +169,42 @@ def blocks_of(texts: list[np.ndarray | None], scheme: Scheme) -> Blocks:
     return _joined(out) if out else _blocks(np.zeros(0, np.uint64), np.zeros(0, np.int64), scheme)
 
 
-def dealt(docs: DataFrame, text: str, ids: list[str], bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int]:
-    """docs with a column _bucket, and the number of buckets."""
-    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")) + 64)).first()[0] or 0
-    n = spread(size, bucket_bytes, docs.sparkSession)
-    return docs.withColumn("_bucket", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in [*ids, text]]), F.lit(n)).cast("int")), n
+class Dealt(NamedTuple):
+    """Documents as row (struct of the other columns), t (the text's bytes), bucket and salt; and the salts of buckets
+    that have several."""
+
+    docs: DataFrame
+    hot: DataFrame | None  # bucket, salts
+
+
+def dealt(docs: DataFrame, text: str, ids: list[str], bucket_bytes: int = BUCKET_BYTES) -> Dealt:
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text] or [F.lit(0).alias("_")]).alias("row")
+    size = F.octet_length(F.col(f"`{text}`")) + 64
+    n = spread(docs.agg(F.sum(size)).first()[0] or 0, bucket_bytes, docs.sparkSession)
+    bucket = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in [*ids, text]]), F.lit(n)).cast("int").alias("bucket")
+    sizes = docs.select(bucket, F.coalesce(size, F.lit(64)).alias("size")).groupBy("bucket").agg(F.sum("size").alias("size"))
+    hot = save(sizes.where(F.col("size") > 4 * bucket_bytes).select("bucket", F.ceil(F.col("size") / (2 * bucket_bytes)).cast("int").alias("salts")))
+    found = docs.select(rest, F.col(f"`{text}`").cast("binary").alias("t"), bucket)
+    many = hot.count()
+    if not many:
+        return Dealt(found.withColumn("salt", F.lit(0)), None)
+    # a row's salt may differ each time it is read: each salt of a bucket is told all that is known of the bucket
+    salted = found.join(F.broadcast(hot) if many <= MOST_HOT else hot, "bucket", "left")
+    return Dealt(salted.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts"), hot)
+
+
+def uneven_join(many: DataFrame, one: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """many joined to one on keys. one is written, has a row a key, and says in places how many rows of many a key has;
+    rows of a hot key are dealt out by the columns in by."""
+    limit = max(HOT, (one.agg(F.sum("places")).first()[0] or 0) // MOST_HOT)
+    hot = one.where(F.col("places") > limit).select(*keys, F.ceil(F.col("places") / limit).cast("int").alias("_salts"))
+    one = one.drop("places")
+    if not hot.limit(1).count():
+        return many.join(one, keys)
+    hot = F.broadcast(hot)  # at most MOST_HOT keys
+    dealt_ = many.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*by), F.coalesce("_salts", F.lit(1)))).drop("_salts")
+    copies = one.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), (F.coalesce("_salts", F.lit(1)) - 1).cast("long")))).drop("_salts")
+    return dealt_.join(copies, [*keys, "_salt"]).drop("_salt")
 
 
 def key_of(anchor: np.ndarray, block: np.ndarray) -> np.ndarray:
@@ -177,9 +212,9 @@ def key_of(anchor: np.ndarray, block: np.ndarray) -> np.ndarray:
     return mix(anchor ^ mix(block))
 
 
-def block_rows(docs: DataFrame, text: str, scheme: Scheme) -> DataFrame:
+def block_rows(docs: Dealt, scheme: Scheme) -> DataFrame:
     """(bucket, anchor, block, n): distinct within a batch of texts, n times each."""
-    batch_conf(docs.sparkSession)
+    batch_conf(docs.docs.sparkSession)
 
     def run(batches):
         for b in batches:
@@ -191,13 +226,18 @@ def block_rows(docs: DataFrame, text: str, scheme: Scheme) -> DataFrame:
             cols = [bucket[at].astype(np.int32), got.anchor[at].view(np.int64), got.block[at].view(np.int64), n.astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["bucket", "anchor", "block", "n"])
 
-    return docs.select("_bucket", F.col(f"`{text}`").cast("binary").alias("t")).mapInArrow(run, "bucket int, anchor long, block long, n int")
+    return docs.docs.select("bucket", "t").mapInArrow(run, "bucket int, anchor long, block long, n int")
 
 
-def with_texts(docs: DataFrame, text: str, refs: DataFrame, by: str, fn, schema: str, columns: list | None = None) -> DataFrame:
+def with_texts(docs: Dealt, refs: DataFrame, by: str, fn, schema: str, row: bool = False) -> DataFrame:
     """fn(texts, refs) -> arrow table, for each bucket of documents with its rows of refs."""
-    left = docs.select("_bucket", F.col(f"`{text}`").cast("binary").alias("t"), *(columns or []))
-    return left.groupBy("_bucket").cogroup(refs.groupBy(by)).applyInArrow(fn, schema)
+    left = docs.docs.select("bucket", "salt", "t", *(["row"] if row else []))
+    refs = refs.withColumn("bucket", F.col(by))
+    if docs.hot is None:
+        refs = refs.withColumn("salt", F.lit(0))
+    else:
+        refs = refs.join(docs.hot, "bucket", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return left.groupBy("bucket", "salt").cogroup(refs.groupBy("bucket", "salt")).applyInArrow(fn, schema)
 
 
 def by_doc(doc: np.ndarray):
@@ -237,21 +277,54 @@ class Refs:
         return hit[first], at
 
 
-def repeated_blocks(docs: DataFrame, text: str, scheme: Scheme, confirm) -> DataFrame:
-    """(bucket, anchor, block, runs): runs is null where all windows are repeated, else a flat list start, end, ...
+def _passages(scheme: Scheme, cut):
+    def take(texts: pa.Table, refs: pa.Table) -> pa.Table:
+        """The passages of the distinct blocks that this bucket stands for; of those that differ from others with their
+        anchor, what the operator's confirm step asks for."""
+        known = Refs(refs)
+        raw = texts.column("t").to_pylist() if len(known.keys) else []
+        h = [scheme.symbols(t) if t else None for t in raw]
+        blocks = blocks_of(h, scheme)
+        hit, at = known.find_once(blocks)
+        rows: list[tuple] = []
+        differ, keep = known.column("differ").to_numpy(zero_copy_only=False), known.order[at]
+        for doc, part in by_doc(blocks.doc[hit]):
+            own = hit[part]
+            rows += zip(part.tolist(), *cut(raw[doc], h[doc], blocks.first[own], blocks.count[own], differ[at[part]]), blocks.place[own].tolist(), strict=True)
+        cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
+        table = refs.select(["anchor", "block", "n", "places", "differ"]).take(pa.array(keep[list(cols[0])] if rows else [], pa.int64()))
+        for name, values, kind in zip(("text", "windows", "place"), cols[1:], (pa.binary(), pa.list_(pa.int64()), pa.int32()), strict=True):
+            table = table.append_column(name, pa.array(values, kind))
+        return table
+
+    return take
+
+
+PASSAGE = "anchor long, block long, n long, places long, differ boolean, text binary, windows array<long>, place int"
+
+
+def repeated_blocks(docs: Dealt, scheme: Scheme, cut, confirm) -> DataFrame:
+    """(bucket, anchor, block, text, runs): passages with repeated windows, for each bucket that holds one; runs is null
+    where all windows are repeated, else a flat list start, end, ...
 
-    confirm(docs, text, distinct) gets the distinct blocks (anchor, block, n, rep: a bucket that holds it) whose
-    anchors have several, and returns (anchor, block, runs) for those with repeated windows.
+    cut(text, symbols, first, count, differ) gives the passages of some blocks of a text and, of those that differ, hashes
+    of their windows if the operator needs any. confirm(passages) returns (anchor, block, runs) for those passages that
+    differ from others with their anchor and have repeated windows; passages has the columns of PASSAGE.
     """
-    rows = block_rows(docs, text, scheme)
+    rows = block_rows(docs, scheme)
     # a hot anchor is summed in each task before it is shuffled
-    again = rows.groupBy("anchor").agg(F.sum("n").alias("n"), F.min("block").alias("low"), F.max("block").alias("high")).where("n > 1").select("anchor", (F.col("low") != F.col("high")).alias("differ"))
-    found = save(rows.join(again, "anchor").groupBy("bucket", "anchor", "block", "differ").agg(F.sum("n").alias("n")))
-    distinct = save(found.where("differ").groupBy("anchor", "block").agg(F.sum("n").alias("n"), F.min("bucket").alias("rep")))
-    runs = confirm(docs, text, distinct)
-    whole = found.where("not differ").select("bucket", "anchor", "block", F.lit(None).cast("array<int>").alias("runs"))
-    some = found.where("differ").select("bucket", "anchor", "block").join(runs, ["anchor", "block"]).select("bucket", "anchor", "block", "runs")
-    return whole.union(some)
+    again = save(rows.groupBy("anchor").agg(F.sum("n").alias("n"), F.count("*").alias("places"), F.min("block").alias("low"), F.max("block").alias("high")).where("n > 1").select("anchor", "places", (F.col("low") != F.col("high")).alias("differ")))
+    found = save(uneven_join(rows, again, ["anchor"], ["bucket", "block"]).groupBy("bucket", "anchor", "block", "differ").agg(F.sum("n").alias("n")))
+    distinct = found.groupBy("anchor", "block", "differ").agg(F.sum("n").alias("n"), F.count("*").alias("places"), F.min("bucket").alias("rep"))
+    got = with_texts(docs, distinct, "rep", _passages(scheme, cut), PASSAGE)
+    if docs.hot is not None:  # each salt of a bucket may have given its own
+        got = got.dropDuplicates(["anchor", "block"])
+    got = save(got)
+    runs = confirm(got.where("differ"))
+    columns = ["anchor", "block", "places", "text"]
+    whole = got.where("not differ").select(*columns, F.lit(None).cast("array<int>").alias("runs"))
+    some = got.where("differ").select(*columns).join(runs, ["anchor", "block"])
+    return uneven_join(found.select("bucket", "anchor", "block"), save(whole.unionByName(some)), ["anchor", "block"], ["bucket"])
 
 
 def window_runs(windows: DataFrame) -> DataFrame:

@@ -1,30 +1,37 @@
 """Removal of repeated byte strings, confirmed by blockwise suffix sorting with a difference cover.
 
 A string of 200 bytes that starts anywhere else too, in the same document or another (never across two), is repeated;
-bytes that repeated strings cover are removed. Strings are judged on the input. Candidate blocks come from
-lithic.llm.repeats. Where blocks with one anchor differ, the distinct blocks of many anchors are laid end to end in a
-text of bounded size, and the suffixes at their strings' starts are sorted blockwise: suffixes are split by their
+bytes that repeated strings cover are removed. Strings are judged on the input. Candidate blocks and their bytes come
+from lithic.llm.repeats. Where blocks with one anchor differ, the distinct blocks of many anchors are laid end to end in
+a text of bounded size, and the suffixes at their strings' starts are sorted blockwise: suffixes are split by their
 first bytes into buckets, one bucket is sorted at a time to the cover's period, and suffixes that still tie are
 ordered by the precomputed ranks of a difference-cover sample. Neighbours that agree over 200 bytes are repeats.
-Equal strings have equal anchors, so they meet in one such text. Anchors with more distinct blocks than one text may
-hold go window by window through a distributed count instead, which is as exact.
 
-Cases: a null text is empty; texts shorter than a string keep all; repeated rows count as further occurrences.
+Equal strings have equal anchors, so they meet in one such text. An anchor with more distinct blocks than a text may hold
+is split by further bytes: strings whose anchor stands at like offsets have more bytes in common around it than the
+anchor itself, and go by a hash of these, first in pieces of 16 offsets, then one by one, until parts are small; each
+part is sorted. At last the bytes of a passage are compared to those of every document that is said to hold it.
+
+Cases: a null text is empty; texts shorter than a string keep all; repeated rows count as further occurrences, in
+whatever number; a null doc_id is carried through. Very long texts are read whole. Which copy of a passage is taken makes
+no difference. An empty table gives an empty one; other columns keep their names inside ``row``.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithic.llm.common import save, spread, table
-from lithic.llm.repeats import Refs, Scheme, Spans, blocks_of, by_doc, dealt, mix, repeated_blocks, span_of, window_runs, with_texts
+from lithic.llm.repeats import Refs, Scheme, blocks_of, by_doc, dealt, mix, repeated_blocks, span_of, with_texts
 
 WINDOW, GRAM = 200, 32
-#: Distinct blocks of one anchor beyond which its windows are counted in a shuffle.
+#: Distinct blocks of one anchor that are sorted in one text; more are split by further bytes.
 CROWD = 2000
+WIDTHS = (16, 1)
 TEXT_BYTES = 1 << 20
 PERIOD = 32
 BUCKET = 1 << 16
@@ -148,34 +155,47 @@ def repeated_starts(text: bytes, starts: np.ndarray, weight: np.ndarray, window:
     return out
 
 
+def _cut(scheme: Scheme):
+    def cut(text: bytes, h: np.ndarray, first: np.ndarray, count: np.ndarray, differ: np.ndarray):
+        return [text[a : a + n + scheme.window - 1] for a, n in zip(first.tolist(), count.tolist(), strict=True)], [None] * len(first)
+
+    return cut
+
+
+UNIT = "anchor long, block long, off int, key long, id long, n long, place int, text binary"
+
+
+def split_unit(text: bytes, place: int, window: int, width: int) -> list[tuple[int, int, int, int]]:
+    """(first string, end, key, id) of the parts of a block. A part's strings have their anchor at offsets of one class,
+    each of so many offsets; the key is a hash of the bytes that all strings of that class have in common."""
+    offset = place - np.arange(len(text) - window + 1)
+    cuts = np.flatnonzero(np.diff(offset // width, prepend=offset[0] // width + 1))
+    out = []
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(offset)], strict=True):
+        c = int(offset[a]) // width
+        at = place - c * width
+        digests = xxhash.xxh3_64_intdigest(text[at : at + window - width + 1], c), xxhash.xxh3_64_intdigest(text[a : b + window - 1], b - a)
+        out.append((a, b, *(d - (1 << 64) if d >> 63 else d for d in digests)))
+    return out
+
+
+def _split(window: int, width: int):
+    def run(batches):
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                rows += [(r["anchor"], r["block"], r["off"] + s, key, id_, r["n"], r["place"] - s, r["text"][s : e + window - 1]) for s, e, key, id_ in split_unit(r["text"], r["place"], window, width)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), b.schema.types, strict=True)], b.schema.names)
+
+    return run
+
+
 def _confirm(scheme: Scheme, crowd: int, text_bytes: int):
     window = scheme.window
 
-    def copy(texts: pa.Table, refs: pa.Table) -> pa.Table:
-        """The bytes of the distinct blocks that this bucket stands for; of crowded anchors, their windows."""
-        known = Refs(refs)
-        texts_ = texts.column("t").to_pylist() if len(known.keys) else []
-        h = [symbols(t) if t else None for t in texts_]
-        blocks = blocks_of(h, scheme)
-        hit, at = known.find_once(blocks)
-        n, crowded = known.column("n").to_numpy(), known.column("crowded").to_numpy(zero_copy_only=False)
-        rows: list[tuple] = []
-        for doc, part in by_doc(blocks.doc[hit]):
-            spans = Spans(h[doc]) if crowded[at[part]].any() else None
-            for b, k in zip(hit[part].tolist(), at[part].tolist(), strict=True):
-                first, count = int(blocks.first[b]), int(blocks.count[b])
-                key = (int(known.anchor[k : k + 1].view(np.int64)[0]), int(known.block[k : k + 1].view(np.int64)[0]), int(n[k]))
-                if crowded[k]:
-                    start = np.arange(first, first + count)
-                    rows += [(*key, None, off, w) for off, w in enumerate(spans(start, start + window).view(np.int64).tolist())]
-                else:
-                    rows.append((*key, texts_[doc][first : first + count + window - 1], 0, 0))
-        cols = list(zip(*rows, strict=True)) or [()] * 6
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
-        return pa.table({c: pa.array(v, k) for c, v, k in zip(("anchor", "block", "n", "bytes", "off", "w"), cols, kinds, strict=True)})
-
     def sort(group: pa.Table) -> pa.Table:
-        parts = group.column("bytes").to_pylist()
+        parts = group.column("text").to_pylist()
         count = np.array([len(p) - window + 1 for p in parts])
         base = np.cumsum([0, *map(len, parts[:-1])])
         off = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
@@ -185,18 +205,34 @@ def _confirm(scheme: Scheme, crowd: int, text_bytes: int):
         for e, c in zip(edge.tolist(), count.tolist(), strict=True):
             hit = np.concatenate(([0], twice[e - c : e].astype(np.int8), [0]))
             runs.append(np.flatnonzero(np.diff(hit)).astype(np.int32))
-        keep = [i for i, r in enumerate(runs) if len(r)]
-        return pa.table({"anchor": group.column("anchor").take(pa.array(keep, pa.int64())), "block": group.column("block").take(pa.array(keep, pa.int64())), "runs": pa.array([runs[i].tolist() for i in keep], pa.list_(pa.int32()))})
-
-    def confirm(docs: DataFrame, text: str, distinct: DataFrame) -> DataFrame:
-        crowds = distinct.groupBy("anchor").agg((F.count("*") > crowd).alias("crowded"))
-        refs = distinct.join(crowds, "anchor")
-        got = save(with_texts(docs, text, refs, "rep", copy, "anchor long, block long, n long, bytes binary, off int, w long"))
-        plain = got.where("bytes is not null")
-        size = plain.agg(F.sum(F.length("bytes"))).first()[0] or 0
-        texts = spread(size, text_bytes, docs.sparkSession)
-        sorted_ = plain.select("anchor", "block", "n", "bytes", F.pmod(F.xxhash64("anchor"), F.lit(texts)).alias("k")).groupBy("k").applyInArrow(sort, "anchor long, block long, runs array<int>")
-        return sorted_.union(window_runs(got.where("bytes is null").select("anchor", "block", "off", "w", "n")))
+        keep = pa.array([i for i, r in enumerate(runs) if len(r)], pa.int64())
+        return pa.table({"key": group.column("key").take(keep), "id": group.column("id").take(keep), "runs": pa.array([r.tolist() for r in runs if len(r)], pa.list_(pa.int32()))})
+
+    def sorted_(units: DataFrame) -> DataFrame:
+        """(key, id, runs) of distinct units: (key, id, n, text)."""
+        size = units.agg(F.sum(F.length("text"))).first()[0] or 0
+        texts = spread(size, text_bytes, units.sparkSession)
+        return units.withColumn("k", F.pmod(F.xxhash64("key"), F.lit(texts))).groupBy("k").applyInArrow(sort, "key long, id long, runs array<int>")
+
+    def confirm(passages: DataFrame) -> DataFrame:
+        units = passages.select("anchor", "block", F.lit(0).alias("off"), F.col("anchor").alias("key"), F.col("block").alias("id"), "n", "place", "text")
+        names, done, split = [c.split()[0] for c in UNIT.split(", ")], None, False
+        for width in WIDTHS:
+            crowds = save((units.select("key", "id").distinct() if split else units).groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > crowd).select("key"))
+            if not crowds.limit(1).count():
+                break
+            small = units.join(crowds, "key", "left_anti").select(*names)
+            done = small if done is None else done.union(small)
+            # a crowd's parts that occur once in all have no repeated string
+            parts = save(units.join(crowds, "key", "left_semi").select(*names).mapInArrow(_split(window, width), UNIT))
+            again = parts.groupBy("key").agg(F.sum("n").alias("all")).where("all > 1").select("key")
+            units, split = save(parts.join(again, "key", "left_semi").select(*names)), True
+        if done is None:
+            return sorted_(units.select("key", "id", "n", "text")).select(F.col("key").alias("anchor"), F.col("id").alias("block"), "runs")
+        every = save(done.union(units))
+        found = sorted_(every.groupBy("key", "id").agg(F.sum("n").alias("n"), F.first("text").alias("text")))
+        back = every.select("anchor", "block", "off", "key", "id").join(found, ["key", "id"]).select("anchor", "block", "off", F.transform("runs", lambda r: r + F.col("off")).alias("runs"))
+        return back.groupBy("anchor", "block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("off", "runs"))), lambda x: x["runs"])).alias("runs"))
 
     return confirm
 
@@ -204,32 +240,33 @@ def _confirm(scheme: Scheme, crowd: int, text_bytes: int):
 def remove_substrings(docs: DataFrame, text: str = "text", ids: tuple[str, ...] = ("doc_id",), window: int = WINDOW, crowd: int = CROWD, text_bytes: int = TEXT_BYTES) -> DataFrame:
     """docs' other columns as ``row``, and ``m``: n_bytes, spans (removed, as a flat list start, end, ...), kept."""
     scheme = scheme_of(window)
-    docs_, _ = dealt(docs, text, list(ids))
-    refs = repeated_blocks(docs_, text, scheme, _confirm(scheme, crowd, text_bytes))
+    docs_ = dealt(docs, text, list(ids))
+    refs = repeated_blocks(docs_, scheme, _cut(scheme), _confirm(scheme, crowd, text_bytes))
 
     def apply(texts: pa.Table, refs: pa.Table) -> pa.Table:
         known = Refs(refs)
-        runs = known.column("runs").to_pylist()
+        runs, passages = known.column("runs").to_pylist(), known.column("text").to_pylist()
         kept = [t or b"" for t in texts.column("t").to_pylist()]
         n, spans = [len(t) for t in kept], [[] for _ in kept]
         blocks = blocks_of([symbols(t) if len(t) >= window else None for t in kept], scheme) if len(known.keys) else None
         hit, at = known.find(blocks) if blocks else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         for doc, part in by_doc(blocks.doc[hit] if blocks else hit):
-            own = hit[part]
+            own, t = hit[part], kept[doc]
             cut: list[int] = []
             for first, count, k in zip(blocks.first[own].tolist(), blocks.count[own].tolist(), at[part].tolist(), strict=True):
+                if not t.startswith(passages[k], first):
+                    continue
                 for s, e in span_of(first, count, runs[k], window):
                     if cut and s <= cut[-1]:
                         cut[-1] = max(cut[-1], e)
                     else:
                         cut += [s, e]
-            t, edges = kept[doc], [0, *cut, n[doc]]
+            edges = [0, *cut, n[doc]]
             spans[doc], kept[doc] = cut, b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
         return pa.table({"row": texts.column("row"), "n_bytes": pa.array(n, pa.int64()), "spans": pa.array(spans, pa.list_(pa.int32())), "kept": pa.array(kept, pa.binary())})
 
-    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text] or [F.lit(0).alias("_")]).alias("row")
-    kind = docs_.select(rest).schema["row"].dataType.simpleString()
-    got = with_texts(docs_, text, refs, "bucket", apply, f"row {kind}, n_bytes long, spans array<int>, kept binary", [rest])
+    kind = docs_.docs.schema["row"].dataType.simpleString()
+    got = with_texts(docs_, refs, "bucket", apply, f"row {kind}, n_bytes long, spans array<int>, kept binary", row=True)
     return got.select("row", F.struct("n_bytes", "spans", "kept").alias("m"))
 
 

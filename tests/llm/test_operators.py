@@ -122,15 +122,44 @@ def test_passages(spark, docs, texts, window):
     assert got == plain_passages(texts, window)
 
 
+def test_automata_locate_passages_word_for_word():
+    """In shards of any size; texts that hold a passage in other spacing, overlapping, or but for a word."""
+    p = b"a b c d e f"
+    texts = [b"x a  b c\td e f y", b"a b c d e", None, b"", b"a b c d e f a b c d e f", b"c d e f g", b"b c d a b c d e f"]
+    for shard in (1, 6, 1000):
+        got = passages.locate(texts, [(p, None), (b"c d e f g h", [0, 1]), (b"z z b c d e", [2, 3])], 4, shard)
+        assert [None if c is None else "".join("-+"[int(x)] for x in c) for _, c in got] == ["-++++++-", "+++++"[:0] + "-++++", None, None, "++++++++++++", "++++-", "---++++++"]
+
+
+def test_hot_buckets_and_keys(spark, monkeypatch):
+    """Rows and keys so many that they are salted: results don't change."""
+    monkeypatch.setattr(repeats, "HOT", 3)
+    rng = np.random.default_rng(17)
+    some = lambda n: " ".join(rng.choice([f"w{i}" for i in range(300)], n))
+    p, same = some(50), some(400)
+    rows = [(i, f"{some(10)} {p} {some(10)}") for i in range(40)] + [(None, same)] * 30 + [(7, some(3000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(passages, "dealt", lambda d, t, i: repeats.dealt(d, t, i, 1000))
+    monkeypatch.setattr(substrings, "dealt", lambda d, t, i: repeats.dealt(d, t, i, 1000))
+    got = Counter((r.row.doc_id, r.m.n_words, r.m.n_removed, b" ".join((r.m.kept or "").encode().split())) for r in passages.remove_passages(df).collect())
+    assert got == plain_passages(rows, 35)
+    assert Counter((r.row.doc_id, r.m.n_bytes, len(r.m.spans) // 2, bytes(r.m.kept)) for r in substrings.remove_substrings(df).collect()) == plain_substrings(rows)
+
+
+def test_passage_query(spark, query_dir, texts):
+    want = Counter({(i, n, k, hashlib.sha256(kept).hexdigest()): c for (i, n, k, kept), c in plain_passages(texts, 35).items()})
+    got = passages.op8_passage_dedup(spark, query_dir)
+    assert got.columns == ["doc_id", "n_words", "n_removed", "kept_sha256"] and Counter(map(tuple, got.collect())) == want
+
+
 def test_passages_empty(spark):
     assert passages.remove_passages(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("crowd", [2000, 1])
-def test_substrings(spark, docs, texts, crowd):
+def plain_substrings(texts):
     raw = [(t or "").encode() for _, t, *_ in texts]
     seen = Counter(t[k : k + 200] for t in raw for k in range(len(t) - 199))
-    expected = Counter()
+    out = Counter()
     for (i, *_), t in zip(texts, raw, strict=True):
         m = np.zeros(len(t) + 1, int)
         for k in range(len(t) - 199):
@@ -138,9 +167,41 @@ def test_substrings(spark, docs, texts, crowd):
                 m[k] += 1
                 m[k + 200] -= 1
         cut = np.cumsum(m)[:-1] > 0
-        expected[(i, len(t), int((np.diff(np.concatenate(([0], cut.astype(int), [0]))) == 1).sum()), np.frombuffer(t, np.uint8)[~cut].tobytes())] += 1
+        out[(i, len(t), int((np.diff(np.concatenate(([0], cut.astype(int), [0]))) == 1).sum()), np.frombuffer(t, np.uint8)[~cut].tobytes())] += 1
+    return out
+
+
+@pytest.mark.parametrize("crowd", [2000, 1])
+def test_substrings(spark, docs, texts, crowd):
     got = Counter((r.row.doc_id, r.m.n_bytes, len(r.m.spans) // 2, bytes(r.m.kept)) for r in substrings.remove_substrings(docs, crowd=crowd).collect())
-    assert got == expected
+    assert got == plain_substrings(texts)
+
+
+def test_crowded_anchors(spark):
+    """A line that many texts share, each with other neighbours, some with the same: more blocks than a text may hold."""
+    rng = np.random.default_rng(19)
+    line = "".join(rng.choice(list("abcdefgh "), 150))
+    some = lambda n: "".join(rng.choice(list("stuvwxyz "), n))
+    side = [some(120) for _ in range(4)]
+    rows = [(i, (some(100) if i % 3 else side[i % 4]) + line + (some(100) if i % 2 else side[i % 4])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for crowd in (5, 1):
+        got = substrings.remove_substrings(df, crowd=crowd).collect()
+        assert Counter((r.row.doc_id, r.m.n_bytes, len(r.m.spans) // 2, bytes(r.m.kept)) for r in got) == plain_substrings(rows)
+
+
+def test_substrings_empty_and_clashing(spark):
+    df = spark.createDataFrame([(1, "x" * 300, 5, "a", 1, "b"), (None, None, None, None, None, None)], "doc_id long, text string, bucket int, t string, salt int, `row` string")
+    got = {r.row.doc_id: (r.row.bucket, r.row.t, r.row.salt, r.row.row, r.m.n_bytes) for r in substrings.remove_substrings(df).collect()}
+    assert got == {1: (5, "a", 1, "b", 300), None: (None, None, None, None, 0)}
+    assert {r.row.row for r in passages.remove_passages(df).collect()} == {"b", None}
+    assert substrings.remove_substrings(df.limit(0)).count() == 0
+
+
+def test_substring_query(spark, query_dir, texts):
+    want = Counter({(i, n, n - len(kept), k, hashlib.sha256(kept).hexdigest()): c for (i, n, k, kept), c in plain_substrings(texts).items()})
+    got = substrings.op3_substring_suffix_dedup(spark, query_dir)
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] and Counter(map(tuple, got.collect())) == want
 
 
 def test_suffix_sorting():
