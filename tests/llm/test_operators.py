@@ -6,6 +6,7 @@ import hashlib
 import html
 import re
 import struct
+import time
 import tracemalloc
 from collections import Counter
 from fractions import Fraction
@@ -52,7 +53,7 @@ def empty(spark):
     return spark.createDataFrame([], DOCS)
 
 
-def test_decontamination(spark, docs, texts):
+def test_decontamination(spark, docs, texts, query_dir):
     shared = " ".join(texts[30][1].split()[20:34])
     items = [(1, shared), (2, "tiny one"), (3, None), (4, ""), (None, shared), (1, shared), (5, texts[40][1] or ""), (6, "the THE the"), (7, texts[0][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -78,6 +79,11 @@ def test_decontamination(spark, docs, texts):
             hit = {k for s, e in r.m.spans for k in range(s, e)}
             got[(r.row.doc_id, r.m.n_words, len(hit), tuple(r.m["items"]))] += 1
         assert got == expected
+    want = Counter({(i, n, h, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), h > 0): c for (i, n, h, found), c in expected.items()})
+    bench.write.mode("overwrite").parquet(f"{query_dir}/benchmark.parquet")
+    got = decontaminate.op1_decontamination(spark, query_dir)
+    assert got.columns[:6] == ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    assert Counter(tuple(r)[:6] for r in got.collect()) == want
     assert decontaminate.decontaminate(empty(spark), bench).count() == 0
     assert all(not r.m["items"] for r in decontaminate.decontaminate(docs, bench.limit(0)).collect())
 
@@ -100,7 +106,21 @@ def test_window_index(monkeypatch):
                 at = [p for p in range(len(doc) - len(part) + 1) if doc[p : p + len(part)] == part]
                 hit |= {p + j for p in at for j in range(len(part))}
                 holds |= {i} if at else set()
-        assert found == holds and hit == {k for a, b in spans for k in range(a, b)}
+        assert found == sorted(holds) and hit == {k for a, b in spans for k in range(a, b)}
+
+
+def test_shared_windows_are_one():
+    """Many items with one prompt cost a document no more than one item, but for their names."""
+    rng = np.random.default_rng(2)
+    prompt = [f"p{i}".encode() for i in range(20)]
+    items = [(str(i), b" ".join([*prompt, f"own{i}".encode()])) for i in range(20_000)]
+    doc = [f"d{i}".encode() for i in rng.integers(0, 50, 300)] + prompt + [b"x"] * 280
+    index = decontaminate.prefix_index(items, dict.fromkeys([*doc, *prompt], 1), 10)
+    assert len(index.at) <= 11 + 1
+    began = time.process_time()
+    for _ in range(20):
+        spans, found = decontaminate.hits(doc, index)
+    assert spans == [(300, 320)] and found == sorted(i for i, _ in items) and time.process_time() - began < 1.0
 
 
 def plain_passages(texts, window):
