@@ -21,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """The folder named in spark.checkpoint.dir. Only where that is unset and the session is local, as in tests, a
+    temporary one: on a cluster other executors wouldn't see it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{os.path.join(tempfile.gettempdir(), f'lithic-{os.getuid()}')}"
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
@@ -52,7 +54,8 @@ def save(df: DataFrame) -> DataFrame:
 
 
 def batch_conf(spark: SparkSession) -> None:
-    """Bounds an Arrow batch by bytes as well as by rows, so that very long texts don't pile up in one batch."""
+    """Bounds an Arrow batch by bytes as well as by rows, so that very long texts don't pile up in one batch. This is a
+    setting of the session: plans read it when they run, which is after the operator has returned."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 

@@ -15,7 +15,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from lithic.llm import decontaminate, graph, licences, maintext, nearcopies, passages, quality, repeats, sentencepieces, simhash, substrings, topk, urlrank
+from lithic.llm import common, decontaminate, graph, licences, maintext, nearcopies, passages, quality, repeats, sentencepieces, simhash, substrings, topk, urlrank
 
 DOCS = "doc_id long, text string, n_words string, anchor string"
 
@@ -565,6 +565,18 @@ def test_url_filter(spark):
     assert len(rules) == 5
 
 
+def test_intermediates_go_to_a_shared_folder(spark, monkeypatch):
+    class Context:
+        master, getConf = "spark://elsewhere:7077", staticmethod(dict)
+
+    class Session:
+        conf, sparkContext = {}, Context
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session)
+    assert common.shared_dir(spark).startswith("file:")
+
+
 def test_digest_columns(spark):
     """The thin queries on the smallest tables: names, and that every row is there."""
     from lithic.llm.queries import QUERIES
