@@ -68,32 +68,17 @@ def _(d):
     return f"select verb, n, members from (select verb, count(*) as n, {d.join(d.slice(d.sorted('name'), '1', '5'), ',')} as members from (select distinct lower({d.extract('name', '^([A-Za-z][a-z]{1,2})')}) as verb, name from symbols) x group by verb) y where n >= 3"
 
 
-SYNONYMS = [("get", "fetch"), ("th", "er"), ("th", "an"), ("the", "on"), ("re", "in"), ("de", "la")]
+# Verbs that mean the same.
+SYNONYMS = ["get fetch retrieve load read query", "create make build new add insert", "delete remove destroy drop clear purge", "update modify change set edit patch", "check validate verify ensure assert"]
 
 
-@both("agg10_synonyms", "symbols")
+@both("agg10_synonyms", "symbols", "code")
 def _(d):
-    return f"""with v as (select lower(substr(name, 1, 2)) as verb, count(*) as n from (select distinct name from symbols) s group by 1)
-        select a.verb, a.synonym, coalesce(o.n, 0) as own, b.n as other, b.n >= 3 and b.n >= 2 * coalesce(o.n, 0) as better from {d.table('verb, synonym', SYNONYMS)} a left join v o on o.verb = a.verb join v b on b.verb = a.synonym"""
-
-
-@both("agg11_style_vote", "lines")
-def _(d):
-    # the mode with an explicit rule for ties
-    return f"""select lang, vote, n from (select lang, vote, n, row_number() over (partition by lang order by n desc, vote) as rn from (
-        select {d.extract('path', '/([a-z]+)/')} as lang, case when {d.rlike('text', ',$')} then 'comma' when {d.rlike('text', '[.]$')} then 'stop' when {d.rlike('text', '[!?]$')} then 'mark' else 'none' end as vote, count(*) as n from lines group by 1, 2) x) y where rn = 1"""
-
-
-@both("agg12_findings", "lines")
-def _(d):
-    rules = [("shout", "high", "!!"), ("symbols", "medium", "[%#&$]{3}"), ("pipe", "low", " [|] "), ("rights", "low", "rights reserved|Licensed under")]
-    one = " union all ".join(f"select path, line, '{i}' as rule, '{s}' as severity from lines where {d.rlike('text', p)}" for i, s, p in rules)
-    return f"""with f as ({one}) select rule, severity, count(*) as n, count(distinct path) as n_files, {d.join(d.slice(d.sorted("concat(path, ':', cast(line as varchar(20)))"), '1', '5'), ' ')} as locations from f group by rule, severity"""
-
-
-@both("agg12_security_score", "lines")
-def _(d):
-    return f"""select path, h, m, l, greatest(0, 100 - 30 * h - 10 * m - 3 * l) as score from (select path, cast(count_if({d.rlike('text', '!!')}) as bigint) as h, cast(count_if({d.rlike('text', '[%#&$]{3}')}) as bigint) as m, cast(count_if({d.rlike('text', ' [|] ')}) as bigint) as l from lines group by path) x"""
+    # a verb's best synonym is the one that most names begin with; it is better if three do, and twice as many as with the verb
+    pairs = [(a, b) for group in SYNONYMS for a in group.split() for b in group.split() if a != b]
+    names = f"select distinct name from (select name from symbols union all select {d.extract('text', '(?:def|function|func|fn) +([A-Za-z_][A-Za-z0-9_]*)')} from code) n where name <> ''"
+    return f"""with v as (select {d.extract('lower(name)', '^([a-z]+)')} as verb, count(*) as n from (select {d.replace('name', '([a-z])([A-Z])', '$1_$2')} as name from ({names}) m) s group by 1)
+        select verb, synonym, own, n as other, n >= 3 and n >= 2 * own as better from (select a.verb, a.synonym, coalesce(o.n, 0) as own, coalesce(b.n, 0) as n, row_number() over (partition by a.verb order by coalesce(b.n, 0) desc, a.synonym) as rn from {d.table('verb, synonym', pairs)} a left join v o on o.verb = a.verb left join v b on b.verb = a.synonym) x where rn = 1"""
 
 
 @both("agg12_grouping_sets", "symbols")
@@ -101,50 +86,22 @@ def _(d):
     return "select coalesce(path, '*') as path, coalesce(type, '*') as type, count(*) as n from symbols group by grouping sets ((path), (type), ())"
 
 
-@both("agg13_review_score", "lines")
-def _(d):
-    return f"select path, w, i, greatest(0, 100 - 15 * w - 3 * i) as score from (select path, cast(count_if(length(text) > 400) as bigint) as w, cast(count_if({d.rlike('text', '  ')}) as bigint) as i from lines group by path) x"
-
-
 @both("agg14_duplicate_lines", "lines")
 def _(d):
     t = d.trim("text")
     return f"select k as key_text, count(*) as n, count(distinct path) as n_files, min(line) as first_line from (select path, line, substr({t}, 1, 60) as k from lines where length({t}) > 20) x where length(k) >= 30 group by k having count(*) >= 3"
 
 
-@both("agg15_quality_score", "files")
-def _(d):
-    real = lambda x: f"cast({x} as double)"
-    marks = lambda p, most: f"least({real(1)}, {real(d.count('content', p))} / {most})"
-    parts = [(0.25, marks("[.]", 50)), (0.2, f"1 - {marks('!!', 20)}"), (0.2, f"1 - {marks('[%#&$]{3}', 20)}"), (0.2, marks("\\n", 10)), (0.15, f"case when length(content) between 200 and 8000 then {real(1)} else {real(0.5)} end")]
-    return f"select path, {js_round('100 * (' + ' + '.join(f'{real(w)} * ({x})' for w, x in parts) + ')')} as score from files"
-
-
 @both("agg16_top_directories", "files")
 def _(d):
     return f"select dir, n, {js_round('100.0 * n / total', 1)} as pct from (select dir, n, sum(n) over () as total, row_number() over (order by n desc, dir) as rn from (select dir, count(*) as n from files group by dir) x) y where rn <= 15"
 
 
-@both("agg17_dead_summary", "symbols", "refs")
-def _(d):
-    return """select type, count(*) as n, cast(sum(case type when 'variable' then 50 when 'function' then 200 else 500 end) as bigint) as est_tokens from symbols s left join (select distinct target_name from refs where line > 1) r on r.target_name = s.name where r.target_name is null group by type"""
-
-
-@both("agg18_todo_summary", "lines")
-def _(d):
-    return f"select case when {d.rlike('text', '!!')} then 'high' when {d.rlike('text', '[%#]{2}')} then 'medium' else 'low' end as priority, count(*) as n from lines group by 1"
-
-
 @both("agg19_language_buckets", "files", "symbols")
 def _(d):
     return """select f.lang, case when n < 5 then '0-4' when n < 10 then '5-9' when n < 20 then '10-19' when n < 50 then '20-49' else '50+' end as bucket, count(*) as n_files from files f left join (select file_id, count(*) as n from symbols group by file_id) s on s.file_id = f.file_id group by 1, 2"""
 
 
-@both("agg20_test_summary", "usage")
-def _(d):
-    return "select session % 10 as suite, cast(count_if(status = 'ok') as bigint) as passed, cast(count_if(status = 'error') as bigint) as failed, cast(count_if(status = 'crash') as bigint) as skipped from usage group by 1"
-
-
 @both("agg21_token_estimate", "files")
 def _(d):
     return "select path, cast(ceil(length(content) / 4.0) as bigint) as map_tokens, cast(ceil(size / 3.0) as bigint) as outline_tokens from files"
@@ -158,3 +115,9 @@ def _(d):
 @both("agg23_inventory", "files")
 def _(d):
     return "select dir, count(*) as n, cast(sum(size) as bigint) as bytes, max(size) as largest, min(file_id) as oldest from files group by dir"
+
+
+@both("agg17_dead_summary", "symbols", "refs")
+def _(d):
+    return """select type, count(*) as n, cast(sum(case type when 'variable' then 50 when 'function' then 200 when 'method' then 200 else 500 end) as bigint) as est_tokens from symbols s left join (select target_name, count(distinct file_id) as n_files, min(file_id) as file_id from refs where kind <> 'import' group by target_name) r on r.target_name = s.name
+        where r.target_name is null or r.n_files = 1 and r.file_id = s.file_id group by type"""

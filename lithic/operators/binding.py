@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from lithic.plans.catalogue import both
+from pyspark.sql import functions as F
+
+from lithic.plans.catalogue import both, query
+from lithic.plans.dialect import DUCK
+from lithic.sources.relations import relation, with_ctes
 
 # Who encloses a reference: the smallest range of its file that holds its line; ties go to the first symbol.
 ENCLOSING = """select id, file_id, path, line, target_name, kind, source_symbol_id, source_name from (
@@ -70,13 +74,6 @@ def _(d):
         where a.home <> r.file_id or a.next_id is not null"""
 
 
-@both("jn09_alias_rebind", "refs", "symbols", "pages_")
-def _(d):
-    aliases = [(3, "the", "The"), (3, "of", "Of"), (5, "de", "De"), (7, "and", "And"), (9, "la", "La")]
-    return f"""select r.id, r.target_name, a.original, t.id as target_symbol_id from refs r join {d.table('file_id, alias, original', aliases)} a on a.file_id = r.file_id and a.alias = r.target_name
-        left join (select name, min(id) as id, min(file_id) as file_id from symbols group by name) t on t.name = a.original and t.file_id <> r.file_id"""
-
-
 @both("jn10_enclosing_symbol", "refs", "symbols")
 def _(d):
     return f"select path, source_name, source_symbol_id, count(*) as n, min(line) as first_line from ({ENCLOSING}) e group by path, source_name, source_symbol_id"
@@ -95,12 +92,6 @@ def _(d):
     return "select r.id, r.target_name, i.file_id is not null as imported from refs r left join (select distinct file_id, lower(target_name) as name from refs where kind = 'import') i on i.file_id = r.file_id and i.name = lower(r.target_name) where r.kind <> 'import'"
 
 
-@both("jn13_like_join", "links", "pages_")
-def _(d):
-    # the few distinct modules are matched to paths by substring; the first path wins
-    return "select m.module, min(p.path) as path, count(p.path) as n from (select distinct module from links where length(module) > 6) m left join pages_ p on instr(lower(p.path), lower(m.module)) > 0 group by m.module"
-
-
 @both("jn14_module_edges", "functions")
 def _(d):
     # an import meets files by base name, an equi-join on a derived key; the first file that isn't the importer itself wins
@@ -124,15 +115,6 @@ def _(d):
     return "select distinct r.target_name from refs r left join (select distinct name from symbols) s on s.name = r.target_name where s.name is null and r.kind = 'import'"
 
 
-PACKAGES = [("the", "the-pkg"), ("in", "in-pkg"), ("thand", "thand-pkg"), ("from", "from-pkg"), ("that", "that-pkg")]
-MANIFEST = [("the-pkg", "^1.0"), ("from-pkg", "2.x"), ("that-pkg", "*")]
-LOCK = [("the-pkg", "1.0.3"), ("that-pkg", "9.1")]
-
-
-@both("jn18_dependency_chain", "refs")
-def _(d):
-    return f"""select i.name, p.package, m.required, k.locked, case when p.package is null then 'unknown' when m.required is null then 'missing' when k.locked is null then 'unlocked' else 'ok' end as state
-        from (select distinct target_name as name from refs where length(target_name) <= 4) i left join {d.table('name, package', PACKAGES)} p on p.name = i.name left join {d.table('package, required', MANIFEST)} m on m.package = p.package left join {d.table('package, locked', LOCK)} k on k.package = p.package"""
 
 
 @both("jn19_full_outer_diff", "symbols")
@@ -152,13 +134,6 @@ def _(d):
     return "select path, start_line, prev_end, prev_end >= start_line as overlaps from (select path, start_line, lag(start_line + (id % 3)) over (partition by path order by start_line) as prev_end from symbols) x where prev_end is not null"
 
 
-@both("jn22_orphans", "imports", "nation", "orders", "lineitem")
-def _(d):
-    # three match rules, each an equi-anti-join
-    return """select cast(n_nationkey as bigint) as id, n_name as name from nation n where not exists (select 1 from imports i where i.dst = n.n_nationkey) and not exists (select 1 from imports i where i.src = n.n_nationkey)
-        union all select -o_orderkey, o_orderstatus from orders o where not exists (select 1 from lineitem l where l.l_orderkey = o.o_orderkey)"""
-
-
 @both("jn23_test_importers", "calls", "functions")
 def _(d):
     return "select b.path as target, a.path as test_path, min(c.src) as first_test from calls c join functions a on a.id = c.src and a.is_test join functions b on b.id = c.dst group by b.path, a.path"
@@ -171,11 +146,6 @@ def _(d):
         left join (select kind, count(*) as n from functions where id % 5 = 0 group by kind) e on e.kind = u.kind"""
 
 
-@both("set01_bag_union", "calls", "functions")
-def _(d):
-    return "select 'direct' as how, src, dst from calls union all select 'indirect', c.src, d.dst from calls c join calls d on d.src = c.dst union all select 'test', c.src, c.dst from calls c join functions f on f.id = c.src where f.is_test"
-
-
 @both("set02_first_wins", "calls", "functions")
 def _(d):
     return "select path, name, src from (select f.path, f.name, c.src, row_number() over (partition by f.path, f.name order by c.src, c.dst) as rn from calls c join functions f on f.id = c.dst) x where rn = 1"
@@ -204,23 +174,68 @@ def _(d):
     return f"select path, line, 'index' as source from (select distinct path, line from refs where target_name = 'from') i union all select t.path, t.line, 'text' from (select path, line from lines where instr(lower(text), 'from') > 0) t left join (select distinct path, line from refs where target_name = 'from') i on i.path = t.path and i.line = t.line where i.path is null"
 
 
-@both("set08_rule_override", "files")
+@both("set09_drift_dedupe", "refs")
 def _(d):
-    own = [("no-eval", "project"), ("custom", "project")]
-    built = [("no-eval", "builtin"), ("bare-except", "builtin"), ("no-todo", "builtin")]
-    return f"select r.id, r.origin, f.n_files from (select id, origin from {d.table('id, origin', built)} b where id not in (select id from {d.table('id, origin', own)} o) union all select id, origin from {d.table('id, origin', own)} o2) r cross join (select count(*) as n_files from files) f"
+    return "select kind, target_name, path, line from (select kind, target_name, path, line, row_number() over (partition by kind, target_name order by path, line, place) as rn from refs) x where rn = 1"
 
 
-@both("set09_drift_dedupe", "refs")
+@both("set11_intersect", "symbols", "refs")
 def _(d):
-    return "select kind, target_name, path, line from (select kind, target_name, path, line, row_number() over (partition by kind, target_name order by path, line, place) as rn from refs) x where rn = 1"
+    return "select name from symbols where type = 'function' intersect select target_name from refs where kind = 'call'"
 
 
-@both("set10_visited_union", "calls")
+@both("jn09_alias_rebind", "refs", "symbols")
 def _(d):
-    return "select dst as node from calls where src = 1 union select d.dst from calls c join calls d on d.src = c.dst where c.src = 1 union select e.dst from calls c join calls d on d.src = c.dst join calls e on e.src = d.dst where c.src = 1 union select dst from calls where src % 50 = 0"
+    # a file's aliases stand in what it imports; the original's first symbol elsewhere is what a call by the alias means
+    aliases = [(3, "the", "The"), (3, "of", "Of"), (5, "de", "De"), (7, "and", "And"), (9, "la", "La")]
+    first = first_elsewhere("symbols", "name", "file_id")
+    return f"""select r.id, r.target_name, a.original, case when t.home = r.file_id then t.next_id else t.first_id end as target_symbol_id from refs r join {d.table('file_id, alias, original', aliases)} a on a.file_id = r.file_id and a.alias = r.target_name
+        left join {first} t on t.name = a.original"""
 
 
-@both("set11_intersect", "symbols", "refs")
+@both("jn13_like_join", "links", "pages_")
 def _(d):
-    return "select name from symbols where type = 'function' intersect select target_name from refs where kind = 'call'"
+    # a path that holds a module holds its first letters, up to three; these are an equi-key, and the module is then held
+    # against the path; the first path wins
+    grams = d.distinct(d.unite(d.unite(*[d.map(d.span("1", f"greatest(length(p) - {n - 1}, 1)"), "i", f"substr(p, cast(i as int), {n})") for n in (1, 2)]), d.map(d.span("1", "greatest(length(p) - 2, 1)"), "i", "substr(p, cast(i as int), 3)")))
+    paths = d.each("(select distinct path, lower(path) as p from pages_ where path <> '') p_", grams, "k_ gram", "path, p")
+    return f"""select m.module, min(g.path) as path, count(g.path) as n from (select distinct module, lower(module) as low, substr(lower(module), 1, 3) as gram from links where module <> '') m left join {paths} g on g.gram = m.gram and instr(g.p, m.low) > 0 group by m.module"""
+
+
+@both("jn22_orphans", "texts")
+def _(d):
+    # files that nobody imports, by any of three rules: the resolved path, the dotted or slashed module, the base name
+    from lithic.operators.projects import imported
+
+    bare = lambda x: d.replace(x, "[.][A-Za-z]+$", "")
+    said = f"select distinct path as importer, {d.replace(d.replace('module', '^(?:[.][.]?/)+', ''), '[.][mc]?[jt]sx?$', '')} as module from {imported(d)} i"
+    files = f"select path, {bare('path')} as whole, {d.extract('path', '([^/]+)[.][A-Za-z]+$')} as base from texts where {d.rlike('path', '[.](py|[mc]?[jt]sx?)$')}"
+    dotted = d.replace("module", "[.]", "/")
+    tails = d.each(f"({files}) f_", d.map(d.span("1", d.size(d.split("whole", "/"))), "i", d.join(d.slice(d.split("whole", "/"), "cast(i as int)", d.size(d.split("whole", "/")).replace("bigint", "int")), "/")), "k_ tail", "path, base")
+    rules = [f"select t.path from {tails} t join ({said}) s on s.module = t.tail where s.importer <> t.path", f"select t.path from {tails} t join (select importer, {dotted} as module from ({said}) q) s on s.module = t.tail where s.importer <> t.path", f"select f.path from ({files}) f join (select importer, {d.extract('module', '([^./]+)$')} as module from ({said}) q) s on s.module = f.base where s.importer <> f.path"]
+    return f"select f.path from ({files}) f left join (select path from ({' union '.join(rules)}) r) n on n.path = f.path where n.path is null"
+
+
+@both("set01_bag_union", "calls", "functions")
+def _(d):
+    # of one symbol; a caller may stand in several of the bags
+    return "select 'direct' as how, src, dst from calls where dst = 7 union all select 'indirect', c.src, c.dst from calls c join (select distinct src from calls where dst = 7) o on o.src = c.dst union all select 'test', c.src, c.dst from calls c join functions f on f.id = c.src where c.dst = 7 and f.is_test"
+
+
+@query("set10_visited_union", with_ctes("with recursive r as (select dst as node from calls where src = 1 union select c.dst from r join calls c on c.src = r.node) select node from r", DUCK, ("calls",)))
+def _(spark, source):
+    """All that one node's calls reach, however far."""
+    from lithic.operators.graphs import bfs
+
+    calls = relation(spark, source, "calls").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    start = spark.createDataFrame([(1,)], "node long")
+    reached = bfs(calls, start, 1000).where("depth > 0").select("node")
+    return reached.union(calls.where("src = 1").select(F.col("src").alias("node")).distinct())
+
+
+@both("set08_rule_override", "code")
+def _(d):
+    # rules of the project take the place of built-in ones of the same id; the project's are lines of its rules file
+    built = d.table("id", [("no-bare-except",), ("no-debugger",), ("no-eval",)])
+    own = f"(select distinct {d.extract('text', '^rule ([a-z-]+)$')} as id from code where {d.rlike('path', '(^|/)[.]rules$')})"
+    return f"select id, 'builtin' as origin from {built} b where id not in (select id from {own} o) union all select id, 'project' from {own} p where id <> ''"

@@ -28,38 +28,19 @@ def _policy(x: str) -> str:
     return f"case {x} when 'CLEAN' then 'allow' when 'FILE_CHANGED_SYMBOL_STABLE' then 'allow_warn' else 'reject' end"
 
 
-@both("mut01_conflict", "before", "after")
+@both("mut01_conflict", "before", "after", "symbols")
 def _(d):
+    # a file's first function: its signature is its first line, its body the lines it reaches over; every other file is meant whole
     cols = "i, base_file, base_body, base_sig, base_truncated, cur_file, cur_body, cur_sig, sym"
-    snap = f"select b.file_id + 1000 as i, {d.sha('b.content')} as base_file, {d.sha('substr(b.content, 1, 100)')} as base_body, {d.sha('substr(b.content, 1, 20)')} as base_sig, b.file_id % 29 = 0 as base_truncated, {d.sha('a.content')} as cur_file, {d.sha('substr(a.content, 1, 100)')} as cur_body, {d.sha('substr(a.content, 1, 20)')} as cur_sig, b.file_id % 2 = 0 as sym from before b left join after a on a.file_id = b.file_id"
+    first = "select file_id, name, start_line, end_line from (select s.*, row_number() over (partition by file_id order by start_line, id) as rn from symbols s where type = 'function') x where rn = 1"
+    lines = lambda x: d.split(x, chr(92) + "n")
+    body = lambda x: d.sha(d.join(d.slice(lines(x), "cast(f.start_line as int)", "cast(f.end_line - f.start_line + 1 as int)"), " "))
+    sig = lambda x: d.item(lines(x), "f.start_line")
+    named = lambda x, y: f"case when f.name is not null and instr({sig(x)}, f.name) = 1 then {y} end"
+    snap = f"select b.file_id + 1000 as i, {d.sha('b.content')} as base_file, {named('b.content', body('b.content'))} as base_body, {named('b.content', d.sha(sig('b.content')))} as base_sig, length(b.content) > 16000 as base_truncated, {d.sha('a.content')} as cur_file, {named('a.content', body('a.content'))} as cur_body, {named('a.content', d.sha(sig('a.content')))} as cur_sig, f.name is not null as sym from before b left join after a on a.file_id = b.file_id left join ({first}) f on f.file_id = b.file_id"
     return f"select i, class, {_policy('class')} as policy from (select i, {CONFLICT} as class from (select {cols} from {d.table(cols, MATRIX)} m union all {snap}) x) y"
 
 
-EDITS = [(1, 1, 3, 2), (1, 5, 6, -1), (1, 9, 9, 3), (2, 2, 8, 0), (2, 4, 5, 1), (3, 1, 1, 1)]
-
-
-@both("mut03_batch_outcome", "labels")
-def _(d):
-    # all or nothing: a file whose ranges overlap fails; strict batches then apply none
-    return f"""select f, n, bad = 0 as file_ok, case when sum(bad) over () > 0 then 'rolled_back' else 'applied' end as strict_outcome, case when bad = 0 then 'applied' else 'failed' end as best_effort, (select count(*) from labels) as n_labels
-        from (select f, count(*) as n, cast(count_if(coalesce(before_end >= a, false)) as bigint) as bad from (select f, a, b, lag(b) over (partition by f order by a) as before_end from {d.table('f, a, b, delta', EDITS)} e) x group by f) y"""
-
-
-@both("mut04_item_application", "labels")
-def _(d):
-    items = [(1, "a b c", "b", "x"), (2, "a b b", "b", "x"), (3, "a x c", "b", "x"), (4, "a", "b", "x"), (5, "", "b", "x")]
-    n = "cast((length(body) - length(replace(body, old, ''))) / length(old) as bigint)"
-    return f"select i, n, case when n = 1 then 'applied' when n > 1 then 'ambiguous' when instr(body, new) > 0 then 'already_applied' else 'no_match' end as outcome, case when n = 1 then replace(body, old, new) else body end as result, (select count(*) from labels) as n_labels from (select i, body, old, new, {n} as n from {d.table('i, body, old, new', items)} v) t"
-
-
-TXN = [(1, 1, "begin"), (1, 2, "edit"), (1, 3, "commit"), (2, 4, "begin"), (2, 5, "edit"), (2, 6, "rollback"), (3, 7, "begin"), (4, 8, "begin"), (4, 9, "edit"), (4, 10, "commit"), (4, 11, "undo")]
-
-
-@both("mut05_transaction_state", "usage")
-def _(d):
-    return f"select txn, n_edits, case last_action when 'commit' then 'committed' when 'rollback' then 'rolled_back' when 'undo' then 'undone' else 'open' end as state, (select count(*) from usage) as n_usage from (select txn, cast(count_if(action = 'edit') as bigint) as n_edits, max(case when rn = 1 then action end) as last_action from (select txn, seq, action, row_number() over (partition by txn order by seq desc) as rn from {d.table('txn, seq, action', TXN)} t) x group by txn) y"
-
-
 @both("mut06_recovery", "before", "after")
 def _(d):
     # three hashes tell what became of a staged write
@@ -82,11 +63,6 @@ def _(d):
     return f"select i, path, n, case when old = '' then 'invalid' when n = 0 then 'not_found' when n > 1 then 'ambiguous' else 'matched' end as status from (select e.i, e.path, e.old, {n} as n from (select i, path, old from {d.table('i, path, old', edits)} v union all select file_id + 100, path, substr(content, 1, 12) from files) e join files f on f.path = e.path) x"
 
 
-@both("mut08_rename_plan", "lines")
-def _(d):
-    return f"select path, line, text as old, {d.replace('text', '(^|[^A-Za-z0-9_])from([^A-Za-z0-9_]|$)', '$1origin$2')} as new from lines where {d.rlike('text', '(^|[^A-Za-z0-9_])from([^A-Za-z0-9_]|$)')}"
-
-
 @both("mut09_min_diff", "before", "after")
 def _(d):
     # what is left between the equal ends is the change, told as a hunk's head
@@ -95,11 +71,6 @@ def _(d):
         from (select file_id, prefix, n_old - prefix - suffix as removed, n_new - prefix - suffix as added from {common_ends(d)} e) x"""
 
 
-@both("mut10_diff_facts", "before", "after")
-def _(d):
-    return f"""select coalesce(a.path, b.path) as path, case when b.path is null then 'added' when a.path is null then 'removed' when {d.sha('a.content')} <> {d.sha('b.content')} then 'changed' else 'same' end as state, cast(coalesce(length(a.content), 0) - coalesce(length(b.content), 0) as bigint) as delta from before b full outer join after a on a.file_id = b.file_id"""
-
-
 @both("stm02_change_sync", "before", "after")
 def _(d):
     return "select coalesce(a.path, b.path) as path, case when a.path is null then 'delete' else 'extract' end as action from before b full outer join after a on a.file_id = b.file_id where a.path is null or b.path is null or a.content <> b.content"
@@ -138,21 +109,6 @@ def _(d):
     return "select c.src, c.dst, case when c.dst % 3 = 0 then n.id else c.dst end as bound from calls c join functions f on f.id = c.dst left join (select name, min(id) as id from functions group by name) n on n.name = f.name"
 
 
-@both("stm09_reindex_job", "files")
-def _(d):
-    return "select dir, count(*) as n, count(*) > 2000 as needs_confirmation, cast(ceil(1 + count(*) / 100.0) as bigint) as eta_s, cast(floor(100.0 * count_if(file_id % 3 = 0) / count(*)) as bigint) as progress from files group by dir"
-
-
-@both("stm12_journal_prune", "usage")
-def _(d):
-    return "select status, count(*) as n, cast(count_if(event_id < 500 and status <> 'crash') as bigint) as pruned from usage group by status"
-
-
-@both("stm13_cache_gc", "usage")
-def _(d):
-    return "select session, last_seen, last_seen < 300 and session % 5 <> 0 as collect from (select session, max(event_id) as last_seen from usage group by session) x"
-
-
 @both("stm15_map_staleness", "before", "after")
 def _(d):
     return "select max(a.mtime) as newest_disk, max(b.mtime) as newest_index, max(floor(a.mtime)) > max(floor(b.mtime)) as stale from before b full outer join after a on a.file_id = b.file_id"
@@ -168,11 +124,6 @@ def _(d):
     return "select b.path from before b where exists (select 1 from after a where a.file_id = b.file_id)"
 
 
-@both("snk06_journal_table", "usage")
-def _(d):
-    return "select event_id, status, lag(status) over (partition by session order by event_id) as previous from usage"
-
-
 @both("snk01_bulk_insert", "symbols")
 def _(d):
     # rows go out by file, so that a file's rows are replaced together; 180 rows made one statement
@@ -196,23 +147,6 @@ def _(d):
     return "select 'files' as relation, count(*) as n, max(file_id) as last_id from files union all select 'symbols', count(*), max(id) from symbols"
 
 
-WORKTREES = [
-    (1, True, False, False, None, None),
-    (2, False, False, False, None, None),
-    (3, True, True, False, None, None),
-    (4, True, False, True, None, None),
-    (5, True, False, False, "write", None),
-    (6, True, False, False, "verify", None),
-    (7, True, False, False, "merge", "c7"),
-    (8, True, False, False, "branch", "c8"),
-]
-
-
-@both("mut11_worktree_outcome", "labels")
-def _(d):
-    # a clean repository on a branch is asked for; a step that fails after the commit leaves the commit's branch alone
-    outcome = "case when not is_repo then 'not_a_git_repo' when dirty then 'dirty_workspace' when detached then 'detached_head' when failed is null then 'merged' when commit_id is not null then 'merge_failed_commit_preserved' else 'transaction_rolled_back' end"
-    return f"select i, outcome, outcome = 'merge_failed_commit_preserved' as keeps_branch, outcome = 'merged' as marks_dirty, (select count(*) from labels) as n from (select i, {outcome} as outcome from {d.table('i, is_repo, dirty, detached, failed, commit_id', WORKTREES)} v) x"
 
 
 @both("mut12_lock_claims", "usage")
@@ -229,3 +163,110 @@ def _(d):
     # three failures on end open the circuit; a success closes it
     return """select event_id, tool, failures, failures >= 3 as opened from (select event_id, tool, cast(sum(case when status = 'ok' then 0 else 1 end) over (partition by tool, run order by event_id rows between unbounded preceding and current row) as bigint) as failures
         from (select event_id, tool, status, sum(case when status = 'ok' then 1 else 0 end) over (partition by tool order by event_id rows between unbounded preceding and current row) as run from (select event_id, case when session % 3 = 0 then 'parse' else tool end as tool, status from usage) u) x) y"""
+
+
+# Edits of files: what was asked for against what the files hold.
+def placed(d) -> str:
+    """(file_id, path, seq, old, new, content, n, pos): each edit with how often and where its old text stands."""
+    n = "case when e.old = '' then 0 else cast((length(f.content) - length(replace(f.content, e.old, ''))) / greatest(length(e.old), 1) as bigint) end"
+    return f"(select e.file_id, e.path, e.seq, e.old, e.new, f.content, {n} as n, instr(f.content, e.old) as pos from edits e join files f on f.file_id = e.file_id)"
+
+
+def outcome(d) -> str:
+    """One place: applied, unless what is new stands there already and what was asked for with it; none or several: why not."""
+    return "case when old = '' then 'invalid' when n = 1 and instr(new, old) > 0 and instr(content, new) > 0 then 'already_applied' when n = 1 then 'applied' when n > 1 then 'ambiguous' when new <> '' and instr(content, new) > 0 then 'already_applied' else 'no_match' end"
+
+
+@both("mut04_item_application", "edits", "files")
+def _(d):
+    return f"select path, seq, n, {outcome(d)} as outcome, case when {outcome(d)} = 'applied' then {d.sha('replace(content, old, new)')} end as new_hash from {placed(d)} p"
+
+
+@both("mut03_batch_outcome", "edits", "files")
+def _(d):
+    # a file's edits in the order of their places; those that overlap one before fail, as do those without one place; a strict
+    # batch is a folder's files, and one that fails takes all back
+    rows = f"select path, {d.extract('path', '^([^/]*)')} as batch, seq, pos, {outcome(d)} as outcome, max(case when n = 1 then pos + length(old) end) over (partition by path order by case when n = 1 then pos end, seq rows between unbounded preceding and 1 preceding) as reach from {placed(d)} p"
+    files = f"select batch, path, count(*) as n, cast(count_if(outcome not in ('applied', 'already_applied')) as bigint) as missed, cast(count_if(outcome = 'applied' and coalesce(reach > pos, false)) as bigint) as conflicts from ({rows}) r group by batch, path"
+    return f"select path, n, missed, conflicts, case when missed + conflicts = 0 then 'applied' when missed + conflicts < n then 'partly_applied' else 'failed' end as best_effort, case when sum(missed + conflicts) over (partition by batch) = 0 then 'applied' else 'rolled_back' end as strict from ({files}) f"
+
+
+@both("mut05_transaction_state", "journal")
+def _(d):
+    # a transaction begins anew with each begin; what comes before one is none; the last of commit, rollback and undo counts
+    runs = "select txn, seq, at_s, action, path, sum(case when action = 'begin' then 1 else 0 end) over (partition by txn order by seq rows between unbounded preceding and current row) as run from journal"
+    return f"""select txn, run, n_edits, n_files, case when ended is null then 'open' when ended = 'commit' then 'committed' when ended = 'undo' then 'undone' else 'rolled_back' end as state from (
+        select txn, cast(run as bigint) as run, cast(count_if(action = 'edit') as bigint) as n_edits, count(distinct case when action = 'edit' then path end) as n_files, max(case when rn = 1 and action in ('commit', 'rollback', 'undo') then action end) as ended from (
+        select r.*, row_number() over (partition by txn, run order by case when action in ('commit', 'rollback', 'undo') then 0 else 1 end, seq desc) as rn from ({runs}) r where run > 0) x group by txn, run) y"""
+
+
+@both("mut05_undo_versions", "journal")
+def _(d):
+    # what an undo brings back: the version of a file before its last committed edit
+    return "select txn, path, seq as edit, lag(seq) over (partition by path order by seq) as version_before, lead(action) over (partition by txn order by seq) = 'undo' as undone from journal where action in ('edit', 'undo')"
+
+
+@both("mut08_rename_plan", "lines", "refs", "symbols")
+def _(d):
+    # lines that hold the name as a word, by the text or by the index, and whether the file has the new name already
+    word = "(^|[^A-Za-z0-9_])from([^A-Za-z0-9_]|$)"
+    return f"""select l.path, l.line, l.text as old, {d.replace('l.text', word, '$1origin$2')} as new, d.file_id is not null as defines, r.file_id is not null as indexed, c.file_id is not null as conflict from lines l
+        left join (select distinct file_id, start_line from symbols where name = 'from') d on d.file_id = l.file_id and d.start_line = l.line left join (select distinct file_id, line from refs where target_name = 'from') r on r.file_id = l.file_id and r.line = l.line
+        left join (select distinct file_id from symbols where name = 'origin') c on c.file_id = l.file_id where {d.rlike('l.text', word)} or r.file_id is not null or d.file_id is not null"""
+
+
+@both("mut10_diff_facts", "before", "after", "refs")
+def _(d):
+    # of each file: what became of it, lines added and removed, names that went and came, and who elsewhere still says those that went
+    names = lambda t: f"(select distinct file_id, {d.extract('text', '^([A-Za-z]+)')} as name from {d.each(f'(select file_id, content from {t}) t_', d.split('content', chr(92) + 'n'), 'k_ text', 'file_id')} n_)"
+    gone = f"select b.file_id, b.name from {names('before')} b left join {names('after')} a on a.file_id = b.file_id and a.name = b.name where a.name is null and b.name <> ''"
+    came = f"select a.file_id, a.name from {names('after')} a left join {names('before')} b on a.file_id = b.file_id and a.name = b.name where b.name is null and a.name <> ''"
+    count = lambda q: f"(select file_id, count(*) as n from ({q}) c group by file_id)"
+    says = f"(select g.file_id, count(*) as n from ({gone}) g join (select distinct file_id, target_name from refs) r on r.target_name = g.name and r.file_id <> g.file_id group by g.file_id)"
+    return f"""select f.path, f.state, coalesce(e.n_new - e.prefix - e.suffix, 0) as added, coalesce(e.n_old - e.prefix - e.suffix, 0) as removed, coalesce(g.n, 0) as names_gone, coalesce(c.n, 0) as names_new, coalesce(s.n, 0) as still_said from (
+        select coalesce(a.file_id, b.file_id) as file_id, coalesce(a.path, b.path) as path, case when b.path is null then 'added' when a.path is null then 'removed' when {d.sha('a.content')} <> {d.sha('b.content')} then 'changed' else 'same' end as state from before b full outer join after a on a.file_id = b.file_id) f
+        left join {common_ends(d)} e on e.file_id = f.file_id left join {count(gone)} g on g.file_id = f.file_id left join {count(came)} c on c.file_id = f.file_id left join {says} s on s.file_id = f.file_id"""
+
+
+@both("mut11_worktree_outcome", "journal")
+def _(d):
+    # a transaction's steps: none may be missing before it, and what fails after the commit leaves the commit alone
+    return """select txn, case when begins = 0 then 'not_begun' when commits = 0 and failures > 0 then 'transaction_rolled_back' when commits > 0 and failed_after then 'merge_failed_commit_preserved' when commits > 0 then 'merged' else 'open' end as outcome, commits > 0 and failed_after as keeps_branch from (
+        select txn, cast(count_if(action = 'begin') as bigint) as begins, cast(count_if(action = 'commit') as bigint) as commits, cast(count_if(action = 'rollback') as bigint) as failures, coalesce(max(case when action = 'rollback' then seq end) > max(case when action = 'commit' then seq end), false) as failed_after from journal group by txn) x"""
+
+
+@both("src16_transaction_scan", "journal")
+def _(d):
+    return "select txn, count(*) as entries, count(distinct path) as n_files, min(at_s) as started, max(at_s) as ended, max(case when rn = 1 then action end) as last_action from (select j.*, row_number() over (partition by txn order by seq desc) as rn from journal j) x group by txn"
+
+
+@both("snk06_journal_table", "journal")
+def _(d):
+    # the audit log: each entry with the one before it on the same file, and how long that was ago
+    return "select seq, txn, path, action, lag(action) over (partition by path order by seq) as previous, at_s - lag(at_s) over (partition by path order by seq) as since from journal"
+
+
+@both("stm09_reindex_job", "files", "symbols")
+def _(d):
+    # a folder's job: how far the index has come, how long it will take, and whether it is to be confirmed first
+    return "select f.dir, count(*) as n, count(*) > 2000 as needs_confirmation, cast(ceil(1 + count(*) / 100.0) as bigint) as eta_s, cast(floor(100.0 * count(s.file_id) / count(*)) as bigint) as progress from files f left join (select distinct file_id from symbols) s on s.file_id = f.file_id group by f.dir"
+
+
+@both("stm09_confirmations", "journal")
+def _(d):
+    # a token is good for ten minutes and for one use: the next commit of the same session
+    return "select txn, seq, action, case when action <> 'begin' then null when next_action = 'commit' and next_at - at_s <= 600 then 'confirmed' when next_action = 'commit' then 'expired' else 'unused' end as token from (select txn, seq, at_s, action, lead(action) over (partition by txn order by seq) as next_action, lead(at_s) over (partition by txn order by seq) as next_at from journal) x"
+
+
+@both("stm12_journal_prune", "journal")
+def _(d):
+    # entries older than a day go, but for those of transactions that are still open
+    return """select j.seq, j.at_s < n.now - 86400 and s.ended is not null as pruned from journal j cross join (select max(at_s) as now from journal) n left join (select txn, max(case when action in ('commit', 'rollback', 'undo') then seq end) as ended, max(case when action = 'begin' then seq end) as begun from journal group by txn) s
+        on s.txn = j.txn and s.ended > coalesce(s.begun, -1)"""
+
+
+@both("stm13_cache_gc", "journal")
+def _(d):
+    # a workspace's cache is collected when it was last used a week before the newest, unless a transaction in it is open
+    return """select txn as workspace, last_used, last_used < now - 7 * 86400 and not is_open as collect from (select txn, last_used, is_open, max(last_used) over () as now from (
+        select txn, max(at_s) as last_used, coalesce(max(case when action = 'begin' then seq end) > coalesce(max(case when action in ('commit', 'rollback', 'undo') then seq end), -1), false) as is_open from journal group by txn) a) x"""

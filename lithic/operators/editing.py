@@ -114,36 +114,6 @@ def rename_in(source: str, path: str, old: str, new: str) -> list[tuple[int, str
     return out
 
 
-def cycles(edges: list[tuple[str, str]]) -> list[list[str]]:
-    """Cycles that a depth-first search from the least node finds, each member set once."""
-    out: dict[frozenset, list[str]] = {}
-    graph: dict[str, list[str]] = {}
-    for a, b in sorted(edges):
-        graph.setdefault(a, []).append(b)
-    done: set[str] = set()
-    for start in sorted(graph):
-        path, on, stack = [], {}, [(start, iter(graph.get(start, [])))] if start not in done else []
-        if stack:
-            path, on = [start], {start: 0}
-        while stack:
-            node, rest = stack[-1]
-            for nxt in rest:
-                if nxt in on:
-                    found = path[on[nxt] :]
-                    out.setdefault(frozenset(found), found)
-                elif nxt not in done:
-                    stack.append((nxt, iter(graph.get(nxt, []))))
-                    on[nxt] = len(path)
-                    path.append(nxt)
-                    break
-            else:
-                stack.pop()
-                done.add(node)
-                path.pop()
-                del on[node]
-    return list(out.values())
-
-
 def over_rows(df: DataFrame, fn, schema: str) -> DataFrame:
     """fn(row as a namedtuple) -> rows, batch by batch."""
     names = [c.split()[0] for c in schema.split(", ")]
@@ -198,19 +168,6 @@ def _(spark, sf_dir):
     return over_rows(_files(spark, sf_dir), apply, "path string, how string, size int")
 
 
-@query("str03_string_ranges")
-def _(spark, sf_dir):
-    from lithic.operators.extraction import samples
-
-    return over_rows(samples(spark), lambda f: [(f.path, m.start(), m.end()) for m in re.finditer(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", f.content)], "path string, a int, b int")
-
-
-@query("str06_fstring_names")
-def _(spark, sf_dir):
-    code = spark.createDataFrame([("a.py", "f'{x} {y.z!r:>{w}}'"), ("b.py", "f\"{f(a)}\""), ("c.py", "'{no}'")], "path string, content string")
-    return over_rows(code, lambda f: [(f.path, n) for m in re.finditer(r"\bf(['\"])(.*?)\1", f.content) for e in re.findall(r"[{]([A-Za-z_][\w.]*)", m[2]) for n in [e.split(".")[0]]], "path string, name string")
-
-
 @query("str29_rename_outside_strings")
 def _(spark, sf_dir):
     from lithic.operators.extraction import samples
@@ -218,18 +175,6 @@ def _(spark, sf_dir):
     return over_rows(samples(spark), lambda f: [(f.path, *r) for r in rename_in(f.content, f.path, "x", "renamed")], "path string, line int, old string, new string")
 
 
-@query("grf04_dfs_cycles")
-def _(spark, sf_dir):
-    """The order-dependent form, on one group: a module graph is the size of a code base, not of its files."""
-    edges = relation(spark, sf_dir, "imports").select(F.lit(1).alias("g"), F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = cycles(list(zip(pdf.src, pdf.dst, strict=True)))
-        return pd.DataFrame({"cycle": pd.Series(found, dtype=object), "length": pd.Series([len(c) for c in found], dtype="int32")})
-
-    return edges.groupBy("g").applyInPandas(run, "cycle array<string>, length int")
-
-
 @query("rul14_dry_run_brackets")
 def _(spark, sf_dir):
     from lithic.operators.extraction import samples

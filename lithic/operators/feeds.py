@@ -15,42 +15,12 @@ def _(d):
     return "select event_id, tool, session from usage where status = 'error'"
 
 
-MANIFESTS = [(1, "requirements.txt", "flask==2.0"), (1, "requirements.txt", "# note"), (1, "requirements.txt", "numpy>=1.2,<2"), (2, "go.mod", "require example.org/x v1.2.3"), (2, "go.mod", "module me"), (3, "Cargo.toml", "serde = \"1.0\""), (3, "Cargo.toml", "[dependencies]"), (4, "pyproject.toml", "requests = \"^2.1\"")]
-
-
-@both("src12_manifests", "labels")
-def _(d):
-    name = f"case file when 'requirements.txt' then {d.extract('x', '^([A-Za-z0-9_.-]+)[ ]*[=<>~!]')} when 'go.mod' then {d.extract('x', '^require ([^ ]+)')} else {d.extract('x', '^([A-Za-z0-9_-]+) *= *')} end"
-    version = f"case file when 'requirements.txt' then {d.extract('x', '^[A-Za-z0-9_.-]+[ ]*([=<>~!].*)$')} when 'go.mod' then {d.extract('x', '^require [^ ]+ (.*)$')} else {d.replace(d.extract('x', '= *(.*)$'), chr(34), '')} end"
-    return f"select file, package, required, (select count(*) from labels) as n from (select file, {name} as package, {version} as required from {d.table('i, file, x', MANIFESTS)} v) t where package <> ''"
-
-
-@both("src13_lock_files", "labels")
-def _(d):
-    locks = [("flask", "flask 2.0.3 h1:aaa"), ("serde", "serde 1.0.9 checksum"), ("numpy", "other 1")]
-    return f"select package, {d.extract('x', '^[a-z]+ ([0-9.]+)')} as locked, substr(x, 1, length(package)) = package as matches, (select count(*) from labels) as n from {d.table('package, x', locks)} v"
-
-
-ENV = [(1, ".env", "API_URL=http://x"), (2, ".env", "# c"), (3, "compose", "services:"), (4, "compose", "  web:"), (5, "compose", "    image: a"), (6, "compose", "  db:"), (7, "compose", "volumes:"), (8, "compose", "  data:")]
-
-
-@both("src14_env_and_services", "labels")
-def _(d):
-    return f"""select kind, name, (select count(*) from labels) as n from (select 'env' as kind, {d.extract('x', '^([A-Z_]+)=')} as name from {d.table('i, file, x', ENV)} a where file = '.env'
-        union all select 'service', name from (select i, {d.extract('x', '^  ([a-z]+):$')} as name, max(case when {d.rlike('x', '^[a-z]+:$')} then i end) over (order by i rows between unbounded preceding and current row) as section from {d.table('i, file, x', ENV)} b where file = 'compose') s where section = 3) t where name <> ''"""
-
-
 @both("src15_nearest_rules", "files")
 def _(d):
     configs = [("", "root"), ("src1", "one"), ("src1/en", "one-en"), ("src2/de", "two-de")]
     return f"select path, cfg from (select f.path, c.cfg, row_number() over (partition by f.path order by length(c.root) desc) as rn from files f join {d.table('root, cfg', configs)} c on c.root = '' or substr(f.path, 1, length(c.root) + 1) = concat(c.root, '/')) x where rn = 1"
 
 
-@both("src16_transaction_scan", "usage")
-def _(d):
-    return "select session as txn, count(*) as entries, min(event_id) as started, max(event_id) as ended from usage group by session having count(*) >= 2"
-
-
 @both("src19_frozen_snapshot", "before", "symbols")
 def _(d):
     return "select b.path, b.state, count(s.id) as n_symbols from before b left join symbols s on s.file_id = b.file_id where b.state = 'fresh' group by b.path, b.state"
@@ -61,21 +31,6 @@ def _(d):
     return "select event_id, tool from usage where event_id % 2 = 0 and status <> 'crash' union all select event_id, tool from usage where event_id % 2 = 1 and tool is not null"
 
 
-@both("ext17_dynamic_links", "links")
-def _(d):
-    return "select path, module, min(line) as first_line, count(*) as n from links group by path, module"
-
-
-@both("ext18_alias_map", "lines")
-def _(d):
-    code = [(1, "const {a, b: c} = require('m')"), (2, "const x = require(\"n\")"), (3, "let y = 1")]
-    inner = d.extract("x", "[{]([^}]*)[}]")
-    alias = f"case when instr(part, ':') > 0 then {d.trim(d.extract('part', ':(.*)$'))} else {d.trim('part')} end"
-    original = d.trim(d.extract("part", "^([^:]*)"))
-    rows = f"(select i, {inner} as inner_, {d.extract('x', 'require[(].([a-z]+)')} as module from {d.table('i, x', code)} v)"
-    return f"select i, module, {alias} as local, {original} as original, (select count(*) from lines) as n_lines from {d.each(f'{rows} q', d.split('inner_', ','), 'k part', 'i, module', "part <> ''")} e"
-
-
 @both("ext19_kind_normaliser", "symbols")
 def _(d):
     kinds = [("fn",), ("const",), ("enum",), ("impl",), ("struct",), ("trait",), ("class",)]
@@ -94,11 +49,6 @@ def _(d):
     return f"select i, kind, name from (select i, {kind} as kind, {name} as name from (select i, x from {d.table('i, x', CODE)} v union all select file_id * 1000 + line, text from lines) u) t where kind is not null"
 
 
-@both("ext21_doc_lines", "lines")
-def _(d):
-    return "select path, line, coalesce(lead(text, 1) over (partition by path order by line), lead(text, 2) over (partition by path order by line)) as doc_line, lag(text) over (partition by path order by line) as decorator from lines"
-
-
 @both("ext22_test_names", "lines")
 def _(d):
     code = [(1, "def test_login():"), (2, "it('works', () => {"), (3, "func TestParse(t *testing.T) {"), (4, "describe(\"x\", f)"), (5, "def helper():")]

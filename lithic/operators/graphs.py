@@ -1,68 +1,210 @@
 """Graph operators: breadth-first callers, closures, cycles, containment, impact and risk.
 
-The queries over tables are recursive SQL or joins of a fixed depth, which the oracle can run too; ``bfs`` is the form
-for large graphs: a frontier joined to the edges, nodes seen before taken out, each level written to cut lineage.
+Queries of a small fixed depth are one plan. ``bfs``, ``dependencies`` and ``indirect_callers`` are the forms for any
+depth: a frontier joined to the edges, nodes seen before taken out, each level checkpointed, an end at the first empty
+one. Cycles of any length are found within strongly connected parts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithic.operators.binding import first_elsewhere
 from lithic.plans.catalogue import both, query
-from lithic.sources.relations import relation
+from lithic.plans.dialect import DUCK
+from lithic.sources.relations import Source, relation, run, with_ctes
+
+DEEPEST = 10
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df without its lineage: checkpointed in the session's shared folder; kept in the session where there is none."""
+    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
 
 
 def bfs(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """edges (src, dst), starts (node). (node, depth): each node that dst -> src steps reach, at its least depth."""
-    seen = starts.select("node").distinct().withColumn("depth", F.lit(0))
-    level = seen
+    level = starts.select("node").distinct().withColumn("depth", F.lit(0))
+    seen = level
     for k in range(1, depth + 1):
         step = edges.join(level.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).distinct()
-        level = step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(k))
-        # checkpoint() where the session has a shared folder, so that the plan doesn't grow with the depth
-        if edges.sparkSession.conf.get("spark.checkpoint.dir", None):
-            level = level.checkpoint()
+        level = cut(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(k)))
+        if level.isEmpty():
+            break
         seen = seen.unionByName(level)
     return seen
 
 
-# Level 1 by name, without the definition's own file; later levels by resolved id. Every edge of a level is a row.
-INDIRECT = """level1 as (select distinct c.src as caller from calls c join functions f on f.id = c.dst join (select name from functions where id = {0}) n on n.name = f.name join functions g on g.id = c.src where g.path <> (select path from functions where id = {0})),
-  level2 as (select distinct c.src as caller, c.dst as via from calls c join level1 on c.dst = caller),
-  new2 as (select distinct l.caller from level2 l left join level1 o on o.caller = l.caller where o.caller is null),
-  level3 as (select distinct c.src as caller, c.dst as via from calls c join new2 on c.dst = caller)"""
+def dependencies(imports: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
+    """imports (src, dst), roots (root). (root, src, dst, depth): every edge that a root's modules have, at its least depth,
+    which is held between 1 and 10."""
+    level = roots.select("root", F.col("root").alias("dst")).distinct()
+    seen, out = level, None
+    for k in range(1, min(DEEPEST, max(1, depth)) + 1):
+        step = cut(level.withColumnRenamed("dst", "src").join(imports, "src").select("root", "src", "dst", F.lit(k).alias("depth")))
+        if step.isEmpty():
+            break
+        out = step if out is None else out.union(step)
+        level = cut(step.select("root", "dst").distinct().join(seen, ["root", "dst"], "left_anti"))
+        seen = seen.union(level)
+    return out if out is not None else level.withColumnRenamed("dst", "src").join(imports, "src").select("root", "src", "dst", F.lit(1).alias("depth"))
 
 
-@both("grf01_indirect_callers", "calls", "functions")
-def _(d):
-    return f"with {INDIRECT.format(7)} select caller, via, 2 as depth from level2 union all select caller, via, 3 from level3"
+# Level 1 by name, without the definition's own file; later levels by resolved id. Every edge of a level is a row.
+def indirect(symbol: int, depth: int = 3, own_file: bool = False) -> str:
+    """The levels as CTEs; edges_k (caller, via) from the second on. For small depths: a level repeats those before it."""
+    elsewhere = "" if own_file else f"where g.path <> (select path from functions where id = {symbol})"
+    out = [f"level1 as (select distinct c.src as caller from calls c join functions f on f.id = c.dst join (select name from functions where id = {symbol}) n on n.name = f.name join functions g on g.id = c.src {elsewhere})"]
+    for k in range(2, depth + 1):
+        out.append(f"edges{k} as (select distinct c.src as caller, c.dst as via from calls c join level{k - 1} on c.dst = caller)")
+        seen = " union ".join(f"select caller from level{j}" for j in range(1, k))
+        out.append(f"level{k} as (select distinct l.caller from edges{k} l left join ({seen}) o on o.caller = l.caller where o.caller is null)")
+    return ", ".join(out[: 2 * depth - 2])
+
+
+def indirect_callers(spark: SparkSession, source: Source, symbol: int, depth: int = 3, own_file: bool = False) -> DataFrame:
+    """(caller, via, depth) from the second level on, for any depth up to 10."""
+    calls, functions = relation(spark, source, "calls").select("src", "dst"), relation(spark, source, "functions").select("id", "name", "path")
+    target = functions.where(F.col("id") == symbol).select("name", F.col("path").alias("home"))
+    named = calls.join(functions.join(F.broadcast(target), "name").select(F.col("id").alias("dst"), "home"), "dst").join(functions.select(F.col("id").alias("src"), "path"), "src")
+    level = cut(named.where(F.lit(own_file) | (F.col("path") != F.col("home"))).select(F.col("src").alias("caller")).distinct())
+    seen, out = level, spark.createDataFrame([], level.withColumn("via", F.col("caller")).withColumn("depth", F.lit(0)).schema)
+    for k in range(2, min(DEEPEST, depth) + 1):
+        edges = cut(calls.join(level.select(F.col("caller").alias("dst")), "dst").select(F.col("src").alias("caller"), F.col("dst").alias("via")).distinct().withColumn("depth", F.lit(k)))
+        if edges.isEmpty():
+            break
+        out = out.union(edges)
+        level = cut(edges.select("caller").distinct().join(seen, "caller", "left_anti"))
+        seen = seen.union(level)
+    return out
 
 
-@both("grf02_dependencies", "imports")
+@both("grf01_indirect_callers", "calls", "functions")
 def _(d):
-    return """with recursive r as (select src as root, src, dst, 1 as depth from imports union all select r.root, i.src, i.dst, r.depth + 1 from r join imports i on i.src = r.dst where r.depth < 2)
-        select root, src, dst, min(depth) as depth from r group by root, src, dst"""
-
-
-@both("grf03_module_graph", "imports", "nation")
+    return f"with {indirect(7)} select caller, via, 2 as depth from edges2 union all select caller, via, 3 from edges3"
+
+
+@query(
+    "grf02_dependencies",
+    with_ctes(
+        """with recursive r as (select src as root, src, dst, 1 as depth from imports where src in (1, 4, 7) union all select r.root, i.src, i.dst, r.depth + 1 from (select distinct root, dst, depth from r) r join imports i on i.src = r.dst where r.depth < 3),
+        first as (select root, dst, min(depth) as depth from r group by root, dst), seen as (select root, root as node, 1 as at from r union select root, dst, depth + 1 from first where dst <> root)
+        select s.root, i.src, i.dst, s.at as depth from seen s join imports i on i.src = s.node where s.at <= 3""",
+        DUCK,
+        ("imports",),
+    ),
+)
+def _(spark, source):
+    """Of three modules, to the third level."""
+    imports = relation(spark, source, "imports")
+    return dependencies(imports, imports.where("src in (1, 4, 7)").select(F.col("src").alias("root")), 3)
+
+
+@both("grf03_module_graph", "imports", "modules")
 def _(d):
-    return "select n.n_name as name, 'node' as kind, cast(null as varchar(20)) as target from nation n union all select a.n_name, 'edge', b.n_name from imports i join nation a on a.n_nationkey = i.src join nation b on b.n_nationkey = i.dst"
+    return "select n.path as name, 'node' as kind, cast(null as varchar(20)) as target from modules n union all select a.path, 'edge', b.path from imports i join modules a on a.id = i.src join modules b on b.id = i.dst"
 
 
-@both("grf04_cycles", "imports", "nation")
-def _(d):
-    # simple cycles up to three modules, each once, beginning with its least member
-    return """select 2 as length, a.src as m1, a.dst as m2, cast(null as int) as m3 from imports a join imports b on b.src = a.dst and b.dst = a.src where a.src < a.dst
-        union all select 3, a.src, b.src, c.src from imports a join imports b on b.src = a.dst join imports c on c.src = b.dst and c.dst = a.src where a.src < b.src and a.src < c.src and b.src <> c.src
-        union all select 0, n_nationkey, n_nationkey, null from nation where n_nationkey = 0"""
+def simple_cycles(length: int) -> str:
+    """Simple cycles up to so many modules, each once, beginning with its least member."""
+    parts = []
+    for n in range(2, length + 1):
+        names = [f"e{k}" for k in range(n)]
+        joins = " ".join(f"join imports e{k} on e{k}.src = e{k - 1}.dst and e{k}.src > e0.src" + "".join(f" and e{k}.src <> e{j}.src" for j in range(1, k)) for k in range(1, n))
+        members = ", ".join([f"{e}.src as m{i + 1}" for i, e in enumerate(names)] + [f"cast(null as int) as m{i}" for i in range(n + 1, length + 1)])
+        parts.append(f"select {n} as length, {members} from imports e0 {joins} where e{n - 1}.dst = e0.src")
+    return " union all ".join(parts)
 
 
-@both("grf05_in_cycle", "imports", "nation")
+@both("grf04_cycles", "imports")
 def _(d):
-    return """select n.n_nationkey as node, c.node is not null as in_cycle from nation n left join (
-        select a.src as node from imports a join imports b on b.src = a.dst and b.dst = a.src union select a.src from imports a join imports b on b.src = a.dst join imports c on c.src = b.dst and c.dst = a.src) c on c.node = n.n_nationkey"""
+    return simple_cycles(3)
+
+
+def strong_parts(edges: DataFrame) -> DataFrame:
+    """edges (src, dst). (part, src, dst): the edges that lie on cycles, by strongly connected part, which is named by its
+    least node. Nodes without a way in or out go first; then edges go whose ends differ in the least node that reaches them
+    or in the least that they reach. Once none goes, both are one node, which reaches its part and is reached by it."""
+    now = cut(edges.select("src", "dst").distinct())
+    before = now.count()
+    while True:
+        trimmed = now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
+        trimmed = cut(trimmed.select("src", "dst"))
+        nodes = cut(trimmed.select(F.col("src").alias("node")).union(trimmed.select(F.col("dst").alias("node"))).distinct())
+        marks = cut(_labels(trimmed, nodes, "src", "dst").join(_labels(trimmed, nodes, "dst", "src").withColumnRenamed("label", "back"), "node"))
+        side = lambda at, name: marks.select(F.col("node").alias(at), F.struct("label", "back").alias(name))
+        now = cut(trimmed.join(side("src", "a"), "src").join(side("dst", "b"), "dst").where("a = b").select(F.col("a.label").alias("part"), "src", "dst"))
+        after = now.count()
+        if after == before:
+            return now
+        before, now = after, now.select("src", "dst")
+
+
+def _labels(edges: DataFrame, nodes: DataFrame, at: str, to: str) -> DataFrame:
+    """(node, label): the least node that reaches each along the edges from at to to, itself included."""
+    labels = nodes.withColumn("label", F.col("node"))
+    while True:
+        sent = edges.join(labels, F.col(at) == F.col("node")).groupBy(F.col(to).alias("node")).agg(F.min("label").alias("new"))
+        after = cut(labels.join(sent, "node", "left").select("node", F.least("label", F.coalesce("new", "label")).alias("label"), (F.col("new") < F.col("label")).alias("changed")))
+        labels = after.select("node", "label")
+        if after.where("changed").isEmpty():
+            return labels
+
+
+@query(
+    "grf05_in_cycle",
+    with_ctes("with recursive r as (select src, dst from imports union select r.src, i.dst from r join imports i on i.src = r.dst) select id as node, exists (select 1 from r where r.src = id and r.dst = id) as in_cycle from modules", DUCK, ("imports", "modules")),
+)
+def _(spark, source):
+    """Whether a module reaches itself, over however many others."""
+    inside = strong_parts(relation(spark, source, "imports")).select(F.col("src").alias("id")).distinct()
+    modules = relation(spark, source, "modules").select("id")
+    return modules.join(inside.withColumn("in_cycle", F.lit(True)), "id", "left").select(F.col("id").alias("node"), F.coalesce("in_cycle", F.lit(False)).alias("in_cycle"))
+
+
+def back_edge_cycles(edges: list[tuple]) -> list[list]:
+    """Cycles that a depth-first search from the least node finds, each member set once."""
+    out: dict[frozenset, list] = {}
+    graph: dict = {}
+    for a, b in sorted(edges):
+        graph.setdefault(a, []).append(b)
+    done: set = set()
+    for start in sorted(graph):
+        if start in done:
+            continue
+        path, on, stack = [start], {start: 0}, [(start, iter(graph[start]))]
+        while stack:
+            node, rest = stack[-1]
+            for nxt in rest:
+                if nxt in on:
+                    found = path[on[nxt] :]
+                    out.setdefault(frozenset(found), found)
+                elif nxt not in done:
+                    stack.append((nxt, iter(graph.get(nxt, []))))
+                    on[nxt] = len(path)
+                    path.append(nxt)
+                    break
+            else:
+                stack.pop()
+                done.add(node)
+                path.pop()
+                del on[node]
+    return list(out.values())
+
+
+@query("grf04_dfs_cycles")
+def _(spark, source):
+    """The order-dependent form: a search in each strongly connected part, since no cycle leaves one. Its memory is that
+    part's edges."""
+    parts = strong_parts(relation(spark, source, "imports"))
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = back_edge_cycles(list(zip(pdf.src, pdf.dst, strict=True)))
+        return pd.DataFrame({"cycle": pd.Series([[str(x) for x in c] for c in found], dtype=object), "length": pd.Series([len(c) for c in found], dtype="int32")})
+
+    return parts.groupBy("part").applyInPandas(search, "cycle array<string>, length int")
 
 
 @both("grf06_callees_ambiguity", "calls", "functions")
@@ -71,17 +213,29 @@ def _(d):
         join (select name, count(*) as same from functions group by name) n on n.name = f.name left join (select distinct dst from calls where src % 5 = 0) i on i.dst = c.dst group by c.src, f.name"""
 
 
-IMPACT = f"""with {INDIRECT.format(7)},
-  target as (select * from functions where id = 7),
+def impact(symbol: int) -> str:
+    """Direct callers by name, without those whom the id alone means, then indirect ones, each in its bucket."""
+    return f"""with {indirect(symbol)},
+  target as (select * from functions where id = {symbol}),
   direct as (select distinct c.src as caller, c.dst from calls c join functions f on f.id = c.dst join target t on t.name = f.name),
-  rows as (select caller, dst as via, 1 as depth from direct union all select caller, via, 2 from level2 l where not exists (select 1 from direct x where x.caller = l.caller) union all select caller, via, 3 from level3 l where not exists (select 1 from direct x where x.caller = l.caller))
+  rows as (select caller, dst as via, 1 as depth from direct union all select caller, via, 2 from edges2 l where not exists (select 1 from direct x where x.caller = l.caller) union all select caller, via, 3 from edges3 l where not exists (select 1 from direct x where x.caller = l.caller))
   select r.caller, r.via, r.depth, g.path, case when g.family <> t.family then 'cross_language' when g.is_test then 'test' when r.depth = 1 then 'direct' else 'indirect' end as bucket
   from rows r join functions g on g.id = r.caller cross join target t"""
 
 
+def impact_of(spark: SparkSession, source: Source, path: str, name: str) -> DataFrame:
+    """The impact of a change to a symbol of a file; where the file has none of that name, of the first elsewhere, which
+    ``elsewhere`` says."""
+    functions = relation(spark, source, "functions")
+    found = functions.where(F.col("name") == name).select("id", (F.col("path") != path).alias("elsewhere")).orderBy("elsewhere", "id").first()
+    if found is None:
+        raise LookupError(f"not_found: {name} in {path}")
+    return run(spark, source, impact(found.id), ("calls", "functions")).withColumn("elsewhere", F.lit(found.elsewhere))
+
+
 @both("grf07_impact", "calls", "functions")
 def _(d):
-    return IMPACT
+    return impact(7)
 
 
 @both("grf08_qualified_name", "customer", "nation", "region")
@@ -91,19 +245,26 @@ def _(d):
         select id, qualified, depth from q"""
 
 
-@both("grf09_outline", "lines", "symbols", "refs")
-def _(d):
-    # at most fifty items of a file
-    return """with span as (select file_id, id, name, type, signature, start_line as a, case when type = 'class' then 1000000 when type = 'function' then start_line + 3 else start_line end as b from symbols),
-        parent as (select c.id, max(p.a) as parent_line, count(p.id) as depth from span c left join span p on p.file_id = c.file_id and p.id <> c.id and p.a < c.a and c.b <= p.b group by c.id),
-        uses as (select target_name, count(*) as n from refs group by target_name),
-        items as (select s.*, p.parent_line, p.depth, row_number() over (partition by s.file_id order by s.a, s.id) as rn from span s join parent p on p.id = s.id where p.depth <= 2)
-        select s.file_id, s.name, s.type, s.a as line, s.signature, s.parent_line, s.depth, substr(s.name, 1, 1) = '_' as private, coalesce(u.n, 0) as n_refs from items s left join uses u on u.target_name = s.name where s.rn <= 50"""
-
-
-@both("grf10_import_fixer_cycle", "imports", "nation")
+@both("grf09_outline", "symbols", "refs")
 def _(d):
-    return "select n.n_nationkey as module, count(b.dst) as n_two_cycles from nation n left join imports a on a.src = n.n_nationkey left join imports b on b.src = a.dst and b.dst = n.n_nationkey group by n.n_nationkey"
+    # at most fifty items of a file; a parent is the nearest symbol before it that reaches beyond it
+    return """with uses as (select target_name, count(*) as n from refs group by target_name),
+        items as (select s.*, row_number() over (partition by s.file_id order by s.start_line, s.end_line desc, s.id) as rn from symbols s),
+        kept as (select * from items where rn <= 50),
+        parent as (select c.id, max(p.start_line) as parent_line, count(p.id) as depth from kept c left join kept p on p.file_id = c.file_id and p.rn < c.rn and p.type <> 'variable' and c.end_line <= p.end_line and p.id <> c.id group by c.id)
+        select s.file_id, s.name, s.type, s.start_line as line, s.signature, p.parent_line, p.depth, substr(s.name, 1, 1) = '_' as private, coalesce(u.n, 0) as n_refs from kept s join parent p on p.id = s.id left join uses u on u.target_name = s.name where p.depth <= 2"""
+
+
+@query(
+    "grf10_import_fixer_cycle",
+    with_ctes("with recursive r as (select src, dst, 1 as depth from imports union select r.src, i.dst, r.depth + 1 from r join imports i on i.src = r.dst where r.depth < 10 and r.dst <> r.src) select id as module, (select min(depth) from r where r.src = id and r.dst = id) as shortest from modules", DUCK, ("imports", "modules")),
+)
+def _(spark, source):
+    """How many steps a module's shortest cycle has, of at most ten; null if it has none."""
+    imports = relation(spark, source, "imports")
+    parts = strong_parts(imports).select("src", "dst")
+    around = dependencies(parts, parts.select(F.col("src").alias("root")), DEEPEST).where("dst = root").groupBy("root").agg(F.min("depth").alias("shortest"))
+    return relation(spark, source, "modules").select(F.col("id").alias("root")).join(around, "root", "left").select(F.col("root").alias("module"), "shortest")
 
 
 @both("grf11_pick_candidate", "functions")
@@ -116,14 +277,16 @@ def _(d):
 
 
 @query("grf12_bfs_large")
-def _(spark, sf_dir):
-    calls = relation(spark, sf_dir, "calls")
+def _(spark, source):
+    calls = relation(spark, source, "calls")
     return bfs(calls, calls.where("dst % 50 = 0").select(F.col("dst").alias("node")), 3)
 
 
 @both("grf13_call_chain", "calls", "functions")
 def _(d):
-    return """select distinct up.src as caller, c.dst as symbol, down.dst as callee from calls c join calls up on up.dst = c.dst join calls down on down.src = c.dst"""
+    # callers and callees are two sets beside a symbol; their pairs would grow with the square of its degree
+    return f"""select f.id as symbol, {d.item('u.ids', '1')} as first_caller, {d.size('u.ids')} as n_callers, {d.item('o.ids', '1')} as first_callee, {d.size('o.ids')} as n_callees from functions f
+        join (select dst, {d.sorted_set('src')} as ids from calls group by dst) u on u.dst = f.id join (select src, {d.sorted_set('dst')} as ids from calls group by src) o on o.src = f.id"""
 
 
 @both("grf14_inspect", "calls", "functions")

@@ -1,158 +1,218 @@
 """Text-rule engines: each rule is one expression over lines or files, and findings are rows.
 
-Patterns keep to what both engines read alike: no look-around, no word boundary, ASCII classes. The tables at hand hold
-no source code, so every engine also runs over small snippets that hit and miss each rule.
+Patterns keep to what both engines read alike: what a rule looks behind for is a group of its own. The engines read the
+relations ``code`` and ``texts``: the documents and a small project over tables, a tree's files over a source tree.
 """
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
 from lithic.operators.aggregates import js_round, style
-from lithic.plans.catalogue import both
+from lithic.operators.projects import ENV_FILE, compose_services, pad
+from lithic.plans.catalogue import both, query
+from lithic.sources.relations import Source, relation
 
-_W = "(^|[^A-Za-z0-9_.])"
-# Rule id, severity, category, pattern over one line.
+# Rule id, severity, category, what must stand before, pattern over a whole text.
+_ALONE, _ANY = "(^|[^A-Za-z0-9_.])", "()"
+_EXEC, _SHELL = "(?:exec|execSync|execFileSync)[\\s]*[(]", "\\b(?:child_process|childProcess|cp|proc|shell)\\s*[.]\\s*"
 SECURITY = [
-    ("eval", "high", "code-injection", _W + "eval[ ]*[(]"),
-    ("function-ctor", "high", "code-injection", "new[ ]+Function[ ]*[(]"),
-    ("exec-cmd", "high", "command-injection", _W + "exec(Sync)?[ ]*[(][^)]*[+]"),
-    ("exec-cmd-member", "high", "command-injection", "child_process[.]exec(Sync)?[ ]*[(][^)]*[+]"),
-    ("exec-cmd-tpl", "high", "command-injection", _W + "exec(Sync)?[ ]*[(][ ]*`[^`]*[$][{]"),
-    ("exec-cmd-tpl-member", "high", "command-injection", "child_process[.]exec(Sync)?[ ]*[(][ ]*`[^`]*[$][{]"),
-    ("exec-file-shell-concat", "high", "command-injection", "execFile(Sync)?[ ]*[(][ ]*['\"](sh|bash)['\"].*[+]"),
-    ("cmd-name-concat", "medium", "command-injection", "(cmd|command)[ ]*=[^=].*['\"][ ]*[+]"),
-    ("cmd-name-tpl", "medium", "command-injection", "(cmd|command)[ ]*=[ ]*`[^`]*[$][{]"),
-    ("spawn-shell", "medium", "command-injection", "spawn(Sync)?[ ]*[(].*shell[ ]*:[ ]*true"),
-    ("sql-concat", "high", "sql-injection", "(?i)(select|insert|update|delete)[ ].*['\"][ ]*[+]"),
-    ("sql-fstring", "high", "sql-injection", "(?i)f['\"](select|insert|update|delete)[ ].*[{]"),
-    ("innerHTML", "medium", "xss", "[.]innerHTML[ ]*="),
-    ("dangerouslySet", "medium", "xss", "dangerouslySetInnerHTML"),
-    ("fs-unlink-sync", "low", "filesystem", "fs[.]unlinkSync[ ]*[(]"),
-    ("process-exit", "low", "stability", "process[.]exit[ ]*[(]"),
-    ("crypto-md5", "medium", "crypto", "createHash[(]['\"]md5['\"]"),
-    ("jwt-hardcoded", "high", "secrets", "jwt[.]sign[(].*,[ ]*['\"][^'\"]+['\"]"),
-    ("password-hardcode", "high", "secrets", "(?i)passw(or)?d[ ]*[:=][ ]*['\"][^'\"]{4,}['\"]"),
-    ("api-key-hardcode", "high", "secrets", "(?i)(api[_-]?key|secret|token)[ ]*[:=][ ]*['\"]?[A-Za-z0-9_-]{12,}"),
-    ("allow-all-cors", "medium", "cors", "Access-Control-Allow-Origin['\"]?[ ]*[,:][ ]*['\"][*]"),
-    ("no-rate-limit", "low", "availability", "app[.](get|post)[(]['\"]/login"),
-    ("debug-log", "low", "logging", "console[.](log|debug)[(]"),
-    ("insecure-compare", "medium", "crypto", "(token|secret|password)[ ]*===?[ ]*[a-z]"),
-    ("no-input-validation", "low", "validation", "req[.](body|query|params)[.]"),
-    ("dotenv-secret", "high", "secrets", "^[A-Z_]*(SECRET|TOKEN|PASSWORD|KEY)[A-Z_]*=[^ ]{4,}"),
-]
-SNIPPETS = [
-    (1, "eval(x)"),
-    (2, "retrieval(x)"),
-    (3, "new Function(a)"),
-    (4, "exec(cmd + name)"),
-    (5, "re.exec(x)"),
-    (6, "child_process.exec(a + b)"),
-    (7, "el.innerHTML = y"),
-    (8, "createHash(\"md5\")"),
-    (9, "password = \"hunter22\""),
-    (10, "api_key: abcdefghijklmnop"),
-    (11, "console.log(1)"),
-    (12, "q = \"select * from t where a=\" + x"),
-    (13, "DB_PASSWORD=verysecret"),
-    (14, "if token === x"),
-    (15, "req.body.name"),
-    (16, "spawn(a, {shell: true})"),
-    (17, "plain text"),
-    (18, "eval(x) // lint-ignore eval"),
-    (19, "process.exit(1)"),
-    (20, "command = `rm ${x}`"),
+    ("eval", "high", "code-injection", _ANY, "\\beval\\s*[(]"),
+    ("Function-ctor", "high", "code-injection", _ANY, "\\bnew\\s+Function\\s*[(]"),
+    ("exec-cmd", "high", "command-injection", _ALONE, _EXEC + "[^)]*[+]"),
+    ("exec-cmd-member", "high", "command-injection", _ANY, _SHELL + "(?:exec|execSync|execFile|execFileSync|spawn|spawnSync)\\s*[(][^)]*[+]"),
+    ("exec-cmd-tpl", "high", "command-injection", _ALONE, _EXEC + "[^)]*[$][{]"),
+    ("exec-cmd-tpl-member", "high", "command-injection", _ANY, _SHELL + _EXEC + "[^)]*[$][{]"),
+    ("exec-cmd-subst", "high", "command-injection", _ALONE, _EXEC + "[^)]*[$][(]"),
+    ("exec-cmd-subst-member", "high", "command-injection", _ANY, _SHELL + _EXEC + "[^)]*[$][(]"),
+    ("exec-file-shell-concat", "high", "command-injection", _ANY, "\\bexecFile(?:Sync)?\\s*[(][^)]*[+][^)]*shell:\\s*true"),
+    ("cmd-name-concat", "high", "command-injection", _ALONE, "(?:spawn|spawnSync|execFile)\\s*[(]\\s*[^,]*[+]"),
+    ("cmd-name-tpl", "high", "command-injection", _ALONE, "(?:spawn|spawnSync|execFile)\\s*[(]\\s*[^,]*[$][{]"),
+    ("spawn-shell", "high", "command-injection", _ANY, "spawn\\s*[(][^,]+,\\s*[^,]+,\\s*[{][^}]*shell:\\s*true"),
+    ("sql-concat", "high", "sql-injection", _ANY, "(?:[sS][eE][lL][eE][cC][tT]|[iI][nN][sS][eE][rR][tT]|[uU][pP][dD][aA][tT][eE]|[dD][eE][lL][eE][tT][eE])\\s+.+?['\"]\\s*[+]\\s*\\w+"),
+    ("sql-fstring", "high", "sql-injection", _ANY, "f['\"][^'\"{}]*\\b(?:SELECT|INSERT|UPDATE|DELETE|REPLACE)\\b[^'\"{}]*[{][^}]*[}]"),
+    ("innerHTML", "medium", "xss", _ANY, "[.]innerHTML\\s*="),
+    ("dangerouslySet", "medium", "xss", _ANY, "dangerouslySetInnerHTML"),
+    ("fs-unlink-sync", "medium", "file-access", _ANY, "fs[.](?:unlinkSync|rmSync|rmdirSync)\\s*[(]"),
+    ("process-exit", "medium", "stability", _ANY, "\\bprocess[.]exit\\s*[(]"),
+    ("crypto-md5", "low", "crypto", _ANY, "crypto[.]createHash\\s*[(]\\s*['\"][mM][dD]5['\"]\\s*[)]"),
+    ("jwt-hardcoded", "high", "secrets", _ANY, "jwt[.]sign\\s*[(][^,]+,\\s*['\"][a-zA-Z0-9_-]{8,}['\"]"),
+    ("password-hardcode", "high", "secrets", _ANY, "(?:[pP][aA][sS][sS][wW][oO][rR][dD])\\s*[=:]\\s*['\"][^'\"]{4,}['\"]"),
+    ("api-key-hardcode", "high", "secrets", _ANY, "(?:[aA][pP][iI][_-]?[kK][eE][yY]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN])\\s*[=:]\\s*['\"][a-zA-Z0-9_-]{8,}['\"]"),
+    ("allow-all-cors", "medium", "cors", _ANY, "(?:[aA]ccess-[cC]ontrol-[aA]llow-[oO]rigin|[oO]rigin)\\s*[=:]\\s*['\"][*]['\"]"),
+    ("no-rate-limit", "low", "dos", _ANY, "app[.](?:get|post|put|delete|patch)\\s*[(]['\"][^'\"]+['\"]\\s*,\\s*(?:async\\s*)?[(]"),
+    ("debug-log", "low", "info-leak", _ANY, "console[.](?:log|dir|table)\\s*[(][^)]*(?:password|secret|token|key|Password|Secret|Token|Key|PASSWORD|SECRET|TOKEN|KEY)"),
+    ("insecure-compare", "medium", "timing", _ANY, "\\b(?:stored|expected|correct|known|saved|cached|hash|token|secret|password|passwd|api[_-]?key|session)[\\w.]*\\s*===?\\s*[A-Za-z_$][\\w$]*(?:\\s*[.]\\s*[A-Za-z_$][\\w$]*)*\\s*[;)}]"),
+    ("no-input-validation", "medium", "input-validation", _ANY, "\\bbody[.][a-zA-Z]+\\b(?:\\s*[)]|[.]\\s*map|\\s*[.]\\s*forEach)"),
+    ("dotenv-secret", "high", "secrets", "(^|\\n)", "[A-Za-z_][A-Za-z0-9_]*=(?:['\"][^'\"]{8,}['\"]|[^'\"\\s]{8,})[ \\t]*(?:\\n|$)"),
 ]
+# What a comparison may be with, and rules that tests are exempt from.
+_LITERALS = "(===?\\s*)(?:null|undefined|true|false|NaN)\\b"
+_TEST_EXEMPT = ("password-hardcode", "api-key-hardcode", "jwt-hardcoded", "dotenv-secret", "process-exit")
+_TEST_PATH = "(^|/)(tests|fixtures|examples|__tests__|testdata|spec)/|(^|/)[tT][eE][sS][tT][-_]?[^/]*$|(^|/)[sS][pP][eE][cC][-_]?[^/]*$|[.](test|spec)[.-][^/]*$|_test[.][^/]*$"
+MARKER = "lint-ignore"
+
+
+def findings(d, rules=SECURITY) -> str:
+    """(path, rule, severity, category, line, source, before, found): every place in every text. A rule's places are marked
+    in the text, which is then cut at the marks: the line is the number of line ends before."""
+    spot = lambda i: d.replace("content", _LITERALS, "$1") if i == "insecure-compare" else "content"
+    only = lambda i: f" and {d.rlike('path', '(^|/)[.]env([.][^/]*)?$')}" if i == "dotenv-secret" else ""
+    marked = d.keep(d.list(*[f"case when {d.rlike(spot(i), w + '(?:' + p + ')')}{only(i)} then concat('{i}', chr(2), {d.replace(spot(i), w + '(' + p + ')', '$1' + chr(1) + '$2')}) end" for i, _, _, w, p in rules]), "x", "x is not null")
+    facts = lambda k: "case rule " + " ".join(f"when '{r[0]}' then '{r[k]}'" for r in rules) + " end"
+    each = d.each("(select path, content from texts where content is not null) t_", marked, "n_ mark", "path, content")
+    parts = d.each(f"(select path, content, {d.nth('mark', chr(2), 1)} as rule, {d.nth('mark', chr(2), 2)} as body from {each} m_) b_", d.split("body", chr(1)), "place found", "path, content, rule")
+    ends = d.count("found", "\n")
+    return f"""(select path, rule, {facts(1)} as severity, {facts(2)} as category, line, {d.item(d.split('content', chr(92) + 'n'), 'line')} as source, before, found from (
+        select path, content, rule, place, found, lag(found) over (partition by path, rule order by place) as before, cast(1 + coalesce(sum({ends}) over (partition by path, rule order by place rows between unbounded preceding and 1 preceding), 0) as bigint) as line from {parts} p_) q_ where place > 1)"""
+
+
+@both("rul01_security_review", "texts")
+def _(d):
+    return f"select path, rule, severity, category, cast(line as bigint) as line from {findings(d)} f"
 
 
-def _sources(d) -> str:
-    """Snippets and lines as (path, line, text)."""
-    return f"(select 'snippet' as path, cast(i as bigint) as line, x as text from {d.table('i, x', SNIPPETS)} s_ union all select path, line, text from lines)"
+def suppressed(d, config: list[tuple[str, str]]) -> str:
+    """Why a finding isn't reported, or 'reported': an inline marker for all or for named rules, a line of config (glob,
+    rule; either may be '*'), tests, prepared statements."""
+    marked = f"instr(source, '{MARKER}') > 0 and (not {d.rlike('source', MARKER + '\\[')} or instr(concat(',', {d.replace(d.extract('source', MARKER + '\\[([^\\]]*)\\]'), ' ', '')}, ','), concat(',', rule, ',')) > 0)"
+    ignored = " or ".join(f"({d.rlike('path', glob_pattern(g))} and '{r}' in ('*', rule))" for g, r in config) or "false"
+    exempt = ", ".join(f"'{r}'" for r in _TEST_EXEMPT)
+    prepared = f"rule = 'sql-concat' and {d.rlike('concat(substr(before, greatest(length(before) - 39, 1), 40), ' + d.extract('found', '^((?s:.*?))[' + chr(34) + chr(39) + ']' + chr(92) + 's*[+]') + ')', '[.]prepare' + chr(92) + 's*[(]')}"
+    return f"case when {marked} then 'marker' when {ignored} then 'config' when rule in ({exempt}) and {d.rlike('path', _TEST_PATH)} then 'test_path' when {prepared} then 'prepared' else 'reported' end"
 
 
-def findings(d, source: str, rules=SECURITY) -> str:
-    """(path, line, rule, severity): the rules are one list beside each line, so the lines are read once."""
-    hits = d.list(*[f"case when {d.rlike('text', p)} then '{i}' end" for i, _, _, p in rules])
-    severity = " ".join(f"when '{i}' then '{s}'" for i, s, _, _ in rules)
-    return f"(select path, line, text, rule, case rule {severity} end as severity from {d.each(f'{source} q_', hits, 'i_ rule', 'path, line, text', 'rule is not null')} f_)"
+def glob_pattern(glob: str) -> str:
+    """A glob as a pattern over relative paths; one with more than three ** matches nothing."""
+    if glob.count("**") > 3:
+        return "^[^/]$a"
+    out, i = "", 0
+    while i < len(glob):
+        if glob.startswith("**/", i):
+            out, i = out + "(?:.*/)?", i + 3
+        elif glob.startswith("**", i):
+            out, i = out + ".*", i + 2
+        elif glob[i] == "*":
+            out, i = out + "[^/]*", i + 1
+        else:
+            out, i = out + (glob[i] if glob[i].isalnum() or glob[i] in "/_-" else f"[{glob[i]}]" if glob[i] != "^" else chr(92) + "^"), i + 1
+    return f"^(?:{out})$"
 
 
-@both("rul01_security_review", "lines")
-def _(d):
-    return f"select path, line, rule, severity from {findings(d, _sources(d))} f"
+CONFIG_IGNORE = [("shop/lib/**", "*"), ("**/store.js", "sql-concat"), ("a/**/b/**/c/**/d/**/e", "*")]
 
 
-@both("rul02_suppression", "lines")
+@both("rul02_suppression", "texts")
 def _(d):
-    # an inline marker for all or for named rules; tests are exempt from secrets and exits; prepared statements from concatenation
-    shown = f"""case when {d.rlike('text', 'lint-ignore *$')} or instr(text, concat('lint-ignore ', rule)) > 0 then 'marker' when rule in ('password-hardcode', 'api-key-hardcode', 'jwt-hardcoded', 'dotenv-secret', 'process-exit') and {d.rlike('path', '(^|/)tests?/|/de/')} then 'test_path'
-        when rule = 'sql-concat' and {d.rlike('text', '[?]|[$][0-9]')} then 'prepared' else 'reported' end"""
-    return f"select {shown} as state, rule, count(*) as n from {findings(d, _sources(d))} f group by 1, 2"
+    return f"select {suppressed(d, CONFIG_IGNORE)} as state, rule, count(*) as n from {findings(d)} f group by 1, 2"
 
 
-@both("rul03_code_review", "lines")
-def _(d):
-    return f"""select path, cast(count_if(length(text) > 400) as bigint) as long_lines, cast(count_if({d.rlike('text', '!!|TODO|FIXME')}) as bigint) as markers, cast(count_if({d.rlike('text', '^[a-z]')}) as bigint) as lower_starts,
-        cast(floor(count_if({d.rlike('text', '[.]$')}) * 100.0 / count(*) + 0.5) as bigint) as ended_pct from lines group by path"""
+# Where a definition begins, by the end of the path.
+_DEFINES = "^\\s*(?:export\\s+)?(?:default\\s+)?(?:pub\\s+)?(?:async\\s+)?(?:def|function|fn|func)\\s+(?:[(][^)]*[)]\\s*)?([A-Za-z_$][A-Za-z0-9_$]*)"
 
 
-@both("rul04_guard_patterns", "refs", "symbols")
-def _(d):
-    banned = ", ".join(f"'{x}'" for x in ("eval", "from", "that", "with"))
-    return f"""select id, path, line, target_name, source_name from (select r.id, r.path, r.line, r.target_name, s.name as source_name, row_number() over (partition by r.id order by s.end_line - s.start_line, s.id) as rn
-        from refs r left join symbols s on s.file_id = r.file_id and r.line between s.start_line and s.end_line where r.target_name in ({banned})) x where rn = 1"""
+def review(d) -> str:
+    """A row for each file: functions, those that are long or oddly named, whether most of them lack a comment, decorator or
+    docstring beside them, markers, and long lines that occur again."""
+    rows = f"select path, line, text, {d.extract('text', _DEFINES)} as name, lag(text) over (partition by path order by line) as above, lead(text) over (partition by path order by line) as below from code"
+    functions = f"select path, line, name, {d.rlike('coalesce(above, ' + chr(39) * 2 + ')', '^' + chr(92) + 's*(#|//|/?[*]|@)')} or {d.rlike('coalesce(below, ' + chr(39) * 2 + ')', '^' + chr(92) + 's*(' + chr(34) * 3 + '|' + chr(39) * 3 + ')')} as documented, coalesce(lead(line) over (partition by path order by line), last_line + 1) - line as reach from (select r.*, max(line) over (partition by path) as last_line from ({rows}) r) x where name <> ''"
+    return f"""select a.path, a.todo, a.repeated, coalesce(f.n, 0) as functions, coalesce(f.long, 0) as long_functions, coalesce(f.odd, 0) as odd_names, coalesce(f.documented * 2 < f.n, false) as poorly_documented from
+        (select path, cast(count_if({d.rlike('text', '(^|[^A-Za-z])(TODO|FIXME|XXX|HACK)([^A-Za-z]|$)')}) as bigint) as todo, cast(sum(case when n > 1 and length({d.trim('text')}) > 20 then 1 else 0 end) as bigint) as repeated from (select path, text, count(*) over (partition by path, text) as n from code) c group by path) a
+        left join (select path, count(*) as n, cast(count_if(documented) as bigint) as documented, cast(count_if(reach > 50) as bigint) as long, cast(count_if(case when {d.rlike('path', '[.](py|rs)$')} then not {d.rlike('name', '^_*[a-z0-9_]+$')} else not {d.rlike('name', '^_*[a-zA-Z][A-Za-z0-9]*$')} end) as bigint) as odd from ({functions}) g group by path) f on f.path = a.path"""
 
 
-RAISES = [(1, "raise ValueError(x)", "py"), (2, "throw new TypeError(y)", "js"), (3, "raise CustomError", "py"), (4, "panic!(\"x\")", "rs"), (5, "x.unwrap()", "rs"), (6, "raise", "py"), (7, "return 1", "py"), (8, "throw new AppError('z')", "js")]
+@both("rul03_code_review", "code")
+def _(d):
+    return review(d)
 
 
-@both("rul05_exception_guard", "labels")
-def _(d):
-    name = f"case lang when 'py' then {d.extract('x', 'raise +([A-Za-z_]+)')} when 'js' then {d.extract('x', 'throw +new +([A-Za-z_]+)')} else {d.extract('x', '(panic!|unwrap[(]|expect[(])')} end"
-    builtin = ", ".join(f"'{x}'" for x in ("ValueError", "TypeError", "KeyError", "RuntimeError", "Exception", "Error"))
-    return f"select i, lang, nm as name, nm in ({builtin}) as builtin, (select count(*) from labels) as n from (select i, x, lang, {name} as nm from {d.table('i, x, lang', RAISES)} v) t where nm <> ''"
+# The rules that always hold, unless the project has one of that id: (id, kind, names, wrapper or decorator).
+GUARDS = [("no-bare-except", "except_bare", "", ""), ("no-debugger", "call_banned", "debugger,pdb.set_trace,breakpoint", ""), ("no-eval", "call_banned", "eval,exec", "")]
+GUARD_SCHEMA = "id string, kind string, names string, wanted string"
+OWN_GUARDS = [("no-eval", "call_banned", "eval,exec,execSync", ""), ("wrap-load", "call_required_wrapper", "load,open", "run"), ("cache-runs", "decorator_required", "run,test_", "cached"), ("odd", "unheard_of", "", "")]
 
 
-CONFIG = [(1, "process.env.API_URL"), (2, "os.environ[\"DB_HOST\"]"), (3, "os.getenv(\"CI\")"), (4, "FROM users WHERE"), (5, "INSERT INTO orders"), (6, "http://billing:8080/x"), (7, "none")]
+def guard(spark: SparkSession, source: Source, own: DataFrame | None = None) -> DataFrame:
+    """(rule, path, line, name): what a project's code does against the rules. own: a table of rules as GUARD_SCHEMA has
+    it, of the kinds call_banned, call_required_wrapper, decorator_required and except_bare; others find nothing.
 
+    Rules are a small table and are broadcast; a call's function is the nearest definition above it in its file.
+    """
+    rules = spark.createDataFrame(GUARDS, GUARD_SCHEMA)
+    if own is not None:
+        rules = rules.join(own.select("id"), "id", "left_anti").unionByName(own.select("id", "kind", "names", "wanted"))
+    rules = F.broadcast(rules.select("id", "kind", F.split("names", ",").alias("names"), "wanted"))
+    code = relation(spark, source, "code")
+    here = Window.partitionBy("path").orderBy("line")
+    name = F.regexp_extract("text", _DEFINES, 1)
+    comment = F.col("text").rlike(r"^\s*(#|//|[*])")
+    quotes = F.sum(F.regexp_count("text", F.lit('\"\"\"'))).over(here.rowsBetween(Window.unboundedPreceding, -1))
+    rows = code.select("path", "line", "text", name.alias("defines"), F.last(F.when(name != "", name), ignorenulls=True).over(here).alias("inside"), F.concat_ws("\n", *[F.lag("text", k).over(here) for k in range(10, 0, -1)]).alias("above"), comment.alias("comment"), (F.coalesce(quotes, F.lit(0)) % 2).alias("quoted"))
+    calls = rows.where(~F.col("comment")).select("path", "line", "inside", "defines", F.explode(F.array_distinct(F.concat(F.regexp_extract_all("text", F.lit(r"([A-Za-z_$][\w$.]*)\s*\("), F.lit(1)), F.when(F.col("text").rlike(r"^\s*debugger\s*;?\s*$"), F.array(F.lit("debugger"))).otherwise(F.array().cast("array<string>"))))).alias("name"))
+    calls = calls.where(F.col("name") != F.col("defines"))
+    meant = F.exists("names", lambda n: (n == F.col("name")) | n.endswith(F.concat(F.lit("."), F.col("name"))))
+    banned = calls.join(rules.where("kind = 'call_banned'"), meant).select(F.col("id").alias("rule"), "path", "line", "name")
+    wrapped = calls.join(rules.where("kind = 'call_required_wrapper'"), F.array_contains("names", F.col("name")) & ((F.col("wanted") == "") | ~F.coalesce(F.col("inside").endswith(F.col("wanted")), F.lit(False)))).select(F.col("id").alias("rule"), "path", "line", "name")
+    bare = rows.where((F.col("quoted") == 0) & ~F.col("comment") & F.col("text").rlike(r"^\s*except\s*:")).join(rules.where("kind = 'except_bare'"), F.lit(True)).select(F.col("id").alias("rule"), "path", "line", F.lit("except").alias("name"))
+    lacking = rows.where("defines <> ''").join(rules.where("kind = 'decorator_required'"), F.exists("names", lambda n: F.col("defines").startswith(n)) & ~F.contains(F.col("above"), F.concat(F.lit("@"), F.col("wanted"))))
+    return banned.union(wrapped).union(bare).union(lacking.select(F.col("id").alias("rule"), "path", "line", F.col("defines").alias("name")))
 
-@both("rul06_config_drift", "labels")
-def _(d):
-    env = d.extract("x", "(?:process[.]env[.]|environ\\[\"|getenv[(]\")([A-Z_]+)")
-    sql = d.extract("x", "(?:FROM|INTO|UPDATE|JOIN) ([a-z_]+)")
-    service = d.extract("x", "https?://([a-z][a-z0-9-]*):[0-9]+")
-    ci = ", ".join(f"'{x}'" for x in ("CI", "HOME", "PATH", "NODE_ENV", "PWD", "USER"))
-    return f"""select kind, name, name in ('API_URL', 'users') as declared, (select count(*) from labels) as n from (select 'env' as kind, {env} as name from {d.table('i, x', CONFIG)} a union all select 'table', {sql} from {d.table('i, x', CONFIG)} b union all select 'service', {service} from {d.table('i, x', CONFIG)} c) t where name <> '' and name not in ({ci})"""
+
+@query("rul04_guard_patterns")
+def _(spark, source):
+    return guard(spark, source, spark.createDataFrame(OWN_GUARDS, GUARD_SCHEMA))
 
 
-TODOS = [(1, "// TODO(ann): fix it", 3), (2, "# FIXME broken", 40), (3, "/* HACK */", 100), (4, "XXX check", 8), (5, "no marker", 1)]
+# Exceptions that the languages bring along.
+RAISED = "ValueError TypeError KeyError IndexError AttributeError RuntimeError NotImplementedError StopIteration OSError IOError ImportError LookupError ArithmeticError ZeroDivisionError AssertionError Exception BaseException FileNotFoundError PermissionError TimeoutError Error RangeError SyntaxError ReferenceError EvalError URIError AggregateError".split()
 
 
-@both("rul07_active_todos", "lines")
+@both("rul05_exception_guard", "code")
 def _(d):
-    kind = d.extract("x", "(?:^|[^A-Za-z])(TODO|FIXME|XXX|HACK)(?:[^A-Za-z]|$)")
-    # what stands in a file that is being edited comes first, then what was touched within a week
-    days = "concat('modified ', cast(age as varchar(20)), ' days ago')"
-    return f"""select i, kind, {d.extract('x', '(?:TODO|FIXME|XXX|HACK)[(]([a-z]+)[)]')} as author, case when edited then 'high' when age < 7 then 'medium' else 'low' end as priority, case when edited then 'file being edited' when age < 7 then {days} else concat({days}, ', unchanged') end as reason
-        from (select i, x, age, edited, {kind} as kind from (select i, x, age, age = 8 as edited from {d.table('i, x, age', TODOS)} v union all select file_id * 1000 + line, text, file_id % 30, file_id % 5 = 0 from lines) u) t where kind <> ''"""
+    kind = f"case when {d.rlike('path', '[.]py$')} then 'py' when {d.rlike('path', '[.][mc]?[jt]sx?$')} then 'js' when {d.rlike('path', '[.]rs$')} then 'rs' end"
+    name = f"case lang when 'py' then {d.extract('text', '^[^#]*' + chr(92) + 'braise +([A-Za-z_][A-Za-z0-9_]*)')} when 'js' then {d.extract('text', 'throw +new +([A-Za-z_$][A-Za-z0-9_$]*)')} else {d.extract('text', '(panic!|unreachable!|todo!|unimplemented!|[.]unwrap[(]|[.]expect[(])')} end"
+    # in Rust nothing counts from where tests begin
+    rows = f"select path, line, text, lang, max(case when lang = 'rs' and {d.rlike('text', 'cfg[(]test[)]|[#]\\[test\\]')} then 1 else 0 end) over (partition by path order by line) as tests from (select path, line, text, {kind} as lang from code) l where lang is not null"
+    own = f"select distinct {d.extract('text', '^' + chr(92) + 's*class +([A-Za-z_$][A-Za-z0-9_$]*)')} as name from code where {d.rlike('text', '(Exception|Error)' + chr(92) + 'b')}"
+    builtin = ", ".join(f"'{x}'" for x in RAISED)
+    return f"""select r.path, r.line, r.lang, r.name, case when r.lang = 'rs' then 'panics' when r.name in ({builtin}) then 'builtin' when o.name is not null then 'own' else 'unknown' end as state
+        from (select path, line, lang, {name} as name from ({rows}) x where tests = 0) r left join (select name from ({own}) p where name <> '') o on o.name = r.name where r.name <> ''"""
 
 
-IMPORTS = [(1, "import os"), (1, "import sys as system"), (1, "from a.b import c, d as e"), (1, "print(os.path, e)"), (2, "import {x, y} from './m'"), (2, "const z = require('q')"), (2, "x(z)")]
+# Variables that runners set, and words of SQL that are no tables.
+CI_VARS = "CI CONTINUOUS_INTEGRATION HOME PATH LANG SHELL USER TERM TZ PWD TMPDIR NODE_ENV DEBUG GITHUB_ACTIONS GITHUB_TOKEN GITHUB_ACTOR GITHUB_SHA GITHUB_REF GITHUB_REPOSITORY GITHUB_RUN_ID GITHUB_RUN_NUMBER GITHUB_EVENT_NAME GITHUB_WORKSPACE GITHUB_HEAD_REF GITHUB_BASE_REF GITHUB_JOB GITHUB_STEP_SUMMARY GITHUB_OUTPUT GITHUB_ENV GITHUB_PATH GITHUB_WORKFLOW GITHUB_ACTION GITHUB_ACTOR_ID GITHUB_REPOSITORY_ID GITHUB_RETENTION_DAYS RUNNER_OS RUNNER_ARCH RUNNER_TEMP RUNNER_TOOL_CACHE RUNNER_WORKSPACE RUNNER_NAME RUNNER_ENVIRONMENT TRAVIS TRAVIS_BUILD_ID CIRCLE_CI GITLAB_CI APPVEYOR AZURE_PIPELINES JENKINS_URL".split()
+SQL_WORDS = "SELECT INSERT UPDATE DELETE FROM INTO TABLE WHERE SET VALUES AND OR JOIN LEFT RIGHT INNER OUTER ON AS GROUP ORDER BY HAVING LIMIT OFFSET UNION ALL DISTINCT CASE WHEN THEN ELSE END NULL".split()
+_SOURCE = "[.]([mc]?[jt]sx?|py|go|rs|java|c|cpp|cc|cxx|hpp|hh|hxx|sh|bash)$"
 
 
-@both("rul08_unused_imports", "labels")
+@both("rul06_config_drift", "code")
 def _(d):
-    local = d.replace("part", "^.* as ", "")
-    names = d.split(d.replace("clause", "[{} ]*([A-Za-z_, ]+?)[{} ]*$", "$1"), ",")
-    clause = f"case when {d.rlike('x', '^import [{]')} then {d.extract('x', '[{]([^}]*)[}]')} when {d.rlike('x', '^from ')} then {d.extract('x', ' import (.*)$')} when {d.rlike('x', '^import ')} then {d.extract('x', '^import (.*)$')} when {d.rlike('x', 'require[(]')} then {d.extract('x', '(?:const|let|var) ([A-Za-z_]+)')} end"
-    lines_ = f"(select file, x, {clause} as clause from {d.table('file, x', IMPORTS)} v)"
-    return f"""select distinct i.file, i.local from (select file, {d.trim(local)} as local from {d.each(f'{lines_} q', names, 'k part', 'file', 'part is not null')} e) i
-        where not exists (select 1 from {lines_} u where u.file = i.file and u.clause is null and instr(concat(' ', translate(u.x, '().,', '    '), ' '), concat(' ', i.local, ' ')) > 0) and (select count(*) from labels) >= 0"""
-
-
-@both("rul09_import_analysis", "refs", "symbols")
+    rows = f"(select path, line, text from code where {d.rlike('path', _SOURCE)} and not {d.rlike('path', '(^|/)(tests?|fixtures|__tests__|node_modules|dist|build)/')} and not {d.rlike('text', '^' + chr(92) + 's*(#|//|[*])')}) c_"
+    env = d.extract_all("text", "(?:environ\\[[\"']|getenv[(][\"']|process[.]env[.]|process[.]env\\[[\"'])([A-Za-z0-9_]+)")
+    said = f"case when {d.rlike('text', '(execute|executemany|executescript|query|prepare|run)' + chr(92) + 's*[(]')} then text else {d.replace('text', chr(34) + '[^' + chr(34) + ']*' + chr(34) + '|' + chr(39) + '[^' + chr(39) + ']*' + chr(39), chr(34) * 2)} end"
+    sql = d.extract_all(said, "\\b(?:FROM|INTO|UPDATE|JOIN|from|into|update|join)\\s+[`\"]?([A-Za-z0-9_]+)")
+    service = d.keep(d.list(f"case when {d.rlike('lower(text)', 'redis[._](client|redis|from_url|connect)')} then 'redis' end", f"case when {d.rlike('lower(text)', 'mongo(ose|db|client)')} then 'mongodb' end", f"nullif({d.extract('text', 'https?://([a-z][a-z0-9-]*):[0-9]+')}, '')"), "x", "x is not null")
+    ci, words = ", ".join(f"'{x}'" for x in CI_VARS), ", ".join(f"'{x}'" for x in SQL_WORDS)
+    each = " union all ".join(f"select '{k}' as kind, path, line, name from {d.each(rows, x, 'n_ name', 'path, line')} {k}_" for k, x in (("env", env), ("table", sql), ("service", service)))
+    declared = f"select 'env' as kind, {d.extract('text', '^' + chr(92) + 's*(?:export +)?([A-Za-z_][A-Za-z0-9_]*)=')} as name from code where {d.rlike('path', ENV_FILE)} union select 'service', name from ({compose_services(d)}) s_ union select 'table', {d.extract('lower(text)', 'create table (?:if not exists )?([a-z0-9_]+)')} from code"
+    return f"""select r.kind, r.name, x.name is not null as declared, count(*) as n, min(concat(r.path, ':', cast(r.line as varchar(20)))) as first_place from ({each}) r left join ({declared}) x on x.kind = r.kind and x.name = r.name
+        where not (r.kind = 'env' and r.name in ({ci})) and not (r.kind = 'table' and (upper(r.name) in ({words}) or r.name = '')) group by r.kind, r.name, x.name"""
+
+
+def todos(d) -> str:
+    """(path, line, kind, author, priority, reason): markers of open work. What stands in a file that is being edited comes
+    first, then what was touched within a week; over the tables a file's age and state go by its length."""
+    kind = d.extract("text", "(?:^|[^A-Za-z])(TODO|FIXME|XXX|HACK)(?:[^A-Za-z]|$)")
+    age = "concat('modified ', cast(age as varchar(20)), ' days ago')"
+    state = f"select path, max(length(text)) % 30 as age, max(length(text)) % 5 = 0 as edited from code group by path"
+    return f"""select c.path, c.line, c.kind, c.author, case when edited then 'high' when age < 7 then 'medium' else 'low' end as priority, case when edited then 'file being edited' when age < 7 then {age} else concat({age}, ', unchanged') end as reason
+        from (select path, line, {kind} as kind, {d.extract('text', '(?:TODO|FIXME|XXX|HACK)[(]([a-z]+)[)]')} as author from code) c join ({state}) s on s.path = c.path where c.kind <> ''"""
+
+
+@both("rul07_active_todos", "code")
 def _(d):
-    # defined, imported and used are three sets of a file; what they lack of each other is what is to be fixed
-    return """select u.file_id, cast(count_if(s.name is null and i.target_name is null) as bigint) as undefined, cast(count_if(s.name is not null) as bigint) as defined_here, cast(count_if(i.target_name is not null) as bigint) as imported
-        from (select distinct file_id, target_name from refs where kind = 'call') u left join (select distinct file_id, name from symbols) s on s.file_id = u.file_id and s.name = u.target_name left join (select distinct file_id, target_name from refs where kind = 'import') i on i.file_id = u.file_id and i.target_name = u.target_name group by u.file_id"""
+    return todos(d)
 
 
 @both("rul10_naming_consistency", "symbols")
@@ -174,21 +234,25 @@ QUALITY = [
 ]
 
 
-@both("rul11_quality_dimensions", "files")
-def _(d):
-    # each dimension from 0 to 1, 1 being best; what a parser would count is estimated from the text
+def quality(d, source: str) -> str:
+    """source: (i, x). Each dimension from 0 to 1, 1 being best; what a parser would count is estimated from the text."""
     real = lambda x: f"cast({x} as double)"
     n = " + ".join(f"case when instr(x, '{w}') > 0 then 1 else 0 end" for w in DANGEROUS)
     violations = f"{d.count('x', '(^|[^A-Za-z0-9_])(process|global|root|eval|Function)([^A-Za-z0-9_]|$)')} + {d.count('x', '([A-Za-z0-9_$]+[.]){3,}[A-Za-z0-9_$]+')}"
     named = d.count("x", "(function|const|let|var|class)[ ]+[A-Za-z_]")
     fits = f"{d.count('x', 'function[ ]+[a-z][A-Za-z0-9]*[^A-Za-z0-9_]')} + {d.count('x', '(const|let|var)[ ]+([a-z][A-Za-z0-9]*|[A-Z][A-Z0-9_]*)[^A-Za-z0-9_]')} + {d.count('x', 'class[ ]+[A-Z][A-Za-z0-9]*[^A-Za-z0-9_]')}"
-    facts = f"select i, {d.count('x', chr(92) + 'n')} + 1 as loc, 1 + {d.count('x', '(^|[^A-Za-z])(if|for|while|case|catch)([^A-Za-z]|$)')} as cyc, {d.count('x', '[{]')} as nesting, {violations} as violations, {n} as dangerous, length(x) as size, {named} as named, {fits} as fits from (select i, x from {d.table('i, x', QUALITY)} v union all select file_id + 100, content from files where content is not null) t"
+    facts = f"select i, {d.count('x', chr(92) + 'n')} + 1 as loc, 1 + {d.count('x', '(^|[^A-Za-z])(if|for|while|case|catch)([^A-Za-z]|$)')} as cyc, {d.count('x', '[{]')} as nesting, {violations} as violations, {n} as dangerous, length(x) as size, {named} as named, {fits} as fits from {source} t"
     dims = f"""select i, dangerous, violations, {js_round(f"1 - least({real(1)}, ({real('cyc')} / 20 + {real('cyc - 1')} / 30) / 2)")} as tech_debt, {js_round(f"1 - least({real(1)}, {real('violations')} / 5)")} as arch, {js_round(f"1 - least({real(1)}, {real('dangerous')} * {real(0.3)} + least({real(1)}, {real('size')} / 50000) * {real(0.7)})")} as blast,
         {js_round(f"1 - least({real(1)}, {real('nesting')} / sqrt({real('loc')}) / 3)")} as engineering, {js_round(f"case when named > 0 then {real('fits')} / named else {real(0.5)} end")} as paradigm from ({facts}) f"""
     total = " + ".join(f"{c} * {real(w)}" for c, w in (("tech_debt", 0.25), ("arch", 0.2), ("blast", 0.2), ("engineering", 0.2), ("paradigm", 0.15)))
     return f"select x.*, {js_round(total)} as overall from ({dims}) x"
 
 
+@both("rul11_quality_dimensions", "files")
+def _(d):
+    return quality(d, f"(select i, x from {d.table('i, x', QUALITY)} v union all select file_id + 100, content from files where content is not null)")
+
+
 @both("rul12_export_exemptions", "symbols", "lines")
 def _(d):
     # names that the text of their own file speaks of as ': name', '.name' or '= name'
@@ -208,35 +272,67 @@ def _(d):
     return f"select i, {d.extract('x', '^([ ]*)')} = x as blank, length({d.extract('x', '^([ ]*)')}) % 2 = 0 as conforms, {d.rlike('x', '^' + chr(9))} as tab from (select i, x from {d.table('i, x', [c for c in code if chr(9) not in c[1]])} v union all select file_id * 1000 + line, text from lines) t"
 
 
-MOCKS = [(1, "get", 2, "int", 1, "int"), (2, "put", 1, "str", 1, "bytes"), (3, "list", 0, "list", 0, "list")]
+@both("rul15_mock_mismatch", "code")
+def _(d):
+    # a mock's return value or arguments against the one definition of that name
+    defs = f"select name, cast(max(n_params) as bigint) as n_params, max(returns) as returns from (select {d.extract('text', 'def ([A-Za-z_]+)[(]')} as name, {d.size(d.keep(d.split(d.extract('text', 'def [A-Za-z_]+[(]([^)]*)[)]'), ','), 'p', d.trim('p') + " not in ('', 'self', 'cls')"))} as n_params, {d.extract('text', '-> *([A-Za-z_]+)')} as returns from code where {d.rlike('text', '^' + chr(92) + 's*def ')}) x where name <> '' group by name having count(*) = 1"
+    value = d.extract("text", "[.]([A-Za-z_]+)[.]return_value *=")
+    kind = f"case when {d.rlike('text', '= *[furb]?[' + chr(34) + chr(39) + ']')} then 'str' when {d.rlike('text', '= *-?[0-9]+ *$')} then 'int' when {d.rlike('text', '= *-?[0-9]+[.][0-9]*')} then 'float' when {d.rlike('text', '= *(True|False)')} then 'bool' when {d.rlike('text', '= *\\[')} then 'list' when {d.rlike('text', '= *[{]')} then 'dict' when {d.rlike('text', '= *None')} then 'None' end"
+    called = d.extract("text", "[.]([A-Za-z_]+)[.]assert_called(?:_once)?_with[(]")
+    n_args = d.size(d.keep(d.split(d.extract("text", "assert_called(?:_once)?_with[(](.*)[)]"), ","), "p", d.trim("p") + " <> ''"))
+    return f"""select m.path, m.line, m.name, m.returned is not null and t.returns <> '' and m.returned <> t.returns as return_mismatch, coalesce(t.n_params - m.n_args, 0) as missing_args from (
+        select path, line, {value} as name, {kind} as returned, cast(null as bigint) as n_args from code where {d.rlike('text', '[.]return_value *=')} union all select path, line, {called}, null, {n_args} from code where {d.rlike('text', 'assert_called(_once)?_with')}) m join ({defs}) t on t.name = m.name"""
+
+
+@both("rul16_style_sniffer", "code")
+def _(d):
+    # votes by language: indents of two, four or a tab; quotes; statements that end with a semicolon; trailing commas
+    lang = d.extract("path", "[.]([A-Za-z]+)$")
+    spaces = f"length({d.extract('text', '^( *)[^ ]')})"
+    votes = [("indent", f"case when {d.rlike('text', '^' + chr(9))} then 'tab' when {spaces} > 0 and {spaces} % 4 = 0 then 'four' when {spaces} > 0 and {spaces} % 2 = 0 then 'two' end"), ("quote", f"case when instr(text, chr(34)) > 0 and instr(text, chr(39)) = 0 then 'double' when instr(text, chr(39)) > 0 and instr(text, chr(34)) = 0 then 'single' end"), ("semicolon", f"case when {d.rlike('text', ';' + chr(92) + 's*$')} then 'yes' when {d.rlike('text', '[)' + chr(92) + ']A-Za-z0-9_]' + chr(92) + 's*$')} then 'no' end"), ("trailing_comma", f"case when {d.rlike('text', ',' + chr(92) + 's*$')} then 'yes' end")]
+    each = " union all ".join(f"select {lang} as lang, '{k}' as habit, {v} as choice from code" for k, v in votes)
+    return f"""select lang, habit, choice, n, total from (select lang, habit, choice, n, cast(sum(n) over (partition by lang, habit) as bigint) as total, row_number() over (partition by lang, habit order by n desc, choice) as rn from (
+        select lang, habit, choice, count(*) as n from ({each}) e where choice is not null group by lang, habit, choice) x) y where rn = 1"""
+
+
+@both("rul18_bracket_balance", "texts")
+def _(d):
+    # one pass with what is open: a closing bracket that meets another one leaves a mark that nothing takes away
+    opens, closes, last = "([{", ")]}", "right(s, 1)"
+    step = f"case when instr('{opens}', c) > 0 then concat(s, c) when s <> '' and instr('{opens}', {last}) > 0 and instr('{opens}', {last}) = instr('{closes}', c) then left(s, length(s) - 1) else concat(s, '!') end"
+    brackets = d.replace("content", "[^\\[\\](){}]", "")
+    each = d.extract_all("b", "([\\[\\](){}])")
+    return f"select path, {d.fold(each, chr(39) * 2, 's c', step)} = '' as balanced from (select path, {brackets} as b from texts where content is not null) t"
 
 
-@both("rul15_mock_mismatch", "labels")
+@both("agg11_style_vote", "code")
 def _(d):
-    return f"select name, n_params - n_mocked as missing_args, returns <> mocked as return_mismatch, (select count(*) from labels) as n from {d.table('i, name, n_params, returns, n_mocked, mocked', MOCKS)} v where n_params <> n_mocked or returns <> mocked"
+    # naming by language: the mode, the first of the alphabet where two have as many
+    return f"""select lang, choice, n from (select lang, choice, n, row_number() over (partition by lang order by n desc, choice) as rn from (select {d.extract('path', '[.]([A-Za-z]+)$')} as lang, {style(d)} as choice, count(*) as n from (select path, {d.extract('text', '^' + chr(92) + 's*(?:const |let |var |def |function |class |func )+([A-Za-z_][A-Za-z0-9_]*)')} as name from code) c where name <> '' group by 1, 2) x where choice is not null) y where rn = 1"""
 
 
-@both("rul16_style_sniffer", "lines")
+@both("agg12_findings", "texts")
 def _(d):
-    return f"""select lang, n_lines, cast(floor(100.0 * stops / n_lines + 0.5) as bigint) as stop_pct, cast(floor(100.0 * commas / n_lines + 0.5) as bigint) as comma_pct, longest from (
-        select {d.extract('path', '/([a-z]+)/')} as lang, count(*) as n_lines, count_if({d.rlike('text', '[.]$')}) as stops, count_if({d.rlike('text', ',')}) as commas, cast(max(length(text)) as bigint) as longest from lines group by 1) x"""
+    # how often a rule finds something, and the first five places
+    return f"select rule, severity, count(*) as n, count(distinct path) as n_files, {d.join(d.slice(d.sorted(f'concat(path, {chr(39)}:{chr(39)}, {pad('line')})'), '1', '5'), ' ')} as locations from {findings(d)} f where {suppressed(d, CONFIG_IGNORE)} = 'reported' group by rule, severity"
 
 
-@both("rul17_dependency_gatekeeper", "refs")
+@both("agg12_security_score", "texts")
 def _(d):
-    std = ", ".join(f"'{x}'" for x in ("in", "of", "os", "sys", "the", "re"))
-    known = [("thand", "thand-lib"), ("this", "this-lib"), ("from", "from-lib")]
-    return f"""select i.name, case when i.name in ({std}) then 'stdlib' when l.name is not null then 'local' when k.package is not null then 'known' else 'unknown' end as state
-        from (select distinct target_name as name from refs where kind in ('import', 'call') or length(target_name) = 2) i left join (select distinct target_name as name from refs where line = 1 and place = 1) l on l.name = i.name left join {d.table('name, package', known)} k on k.name = i.name"""
+    count = lambda s: f"cast(sum(case when severity = '{s}' then 1 else 0 end) as bigint)"
+    return f"select path, h, m, l, greatest(0, 100 - 30 * h - 10 * m - 3 * l) as score from (select t.path, {count('high')} as h, {count('medium')} as m, {count('low')} as l from (select path from texts) t left join (select path, severity from {findings(d)} f where {suppressed(d, CONFIG_IGNORE)} = 'reported') s on s.path = t.path group by t.path) x"
 
 
-BRACKETS = [(1, "f(a[b]{c})"), (2, "f(a]"), (3, "(()"), (4, ")("), (5, ""), (6, "{[()]}"), (7, "a(b)c[d]e{f}g((h))")]
+@both("agg13_review_score", "code")
+def _(d):
+    return f"select path, w, i, greatest(0, 100 - 15 * w - 3 * i) as score from (select path, long_functions + odd_names + case when poorly_documented then 1 else 0 end as w, todo + repeated as i from ({review(d)}) r) x"
+
+
+@both("agg15_quality_score", "texts")
+def _(d):
+    return f"select i as path, cast(floor(100 * overall + 0.5) as double) as score from ({quality(d, '(select path as i, content as x from texts where content is not null)')}) q"
 
 
-@both("rul18_bracket_balance", "files")
+@both("agg18_todo_summary", "code")
 def _(d):
-    # innermost pairs go first; what can't be reduced within eight levels is unbalanced
-    x = d.replace("x", "[^\\[\\](){}]", "")
-    for _i in range(8):
-        x = d.replace(x, "[(][)]|\\[\\]|[{][}]", "")
-    return f"select i, {x} = '' as balanced from (select i, x from {d.table('i, x', BRACKETS)} v union all select file_id + 100, substr(content, 1, 400) from files) t"
+    return f"select priority, count(*) as n from ({todos(d)}) t group by priority"

@@ -27,11 +27,6 @@ def _(d):
     return f"select i, {strip('x')} as stripped from ({rows}) v union all select file_id * 1000 + line, {strip('text')} from lines"
 
 
-@both("str05_strip_comments", "lines")
-def _(d):
-    return f"select path, line, {d.replace(d.replace('text', '[%#&$*]{3}', ''), '!!', '')} as stripped from lines"
-
-
 @both("str07_case_class", "symbols")
 def _(d):
     return f"select i, x, {style(d, 'x')} as style from {d.table('i, x', NAMES)} v union all select id, name, {style(d)} from symbols"
@@ -142,9 +137,10 @@ def _(d):
 
 @both("str17_edit_distance", "symbols")
 def _(d):
-    # names that begin alike; lengths that differ by more than the distance allowed can't be near
-    names = "(select name, substr(name, 1, 2) as p, length(name) as n from symbols group by name)"
-    return f"select a.name, b.name as suggestion, cast(levenshtein(a.name, b.name) as bigint) as distance from {names} a join {names} b on b.p = a.p and a.name <> b.name and abs(a.n - b.n) <= 1 where levenshtein(a.name, b.name) <= 1"
+    # names that are one edit apart meet in the name itself or in what is left when a letter of one or both is taken out
+    left = d.distinct(d.unite(d.list("name"), d.map(d.span("1", "length(name)"), "i", "concat(substr(name, 1, cast(i as int) - 1), substr(name, cast(i as int) + 1))")))
+    parts = d.each("(select distinct name from symbols where name <> '') n_", left, "k_ part", "name")
+    return f"select distinct a.name, b.name as suggestion, cast(levenshtein(a.name, b.name) as bigint) as distance from {parts} a join {parts} b on b.part = a.part and a.name <> b.name where levenshtein(a.name, b.name) <= 1"
 
 
 @both("str18_occurrences", "files")
@@ -155,16 +151,6 @@ def _(d):
     return f"select path, cast((length(content) - length(replace(content, 'ee', ''))) / 2 as bigint) as apart, {runs('content')} as overlapping from (select path, content from files union all select x, x from {d.table('x', [('eee',), ('eeeee e ee',), ('',)])} v) t"
 
 
-PATCH = "--- a/x.js\n+++ b/x.js\n@@ -1,2 +1,3 @@\n a\n+b\n+c\n-d\n--- a/y.py\n+++ b/y.py\n@@ -5 +5 @@\n+z"
-
-
-@both("str19_diff_parser", "files")
-def _(d):
-    lines_ = d.each(f"{d.table('t', [(PATCH,)])} p", d.split("t", "\\n"), "i x", "t")
-    return f"""with l as (select i, x, max(case when {d.rlike('x', '^[+]{3} ')} then i end) over (order by i rows between unbounded preceding and current row) as f from {lines_} y)
-        select h.x as header, cast(count_if({d.rlike('l.x', '^[+][^+]')}) as bigint) as added, cast(count_if({d.rlike('l.x', '^-[^-]')}) as bigint) as removed, (select count(*) from files) as n_files from l join l h on h.i = l.f group by h.x"""
-
-
 SIGNATURES = [(1, "function f(a, b = 2, ...rest)"), (2, "def g(self, x: int = 1, *args)"), (3, "func h()"), (4, "fn k(a: u8, b: &str) -> bool"), (5, "no parens")]
 
 
@@ -177,21 +163,15 @@ def _(d):
 LITERALS = [(1, "limit = the"), (2, "# the end"), (3, "  // the"), (4, "print(the)"), (5, "def the(the, the, the):"), (6, "assert the"), (7, "f(the)")]
 
 
-@both("str22_literal_confidence", "lines")
-def _(d):
-    # What each sign of a line takes from the confidence that the literal in it is meant
-    signs = [("instr(x, '=') > 0", 0.2), (d.rlike("x", "^[ \\t]*#"), 0.5), (d.rlike("x", "^[ \\t]*//"), 0.5), (d.rlike("x", "print|log|console[.]"), 0.2), (d.rlike("x", "def |function "), 0.3), ("instr(x, 'assert') > 0", 0.1), ("length(x) - length(replace(x, 'the', '')) > 6", 0.2)]
-    score = "greatest(cast(0 as double), cast(1 as double)" + "".join(f" - cast(case when {c} then {w} else 0.0 end as double)" for c, w in signs) + ")"
-    return f"select i, {js_round('score')} as confidence, case when score >= 0.8 then 'high' else 'medium' end as level from (select i, {score} as score from (select i, x from {d.table('i, x', LITERALS)} v union all select file_id * 1000 + line, text from lines) t where instr(x, 'the') > 0) y where score >= 0.5"
-
-
-CONSTANTS = [(1, "MAX = 10"), (2, "const url = fetch(x)"), (3, "A: int = -3"), (4, "NAME = true;"), (5, "nothing")]
+def literal_score(d, x: str, literal: str = "the") -> str:
+    """What each sign of a line takes from the confidence that the literal in it is meant."""
+    signs = [(f"instr({x}, '=') > 0", 0.2), (d.rlike(x, "^[ \\t]*#"), 0.5), (d.rlike(x, "^[ \\t]*//"), 0.5), (d.rlike(x, "print|log|console[.]"), 0.2), (d.rlike(x, "def |function "), 0.3), (f"instr({x}, 'assert') > 0", 0.1), (f"length({x}) - length(replace({x}, '{literal}', '')) > {2 * len(literal)}", 0.2)]
+    return "greatest(cast(0 as double), cast(1 as double)" + "".join(f" - cast(case when {c} then {w} else 0.0 end as double)" for c, w in signs) + ")"
 
 
-@both("str23_constant_value", "labels")
+@both("str22_literal_confidence", "lines")
 def _(d):
-    rhs = d.trim(d.replace(d.extract("x", "=[ ]*(.*)$"), ";$", ""))
-    return f"select i, {rhs} as value, {d.rlike(rhs, '[A-Za-z_]+[(]')} as dynamic, {d.rlike(rhs, '^-?[0-9]+$')} as numeric, (select count(*) from labels) as n from {d.table('i, x', CONSTANTS)} v"
+    return f"select i, {js_round('score')} as confidence, case when score >= 0.8 then 'high' else 'medium' end as level from (select i, {literal_score(d, 'x')} as score from (select i, x from {d.table('i, x', LITERALS)} v union all select file_id * 1000 + line, text from lines) t where instr(x, 'the') > 0) y where score >= 0.5"
 
 
 @both("str24_word_boundary", "lines")
@@ -199,35 +179,9 @@ def _(d):
     return f"select path, line, {d.count('text', '(^|[^A-Za-z0-9_])the([^A-Za-z0-9_]|$)')} as n from lines where {d.rlike('text', '(^|[^A-Za-z0-9_])the([^A-Za-z0-9_]|$)')}"
 
 
-RUNS = [(1, "== 3 passed, 1 failed, 2 skipped in 0.5s =="), (2, "Tests: 2 failed, 10 passed, 12 total"), (3, "--- FAIL: TestX (0.00s)"), (4, "ok  pkg 0.1s"), (5, "nothing")]
-
-
-@both("str25_test_output", "labels")
-def _(d):
-    num = lambda p: f"coalesce(cast(nullif({d.extract('x', p)}, '') as bigint), 0)"
-    return f"select i, {num('([0-9]+) passed')} as passed, {num('([0-9]+) failed')} + case when {d.rlike('x', '^--- FAIL')} then 1 else 0 end as failed, {num('([0-9]+) skipped')} as skipped, (select count(*) from labels) as n from {d.table('i, x', RUNS)} v"
-
-
 ERRORS = [(1, "TypeError: x is not a function"), (2, "ModuleNotFoundError: No module named a"), (3, "panic: runtime error: index out of range"), (4, "SyntaxError: Unexpected token"), (5, "ECONNREFUSED 127.0.0.1"), (6, "File a.py, line 3, in f"), (7, "    at g (src/x.js:10:5)"), (8, "AssertionError"), (9, "fine")]
 
 
-@both("str26_error_type", "labels")
-def _(d):
-    kinds = [("import", "ModuleNotFound|Cannot find module|ImportError"), ("syntax", "SyntaxError|Unexpected token"), ("type", "TypeError"), ("index", "out of range|IndexError"), ("network", "ECONN|timeout"), ("assertion", "AssertionError"), ("panic", "panic:"), ("frame", "^ +at |line [0-9]+, in")]
-    cases = " ".join(f"when {d.rlike('x', p)} then '{k}'" for k, p in kinds)
-    return f"select i, case {cases} else 'other' end as kind, {d.extract('x', '([A-Za-z_./]+[.](js|py|go|rs))', 1)} as file, cast(nullif({d.extract('x', '(:|line )([0-9]+)', 2)}, '') as bigint) as line, (select count(*) from labels) as n from {d.table('i, x', ERRORS)} v"
-
-
-DIAGNOSTICS = [(1, "src/a.ts(3,5): error TS2304: Cannot find name x"), (2, "b.ts(10,1): warning TS6133: unused"), (3, "  4:2  error  no-var  bad"), (4, "done")]
-
-
-@both("str27_diagnostics", "labels")
-def _(d):
-    p = "^([^ (]+)[(]([0-9]+),([0-9]+)[)]: (error|warning) (TS[0-9]+): (.*)$"
-    g = lambda i: d.extract("x", p, i)
-    return f"select i, {g(1)} as file, cast(nullif({g(2)}, '') as bigint) as line, {g(4)} as severity, {g(5)} as code, {g(6)} as message, (select count(*) from labels) as n from {d.table('i, x', DIAGNOSTICS)} v"
-
-
 @both("str28_message_category", "conversations")
 def _(d):
     kinds = [("missing", "not found|missing|no such"), ("invalid", "invalid|illegal|bad"), ("denied", "denied|forbidden|unauthor"), ("timeout", "timed? ?out|deadline")]
@@ -247,19 +201,6 @@ def _(d):
     return f"select id, case {ext} when 'py' then 'python' when 'js' then 'javascript' when 'ts' then 'typescript' else 'other' end as language, case when {ext} in ('js', 'ts', 'jsx', 'tsx') then 'js' else {ext} end as family from functions"
 
 
-RELATIVE = [(1, "src/a/b.js", "./c"), (2, "src/a/b.js", "../c"), (3, "src/a/b.js", "../../x/y"), (4, "a.js", "./z"), (5, "src/q/r/s.py", "../t")]
-
-
-@both("pth03_resolve_relative", "labels")
-def _(d):
-    # at most three steps up: each takes the last segment of the directory with it
-    x = f"concat({d.replace('path', '[^/]*$', '')}, spec)"
-    x = d.replace(x, "(^|/)[.]/", "$1")
-    for _i in range(3):
-        x = d.replace(x, "(^|/)[^/.][^/]*/[.][.](/|$)", "$1")
-    return f"select i, path, spec, {x} as resolved, (select count(*) from labels) as n from {d.table('i, path, spec', RELATIVE)} v"
-
-
 @both("pth04_test_candidates", "functions")
 def _(d):
     stem, parent = d.extract("path", "([^/.]*)[.][^/]*$"), d.extract("path", "^(.*)/[^/]*$")
@@ -267,16 +208,6 @@ def _(d):
     return f"select id, i, candidate from {d.each('(select id, path from functions) q', forms, 'i candidate', 'id')}"
 
 
-GLOBS = [(1, "**/*.js"), (2, "src/*.py"), (3, "src/**/x"), (4, "exact.txt")]
-
-
-@both("pth05_glob_to_regex", "files")
-def _(d):
-    # ** first becomes a mark, so that the single stars aren't mixed up with it
-    x = d.replace(d.replace(d.replace(d.replace("g", "[.]", "[.]"), "[*][*]/", "<any>"), "[*]", "[^/]*"), "<any>", "(.*/)?")
-    return f"select i, g, concat('^', {x}, '$') as pattern, (select count(*) from files) as n from {d.table('i, g', GLOBS)} v"
-
-
 @both("hsh01_hashes", "symbols")
 def _(d):
     return f"select path, start_line, {d.sha('signature')} as signature_hash, {d.sha('name')} as name_hash from symbols"
@@ -332,9 +263,21 @@ def _(d):
 
 @both("map01_metric_sums", "usage")
 def _(d):
-    return "select 'k' as metric, tool, cast(sum(metric) as bigint) as total, count(metric) as n from usage group by tool"
+    # every key of the metrics, whatever they are called
+    keys = d.extract_all("props", '"([A-Za-z0-9_]+)" *: *-?[0-9]')
+    values = d.extract_all("props", '"[A-Za-z0-9_]+" *: *(-?[0-9]+)')
+    rows = d.each(f"(select tool, {keys} as ks, {values} as vs from usage) u_", "ks", "place metric", "tool, vs")
+    return f"select metric, tool, cast(sum(cast({d.item('vs', 'place')} as bigint)) as bigint) as total, count(*) as n from {rows} r group by metric, tool"
 
 
 @both("jsn01_props", "usage")
 def _(d):
     return f"select event_id, cast({d.json('props', 'k')} as bigint) as k, {d.json('props', 'missing')} is null as lacks from usage"
+
+
+@both("pth05_glob_to_regex", "texts")
+def _(d):
+    from lithic.operators.rules import glob_pattern
+
+    globs = ["**/*.js", "shop/*", "src1/**", "**/en/**", "*.txt", "shop/lib/**/app.js", "a/**/b/**/c/**/d/**/e"]
+    return "select path, " + ", ".join(f"{d.rlike('path', glob_pattern(g))} as g{i}" for i, g in enumerate(globs)) + " from texts"

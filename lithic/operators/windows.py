@@ -57,10 +57,13 @@ def _(spark, sf_dir):
     return files.groupBy("dir").applyInPandas(pages, "dir string, lang string, tokens long, page long")
 
 
-@both("win06_state_parity", "lines")
+@both("win06_state_parity", "code")
 def _(d):
-    n = f"length(text) - length({d.replace('text', '[.]', '')})"
-    return f"select path, line, cast(sum({n}) over (partition by path order by line rows between unbounded preceding and current row) % 2 as bigint) as inside from lines"
+    # which lines begin inside a triple quote, a template or a block comment: delimiters before them, modulo two or open minus closed
+    before = lambda x: f"coalesce(sum({x}) over (partition by path order by line rows between unbounded preceding and 1 preceding), 0)"
+    triple, tick = d.count("text", chr(34) * 3), d.count("text", "`")
+    opened, closed = d.count("text", "/[*]"), d.count("text", "[*]/")
+    return f"""select path, line, case when {d.rlike('path', '[.]py$')} then t % 2 = 1 when {d.rlike('path', '[.]([mc]?[jt]sx?|go|rs|c|cpp|java)$')} then o > c or k % 2 = 1 else false end as inside from (select path, line, {before(triple)} as t, {before(tick)} as k, {before(opened)} as o, {before(closed)} as c from code) x"""
 
 
 def _block(name: str, n: int) -> list[str]:

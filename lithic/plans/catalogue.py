@@ -10,15 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from lithic.plans.dialect import DUCK, SPARK, Spark
 from lithic.sources import relations
 
-Query = Callable[[SparkSession, str], DataFrame]
+Query = Callable[[SparkSession, relations.Source], DataFrame]
 Body = Callable[[Spark], str]
 _queries: dict[str, Query] = {}
 _oracle: dict[str, str] = {}
-_MODULES = ("search", "binding", "graphs", "aggregates", "windows", "scalars", "rules", "changes", "feeds", "extraction", "editing")
+_MODULES = ("search", "binding", "graphs", "aggregates", "windows", "scalars", "projects", "rules", "changes", "feeds", "extraction", "editing")
 
 
 def query(name: str, sql: str | None = None):
-    """Registers a function (spark, sf_dir) -> DataFrame under a name, beside its SQL."""
+    """Registers a function (spark, source) -> DataFrame under a name, beside its SQL."""
 
     def add(f: Query) -> Query:
         if name in _queries:
@@ -32,10 +32,11 @@ def query(name: str, sql: str | None = None):
 
 
 def both(name: str, *needs: str):
-    """Registers a query from one body(dialect) -> SQL over the relations it needs, for Spark and as its own oracle."""
+    """Registers a query from one body(dialect) -> SQL over the relations it needs, for Spark and as its own oracle. It runs on a
+    folder of tables or on relations of a source tree."""
 
     def add(body: Body) -> Body:
-        query(name, relations.with_ctes(body(DUCK), DUCK, needs))(lambda spark, sf_dir: relations.run(spark, sf_dir, body(SPARK), needs))
+        query(name, relations.with_ctes(body(DUCK), DUCK, needs))(lambda spark, source: relations.run(spark, source, body(SPARK), needs))
         return body
 
     return add

@@ -99,14 +99,20 @@ class Spark:
         return f"cast(datediff({a}, {b}) as bigint)"
 
     def table(self, cols: str, rows: list[tuple]) -> str:
-        show = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else self.lit(v) if "\n" not in v else "'" + v.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+        show = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else self.lit(v) if "\n" not in v else " || ".join("'" + x.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'" for x in v.replace("${", "$\0{").split("\0"))
         return f"(select * from values {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)} as v_({cols}))"
 
     def count(self, x: str, pattern: str) -> str:
         return f"cast(regexp_count({x}, {self.lit(pattern)}) as bigint)"
 
-    def recursive(self) -> str:
-        return "with recursive"
+    def fold(self, x: str, start: str, names: str, body: str) -> str:
+        """body of (what is there, element) over the list x, from start on; names = 'so_far element'."""
+        a, b = names.split()
+        return f"aggregate({x}, {start}, ({a}, {b}) -> {body})"
+
+    def nth(self, x: str, sep: str, i: int) -> str:
+        """The i-th part, from 1, of x as cut at a character; '' beyond the end."""
+        return f"split_part({x}, '{sep}', {i})"
 
 
 class Duck(Spark):
@@ -196,5 +202,9 @@ class Duck(Spark):
     def count(self, x: str, pattern: str) -> str:
         return f"len(regexp_extract_all({x}, {self.lit(pattern)}))::bigint"
 
+    def fold(self, x: str, start: str, names: str, body: str) -> str:
+        a, b = names.split()
+        return f"list_reduce({x}, lambda {a}, {b}: {body}, {start})"
+
 
 SPARK, DUCK = Spark(), Duck()

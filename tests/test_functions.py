@@ -95,7 +95,7 @@ def test_search_replace():
 
 
 def test_cycles_and_pages():
-    assert sorted(map(sorted, editing.cycles([("a", "b"), ("b", "a"), ("b", "c"), ("d", "d")]))) == [["a", "b"], ["d"]]
+    assert sorted(map(sorted, graphs.back_edge_cycles([("a", "b"), ("b", "a"), ("b", "c"), ("d", "d")]))) == [["a", "b"], ["d"]]
     assert pack([10, 10, 25, 5], 20, 40) == [1, 1, 2, 3] and pack([1, 1, 1], 99, 2) == [1, 1, 2]
 
 
