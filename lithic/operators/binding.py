@@ -8,10 +8,14 @@ from lithic.plans.catalogue import both, query
 from lithic.plans.dialect import DUCK
 from lithic.sources.relations import relation, with_ctes
 
-# Who encloses a reference: the smallest range of its file that holds its line; ties go to the first symbol.
-ENCLOSING = """select id, file_id, path, line, target_name, kind, source_symbol_id, source_name from (
-    select r.*, s.id as source_symbol_id, s.name as source_name, row_number() over (partition by r.id order by s.end_line - s.start_line, s.id) as rn
-    from refs r join symbols s on s.file_id = r.file_id and r.line between s.start_line and s.end_line where s.type in ('function', 'class')) x where rn = 1"""
+# Who encloses a reference: the smallest range of its file that holds its line; ties go to the first symbol. Ranges are
+# spread over their lines, of which each keeps one symbol, so that references meet them by an equi-key.
+def enclosing(d, types: str = "'function', 'class'") -> str:
+    lines = d.each(f"(select * from symbols where type in ({types})) s_", d.span("start_line", "end_line"), "k_ line", "file_id, id, name, start_line, end_line")
+    return f"""select r.id, r.file_id, r.path, r.line, r.target_name, r.kind, c.id as source_symbol_id, c.name as source_name from refs r join (
+        select file_id, line, id, name from (select file_id, line, id, name, row_number() over (partition by file_id, line order by end_line - start_line, id) as rn from {lines} l_) x where rn = 1) c on c.file_id = r.file_id and c.line = r.line"""
+
+
 # the last symbol of a name in a file wins
 SAME_FILE = "select r.id, r.file_id, r.target_name, r.kind, s.id as target_symbol_id from refs r left join (select file_id, name, max(id) as id from symbols group by file_id, name) s on s.file_id = r.file_id and s.name = r.target_name and r.kind in ('call', 'use', 'assign')"
 
@@ -28,7 +32,7 @@ def _(d):
 
 @both("jn03_caller_symbols", "refs", "symbols", "files")
 def _(d):
-    return f"select e.id, e.line, e.target_name, f.lang, e.source_name from ({ENCLOSING}) e join files f on f.file_id = e.file_id where e.kind = 'call'"
+    return f"select e.id, e.line, e.target_name, f.lang, e.source_name from ({enclosing(d)}) e join files f on f.file_id = e.file_id where e.kind = 'call'"
 
 
 @both("jn04_callees", "refs", "symbols")
@@ -76,7 +80,7 @@ def _(d):
 
 @both("jn10_enclosing_symbol", "refs", "symbols")
 def _(d):
-    return f"select path, source_name, source_symbol_id, count(*) as n, min(line) as first_line from ({ENCLOSING}) e group by path, source_name, source_symbol_id"
+    return f"select path, source_name, source_symbol_id, count(*) as n, min(line) as first_line from ({enclosing(d)}) e group by path, source_name, source_symbol_id"
 
 
 @both("jn11_containment", "lines", "symbols")

@@ -44,7 +44,7 @@ def manifests(d) -> str:
         select path, {d.extract('text', '^ *"([^"]+)": *"')} as package, {d.extract('text', ': *"([^"]*)"')} as required from {js} j where block in ('dependencies', 'devDependencies', 'peerDependencies', 'optionalDependencies')
         union all select path, {d.extract('text', '^ *"([A-Za-z0-9_.-]+)')}, {d.trim(d.extract('text', '^ *"[A-Za-z0-9_.-]+(?:\\[[^\\]]*\\])?([^"]*)"'))} from {py} p where block = 'project' and {d.rlike('text', '^ +"')}
         union all {table} from {py} q where block in ('tool.poetry.dependencies', 'tool.poetry.dev-dependencies', 'tool.poetry.group.dev.dependencies') and {d.extract('text', '^' + word + ' *=')} <> 'python'
-        union all select path, {d.extract('text', '^([A-Za-z0-9_.-]+)')}, {d.trim(d.extract('text', '^[A-Za-z0-9_.-]+(?:\\[[^\\]]*\\])?' + _S + '*([=<>~!][^#;]*)'))} from code where {d.rlike('path', '(^|/)requirements[^/]*[.]txt$')}
+        union all select path, {d.extract('text', '^([A-Za-z0-9][A-Za-z0-9_.-]*)')}, {d.trim(d.extract('text', '^[A-Za-z0-9_.-]+(?:\\[[^\\]]*\\])?' + _S + '*([=<>~!][^#;]*)'))} from code where {d.rlike('path', '(^|/)requirements[^/]*[.]txt$')}
         union all select path, {d.extract('text', '^(?:require)?' + _S + '+([^' + _S + '()]+) +v[0-9]')}, {d.extract('text', ' +(v[0-9][^' + _S + ']*)')} from code where {names_file(d, 'go.mod')}
         union all {table} from {rs} r where block in ('dependencies', 'dev-dependencies', 'build-dependencies')) m where package <> ''"""
 

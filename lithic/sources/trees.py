@@ -1,51 +1,176 @@
-"""Source trees, logs and manifests as DataFrames; snapshots written and kept up.
+"""Source trees, logs and manifests as DataFrames; snapshots written, opened and kept up.
 
-``read_tree`` and ``index`` make the relations of ``relations.py`` from a folder of sources.
+``read_tree`` reads a folder of sources, ``relations_of`` makes of it the relations that queries run on (those of
+``relations.py``), ``write_snapshot`` and ``open_snapshot`` keep them as Parquet, so that a query reads an index.
 """
 
 from __future__ import annotations
 
+import posixpath
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lithic.operators.extraction import references, symbols
-from lithic.operators.search import EXTENSIONS, IGNORED
+from lithic.functions import extract as X
+from lithic.operators.search import EXTENSIONS, IGNORED, TEST_PATH, ignore_pattern
+from lithic.sources.relations import Relations, relation
 
 MOST_BYTES, DEEPEST = 1 << 20, 8
-
-
-def read_tree(spark: SparkSession, root: str, extensions: tuple[str, ...] = tuple(EXTENSIONS), ignore: tuple[str, ...] = ()) -> DataFrame:
-    """(path, size, mtime, content, content_hash): files of known kinds below root, less ignored, hidden and deep ones."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(extensions) + "}").load(root)
-    # paths are relative to root, however the file system writes it
-    path = F.regexp_replace("path", "^.*?" + root.rstrip("/").split("://")[-1] + "/", "")
+#: Files that projects are described by, beside their sources.
+DESCRIBED = ("package.json", "package-lock.json", "pyproject.toml", "poetry.lock", "requirements*.txt", "go.mod", "go.sum", "Cargo.toml", "Cargo.lock", "*.yml", "*.yaml", "*.log", "*.diff", "*.patch", ".env", ".env.*", ".rules")
+
+
+def _walk(spark: SparkSession, root: str, deepest: int) -> tuple[str, list[str], list[tuple[str, int]]]:
+    """(root as the file system writes it, its folders that aren't ignored, hidden or too deep, empty files in these)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    at = path(root)
+    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    start = fs.makeQualified(at).toString()
+    folders, empty, todo = [], [], [(start, 1)]
+    while todo:
+        folder, depth = todo.pop()
+        folders.append(folder)
+        for s in fs.listStatus(path(folder)):
+            name = s.getPath().getName()
+            if s.isDirectory():
+                if depth < deepest and name not in IGNORED and not name.startswith("."):
+                    todo.append((s.getPath().toString(), depth + 1))
+            elif s.getLen() == 0:
+                empty.append((s.getPath().toString(), s.getModificationTime()))
+    return start, folders, empty
+
+
+def read_tree(spark: SparkSession, root: str, extensions: tuple[str, ...] = tuple(EXTENSIONS), ignore: tuple[str, ...] = (), names: tuple[str, ...] = DESCRIBED, most: int | None = None) -> DataFrame:
+    """(path, size, mtime, content, content_hash, truncated): files of known kinds or names below root, less ignored, hidden
+    and deep ones; paths are relative to root. Folders are listed first, so that nothing in ignored ones is read. With most,
+    the first so many by path, and truncated says whether there were more."""
+    start, folders, empty = _walk(spark, root, DEEPEST)
+    kinds = "{" + ",".join([*(f"*.{e}" for e in extensions), *names]) + "}"
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", kinds).load(folders).where(F.col("length") <= MOST_BYTES).select("path", "length", "modificationTime", "content")
+    wanted = re.compile("|".join(["[^/]*[.](?:" + "|".join(map(re.escape, extensions)) + ")", *(re.escape(n).replace(r"\*", "[^/]*") for n in names)]))
+    rows = [(p, 0, t / 1000.0, bytearray()) for p, t in empty if wanted.fullmatch(posixpath.basename(p))]
+    if rows:
+        raw = raw.union(spark.createDataFrame(rows, "path string, length long, at double, content binary").select("path", "length", F.timestamp_seconds("at"), "content"))
+    path = F.substr(F.col("path"), F.lit(len(start.rstrip("/")) + 2))
     files = raw.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.col("content").cast("string").alias("content"), F.sha2("content", 256).alias("content_hash"))
-    hidden = "(^|/)(" + "|".join(x.replace(".", "[.]") for x in IGNORED) + "|[.][^/]*)(/|$)"
-    files = files.where(~F.col("path").rlike(hidden) & (F.size(F.split("path", "/")) <= DEEPEST) & (F.col("size") <= MOST_BYTES))
     for rule in ignore:
-        from lithic.operators.search import ignore_pattern
-
         files = files.where(~F.col("path").rlike(ignore_pattern(rule)))
-    return files
-
-
-def index(files: DataFrame) -> dict[str, DataFrame]:
-    """files, symbols and refs of a tree, with references bound to who encloses them and to the symbols they name."""
-    files = files.withColumn("file_id", F.xxhash64("path"))
-    syms = symbols(files).withColumn("file_id", F.xxhash64("path")).withColumn("id", F.xxhash64("path", "name", "kind", "start_line"))
-    refs = references(files).withColumn("file_id", F.xxhash64("path")).withColumn("id", F.xxhash64("path", "kind", "name", "line"))
-    refs = refs.withColumn("target_name", F.when(F.col("kind") == "call", F.element_at(F.split("name", r"\.|::"), -1)).otherwise(F.col("name")))
-    around = syms.where("kind in ('function', 'method')").select("file_id", F.col("id").alias("source_symbol_id"), "start_line", "end_line")
-    inside = refs.join(around, "file_id").where("line between start_line and end_line")
-    first = Window.partitionBy("id").orderBy(F.col("end_line") - F.col("start_line"), "source_symbol_id")
-    inside = inside.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("id", "source_symbol_id")
+    if most is None:
+        return files.withColumn("truncated", F.lit(False))
+    return files.orderBy("path").limit(most).withColumn("truncated", F.lit(files.select("path").limit(most + 1).count() > most))
+
+
+ROW = "file_id long, path string, row string, name string, kind string, line int, end_line int, module string, target string, source int, signature string"
+
+
+def target_of(path: str, module: str) -> str:
+    """What a module's name stands for, as a path without its ending: relative names against the importer's folder, dotted
+    ones with slashes."""
+    folder = posixpath.dirname(path)
+    if module.startswith("./") or module.startswith("../") or module in (".", ".."):
+        module = posixpath.normpath(posixpath.join(folder, module))
+    elif X.language_of(path) == "python":
+        dots = len(module) - len(module.lstrip("."))
+        tail = module.lstrip(".").replace(".", "/")
+        for _ in range(max(0, dots - 1)):
+            folder = posixpath.dirname(folder)
+        module = posixpath.normpath(posixpath.join(folder, tail)) if dots else tail
+    elif X.language_of(path) == "java":
+        module = module.replace(".", "/")
+    return bare(module)
+
+
+_ENDING, _WHOLE = r"\.(?:[mc]?[jt]sx?|py|go|rs|h|hpp|c|cc|cpp|java|sh|bash)$", r"/(?:index|__init__)$"
+
+
+def bare(path: str) -> str:
+    """A path without its ending; an index or package file stands for its folder."""
+    return re.sub(_WHOLE, "", re.sub(_ENDING, "", path))
+
+
+def _rows(file_id: int, path: str, content: str) -> list[tuple]:
+    """A file's symbols and references; source: the number of the innermost function that a reference stands in."""
+    got, lines = X.extract(path, content), content.split("\n")
+    symbols = sorted(got.symbols, key=lambda s: (s.start_line, -s.end_line, s.name))
+    out = [(file_id, path, "symbol", s.name, s.kind, s.start_line, s.end_line, "", "", n, lines[s.start_line - 1].strip()[:200]) for n, s in enumerate(symbols, 1)]
+    functions = [(s.start_line, s.end_line, n) for n, s in enumerate(symbols, 1) if s.kind in ("function", "method")]
+    starts, best = [f[0] for f in functions], {}
+    for r in got.refs:
+        if r.line not in best:
+            around = [(e - a, n) for a, e, n in functions[: bisect_right(starts, r.line)] if e >= r.line]
+            best[r.line] = min(around)[1] if around else 0
+        out.append((file_id, path, "ref", r.name, r.kind, r.line, r.line, r.module, target_of(path, r.module) if r.kind == "import" and r.module else "", best[r.line], ""))
+    return out
+
+
+def numbered(files: DataFrame) -> DataFrame:
+    """files with file_id: their place by path. Each part of the paths is numbered by itself; parts' sizes add up."""
+    from lithic.operators.graphs import cut
+
+    ordered = cut(files.select("path").repartitionByRange("path").select("path", F.spark_partition_id().alias("part")))
+    own = ordered.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("path")))
+    sizes, before = {r.part: r["count"] for r in ordered.groupBy("part").count().collect()}, {}
+    for k in sorted(sizes):
+        before[k] = sum(sizes[j] for j in sizes if j < k)
+    first = F.create_map(*[F.lit(int(x)) for pair in before.items() for x in pair]) if before else F.create_map(F.lit(0), F.lit(0))
+    return files.join(own.select("path", (F.col("n") + F.element_at(first, F.col("part"))).cast("long").alias("file_id")), "path")
+
+
+def relations_of(files: DataFrame) -> dict[str, DataFrame]:
+    """files: as read_tree gives them. The relations that queries on code run on; each is derived from one extraction, which
+    is cut off from the files."""
+    from lithic.operators.graphs import cut
+
+    files = cut(numbered(files))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([r for i, p, c in zip(b.file_id, b.path, b.content, strict=True) for r in _rows(i, p, c or "")], columns=[c.split()[0] for c in ROW.split(", ")])
+
+    rows = cut(files.select("file_id", "path", "content").mapInPandas(run, ROW))
+    symbols = rows.where("row = 'symbol'").select((F.col("file_id") * 1_000_000 + F.col("source")).alias("id"), "file_id", "path", "name", F.col("kind").alias("type"), "signature", F.col("line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))
+    name = F.when(F.col("kind") == "call", F.element_at(F.split("name", r"\.|::"), -1)).otherwise(F.col("name"))
+    refs = rows.where("row = 'ref'").select("file_id", "path", F.col("line").cast("long").alias("line"), "kind", "name", name.alias("target_name"), "module", "target", F.when(F.col("source") > 0, F.col("file_id") * 1_000_000 + F.col("source")).alias("source_symbol_id"))
+    refs = refs.withColumn("place", F.row_number().over(Window.partitionBy("file_id", "line").orderBy("kind", "name", "module")).cast("long")).withColumn("id", F.concat_ws(":", "file_id", "line", "place"))
     # the last symbol of that name in the file, else the first of another file
-    own = syms.groupBy("file_id", F.col("name").alias("target_name")).agg(F.max_by("id", "start_line").alias("own_id"))
-    other = syms.groupBy(F.col("name").alias("target_name")).agg(F.min_by("id", F.struct("path", "start_line")).alias("other_id"))
-    bound = refs.join(inside, "id", "left").join(own, ["file_id", "target_name"], "left").join(other, "target_name", "left")
+    own = symbols.groupBy("file_id", F.col("name").alias("target_name")).agg(F.max("id").alias("own_id"))
+    other = symbols.groupBy(F.col("name").alias("target_name")).agg(F.min("id").alias("other_id"))
     plain = ~F.col("name").contains(".") | (F.col("kind") != "call")
-    bound = bound.withColumn("target_symbol_id", F.coalesce("own_id", F.when(plain, F.col("other_id")))).drop("own_id", "other_id")
-    return {"files": files, "symbols": syms, "refs": bound}
+    bound = refs.join(own, ["file_id", "target_name"], "left").join(other, "target_name", "left").withColumn("target_symbol_id", F.coalesce("own_id", F.when(plain, F.col("other_id")))).drop("own_id", "other_id")
+    bound = cut(bound)
+    family = F.when(F.col("path").rlike(r"[.][mc]?[jt]sx?$"), "js").otherwise(F.regexp_extract("path", r"[.]([A-Za-z]+)$", 1))
+    functions = symbols.where("type in ('function', 'method')").select("id", "name", "path", F.regexp_extract("path", "^([^/]*)/", 1).alias("dir"), family.alias("family"), F.col("path").rlike(TEST_PATH).alias("is_test"), F.col("type").alias("kind"), "start_line")
+    calls = bound.where("kind = 'call' and source_symbol_id is not null and target_symbol_id is not null and source_symbol_id <> target_symbol_id").select(F.col("source_symbol_id").alias("src"), F.col("target_symbol_id").alias("dst")).distinct()
+    parts = F.split(F.regexp_replace(F.regexp_replace("path", _ENDING, ""), _WHOLE, ""), "/")
+    tails = files.select(F.col("file_id").alias("dst"), F.posexplode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, 1000), "/"))).alias("cut", "target"))
+    asked = bound.where("kind = 'import' and target <> ''").select(F.col("file_id").alias("src"), "path", "target", F.col("module").rlike(r"^[.]").alias("near")).distinct()
+    # a relative name is a whole path; others are the end of one, and the shortest path wins
+    met = asked.join(tails, "target").where("(not near or cut = 0) and src <> dst")
+    first = Window.partitionBy("src", "target").orderBy("cut", "dst")
+    imports = met.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("src", "dst").distinct()
+    lines = files.select("file_id", "path", F.posexplode(F.split("content", "\n", -1)).alias("at", "text")).select("file_id", "path", (F.col("at") + 1).cast("long").alias("line"), "text")
+    lang = F.regexp_extract("path", r"[.]([A-Za-z]+)$", 1)
+    return {
+        "files": files.select("file_id", "path", F.regexp_extract("path", "^([^/]*)/", 1).alias("dir"), lang.alias("lang"), "size", "content", "mtime", "content_hash"),
+        "lines": lines,
+        "symbols": symbols,
+        "refs": bound,
+        "calls": calls,
+        "functions": functions,
+        "imports": imports,
+        "modules": files.select(F.col("file_id").alias("id"), "path"),
+        "code": lines.select("path", "line", "text"),
+        "texts": files.select("path", "content"),
+    }
+
+
+def index(spark: SparkSession, root: str, **how) -> Relations:
+    """A folder of sources as relations that any query of the catalogue on code runs on."""
+    return Relations(relations_of(read_tree(spark, root, **how)))
 
 
 def read_log(spark: SparkSession, path: str, schema: str, pollution: str | None = None) -> DataFrame:
@@ -58,19 +183,45 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def migrate_logs(spark: SparkSession, old: list[str], new: str, schema: str, pollution: str) -> int:
+    """Appends what is valid in the old logs to the new one, which stays as it was otherwise; returns how many rows."""
+    from lithic.operators.graphs import cut
+
+    rows = read_log(spark, old[0], schema, pollution)
+    for path in old[1:]:
+        rows = rows.unionByName(read_log(spark, path, schema, pollution))
+    rows = cut(rows)
+    append_log(rows, new)
+    return rows.count()
+
+
+#: What lookups filter a relation by; its files are laid out by it.
+LAYOUT = {"symbols": "name", "refs": "target_name", "calls": "dst", "lines": "path", "code": "path"}
+
+
 def write_snapshot(tables: dict[str, DataFrame], root: str) -> None:
-    """One Parquet folder for each relation; those that lookups filter by name are laid out by it."""
+    """One Parquet folder for each relation; those that lookups filter are laid out by what they filter by."""
     for name, df in tables.items():
-        by = {"symbols": "name", "refs": "target_name"}.get(name)
-        (df.repartitionByRange(by).sortWithinPartitions(by) if by else df).write.mode("overwrite").parquet(f"{root}/{name}")
+        by = LAYOUT.get(name)
+        (df.repartitionByRange(by).sortWithinPartitions(by) if by in df.columns else df).write.mode("overwrite").parquet(f"{root}/{name}")
+
 
+class StaleSnapshot(Exception):
+    """A snapshot is older than what it is asked about."""
 
-def open_snapshot(spark: SparkSession, root: str, names: tuple[str, ...] = ("files", "symbols", "refs")) -> dict[str, DataFrame]:
-    """The relations of a written snapshot, also as temporary views of these names."""
+
+def open_snapshot(spark: SparkSession, root: str, names: tuple[str, ...] = ("files", "symbols", "refs"), newest: object = None) -> Relations:
+    """The relations of a written snapshot. With newest, a time, a snapshot whose files are all older is refused."""
     tables = {n: spark.read.parquet(f"{root}/{n}") for n in names}
-    for n, df in tables.items():
-        df.createOrReplaceTempView(n)
-    return tables
+    if newest is not None and tables["files"].where(F.col("mtime") >= F.lit(newest)).isEmpty():
+        raise StaleSnapshot(f"{root} holds nothing as new as {newest}")
+    return Relations(tables)
+
+
+def snapshot_of_tables(spark: SparkSession, sf_dir: str, root: str, names: tuple[str, ...]) -> Relations:
+    """Relations projected from tables, written once and read back: queries then read an index as well."""
+    write_snapshot({n: relation(spark, sf_dir, n) for n in names}, root)
+    return open_snapshot(spark, root, names)
 
 
 def upsert(base: DataFrame, changed: DataFrame, gone: DataFrame, key: str = "path") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 import random
 
@@ -118,15 +119,18 @@ def test_tree_index(spark, tmp_path):
         (tmp_path / path).write_text(content)
     (tmp_path / "node_modules").mkdir()
     (tmp_path / "node_modules/x.js").write_text("function no() {}")
-    got = trees.index(trees.read_tree(spark, str(tmp_path)))
-    assert got["files"].count() == len([p for p, c in SAMPLES if c])  # empty files have no rows
+    got = trees.relations_of(trees.read_tree(spark, str(tmp_path)))
+    assert got["files"].count() == len(SAMPLES)
     assert {r.name for r in got["symbols"].where("path = 'src/a.js'").collect()} >= {"load", "Box", "open"}
     bound = {r.target_name: r for r in got["refs"].where("path = 'src/c.py' and kind = 'call'").collect()}
     assert bound["Runner"].target_symbol_id is not None and bound["run"].source_symbol_id is not None
     trees.write_snapshot(got, f"{tmp_path}/snap")
     assert spark.read.parquet(f"{tmp_path}/snap/symbols").count() == got["symbols"].count()
-    assert trees.open_snapshot(spark, f"{tmp_path}/snap")["refs"].count() == got["refs"].count()
-    assert spark.sql("select count(*) from symbols s join files f on f.file_id = s.file_id").first()[0] == got["symbols"].count()
+    opened = trees.open_snapshot(spark, f"{tmp_path}/snap")
+    assert opened["refs"].count() == got["refs"].count()
+    assert catalogue.queries()["agg01_index_stats"](spark, opened).first().n_symbols == got["symbols"].count()
+    with pytest.raises(trees.StaleSnapshot):
+        trees.open_snapshot(spark, f"{tmp_path}/snap", newest=datetime.datetime(2999, 1, 1))
 
 
 def test_logs(spark, tmp_path):
@@ -134,6 +138,15 @@ def test_logs(spark, tmp_path):
     assert [r.tool for r in trees.read_log(spark, f"{tmp_path}/u.jsonl", "tool string, error_code string", "POLLUTED").where("tool is not null").collect()] == ["a"]
 
 
+def test_log_migration(spark, tmp_path):
+    schema = "tool string, error_code string"
+    for name, rows in (("a", [{"tool": "x"}, {"tool": "y", "error_code": "POLLUTED"}]), ("b", [{"tool": "z"}])):
+        (tmp_path / f"{name}.jsonl").write_text("\n".join([*map(json.dumps, rows), "{broken"]))
+    trees.append_log(spark.createDataFrame([("old", None)], schema), f"{tmp_path}/new")
+    assert trees.migrate_logs(spark, [f"{tmp_path}/a.jsonl", f"{tmp_path}/b.jsonl"], f"{tmp_path}/new", schema, "POLLUTED") == 2
+    assert sorted(r.tool for r in spark.read.schema(schema).json(f"{tmp_path}/new").collect()) == ["old", "x", "z"]
+
+
 def test_streams(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     events.repartition(2).write.parquet(f"{tmp_path}/events")
