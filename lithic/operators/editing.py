@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -101,12 +102,16 @@ def search_replace(text: str, patch: str) -> tuple[str, list[str]]:
 
 
 def rename_in(source: str, path: str, old: str, new: str) -> list[tuple[int, str, str]]:
-    """(line, before, after) where a name stands outside strings and comments."""
+    """(line, before, after) where a name stands outside strings and comments. A file that imports the name under another
+    one speaks of something else by it: there only the import changes."""
     shown = X.strip(source, X.language_of(path)).split("\n")
+    aliased = re.compile(rf"(?<![\w$]){re.escape(old)}\s*(?:\bas\b|:)\s*[A-Za-z_$][\w$]*")
+    is_import = re.compile(r"^\s*(?:import\b|from\b|(?:const|let|var)\s*\{)")
+    restricted = any(is_import.match(x) and aliased.search(x) for x in shown)
     out = []
     for i, (raw, bare) in enumerate(zip(source.split("\n"), shown, strict=True), 1):
         at = [m.start() for m in re.finditer(rf"(?<![A-Za-z0-9_$]){re.escape(old)}(?![A-Za-z0-9_$])", bare)]
-        if at:
+        if at and not (restricted and not (is_import.match(bare) and aliased.search(bare))):
             after = raw
             for a in reversed(at):
                 after = after[:a] + new + after[a + len(old) :]
@@ -114,6 +119,87 @@ def rename_in(source: str, path: str, old: str, new: str) -> list[tuple[int, str
     return out
 
 
+REQUEST = "path string, seq int, symbol string, mode string, old string, new string, base_hash string"
+
+
+def sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def located(content: str, path: str, name: str) -> tuple[str, int, int]:
+    """(what came of it, first and last line) of a symbol: of several, the one of the weightiest kind."""
+    kinds = {"class": 0, "function": 1, "method": 2, "interface": 3, "type": 4, "variable": 5}
+    found = sorted((kinds.get(s.kind, 9), s.start_line, s.end_line) for s in X.extract(path, content).symbols if s.name == name)
+    if not found:
+        return "symbol_not_found", 0, 0
+    if len(found) > 1 and found[0][0] == found[1][0]:
+        return "ambiguous_symbol", 0, 0
+    return "located", found[0][1], found[0][2]
+
+
+def edited(body: str, mode: str, old: str, new: str) -> tuple[str, str]:
+    """(outcome, new body) of one request on a symbol's lines: patch one place, replace all or all but the first line, or
+    insert after. What is there already is done."""
+    if mode == "patch":
+        n = len(matches(body, old))
+        if n == 1:
+            return "written", body.replace(old, new, 1)
+        return "ambiguous_match" if n else "already_applied" if new and new in body else "no_match", body
+    first = body.split("\n", 1)[0]
+    made = {"replace": new, "body": f"{first}\n{new}", "insert_after": f"{body}\n{new}"}.get(mode)
+    if made is None:
+        return "invalid_mode", body
+    return ("already_applied" if made == body else "written"), made
+
+
+def write_symbol(content: str, path: str, symbol: str, mode: str, old: str, new: str, base_hash: str | None = None) -> tuple[str, str, str]:
+    """(outcome, the step that decided it, content). The steps: freshness, resolve, apply, validate, write; a file that was
+    sound must stay so."""
+    if base_hash and base_hash != sha(content):
+        return "stale", "freshness", content
+    how, first, last = located(content, path, symbol)
+    if how != "located":
+        return how, "resolve", content
+    lines = content.split("\n")
+    outcome, body = edited("\n".join(lines[first - 1 : last]), mode, old or "", new or "")
+    if outcome != "written":
+        return outcome, "apply", content
+    made = "\n".join([*lines[: first - 1], body, *lines[last:]])
+    if X.extract(path, made).has_errors and not X.extract(path, content).has_errors:
+        return "invalid_result", "validate", content
+    return "written", "write", made
+
+
+def write_symbols(content: str, path: str, requests: list[tuple], strict: bool = True) -> tuple[list[tuple[int, str, str]], str]:
+    """Requests (seq, symbol, mode, old, new, base_hash) one after another; symbols are found anew each time, so that places
+    follow what was written before. All hold on to the content they began with: strict undoes all if one fails."""
+    done, now = [], content
+    for seq, symbol, mode, old, new, base in sorted(requests, key=lambda r: r[0]):
+        if base and base != sha(content):
+            outcome, step = "stale", "freshness"
+        else:
+            outcome, step, now = write_symbol(now, path, symbol, mode, old, new)
+        done.append((seq, outcome, step))
+    if strict and any(o not in ("written", "already_applied") for _, o, _ in done):
+        return [(i, "rolled_back" if o == "written" else o, s) for i, o, s in done], content
+    return done, now
+
+
+def write_plan(files: DataFrame, requests: DataFrame, strict: bool = True) -> DataFrame:
+    """files (path, content), requests as REQUEST. (path, seq, outcome, step, hash): a journal of what each request came to,
+    with the hash of the file's content after all of them. A file's requests meet it by one equi-join."""
+    names = [c.split()[0] for c in REQUEST.split(", ")][1:]
+    asked = requests.groupBy("path").agg(F.collect_list(F.struct(*names)).alias("asked"))
+
+    def apply(f):
+        done, content = write_symbols(f.content or "", f.path, [tuple(r[n] for n in names) for r in f.asked], strict)
+        return [(f.path, *d, sha(content)) for d in done]
+
+    found = over_rows(files.join(asked, "path").select("path", "content", "asked"), apply, "path string, seq int, outcome string, step string, hash string")
+    missing = asked.join(files.select("path"), "path", "left_anti").select("path", F.explode("asked").alias("a")).select("path", "a.seq", F.lit("file_not_found").alias("outcome"), F.lit("resolve").alias("step"), F.lit(None).cast("string").alias("hash"))
+    return found.unionByName(missing)
+
+
 def over_rows(df: DataFrame, fn, schema: str) -> DataFrame:
     """fn(row as a namedtuple) -> rows, batch by batch."""
     names = [c.split()[0] for c in schema.split(", ")]
@@ -131,15 +217,14 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("mut02_write_symbol")
-def _(spark, sf_dir):
-    """A patch of one symbol: fresh, located, replaced once, validated; or why not."""
-
-    def apply(f):
-        first = f.content.split("\n")[0]
-        body, status, _ = batch_edit(f.content, [(first, first + " (patched)", False)])
-        yield f.path, status[0], len(body) - len(f.content)
+def _(spark, source):
+    """Requests on every symbol of a source's code: each function is patched where it returns."""
+    from lithic.operators.extraction import sources_of, symbols
 
-    return over_rows(_files(spark, sf_dir), apply, "path string, status string, delta int")
+    files = sources_of(spark, source)
+    named = symbols(files).where("kind in ('function', 'method')").select("path", F.col("start_line").alias("seq"), F.col("name").alias("symbol"))
+    requests = named.select("path", "seq", "symbol", F.lit("patch").alias("mode"), F.lit("return").alias("old"), F.lit("return  ").alias("new"), F.lit(None).cast("string").alias("base_hash"))
+    return write_plan(files, requests, strict=False)
 
 
 @query("mut07_batch_edit")
@@ -170,14 +255,14 @@ def _(spark, sf_dir):
 
 @query("str29_rename_outside_strings")
 def _(spark, sf_dir):
-    from lithic.operators.extraction import samples
+    from lithic.operators.extraction import sources_of
 
-    return over_rows(samples(spark), lambda f: [(f.path, *r) for r in rename_in(f.content, f.path, "x", "renamed")], "path string, line int, old string, new string")
+    return over_rows(sources_of(spark, sf_dir), lambda f: [(f.path, *r) for r in rename_in(f.content, f.path, "x", "renamed")], "path string, line int, old string, new string")
 
 
 @query("rul14_dry_run_brackets")
 def _(spark, sf_dir):
-    from lithic.operators.extraction import samples
+    from lithic.operators.extraction import sources_of
 
     def balance(f):
         stack = []
@@ -188,7 +273,7 @@ def _(spark, sf_dir):
                 return [(f.path, False, i)]
         return [(f.path, not stack, -1)]
 
-    return over_rows(samples(spark), balance, "path string, balanced boolean, at int")
+    return over_rows(sources_of(spark, sf_dir), balance, "path string, balanced boolean, at int")
 
 
 @query("top08_map_pages")
@@ -196,11 +281,11 @@ def _(spark, sf_dir):
     """A repository map: an entry for each directory, packed into pages, with what each page holds."""
     from lithic.operators.windows import pack
 
-    rows = relation(spark, sf_dir, "symbols").where("type <> 'variable'").groupBy(F.substring_index("path", "/", 2).alias("entry")).agg(F.sum(F.ceil((F.length("name") + 10) / 4)).cast("long").alias("tokens"), F.count("*").alias("n_symbols"))
+    rows = relation(spark, sf_dir, "symbols").where("type <> 'variable'").groupBy(F.substring_index("path", "/", 1).alias("top"), F.substring_index("path", "/", 2).alias("entry")).agg(F.sum(F.ceil((F.length("name") + 10) / 4)).cast("long").alias("tokens"), F.count("*").alias("n_symbols"))
 
     def pages(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("entry")
         return pdf.assign(page=pack(pdf.tokens.tolist(), 2000, 40))
 
-    # entries are directories: their number is that of directories, not of files
-    return rows.groupBy(F.lit(1).alias("all")).applyInPandas(lambda pdf: pages(pdf[["entry", "tokens", "n_symbols"]]), "entry string, tokens long, n_symbols long, page long")
+    # pages are filled in order, within a folder at the top; its entries are folders, not files
+    return rows.groupBy("top").applyInPandas(lambda pdf: pages(pdf[["top", "entry", "tokens", "n_symbols"]]), "top string, entry string, tokens long, n_symbols long, page long")

@@ -1,7 +1,7 @@
 """Extraction over files: table-valued functions by mapInPandas, and as SQL table functions.
 
-Any DataFrame of (path, content) will do; the queries run over small samples in each language, as the tables at hand
-hold no code.
+Any DataFrame of (path, content) will do. The queries run over a source tree's files; over the tables, which hold no code,
+over the small project beside them and a sample in each language.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lithic.functions import extract as X
 from lithic.plans.catalogue import query
-from lithic.sources.relations import relation
+from lithic.sources.relations import Relations, Source, relation
 
 SAMPLES = [
     ("src/a.js", "import fs from 'fs'\nconst { one, two: second } = require('./util')\nexport function load(x) {\n  return parse(x) + one\n}\nclass Box extends Base {\n  open(k) {\n    second(k)\n  }\n}\nlet total = 0\ntotal = total + 1\n"),
@@ -35,6 +35,15 @@ def samples(spark: SparkSession, pattern: str = ".*") -> DataFrame:
     return spark.createDataFrame(SAMPLES, "path string, content string").where(F.col("path").rlike(pattern))
 
 
+CODE = "[.](" + "|".join(X.LANGUAGES) + ")$"
+
+
+def sources_of(spark: SparkSession, source: Source, pattern: str = CODE) -> DataFrame:
+    """(path, content) of a source's code."""
+    texts = relation(spark, source, "texts").select("path", "content").where(F.col("path").rlike(CODE) & F.col("path").rlike(pattern))
+    return texts if isinstance(source, Relations) else texts.unionByName(samples(spark, pattern))
+
+
 def table_function(files: DataFrame, rows: Callable[[str, str], list[tuple]], schema: str) -> DataFrame:
     """rows(path, content) for each file, with its path; a file's rows come from one task, no shuffle."""
     names = [c.split()[0] for c in schema.split(", ")]
@@ -62,24 +71,24 @@ def tagged(files: DataFrame) -> DataFrame:
 
 
 for _id, _pattern in (("ext01_javascript", "[.](js|ts)$"), ("ext05_python", "[.]py$"), ("ext07_go", "[.]go$"), ("ext08_rust", "[.]rs$"), ("ext09_c", "[.]c$"), ("ext10_cpp", "[.]cpp$"), ("ext11_java", "[.]java$"), ("ext12_bash", "[.]sh$")):
-    query(_id)(lambda spark, sf_dir, p=_pattern: tagged(samples(spark, p)))
+    query(_id)(lambda spark, source, p=_pattern: tagged(sources_of(spark, source, p)))
 
 
 @query("ext02_js_variable_refs")
 def _(spark, sf_dir):
-    return references(samples(spark, "[.](js|ts)$")).where("kind in ('use', 'assign')")
+    return references(sources_of(spark, sf_dir, "[.](js|ts)$")).where("kind in ('use', 'assign')")
 
 
 @query("ext03_call_names")
 def _(spark, sf_dir):
-    """Built-in: known characters only, at most 200."""
-    names = references(samples(spark)).where("kind = 'call'")
+    """Extracted names, and whether known characters only make them up, at most 200: the extractor keeps no others."""
+    names = references(sources_of(spark, sf_dir)).where("kind = 'call'")
     return names.select("path", "name", (F.col("name").rlike(r"^[\w$.?\[\]:]+$") & (F.length("name") <= 200)).alias("kept"))
 
 
 @query("ext04_binding_names")
 def _(spark, sf_dir):
-    return table_function(samples(spark, "[.]js$"), lambda p, c: [(n,) for m in X.re.finditer(r"(?:const|let|var)\s*([{\[][^=]*[}\]])\s*=", c) for n in X.binding_names(m[1])], "path string, name string")
+    return table_function(sources_of(spark, sf_dir, "[.]js$"), lambda p, c: [(n,) for m in X.re.finditer(r"(?:const|let|var)\s*([{\[][^=]*[}\]])\s*=", c) for n in X.binding_names(m[1])], "path string, name string")
 
 
 @query("ext06_python_constants")
@@ -89,29 +98,29 @@ def _(spark, sf_dir):
 
 @query("ext13_has_errors")
 def _(spark, sf_dir):
-    return table_function(samples(spark), lambda p, c: [(X.extract(p, c).has_errors, len(c) > 1 << 20)], "path string, has_errors boolean, truncated boolean")
+    return table_function(sources_of(spark, sf_dir), lambda p, c: [(X.extract(p, c).has_errors, len(c) > 1 << 20)], "path string, has_errors boolean, truncated boolean")
 
 
 @query("ext14_metrics")
 def _(spark, sf_dir):
-    return table_function(samples(spark), lambda p, c: [tuple(X.metrics(p, c))], "path string, cyclomatic int, cognitive int, max_nesting int, function_count int, class_count int, loc int, comment_ratio double")
+    return table_function(sources_of(spark, sf_dir), lambda p, c: [tuple(X.metrics(p, c))], "path string, cyclomatic int, cognitive int, max_nesting int, function_count int, class_count int, loc int, comment_ratio double")
 
 
 @query("ext15_outline_nodes")
 def _(spark, sf_dir):
-    return table_function(samples(spark), lambda p, c: [tuple(n) for n in X.outline_nodes(p, c)], "path string, node_id int, parent_id int, depth int, node_type string, name string, start_line int, end_line int")
+    return table_function(sources_of(spark, sf_dir), lambda p, c: [tuple(n) for n in X.outline_nodes(p, c)], "path string, node_id int, parent_id int, depth int, node_type string, name string, start_line int, end_line int")
 
 
 @query("ext16_message_classes")
 def _(spark, sf_dir):
-    messages = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.concat_ws("/", "conv_id", "turn").alias("path"), F.col("text").alias("content"))
-    return table_function(messages.unionByName(samples(spark)), lambda p, c: [X.classify(c)], "path string, has_code boolean, code_ratio double, primary_type string, node_count int")
+    messages = relation(spark, sf_dir, "messages").select("path", "content")
+    return table_function(messages.unionByName(sources_of(spark, sf_dir)), lambda p, c: [X.classify(c)], "path string, has_code boolean, code_ratio double, primary_type string, node_count int")
 
 
 @query("src08_batch_extract")
 def _(spark, sf_dir):
     """A partition is a batch."""
-    files = relation(spark, sf_dir, "files").select("path", "content").unionByName(samples(spark))
+    files = relation(spark, sf_dir, "files").select("path", "content").unionByName(sources_of(spark, sf_dir))
     return symbols(files).groupBy("path").agg(F.count("*").alias("n"))
 
 
@@ -139,5 +148,5 @@ def register_functions(spark: SparkSession) -> None:
 @query("exte_sql_table_function")
 def _(spark, sf_dir):
     register_functions(spark)
-    samples(spark).createOrReplaceTempView("sample_files")
+    sources_of(spark, sf_dir).createOrReplaceTempView("sample_files")
     return spark.sql("select f.path, e.row_kind, e.name, e.kind, e.line from sample_files f, lateral extract_all(f.path, f.content) e")

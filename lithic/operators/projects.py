@@ -148,13 +148,18 @@ def definitions(d) -> str:
 JS_GLOBALS = "Array Boolean Date Error Function JSON Map Math Number Object Promise Proxy Reflect RegExp Set String Symbol TypeError WeakMap WeakSet BigInt Buffer URL URLSearchParams console process require module exports global globalThis window document fetch setTimeout setInterval clearTimeout clearInterval parseInt parseFloat isNaN isFinite encodeURIComponent decodeURIComponent eval super this describe it test expect beforeEach afterEach if for while switch catch return function typeof await new import".split()
 
 
+def undefined(d) -> str:
+    """(path, name): names that a file calls but neither binds nor defines, and that aren't brought along."""
+    calls = f"select distinct path, lang, name from {d.each(bodies(d) + ' b_', d.extract_all('body', '(?:^|[^A-Za-z0-9_$.])([A-Za-z_$][A-Za-z0-9_$]*)' + _S + '*[(]'), 'k_ name', 'path, lang')} c_"
+    known = quoted({*dir(builtins), *keyword.kwlist, *keyword.softkwlist})
+    return f"select c.path, c.name from ({calls}) c left join (select path, local as name from {imported(d)} i union {definitions(d)}) k on k.path = c.path and k.name = c.name where k.name is null and not (c.lang = 'py' and c.name in ({known})) and not (c.lang = 'js' and c.name in ({quoted(JS_GLOBALS)}))"
+
+
 @both("rul09_import_analysis", "texts")
 def _(d):
     # names that are called but neither bound, defined nor brought along; imports that nothing uses, with what is to go; relative and broken-up ones
-    calls = f"select distinct path, lang, name from {d.each(bodies(d) + ' b_', d.extract_all('body', '(?:^|[^A-Za-z0-9_$.])([A-Za-z_$][A-Za-z0-9_$]*)' + _S + '*[(]'), 'k_ name', 'path, lang')} c_"
-    known = quoted({*dir(builtins), *keyword.kwlist, *keyword.softkwlist})
     unused = f"select i.path, i.place, i.statement, i.local, u.name is null as unused from {imported(d)} i left join {used_names(d)} u on u.path = i.path and u.name = i.local"
-    return f"""select c.path, 'undefined' as kind, c.name as name from ({calls}) c left join (select path, local as name from {imported(d)} i union {definitions(d)}) k on k.path = c.path and k.name = c.name where k.name is null and not (c.lang = 'py' and c.name in ({known})) and not (c.lang = 'js' and c.name in ({quoted(JS_GLOBALS)}))
+    return f"""select path, 'undefined' as kind, name from ({undefined(d)}) c
         union all select path, case when all_unused then 'remove_statement' else 'remove_name' end, local from (select path, local, unused, min(case when unused then 1 else 0 end) over (partition by path, place) = 1 as all_unused from ({unused}) u) x where unused
         union all select distinct path, 'relative', module from {imported(d)} i where {d.rlike('module', '^[.]')} union all select distinct path, 'multi_line', module from {imported(d)} i where instr(statement, chr(10)) > 0"""
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lithic.operators.aggregates import js_round, style
-from lithic.operators.projects import ENV_FILE, compose_services, pad
+from lithic.operators.projects import ENV_FILE, bodies, compose_services, pad, undefined
 from lithic.plans.catalogue import both, query
 from lithic.sources.relations import Source, relation
 
@@ -266,10 +266,23 @@ def _(d):
     return f"""select s.name, {d.rlike('s.name', '^(Is|Has|Th|Er)')} as guard, w.w is not null as named from (select distinct name from symbols) s left join (select distinct w from {d.each('conversations', d.extract_all('text', '([A-Za-z]+)'), 'k w', 'conv_id')} x) w on w.w = s.name"""
 
 
-@both("rul14_indent_conformity", "lines")
+@both("rul14_indent_conformity", "code")
 def _(d):
-    code = [(1, "  a"), (2, "    b"), (3, "\tc"), (4, "   d"), (5, "e")]
-    return f"select i, {d.extract('x', '^([ ]*)')} = x as blank, length({d.extract('x', '^([ ]*)')}) % 2 = 0 as conforms, {d.rlike('x', '^' + chr(9))} as tab from (select i, x from {d.table('i, x', [c for c in code if chr(9) not in c[1]])} v union all select file_id * 1000 + line, text from lines) t"
+    # what most of a file's indented lines are indented by, tabs or a number of spaces, and how many lines don't conform
+    spaces = f"length({d.extract('text', '^( *)[^ ' + chr(92) + 't]')})"
+    kind = f"case when {d.rlike('text', '^' + chr(92) + 't')} then 'tab' when {spaces} > 0 and {spaces} % 4 = 0 then 'four' when {spaces} > 0 and {spaces} % 2 = 0 then 'two' when {spaces} > 0 then 'odd' end"
+    counted = f"select path, cast(sum(case when kind = 'tab' then 1 else 0 end) as bigint) as tabs, cast(sum(case when kind = 'four' then 1 else 0 end) as bigint) as fours, cast(sum(case when kind = 'two' then 1 else 0 end) as bigint) as twos, cast(sum(case when kind = 'odd' then 1 else 0 end) as bigint) as odd from (select path, {kind} as kind from code) c group by path"
+    return f"select path, case when tabs > twos + fours then 'tab' when twos > 0 and twos * 2 >= fours then 'two' when fours > 0 then 'four' else 'none' end as style, case when tabs > twos + fours then twos + fours + odd else tabs + odd + case when twos > 0 and twos * 2 >= fours then 0 else twos end end as nonconforming from ({counted}) x"
+
+
+@both("rul14_dry_run", "texts")
+def _(d):
+    # a file as an edit would leave it: its brackets outside comments and strings, and names that are called but not bound
+    opens, closes, last = "([{", ")]}", "right(s, 1)"
+    step = f"case when instr('{opens}', c) > 0 then concat(s, c) when s <> '' and instr('{opens}', {last}) > 0 and instr('{opens}', {last}) = instr('{closes}', c) then left(s, length(s) - 1) else concat(s, '!') end"
+    brackets = d.extract_all("body", "([\\[\\](){}])")
+    lacking = f"select path, count(*) as n from ({undefined(d)}) u group by path"
+    return f"select b.path, {d.fold(brackets, chr(39) * 2, 's c', step)} = '' as balanced, coalesce(l.n, 0) as undefined from {bodies(d)} b left join ({lacking}) l on l.path = b.path"
 
 
 @both("rul15_mock_mismatch", "code")

@@ -58,6 +58,7 @@ RELATIONS: dict[str, tuple[tuple[str, ...], Callable[[Spark], str]]] = {
     "modules": (("nation",), lambda d: "select n_nationkey as id, n_name as path from nation"),
     "links": (("pages",), lambda d: f"select page_id as file_id, path, module, line from {d.each('pages_', d.extract_all('html', 'href=' + chr(34) + '([^' + chr(34) + ']+)' + chr(34)), 'line module', 'page_id, path')}"),
     "pages_": (("pages",), lambda d: f"select page_id, html, {d.extract('url', '^[a-z]+://[^/?#]*([^?#]*)')} as path, {d.extract('url', '^[a-z]+://([^/?#]*)')} as host from pages"),
+    "messages": (("conversations",), lambda d: "select concat(cast(conv_id as varchar(20)), '/', cast(turn as varchar(20))) as path, text as content from conversations"),
     "usage": (("events",), lambda d: f"select event_id, ts, event_type as tool, case when event_type = 'error' then 'error' when event_id % 97 = 0 then 'crash' else 'ok' end as status, value as duration_ms, user_id as session, props, cast({d.json('props', 'k')} as bigint) as metric from events"),
     # a journal of transactions: what a session did, in its order
     "journal": (("usage",), lambda d: f"select event_id as seq, session as txn, {d.seconds('ts')} as at_s, case tool when 'view' then 'begin' when 'click' then 'edit' when 'purchase' then 'commit' when 'error' then 'rollback' when 'signup' then 'undo' else 'edit' end as action, concat('f', cast(event_id % 7 as varchar(20))) as path from usage"),

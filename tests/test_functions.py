@@ -232,3 +232,45 @@ def test_routes(spark):
         with pytest.raises(LookupError):
             serve(spark, data, url)
     assert serve(spark, data, "/symbols/' or 1=1 --").count() == 0
+
+
+SOURCE = "import { helper as h } from './b'\nfunction one() {\n  return 1\n}\nfunction two() {\n  return 1\n}\n"
+
+
+def test_write_symbol():
+    write = lambda *a: editing.write_symbol(SOURCE, "a.js", *a)[:2]
+    assert write("one", "patch", "return 1", "return 2") == ("written", "write")
+    assert editing.write_symbol(SOURCE, "a.js", "two", "patch", "return 1", "return 2")[2] == SOURCE[: SOURCE.rindex("1")] + "2\n}\n"  # the other's stays
+    assert write("one", "patch", "return 3", "return 1") == ("already_applied", "apply")
+    assert write("one", "patch", "return 3", "return 4") == ("no_match", "apply")
+    assert write("one", "patch", "n", "m") == ("ambiguous_match", "apply")
+    assert write("none", "patch", "a", "b") == ("symbol_not_found", "resolve")
+    assert write("one", "replace", "", "function one() {") == ("invalid_result", "validate")
+    assert write("one", "patch", "return 1", "return 2", "0" * 64) == ("stale", "freshness")
+    assert write("one", "patch", "return 1", "return 2", editing.sha(SOURCE)) == ("written", "write")
+    assert write("one", "swap", "", "") == ("invalid_mode", "apply")
+    assert editing.write_symbol(SOURCE, "a.js", "one", "insert_after", "", "let z = 1")[2].split("\n")[4] == "let z = 1"
+    assert editing.write_symbol(SOURCE, "a.js", "one", "body", "", "  return 9\n}")[2].split("\n")[1:4] == ["function one() {", "  return 9", "}"]
+    assert editing.write_symbol("class A {\n  f() {\n  }\n}\nclass B {\n  f() {\n  }\n}\n", "a.js", "f", "patch", "f", "g")[0] == "ambiguous_symbol"
+
+
+def test_write_batches(spark):
+    ok, bad = (1, "one", "insert_after", "", "let z = 1", None), (3, "three", "patch", "a", "b", None)
+    later = (2, "two", "patch", "return 1", "return 2", None)  # its lines have moved by then
+    done, content = editing.write_symbols(SOURCE, "a.js", [later, ok])
+    assert [o for _, o, _ in done] == ["written", "written"] and content.count("return 2") == 1 and "let z = 1" in content
+    done, content = editing.write_symbols(SOURCE, "a.js", [ok, later, bad])
+    assert [o for _, o, _ in done] == ["rolled_back", "rolled_back", "symbol_not_found"] and content == SOURCE
+    done, content = editing.write_symbols(SOURCE, "a.js", [ok, later, bad], strict=False)
+    assert [o for _, o, _ in done] == ["written", "written", "symbol_not_found"] and content != SOURCE
+    files = spark.createDataFrame([("a.js", SOURCE), ("b.js", None)], "path string, content string")
+    asked = spark.createDataFrame([("a.js", *ok), ("a.js", *later), ("b.js", *ok), ("gone.js", *ok)], editing.REQUEST)
+    got = {(r.path, r.seq): (r.outcome, r.step) for r in editing.write_plan(files, asked).collect()}
+    assert got == {("a.js", 1): ("written", "write"), ("a.js", 2): ("written", "write"), ("b.js", 1): ("symbol_not_found", "resolve"), ("gone.js", 1): ("file_not_found", "resolve")}
+
+
+def test_rename_and_aliases():
+    text = "import { helper as h } from './b'\nlet x = helper(`${helper} helper`) // helper\n"
+    assert editing.rename_in(text, "a.js", "helper", "aid") == [(1, "import { helper as h } from './b'", "import { aid as h } from './b'")]
+    text = "import { helper } from './b'\nlet x = helper(`${helper} helper`) // helper\n"
+    assert [after for _, _, after in editing.rename_in(text, "a.js", "helper", "aid")] == ["import { aid } from './b'", "let x = aid(`${aid} helper`) // helper"]
