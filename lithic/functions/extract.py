@@ -35,7 +35,6 @@ class Extract(NamedTuple):
 
 
 LANGUAGES = {"py": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "rs": "rust", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "hpp": "cpp", "java": "java", "sh": "bash", "bash": "bash"}
-BRACES = {"javascript", "typescript", "go", "rust", "c", "cpp", "java", "bash"}
 
 _NAME = r"([A-Za-z_$][\w$]*)"
 #: A pair of parentheses with what stands between, three deep.

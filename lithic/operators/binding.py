@@ -83,12 +83,12 @@ def _(d):
     return f"select path, source_name, source_symbol_id, count(*) as n, min(line) as first_line from ({enclosing(d)}) e group by path, source_name, source_symbol_id"
 
 
-@both("jn11_containment", "lines", "symbols")
+@both("jn11_containment", "symbols")
 def _(d):
-    # spans of different reach: a capitalised line reaches to the next class-like line
-    return """with span as (select file_id, id, name, start_line as a, case when type = 'class' then 1000000 when type = 'function' then start_line + 3 else start_line end as b from symbols)
-        select c.id, c.name, p.id as parent_id, p.name as parent_name from span c left join (
-            select c2.id as child, p2.id, p2.name, row_number() over (partition by c2.id order by p2.b - p2.a, p2.id) as rn from span c2 join span p2 on p2.file_id = c2.file_id and p2.id <> c2.id and p2.a < c2.a and c2.b <= p2.b) p on p.child = c.id and p.rn = 1"""
+    # the smallest symbol that begins before another and reaches as far; met over the line that the other begins on
+    cover = d.each("symbols s_", d.span("start_line", "end_line"), "k_ line", "file_id, id, name, start_line, end_line")
+    return f"""select c.id, c.name, p.id as parent_id, p.name as parent_name from symbols c left join (
+            select c2.id as child, p2.id, p2.name, row_number() over (partition by c2.id order by p2.end_line - p2.start_line, p2.id) as rn from symbols c2 join {cover} p2 on p2.file_id = c2.file_id and p2.line = c2.start_line where p2.id <> c2.id and p2.start_line < c2.start_line and c2.end_line <= p2.end_line) p on p.child = c.id and p.rn = 1"""
 
 
 @both("jn12_import_flag", "refs", "symbols")

@@ -23,14 +23,14 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 RELATIONS: dict[str, tuple[tuple[str, ...], Callable[[Spark], str]]] = {
     "files": (("documents",), lambda d: "select doc_id as file_id, concat(source, '/', lang, '/', cast(doc_id as varchar(20)), '.txt') as path, source as dir, lang, n_chars as size, text as content from documents"),
     "lines": (("files",), lambda d: f"select file_id, path, line, text from {d.each('files', d.split('content', chr(92) + 'n'), 'line text', 'file_id, path')}"),
-    # a symbol is a line's leading word; it reaches to the line before the next symbol
+    # a symbol is a line's leading word; it reaches to the line before the next symbol, and the first one over the file
     "symbols": (
         ("lines",),
         lambda d: f"""select id, file_id, path, name, type, signature, start_line, end_line from (
             select file_id * 1000000 + line as id, file_id, path, {d.extract('text', '^([A-Za-z]+)')} as name,
               case when line = 1 then 'class' when {d.rlike('text', '^[A-Z]')} then 'function' else 'variable' end as type,
               {d.trim('substr(text, 1, 60)')} as signature, line as start_line,
-              coalesce(lead(line) over (partition by file_id order by line) - 1, last_line) as end_line
+              case when line = 1 then last_line else coalesce(lead(line) over (partition by file_id order by line) - 1, last_line) end as end_line
             from (select l.*, max(line) over (partition by file_id) as last_line from lines l) m where {d.rlike('text', '^[A-Za-z]')}) s""",
     ),
     # each word is a reference; its kind goes by its length, so that all kinds occur

@@ -122,6 +122,17 @@ def test_snapshot_answers_as_the_tree(spark, tree, tmp_path):
         assert sorted(map(str, rows(spark, name, snap))) == sorted(map(str, rows(spark, name, tree)))
 
 
+def test_containment(spark, tree, ids):
+    got = {(r.name, r.parent_name) for r in rows(spark, "jn11_containment", tree) if r.id in {ids[("pkg/tool.py", n)] for n in ("Tool", "use", "outer", "inner")}}
+    assert got == {("Tool", None), ("use", "Tool"), ("outer", None), ("inner", "outer")}
+
+
+def test_upsert(spark):
+    base = spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "path string, n int")
+    changed, gone = spark.createDataFrame([("b", 2), ("d", 2)], "path string, n int"), spark.createDataFrame([("c",)], "path string")
+    assert sorted(map(tuple, trees.upsert(base, changed, gone).collect())) == [("a", 1), ("b", 2), ("d", 2)]
+
+
 def test_strong_parts(spark):
     """Any graph's edges on cycles, against a closure."""
     import random
