@@ -11,7 +11,8 @@ No shuffle and no join: the sentence table is of fixed size and stands in the pl
 map for the few sentences that are in it.
 
 Cases: null and empty texts have no sentences and no licences; repeated sentences stay in the sequence; sentences that
-no rule uses are listed all the same.
+no rule uses are listed all the same; of two readings that know as many the one by line is listed. Repeated rows are each
+read; texts of any length are read whole; an empty table gives an empty one; columns keep their names inside ``row``.
 """
 
 from __future__ import annotations

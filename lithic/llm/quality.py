@@ -11,7 +11,8 @@ sample's size); everything else covers all rows. Labels, language, source and id
 Cases: null and empty texts have all statistics zero and are scored like any other; without labels of both kinds the
 score is the labels' mean, or 0.5; of equal labels of one id one counts, and of rows that share a labelled id one (the
 least by its statistics), so that what is gathered stays within the sample; a null doc_id counts as the text "null"
-for the fold.
+for the fold. Repeated rows have equal scores; texts of any length are measured whole; an empty table gives an empty
+one; columns keep their names inside ``row``; a score at the threshold counts as reaching it.
 """
 
 from __future__ import annotations

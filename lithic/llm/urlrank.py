@@ -11,6 +11,8 @@ verdicts by an outer join whose hot side Spark can split.
 
 Cases: null urls and such without :// have an empty host and path, fit no rule and are allowed, as is a host that no
 seed reaches; relative links and links to the own host are no edges; null html has no links; repeated pages each count.
+A host with as many allowed as blocked pages is no seed; rules of equal length go by their names. Pages of any length are
+searched whole; an empty table gives an empty one; columns keep their names inside ``row``.
 """
 
 from __future__ import annotations

@@ -44,3 +44,36 @@ def test_stages(spark, tmp_path):
     assert ids["sentencepiece"] == ids["benchmark_decontamination"]
     assert all(r.round_trip for r in seen["sentencepiece"].collect())
     assert re.fullmatch("[a-z_]+", pipeline.STAGES[0][0]) and len(pipeline.STAGES) == 5
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, clashing names, empty tables."""
+    rng = np.random.default_rng(13)
+    words = [f"{a}{b}" for a in "stone river light under".split() for b in range(60)]
+    some = lambda n: " ".join(rng.choice(words, n)) + "."
+    long = " ".join(some(90) for _ in range(300))
+    rows = [(i, some(90) if i % 3 else " ".join(w.upper() + "!!" for w in rng.choice(words, 60)), "en", "s", 5) for i in range(200)]
+    rows += [(None, None, None, None, None), (None, None, None, None, None), (300, "", None, "s", 0), (301, None, "en", None, None), (302, long, "en", "s", None), (303, "x" * 50_000, "en", "s", 1), (5, rows[5][1], "en", "s", 5), (5, rows[7][1], "en", "s", 5), (None, rows[8][1], None, None, None)]
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    clash = ["m", "row", "t", "bucket", "salt", "score", "node", "kept", "spans", "id"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in clash)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(200)] + [(None, 1), (5, None)], "doc_id long, quality int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, some(14)), (None, rows[1][1]), (3, None), (4, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for part, kept in (("all", rows), ("none", [])):
+        docs = spark.createDataFrame([(*r, *["c"] * len(clash)) for r in kept], schema)
+        docs.write.parquet(f"{tmp_path}/{part}")
+        docs = spark.read.parquet(f"{tmp_path}/{part}")
+        counts = []
+        for name, stage in pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            out.write.parquet(f"{tmp_path}/{part}_{name}")
+            got = spark.read.parquet(f"{tmp_path}/{part}_{name}")
+            if name != "sentencepiece":
+                assert got.columns == names + clash and all(set(r) <= {"c"} for r in got.select(*[f"`{c}`" for c in clash]).distinct().collect())
+                docs = got
+            counts.append(got.count())
+        assert counts == sorted(counts, reverse=True) and (counts[-1] > 100 if kept else counts == [0] * 5)
+    texts = [r.text for r in spark.read.parquet(f"{tmp_path}/all_simhash_near_dedup").collect()]
+    assert sum(not t for t in texts) <= 1 and len(texts) == len(set(texts))  # one of the empty, one of each repeated text
+    assert long in texts or long not in [r.text for r in spark.read.parquet(f"{tmp_path}/all_quality_classifier").collect()]
