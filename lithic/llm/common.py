@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+import weakref
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 _roots: dict[str, SparkSession] = {}
+_saved: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()  # table -> its folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +52,20 @@ def save(df: DataFrame) -> DataFrame:
         atexit.register(_remove, spark, root)
     path = f"{root}/{uuid.uuid4().hex}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _saved[out] = path
+    return out
+
+
+def drop(*saved: DataFrame) -> None:
+    """Removes tables that save() wrote and nothing will read again, and has Spark remove the shuffle files of plans that
+    ended with them, which it does once the driver's collector has found their plans unused."""
+    for df in saved:
+        path = _saved.pop(df, None)
+        if path:
+            _remove(df.sparkSession, path)
+    if saved:
+        saved[0].sparkSession._jvm.System.gc()
 
 
 def batch_conf(spark: SparkSession) -> None:

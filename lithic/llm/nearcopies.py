@@ -14,8 +14,9 @@ that one text has and the other can't have; pairs with too many are dropped, and
 sets.
 
 Large groups are not paired off. A few rows of each group meet the others, what they confirm is joined, and what then
-belongs together needn't meet again; rows of the smaller components of a group go first. A group ends when one
-component is left, so a group of n near copies costs n confirmations. Rows that have met all others are done.
+belongs together needn't meet again; rows of the smaller components of a group go first, and of these the ones with the
+fewest rarer shingles: a text that others are copies of has none of its own. A group ends when one component is left, so
+a group of n near copies of a text costs n confirmations. Rows that have met all others are done.
 
 Cases: null and empty texts have no shingles and are alike; texts of at most five words are one shingle; equal sets are
 one node; words are lower case. Repeated rows and rows that share an id are one node if their texts are equal, and else
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lithic.llm.common import annotate, batch_conf, save
+from lithic.llm.common import annotate, batch_conf, drop, save
 from lithic.llm.graph import components
 from lithic.llm.simhash import SEED, _signed, fingerprint_links, majority, shingle_hashes
 
@@ -113,7 +114,9 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, found: DataFrame, text: st
     texts = found.select(F.col("m.node").alias("node"), F.col(f"row.`{text}`").alias("text")).join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     sets = save(_sets(texts, "text", ["node"]).select("row.node", "m.shingles"))
     alike_ = 9 * F.size(F.array_intersect("shingles_a", "shingles_b")) >= 4 * (F.size("shingles_a") + F.size("shingles_b"))
-    return save(_beside(left, sets, "shingles").where(alike_).select("a", "b"))
+    found_ = save(_beside(left, sets, "shingles").where(alike_).select("a", "b"))
+    drop(left, nodes, sets)
+    return found_
 
 
 def _by_fingerprint(nodes: DataFrame) -> DataFrame:
@@ -138,8 +141,8 @@ def alike(found: DataFrame, text: str = "text") -> DataFrame | None:
     nodes = save(found.select("m.node", "m.n", "m.fp", "m.sketch").join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")))
     links, roots, heads = None, None, 1
 
-    def met(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-        """The rows that are still to meet others, once the pairs are confirmed and joined."""
+    def met(pairs: DataFrame, rows: DataFrame, before: DataFrame) -> DataFrame:
+        """The rows that are still to meet others, once the pairs are confirmed and joined; before: what rows come from."""
         nonlocal links, roots
         new = _confirmed(pairs, nodes.select("node", "sketch"), found, text)
         if new.limit(1).count():
@@ -147,21 +150,24 @@ def alike(found: DataFrame, text: str = "text") -> DataFrame | None:
             roots = components(links)
             rows = rows.join(roots.select(F.col("a").alias("node"), F.col("b").alias("to")), "node", "left").withColumn("root", F.coalesce("to", "node")).drop("to")
         group = Window.partitionBy("h")
-        return save(rows.withColumn("lo", F.min("root").over(group)).withColumn("hi", F.max("root").over(group)).where("lo <> hi").drop("lo", "hi"))
+        left = save(rows.withColumn("lo", F.min("root").over(group)).withColumn("hi", F.max("root").over(group)).where("lo <> hi").drop("lo", "hi"))
+        drop(before, pairs)
+        return left
 
     if rows.limit(1).count():
-        rows = met(_by_fingerprint(nodes.select("node", "n", "fp")), rows)
+        rows = met(_by_fingerprint(nodes.select("node", "n", "fp")), rows, rows)
     while rows.limit(1).count():
         rows = rows.repartition("h").withColumn("share", F.count("*").over(Window.partitionBy("h", "root")))
-        rows = save(rows.withColumn("k", F.row_number().over(Window.partitionBy("h").orderBy("share", "root", "node"))).drop("share"))
+        rows, before = save(rows.withColumn("k", F.row_number().over(Window.partitionBy("h").orderBy("share", "pos", "root", "node"))).drop("share")), rows
+        drop(before)
         x, y = rows.where(F.col("k") <= heads).alias("x"), rows.alias("y")
         room = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
         near = (F.col("x.h") == F.col("y.h")) & (F.col("x.k") < F.col("y.k")) & (F.col("x.root") != F.col("y.root")) & (9 * room >= 4 * (F.col("x.n") + F.col("y.n")))
         low = F.col("x.node") < F.col("y.node")
         side = lambda c, a, b: F.when(low, F.col(f"{a}.{c}")).otherwise(F.col(f"{b}.{c}"))
         pairs = save(x.join(y, near).select(side("node", "x", "y").alias("a"), side("node", "y", "x").alias("b"), side("n", "x", "y").alias("na"), side("n", "y", "x").alias("nb")).distinct())
-        rows = met(pairs, rows.where(F.col("k") > heads).drop("k"))
-        heads *= 4
+        rows = met(pairs, rows.where(F.col("k") > heads).drop("k"), rows)
+        heads *= 8
     return roots
 
 

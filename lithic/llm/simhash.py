@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lithic.llm.common import annotate, batch_conf, save, spread, table
-from lithic.llm.graph import components
+from lithic.llm.graph import components, forest
 
 SHINGLE, BITS, SEED = 3, 3, 42
 #: Rows of a group above which it is dealt out by further bits.
@@ -135,22 +135,6 @@ class GrayIndex:
             yield q, node
 
 
-def forest(n: int, pairs) -> np.ndarray:
-    """The least node that each of n nodes is joined to by the pairs."""
-    root = np.arange(n)
-    for a, b in pairs:
-        while len(a):
-            ra, rb = root[a], root[b]
-            low = np.minimum(ra, rb)
-            np.minimum.at(root, ra, low)
-            np.minimum.at(root, rb, low)
-            while not np.array_equal(root, up := root[root]):
-                root = up
-            apart = root[a] != root[b]
-            a, b = a[apart], b[apart]
-    return root
-
-
 def _forests(bits: int, fanout: int):
     def links(codes, group):
         """Forest edges of the groups in one batch of rows sorted by group."""

@@ -8,6 +8,7 @@ import re
 import struct
 import time
 import tracemalloc
+import zlib
 from collections import Counter
 from fractions import Fraction
 
@@ -285,6 +286,35 @@ def test_simhash_links(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "fp long, doc_id long")).count() == 0
 
 
+def test_simhash_query(spark, texts, tmp_path):
+    """Fingerprints and components of a whole table, one text of it beyond a part's shingles, and names that clash."""
+    rng = np.random.default_rng(21)
+    long = [f"w{i}" for i in rng.integers(0, 5000, simhash._CHUNK + 500)]
+    rows = [(i, t, "fp", "m") for i, t, *_ in texts] + [(700, " ".join(long), "fp", "m"), (701, " ".join(long[:-1]), "fp", "m")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp string, m string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    prints = [plain_fingerprint(t) for _, t, *_ in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if (prints[a] ^ prints[b]).bit_count() <= 3:
+                root[find(a)] = find(b)
+    least = {}
+    for k, (i, *_) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(i, least.get(find(k), i))
+    want = Counter((i, f"{prints[k]:016x}", least.get(find(k))) for k, (i, *_) in enumerate(rows))
+    got = simhash.op9_simhash_near_dedup(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "fingerprint", "component_id"] and Counter(map(tuple, got.collect())) == want
+    assert {r.row.fp for r in simhash.fingerprints(df).collect()} == {"fp"} and simhash.fingerprints(df.limit(0)).count() == 0
+
+
 def test_first_of_alike(spark):
     t = " ".join(f"a{i}" for i in range(300))
     rows = [(1, t), (2, t), (3, t.upper()), (4, "something else"), (5, None), (6, ""), (4, "something else")]
@@ -311,8 +341,10 @@ def test_components(spark):
     for a, b in edges:
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
-    got = {r.a: r.b for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {x: find(x) for x in {y for e in edges for y in e} if find(x) != x}
+    for few in (0, 1000):  # in rounds, and in one task
+        got = {r.a: r.b for r in graph.components(spark.createDataFrame(edges, "a long, b long"), few=few).collect()}
+        assert got == {x: find(x) for x in {y for e in edges for y in e} if find(x) != x}
+        assert graph.components(spark.createDataFrame([], "a long, b long"), few=few).count() == 0
 
 
 def _tops(rows, k=5, every=50):
@@ -440,6 +472,27 @@ def test_quality(spark):
     assert quality.train(d.union(d.where("doc_id = 7").crossJoin(spark.range(500)).select("doc_id", "text")), labels.union(labels)) == model
 
 
+def test_quality_query(spark, tmp_path):
+    rng = np.random.default_rng(18)
+    words = [f"word{i}" for i in range(300)]
+    rows = [(i, " ".join(rng.choice(words, 80)) + "." if i % 3 else "same " * 80, "x", 1.0) for i in range(300)] + [(500, None, "x", 1.0), (501, "", "x", 1.0), (502, "many words " * 100_000, "x", 1.0), (3, "same " * 80, "x", 1.0), (None, "a b", "x", 1.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m string, score double")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = quality.op2_quality_classifier(spark, str(tmp_path))
+    assert got.columns[:4] == ["doc_id", "held_out", "score", "predicted"]
+    found = got.collect()
+    assert len(found) == len(rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in found)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in found if r.doc_id is not None)
+    held = [r for r in found if r.held_out and r.doc_id is not None and r.doc_id < 300]
+    assert np.mean([r.predicted == int(r.doc_id % 3 > 0) for r in held]) > 0.95
+    assert len({r.score for r in found if r.doc_id == 3}) == 1  # repeated rows
+    model = quality.train(df, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    assert {(r.row.m, r.row.score) for r in quality.score_quality(df, model).collect()} == {("x", 1.0)}
+    assert quality.score_quality(df.limit(0), model).count() == 0
+    assert quality.train(df.limit(0), spark.read.parquet(f"{tmp_path}/labels.parquet")).rules == []
+
+
 LICENCE_DOCS = [
     (1, "Text.\nReleased under the MIT License.\nMore."),
     (2, "A. B. Licensed under CC BY-NC 4.0.\nAll rights reserved."),
@@ -565,6 +618,41 @@ def test_url_filter(spark):
     assert len(rules) == 5
 
 
+def _judged(url):
+    """Host, path and the rule of a url, by hand."""
+    if url is None or "://" not in url:
+        return "", "", None
+    rest = url.split("://", 1)[1]
+    host = re.split("[/?#]", rest, maxsplit=1)[0]
+    path = re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
+    host = lower(host)
+    fits = [r for r in urlrank.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    return host, path, max(fits, key=lambda r: len(r.name)) if fits else None
+
+
+def test_url_query(spark, tmp_path):
+    rng = np.random.default_rng(23)
+    parts = [["http://", "https://", "ftp://", "", "x"], ["a.example.com", "EXAMPLE.com", "example.net", "b.net", "c.org", "com", "notcom", "d.info", ""], ["", "/", "/en/", "/en/7", "/de/8x", "/de/", "/es/1", "/EN/"], ["", "?q=/en/", "#/de/", "?a#b"]]
+    urls = ["".join(rng.choice(p) for p in parts) for _ in range(300)] + [None, "", "://", "http://h.org/a://b.net/de/"]
+    long = "<p>words</p>" * 50_000 + '<a href="//a.example.com/x">l</a>'
+    rows = [(i, u, [None, "", "<a href=/rel>x</a>", '<a href="http://b.net/y">y</a>'][i % 4], "h", "v") for i, u in enumerate(urls)] + [(900, "http://d.info/", long, "h", "v"), (None, None, None, None, None), (3, urls[3], None, "h", "v")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, verdict string")
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    got = urlrank.op10_url_filter(spark, str(tmp_path))
+    assert got.columns == ["page_id", "host", "path", "rule", "verdict"]
+    found = got.collect()
+    want = Counter((i, h, p, r.name if r else None) for i, u, *_ in rows for h, p, r in [_judged(u)])
+    assert Counter((r.page_id, r.host, r.path, r.rule) for r in found) == want
+    verdict = {r.name: r.verdict for r in urlrank.RULES}
+    assert all(r.verdict == verdict[r.rule] if r.rule else r.verdict in ("allow", "block") for r in found)
+    assert all(r.verdict == "allow" for r in found if r.host == "" and r.rule is None)
+    own = {(r.row.host, r.row.verdict) for r in urlrank.judge(df).collect()}
+    assert own == {("h", "v"), (None, None)} and urlrank.judge(df.limit(0)).count() == 0
+    # as many allowed as blocked pages: the host is no seed, and its other pages are allowed
+    tied = spark.createDataFrame([(1, "http://t.net/de/", None), (2, "http://t.net/en/", None), (3, "http://t.com/en/", None), (4, "http://s.example.net/de/8", None), (5, "http://s.example.net/de/1", None), (6, "http://s.example.net/x", None)], "page_id long, url string, html string")
+    assert {r.row.page_id: r.m.verdict for r in urlrank.judge(tied).collect()}[6] == "allow"
+
+
 def test_intermediates_go_to_a_shared_folder(spark, monkeypatch):
     class Context:
         master, getConf = "spark://elsewhere:7077", staticmethod(dict)
