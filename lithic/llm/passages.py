@@ -28,10 +28,25 @@ from lithic.llm.repeats import Scheme, Spans, dealt, repeated_blocks, span_of, w
 WINDOW, GRAM = 35, 12
 #: Words of passages in one automaton.
 SHARD = 400_000
+#: Words whose hashes a worker remembers.
+REMEMBER = 500_000
+
+
+class _Hashes(dict):
+    """Hashes of the words met so far."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > REMEMBER:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_hashes = _Hashes()
 
 
 def hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 
 def symbols(text: bytes) -> np.ndarray:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithic.llm.common import batch_conf, save, spread
+from lithic.llm.common import batch_conf, drop, save, spread
 
 BUCKET_BYTES = 2 << 20
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -311,20 +311,25 @@ def repeated_blocks(docs: Dealt, scheme: Scheme, cut, confirm) -> DataFrame:
     of their windows if the operator needs any. confirm(passages) returns (anchor, block, runs) for those passages that
     differ from others with their anchor and have repeated windows; passages has the columns of PASSAGE.
     """
-    rows = block_rows(docs, scheme)
+    # written once, as both the count of anchors and what is left of them read it
+    rows = save(block_rows(docs, scheme))
     # a hot anchor is summed in each task before it is shuffled
     again = save(rows.groupBy("anchor").agg(F.sum("n").alias("n"), F.count("*").alias("places"), F.min("block").alias("low"), F.max("block").alias("high")).where("n > 1").select("anchor", "places", (F.col("low") != F.col("high")).alias("differ")))
     found = save(uneven_join(rows, again, ["anchor"], ["bucket", "block"]).groupBy("bucket", "anchor", "block", "differ").agg(F.sum("n").alias("n")))
+    drop(rows, again)
     distinct = found.groupBy("anchor", "block", "differ").agg(F.sum("n").alias("n"), F.count("*").alias("places"), F.min("bucket").alias("rep"))
     got = with_texts(docs, distinct, "rep", _passages(scheme, cut), PASSAGE)
     if docs.hot is not None:  # each salt of a bucket may have given its own
         got = got.dropDuplicates(["anchor", "block"])
     got = save(got)
+    drop(distinct)
     runs = confirm(got.where("differ"))
     columns = ["anchor", "block", "places", "text"]
     whole = got.where("not differ").select(*columns, F.lit(None).cast("array<int>").alias("runs"))
     some = got.where("differ").select(*columns).join(runs, ["anchor", "block"])
-    return uneven_join(found.select("bucket", "anchor", "block"), save(whole.unionByName(some)), ["anchor", "block"], ["bucket"])
+    passages = save(whole.unionByName(some))
+    drop(got)
+    return uneven_join(found.select("bucket", "anchor", "block"), passages, ["anchor", "block"], ["bucket"])
 
 
 def window_runs(windows: DataFrame) -> DataFrame:
