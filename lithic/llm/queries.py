@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lithic.llm import licences, topk
+from lithic.llm import licences, oracles, topk
 from lithic.llm.decontaminate import op1_decontamination
 from lithic.llm.licences import op7_licence_scan
+from lithic.llm.manifest import op12_merkle_manifest
 from lithic.llm.maintext import op5_html_extraction
 from lithic.llm.passages import op8_passage_dedup
 from lithic.llm.quality import op2_quality_classifier
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_passage_dedup": op8_passage_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_url_filter": op10_url_filter,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_exact_topk": topk.ORACLE, "op7_licence_scan": licences.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op6_exact_topk": topk.ORACLE, "op7_licence_scan": licences.ORACLE, "op12_merkle_manifest": oracles.MERKLE}
