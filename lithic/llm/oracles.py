@@ -45,3 +45,16 @@ climb AS (
 SELECT p.doc_id, p.hash AS leaf, s.hash AS subroot, t.hash AS root, sha256(c.proof) AS proof_sha256, c.folded AS folded_root, c.folded = t.hash AS verified
 FROM placed p JOIN climb c ON c.key = p.key AND c.leaf_idx = p.idx AND c.n = 1 JOIN subs s ON s.key = p.key JOIN top t ON t.n = 1
 """
+
+TRIE = f"""
+WITH turn_ AS (SELECT conv_id, coalesce(role, '') AS r, coalesce("text", '') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, "text") AS i FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({{'r': r, 't': t}} ORDER BY i) AS s, {crc32('conv_id::VARCHAR')} % 6 AS h FROM turn_ GROUP BY conv_id),
+rebuilt AS (SELECT o.conv_id, list_concat(coalesce(b.s[:o.h], []), o.s[o.h + 1:]) AS s FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 100),
+prefix AS (SELECT conv_id, d, s[:d] AS k, len(s) AS n FROM rebuilt, unnest(range(0, len(s) + 1)) AS u(d)),
+node AS (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends FROM prefix GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, k[:d - 1] AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY d - 1, k[:d - 1]),
+own_ AS (SELECT x.*, coalesce(c.n, 0) AS n_children, CASE WHEN x.d = 0 THEN 0 ELSE (x.n_convs - 1) * length(x.k[x.d].t) END AS saved FROM node x LEFT JOIN kids c ON c.d = x.d AND c.k = x.k),
+below AS (SELECT a AS d, k[:a] AS k, sum(saved)::BIGINT AS saved, count(*) FILTER (n_children = 0) AS leaves FROM own_, unnest(range(0, d + 1)) AS u(a) GROUP BY a, k[:a])
+SELECT x.conv_id, x.d AS depth, y.conv_id AS parent_conv_id, x.n_convs, x.n_children, b.leaves AS n_leaves, b.saved AS saved_tokens, x.ends AS ends_sha256
+FROM own_ x JOIN below b ON b.d = x.d AND b.k = x.k LEFT JOIN node y ON y.d = x.d - 1 AND y.k = x.k[:x.d - 1]
+"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lithic.llm import licences, oracles, topk
+from lithic.llm.conversations import op11_conversation_trie
 from lithic.llm.decontaminate import op1_decontamination
 from lithic.llm.licences import op7_licence_scan
 from lithic.llm.manifest import op12_merkle_manifest
@@ -26,7 +27,8 @@ QUERIES = {
     "op8_passage_dedup": op8_passage_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_conversation_trie": op11_conversation_trie,
     "op12_merkle_manifest": op12_merkle_manifest,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_exact_topk": topk.ORACLE, "op7_licence_scan": licences.ORACLE, "op12_merkle_manifest": oracles.MERKLE}
+ORACLE_SQL: dict[str, str] = {"op6_exact_topk": topk.ORACLE, "op7_licence_scan": licences.ORACLE, "op11_conversation_trie": oracles.TRIE, "op12_merkle_manifest": oracles.MERKLE}
