@@ -6,6 +6,7 @@ from lithic.llm import licences, oracles, topk
 from lithic.llm.conversations import op11_conversation_trie
 from lithic.llm.decontaminate import op1_decontamination
 from lithic.llm.licences import op7_licence_scan
+from lithic.llm.lmscore import op13_language_model
 from lithic.llm.manifest import op12_merkle_manifest
 from lithic.llm.maintext import op5_html_extraction
 from lithic.llm.passages import op8_passage_dedup
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_url_filter": op10_url_filter,
     "op11_conversation_trie": op11_conversation_trie,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_language_model": op13_language_model,
 }
 
 ORACLE_SQL: dict[str, str] = {"op6_exact_topk": topk.ORACLE, "op7_licence_scan": licences.ORACLE, "op11_conversation_trie": oracles.TRIE, "op12_merkle_manifest": oracles.MERKLE}
