@@ -66,18 +66,6 @@ def first_elsewhere(source: str, keys: str, place: str, n: str = "count(*)") ->
         select {keys}, {place}, id, row_number() over (partition by {keys} order by id) as rn, sum(n) over (partition by {keys}) as n_all from (select {keys}, {place}, min(id) as id, {n} as n from {source} group by {keys}, {place}) p_) q_ where rn <= 2 group by {keys})"""
 
 
-@both("jn08_cross_file_pick", "refs", "symbols")
-def _(d):
-    # one candidate of another file: the one whose path speaks of the referring file's directory, else the first
-    here = d.extract("path", "/([a-z]+)/")
-    named = f"(select name, {here} as hint, file_id, id from symbols) s_"
-    pick = lambda t: f"case when {t}.home = r.file_id then {t}.next_id else {t}.first_id end"
-    return f"""select r.id, r.target_name, coalesce({pick('h')}, {pick('a')}) as target_symbol_id, cast(a.n_all - coalesce(o.n, 0) as bigint) as n_candidates
-        from (select id, file_id, target_name, {here} as hint from refs where kind <> 'import') r join {first_elsewhere('symbols', 'name', 'file_id')} a on a.name = r.target_name
-        left join {first_elsewhere(named, 'name, hint', 'file_id')} h on h.name = r.target_name and h.hint = r.hint left join (select name, file_id, count(*) as n from symbols group by name, file_id) o on o.name = r.target_name and o.file_id = r.file_id
-        where a.home <> r.file_id or a.next_id is not null"""
-
-
 @both("jn10_enclosing_symbol", "refs", "symbols")
 def _(d):
     return f"select path, source_name, source_symbol_id, count(*) as n, min(line) as first_line from ({enclosing(d)}) e group by path, source_name, source_symbol_id"
@@ -188,15 +176,6 @@ def _(d):
     return "select name from symbols where type = 'function' intersect select target_name from refs where kind = 'call'"
 
 
-@both("jn09_alias_rebind", "refs", "symbols")
-def _(d):
-    # a file's aliases stand in what it imports; the original's first symbol elsewhere is what a call by the alias means
-    aliases = [(3, "the", "The"), (3, "of", "Of"), (5, "de", "De"), (7, "and", "And"), (9, "la", "La")]
-    first = first_elsewhere("symbols", "name", "file_id")
-    return f"""select r.id, r.target_name, a.original, case when t.home = r.file_id then t.next_id else t.first_id end as target_symbol_id from refs r join {d.table('file_id, alias, original', aliases)} a on a.file_id = r.file_id and a.alias = r.target_name
-        left join {first} t on t.name = a.original"""
-
-
 @both("jn13_like_join", "links", "pages_")
 def _(d):
     # a path that holds a module holds its first letters, up to three; these are an equi-key, and the module is then held

@@ -11,7 +11,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithic.operators.binding import first_elsewhere
 from lithic.plans.catalogue import both, query
 from lithic.plans.dialect import DUCK
 from lithic.sources.relations import Source, relation, run, with_ctes
@@ -267,15 +266,6 @@ def _(spark, source):
     return relation(spark, source, "modules").select(F.col("id").alias("root")).join(around, "root", "left").select(F.col("root").alias("module"), "shortest")
 
 
-@both("grf11_pick_candidate", "functions")
-def _(d):
-    # the hint of the module path, then the first by id
-    hinted = f"(select id, name, {d.extract('path', '/([0-9])')} as hint from functions) c_"
-    pick = lambda t: f"case when {t}.home = u.id then {t}.next_id else {t}.first_id end"
-    return f"""select u.id, coalesce({pick('h')}, {pick('a')}) as candidate from (select id, name, {d.extract('dir', '#([0-9])')} as hint from functions) u join {first_elsewhere('(select id as own, id, name from functions) f_', 'name', 'own')} a on a.name = u.name
-        left join {first_elsewhere(hinted.replace('select id,', 'select id as own, id,'), 'name, hint', 'own')} h on h.name = u.name and h.hint = u.hint where a.n_all > 1"""
-
-
 @query("grf12_bfs_large")
 def _(spark, source):
     calls = relation(spark, source, "calls")

@@ -33,13 +33,16 @@ RELATIONS: dict[str, tuple[tuple[str, ...], Callable[[Spark], str]]] = {
               case when line = 1 then last_line else coalesce(lead(line) over (partition by file_id order by line) - 1, last_line) end as end_line
             from (select l.*, max(line) over (partition by file_id) as last_line from lines l) m where {d.rlike('text', '^[A-Za-z]')}) s""",
     ),
-    # each word is a reference; its kind goes by its length, so that all kinds occur
+    # each word is a reference; its kind goes by its length, so that all kinds occur; the word before it qualifies it
     "refs": (
         ("lines",),
         lambda d: f"""select concat(cast(file_id as varchar(20)), ':', cast(line as varchar(20)), ':', cast(place as varchar(20))) as id, file_id, path, line, place, target_name,
-              case when length(target_name) % 7 = 0 then 'import' when length(target_name) % 5 = 0 then 'call' when length(target_name) % 3 = 0 then 'assign' else 'use' end as kind
-            from {d.each('lines', d.extract_all('text', '([A-Za-z]+)'), 'place target_name', 'file_id, path, line')}""",
+              case when length(target_name) % 7 = 0 then 'import' when length(target_name) % 5 = 0 then 'call' when length(target_name) % 3 = 0 then 'assign' else 'use' end as kind,
+              case when place > 1 then concat({d.item('words_', 'place - 1')}, '::', target_name) else target_name end as expr
+            from {d.each(f"(select file_id, path, line, {d.extract_all('text', '([A-Za-z]+)')} as words_ from lines) w_", 'words_', 'place target_name', 'file_id, path, line, words_')}""",
     ),
+    # the names that a file's imports give to what they bring: the word before an import
+    "aliases": (("refs",), lambda d: f"select file_id, {d.extract('expr', '^([^:]+)::')} as local, target_name as original, line * 1000 + place as place from refs where kind = 'import' and instr(expr, '::') > 0"),
     # lines of code: a small project of our own beside the documents, which hold none
     "code": (("lines",), lambda d: f"select path, line, text from lines union all select path, line, text from {d.table('path, line, text', sample.ROWS)} s_"),
     "texts": (("files",), lambda d: f"select path, content from files union all select path, content from {d.table('path, content', sorted(sample.FILES.items()))} s_"),

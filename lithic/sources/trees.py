@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from lithic.functions import extract as X
 from lithic.operators.search import EXTENSIONS, IGNORED, TEST_PATH, ignore_pattern
-from lithic.sources.relations import Relations, relation
+from lithic.plans.dialect import SPARK
+from lithic.sources.relations import Relations, relation, run
 
 MOST_BYTES, DEEPEST = 1 << 20, 8
 #: Files that projects are described by, beside their sources.
@@ -127,20 +128,17 @@ def relations_of(files: DataFrame) -> dict[str, DataFrame]:
 
     files = cut(numbered(files))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame([r for i, p, c in zip(b.file_id, b.path, b.content, strict=True) for r in _rows(i, p, c or "")], columns=[c.split()[0] for c in ROW.split(", ")])
 
-    rows = cut(files.select("file_id", "path", "content").mapInPandas(run, ROW))
+    rows = cut(files.select("file_id", "path", "content").mapInPandas(each, ROW))
     symbols = rows.where("row = 'symbol'").select((F.col("file_id") * 1_000_000 + F.col("source")).alias("id"), "file_id", "path", "name", F.col("kind").alias("type"), "signature", F.col("line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))
     name = F.when(F.col("kind") == "call", F.element_at(F.split("name", r"\.|::"), -1)).otherwise(F.col("name"))
     refs = rows.where("row = 'ref'").select("file_id", "path", F.col("line").cast("long").alias("line"), "kind", "name", name.alias("target_name"), "module", "target", F.when(F.col("source") > 0, F.col("file_id") * 1_000_000 + F.col("source")).alias("source_symbol_id"))
     refs = refs.withColumn("place", F.row_number().over(Window.partitionBy("file_id", "line").orderBy("kind", "name", "module")).cast("long")).withColumn("id", F.concat_ws(":", "file_id", "line", "place"))
-    # the last symbol of that name in the file, else the first of another file
-    own = symbols.groupBy("file_id", F.col("name").alias("target_name")).agg(F.max("id").alias("own_id"))
-    other = symbols.groupBy(F.col("name").alias("target_name")).agg(F.min("id").alias("other_id"))
-    plain = ~F.col("name").contains(".") | (F.col("kind") != "call")
-    bound = refs.join(own, ["file_id", "target_name"], "left").join(other, "target_name", "left").withColumn("target_symbol_id", F.coalesce("own_id", F.when(plain, F.col("other_id")))).drop("own_id", "other_id")
+    refs = refs.withColumn("expr", F.when(F.col("kind") == "call", F.col("name")).otherwise(F.lit("")))
+    bound = bind(refs, symbols, files)
     bound = cut(bound)
     family = F.when(F.col("path").rlike(r"[.][mc]?[jt]sx?$"), "js").otherwise(F.regexp_extract("path", r"[.]([A-Za-z]+)$", 1))
     functions = symbols.where("type in ('function', 'method')").select("id", "name", "path", F.regexp_extract("path", "^([^/]*)/", 1).alias("dir"), family.alias("family"), F.col("path").rlike(TEST_PATH).alias("is_test"), F.col("type").alias("kind"), "start_line")
@@ -165,9 +163,32 @@ def relations_of(files: DataFrame) -> dict[str, DataFrame]:
         "modules": files.select(F.col("file_id").alias("id"), "path"),
         "code": lines.select("path", "line", "text"),
         "texts": files.select("path", "content"),
+        "aliases": aliases_of(files),
     }
 
 
+def aliases_of(files: DataFrame) -> DataFrame:
+    """(file_id, local, original, place): the names that a file's imports give to what they bring."""
+    from lithic.operators.resolution import alias_map
+
+    found = run(files.sparkSession, Relations({"texts": files.select("path", "content")}), alias_map(SPARK), ("texts",))
+    return found.join(files.select("path", "file_id"), "path").select("file_id", "local", "original", "place")
+
+
+def bind(refs: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """refs with target_symbol_id: what an alias stands for, else the last symbol of that name in the file, else the candidate
+    of another file that the call's module speaks of, or the first."""
+    from lithic.operators.resolution import OWN, elsewhere, rebound
+
+    spark = refs.sparkSession
+    given = Relations({"refs": refs, "symbols": symbols, "files": files.select("file_id", "path"), "aliases": aliases_of(files)})
+    other = run(spark, given, elsewhere(SPARK), ("refs", "symbols", "files")).select("id", F.col("target_symbol_id").alias("other_id"))
+    alias = run(spark, given, rebound(SPARK), ("refs", "symbols", "aliases")).select("id", F.col("target_symbol_id").alias("alias_id"))
+    own = symbols.groupBy("file_id", F.col("name").alias("target_name")).agg(F.max("id").alias("own_id"))
+    own_id = F.when(F.col("kind").isin(*OWN), F.col("own_id"))
+    return refs.join(own, ["file_id", "target_name"], "left").join(other, "id", "left").join(alias, "id", "left").withColumn("target_symbol_id", F.coalesce("alias_id", own_id, "other_id")).drop("own_id", "other_id", "alias_id")
+
+
 def index(spark: SparkSession, root: str, **how) -> Relations:
     """A folder of sources as relations that any query of the catalogue on code runs on."""
     return Relations(relations_of(read_tree(spark, root, **how)))
