@@ -8,9 +8,9 @@ from lithic.plans.catalogue import both, query
 from lithic.plans.dialect import DUCK
 from lithic.sources.relations import relation, with_ctes
 
-# Who encloses a reference: the smallest range of its file that holds its line; ties go to the first symbol. Ranges are
-# spread over their lines, of which each keeps one symbol, so that references meet them by an equi-key.
 def enclosing(d, types: str = "'function', 'class'") -> str:
+    """SQL for who encloses a reference: the smallest range of its file that holds its line; ties go to the first symbol.
+    Ranges are spread over their lines, of which each keeps one symbol. (lithic.operators.nesting does it by a sweep.)"""
     lines = d.each(f"(select * from symbols where type in ({types})) s_", d.span("start_line", "end_line"), "k_ line", "file_id, id, name, start_line, end_line")
     return f"""select r.id, r.file_id, r.path, r.line, r.target_name, r.kind, c.id as source_symbol_id, c.name as source_name from refs r join (
         select file_id, line, id, name from (select file_id, line, id, name, row_number() over (partition by file_id, line order by end_line - start_line, id) as rn from {lines} l_) x where rn = 1) c on c.file_id = r.file_id and c.line = r.line"""
@@ -30,11 +30,6 @@ def _(d):
     return "select c.src, c.dst, a.path as source_path, b.path as target_path from calls c join functions a on a.id = c.src left join functions b on b.id = c.dst and b.is_test = false"
 
 
-@both("jn03_caller_symbols", "refs", "symbols", "files")
-def _(d):
-    return f"select e.id, e.line, e.target_name, f.lang, e.source_name from ({enclosing(d)}) e join files f on f.file_id = e.file_id where e.kind = 'call'"
-
-
 @both("jn04_callees", "refs", "symbols")
 def _(d):
     # by file, not by the symbol's own lines: a file's references fan out over its symbols of that name
@@ -66,19 +61,6 @@ def first_elsewhere(source: str, keys: str, place: str, n: str = "count(*)") ->
         select {keys}, {place}, id, row_number() over (partition by {keys} order by id) as rn, sum(n) over (partition by {keys}) as n_all from (select {keys}, {place}, min(id) as id, {n} as n from {source} group by {keys}, {place}) p_) q_ where rn <= 2 group by {keys})"""
 
 
-@both("jn10_enclosing_symbol", "refs", "symbols")
-def _(d):
-    return f"select path, source_name, source_symbol_id, count(*) as n, min(line) as first_line from ({enclosing(d)}) e group by path, source_name, source_symbol_id"
-
-
-@both("jn11_containment", "symbols")
-def _(d):
-    # the smallest symbol that begins before another and reaches as far; met over the line that the other begins on
-    cover = d.each("symbols s_", d.span("start_line", "end_line"), "k_ line", "file_id, id, name, start_line, end_line")
-    return f"""select c.id, c.name, p.id as parent_id, p.name as parent_name from symbols c left join (
-            select c2.id as child, p2.id, p2.name, row_number() over (partition by c2.id order by p2.end_line - p2.start_line, p2.id) as rn from symbols c2 join {cover} p2 on p2.file_id = c2.file_id and p2.line = c2.start_line where p2.id <> c2.id and p2.start_line < c2.start_line and c2.end_line <= p2.end_line) p on p.child = c.id and p.rn = 1"""
-
-
 @both("jn12_import_flag", "refs", "symbols")
 def _(d):
     return "select r.id, r.target_name, i.file_id is not null as imported from refs r left join (select distinct file_id, lower(target_name) as name from refs where kind = 'import') i on i.file_id = r.file_id and i.name = lower(r.target_name) where r.kind <> 'import'"

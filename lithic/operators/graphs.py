@@ -7,6 +7,8 @@ one. Cycles of any length are found within strongly connected parts.
 
 from __future__ import annotations
 
+import tempfile
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +18,19 @@ from lithic.plans.dialect import DUCK
 from lithic.sources.relations import Source, relation, run, with_ctes
 
 DEEPEST = 10
+#: Edges that one task may search.
+FEW = 200_000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df without its lineage: checkpointed in the session's shared folder; kept in the session where there is none."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.persist()
+    """df without its lineage: checkpointed in the folder that the session's executors share. Only a local session may be
+    without one, and gets a temporary folder; elsewhere other executors wouldn't see it."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lithic-"))
+    return df.checkpoint()
 
 
 def bfs(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
@@ -106,28 +116,113 @@ def _(d):
     return "select n.path as name, 'node' as kind, cast(null as varchar(20)) as target from modules n union all select a.path, 'edge', b.path from imports i join modules a on a.id = i.src join modules b on b.id = i.dst"
 
 
-def simple_cycles(length: int) -> str:
-    """Simple cycles up to so many modules, each once, beginning with its least member."""
-    parts = []
-    for n in range(2, length + 1):
-        names = [f"e{k}" for k in range(n)]
-        joins = " ".join(f"join imports e{k} on e{k}.src = e{k - 1}.dst and e{k}.src > e0.src" + "".join(f" and e{k}.src <> e{j}.src" for j in range(1, k)) for k in range(1, n))
-        members = ", ".join([f"{e}.src as m{i + 1}" for i, e in enumerate(names)] + [f"cast(null as int) as m{i}" for i in range(n + 1, length + 1)])
-        parts.append(f"select {n} as length, {members} from imports e0 {joins} where e{n - 1}.dst = e0.src")
-    return " union all ".join(parts)
+#: Modules of a cycle at most, in the query; edges of a part that one task may search.
+LONGEST, SEARCHED = 8, 50_000
 
 
-@both("grf04_cycles", "imports")
-def _(d):
-    return simple_cycles(3)
+def elementary_cycles(edges: DataFrame, longest: int) -> DataFrame:
+    """edges (src, dst). (length, cycle): each elementary cycle of at most so many nodes once, from its least node on.
+
+    Paths grow by an edge a round, within strongly connected parts, over nodes above their first one, which is the cycle's
+    least. How far back a node is from a start is found first, by as many rounds from all starts at once, so a path that
+    can't close in time, or at all, isn't grown. Rows are as many as there are paths that lead into cycles.
+    """
+    inner = cut(strong_parts(edges).select("src", "dst").distinct())
+    loops = inner.where("src = dst").select(F.lit(1).cast("long").alias("length"), F.array("src").alias("cycle"))
+    steps = inner.where("src <> dst")
+    # (start, node, back): edges of the shortest way from node to start over nodes above start
+    level = steps.where("src > dst").select(F.col("dst").alias("start"), F.col("src").alias("node"))
+    back = level.withColumn("back", F.lit(1))
+    for k in range(2, longest):
+        met = level.join(steps.select(F.col("dst").alias("node"), "src"), "node").where("src > start").select("start", F.col("src").alias("node")).distinct()
+        level = cut(met.join(back.select("start", "node"), ["start", "node"], "left_anti"))
+        if level.isEmpty():
+            break
+        back = back.unionByName(level.withColumn("back", F.lit(k)))
+    back = cut(back)
+    near = back.select("start", F.col("node").alias("dst"), "back")
+    paths = steps.where("dst > src").select(F.col("src").alias("start"), "dst", F.array("src").alias("path"))
+    out = loops
+    for k in range(1, longest):
+        # k edges lead to dst; back + k of a cycle
+        paths = cut(paths.join(near, ["start", "dst"]).where(F.col("back") + k <= longest).select("start", F.col("dst").alias("src"), F.concat("path", F.array("dst")).alias("path")))
+        if paths.isEmpty():
+            break
+        onward = paths.join(steps, "src")
+        out = out.union(onward.where("dst = start").select(F.lit(k + 1).cast("long").alias("length"), F.col("path").alias("cycle")))
+        paths = onward.where((F.col("dst") > F.col("start")) & ~F.array_contains("path", F.col("dst"))).select("start", "dst", "path")
+    return out
+
+
+@query(
+    "grf04_cycles",
+    with_ctes(
+        f"""with recursive walk as (select src as start, dst, [src] as path from requires where dst >= src
+            union all select w.start, r.dst, list_append(w.path, r.src) from walk w join requires r on r.src = w.dst where w.dst > w.start and r.dst >= w.start and not list_contains(w.path, r.src) and len(w.path) < {LONGEST})
+        select len(path)::bigint as length, path as cycle from walk where dst = start""",
+        DUCK,
+        ("requires",),
+    ),
+)
+def _(spark, source):
+    """Elementary cycles of at most LONGEST modules, each from its least member on."""
+    return elementary_cycles(relation(spark, source, "requires").select("src", "dst"), LONGEST)
+
+
+def parts_of(edges: list[tuple]) -> dict:
+    """node -> the least node of its strongly connected part, by one depth-first search."""
+    graph: dict = {}
+    for a, b in edges:
+        graph.setdefault(a, []).append(b)
+        graph.setdefault(b, [])
+    number, low, on, open_, out = {}, {}, set(), [], {}
+    for start in graph:
+        if start in number:
+            continue
+        todo = [(start, iter(graph[start]))]
+        number[start] = low[start] = len(number)
+        open_.append(start)
+        on.add(start)
+        while todo:
+            node, rest = todo[-1]
+            for nxt in rest:
+                if nxt not in number:
+                    number[nxt] = low[nxt] = len(number)
+                    open_.append(nxt)
+                    on.add(nxt)
+                    todo.append((nxt, iter(graph[nxt])))
+                    break
+                if nxt in on:
+                    low[node] = min(low[node], number[nxt])
+            else:
+                todo.pop()
+                if todo:
+                    low[todo[-1][0]] = min(low[todo[-1][0]], low[node])
+                if low[node] == number[node]:
+                    part = []
+                    while not part or part[-1] != node:
+                        part.append(open_.pop())
+                        on.discard(part[-1])
+                    out.update(dict.fromkeys(part, min(part)))
+    return out
 
 
-def strong_parts(edges: DataFrame) -> DataFrame:
+def strong_parts(edges: DataFrame, few: int = FEW) -> DataFrame:
     """edges (src, dst). (part, src, dst): the edges that lie on cycles, by strongly connected part, which is named by its
-    least node. Nodes without a way in or out go first; then edges go whose ends differ in the least node that reaches them
+    least node. Up to ``few`` edges, some megabytes, go through one task, which spares a small graph the rounds. Nodes without a way in or out go first; then edges go whose ends differ in the least node that reaches them
     or in the least that they reach. Once none goes, both are one node, which reaches its part and is reached by it."""
     now = cut(edges.select("src", "dst").distinct())
     before = now.count()
+    kinds = {f.name: f.dataType.simpleString() for f in now.schema}
+    if before <= few:
+
+        def search(batches):
+            rows = [r for b in batches for r in zip(b.src.tolist(), b.dst.tolist(), strict=True)]
+            of = parts_of(rows)
+            found = [(of[a], a, b) for a, b in rows if of[a] == of[b]]
+            yield pd.DataFrame(found, columns=["part", "src", "dst"]) if found else pd.DataFrame({"part": [], "src": [], "dst": []})
+
+        return cut(now.coalesce(1).mapInPandas(search, f"part {kinds['src']}, src {kinds['src']}, dst {kinds['dst']}"))
     while True:
         trimmed = now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
         trimmed = cut(trimmed.select("src", "dst"))
@@ -142,11 +237,14 @@ def strong_parts(edges: DataFrame) -> DataFrame:
 
 
 def _labels(edges: DataFrame, nodes: DataFrame, at: str, to: str) -> DataFrame:
-    """(node, label): the least node that reaches each along the edges from at to to, itself included."""
+    """(node, label): the least node that reaches each along the edges from at to to, itself included. A round takes the
+    labels of neighbours, then each label's own label, which reaches it: so rounds grow as the logarithm of a way's length."""
     labels = nodes.withColumn("label", F.col("node"))
     while True:
         sent = edges.join(labels, F.col(at) == F.col("node")).groupBy(F.col(to).alias("node")).agg(F.min("label").alias("new"))
-        after = cut(labels.join(sent, "node", "left").select("node", F.least("label", F.coalesce("new", "label")).alias("label"), (F.col("new") < F.col("label")).alias("changed")))
+        stepped = cut(labels.join(sent, "node", "left").select("node", F.least("label", F.coalesce("new", "label")).alias("label"), F.coalesce(F.col("new") < F.col("label"), F.lit(False)).alias("changed")))
+        far = stepped.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        after = cut(stepped.join(far, "label").select("node", F.least("label", "further").alias("label"), (F.col("changed") | (F.col("further") < F.col("label"))).alias("changed")))
         labels = after.select("node", "label")
         if after.where("changed").isEmpty():
             return labels
@@ -193,17 +291,29 @@ def back_edge_cycles(edges: list[tuple]) -> list[list]:
     return list(out.values())
 
 
-@query("grf04_dfs_cycles")
-def _(spark, source):
-    """The order-dependent form: a search in each strongly connected part, since no cycle leaves one. Its memory is that
-    part's edges."""
-    parts = strong_parts(relation(spark, source, "imports"))
+def search_cycles(edges: DataFrame, most: int = SEARCHED, longest: int = LONGEST) -> DataFrame:
+    """(cycle, length, how): the cycles that a depth-first search meets, in each strongly connected part by itself, since no
+    cycle leaves one. Such a search goes from step to step, so a part of more than ``most`` edges isn't searched by a task:
+    its elementary cycles of at most ``longest`` nodes are enumerated, which is what ``how`` says."""
+    parts = cut(strong_parts(edges))
+    sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
+    small, large = (parts.join(sizes.where(F.col("n") <= most if keep else F.col("n") > most), "part").select("part", "src", "dst") for keep in (True, False))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         found = back_edge_cycles(list(zip(pdf.src, pdf.dst, strict=True)))
-        return pd.DataFrame({"cycle": pd.Series([[str(x) for x in c] for c in found], dtype=object), "length": pd.Series([len(c) for c in found], dtype="int32")})
+        return pd.DataFrame({"cycle": pd.Series([[str(x) for x in c] for c in found], dtype=object), "length": pd.Series([len(c) for c in found], dtype="int32"), "how": "searched"})
+
+    searched = small.groupBy("part").applyInPandas(search, "cycle array<string>, length int, how string")
+    if sizes.where(F.col("n") > most).isEmpty():
+        return searched
+    rest = elementary_cycles(large.select("src", "dst"), longest)
+    return searched.union(rest.select(F.col("cycle").cast("array<string>").alias("cycle"), F.col("length").cast("int").alias("length"), F.lit("enumerated").alias("how")))
 
-    return parts.groupBy("part").applyInPandas(search, "cycle array<string>, length int")
+
+@query("grf04_dfs_cycles")
+def _(spark, source):
+    """The order-dependent form."""
+    return search_cycles(relation(spark, source, "imports"))
 
 
 @both("grf06_callees_ambiguity", "calls", "functions")
@@ -237,13 +347,6 @@ def _(d):
     return impact(7)
 
 
-@both("grf08_qualified_name", "customer", "nation", "region")
-def _(d):
-    return """with recursive tree as (select cast(r_regionkey as bigint) as id, cast(null as bigint) as parent, r_name as name from region union all select 100 + n_nationkey, n_regionkey, n_name from nation union all select 1000 + c_custkey, 100 + c_nationkey, c_name from customer),
-        q as (select id, name as qualified, 1 as depth from tree where parent is null union all select t.id, concat(q.qualified, '.', t.name), q.depth + 1 from q join tree t on t.parent = q.id where q.depth < 10)
-        select id, qualified, depth from q"""
-
-
 @both("grf09_outline", "symbols", "refs")
 def _(d):
     # at most fifty items of a file; a parent is the nearest symbol before it that reaches beyond it

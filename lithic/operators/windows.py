@@ -21,12 +21,6 @@ def _(d):
         select path, start_line, concat('text:', {d.replace('path', '[#:]', '_')}, '::', name, '#', type) as stable, {d.sha('signature')} as sig from symbols) s) x"""
 
 
-@both("win03_parent_assignment", "symbols")
-def _(d):
-    # nested ranges: the last class-like line before a symbol is its parent
-    return "select path, name, start_line, max(case when type = 'function' then start_line end) over (partition by path order by start_line rows between unbounded preceding and 1 preceding) as parent_line from symbols"
-
-
 @both("win04_context", "lines")
 def _(d):
     # one line about a hit, and how many there are within five

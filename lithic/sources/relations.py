@@ -58,6 +58,14 @@ RELATIONS: dict[str, tuple[tuple[str, ...], Callable[[Spark], str]]] = {
         ("lineitem", "orders", "customer", "supplier"),
         lambda d: """select distinct c_nationkey as src, s_nationkey as dst from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey where c_nationkey <> s_nationkey""",
     ),
+    # modules that require one or two others: of a part, those after it in its first and its last order
+    "requires": (
+        ("lineitem",),
+        lambda d: """select distinct src, case e when 1 then after_first else after_last end as dst from (
+            select src, max(case when up = 1 then dst end) as after_first, max(case when down = 1 then dst end) as after_last from (
+              select src, dst, row_number() over (partition by src order by o, n) as up, row_number() over (partition by src order by o desc, n desc) as down from (
+                select l_partkey as src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey) as dst, l_orderkey as o, l_linenumber as n from lineitem) a where dst is not null and dst <> src) b group by src) c cross join (select 1 as e union all select 2) two""",
+    ),
     "modules": (("nation",), lambda d: "select n_nationkey as id, n_name as path from nation"),
     "links": (("pages",), lambda d: f"select page_id as file_id, path, module, line from {d.each('pages_', d.extract_all('html', 'href=' + chr(34) + '([^' + chr(34) + ']+)' + chr(34)), 'line module', 'page_id, path')}"),
     "pages_": (("pages",), lambda d: f"select page_id, html, {d.extract('url', '^[a-z]+://[^/?#]*([^?#]*)')} as path, {d.extract('url', '^[a-z]+://([^/?#]*)')} as host from pages"),

@@ -160,6 +160,7 @@ def relations_of(files: DataFrame) -> dict[str, DataFrame]:
         "calls": calls,
         "functions": functions,
         "imports": imports,
+        "requires": imports,
         "modules": files.select(F.col("file_id").alias("id"), "path"),
         "code": lines.select("path", "line", "text"),
         "texts": files.select("path", "content"),

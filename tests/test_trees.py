@@ -100,7 +100,7 @@ def test_module_graph(spark, tree):
     edges = {(path[r.src], path[r.dst]) for r in tree["imports"].collect()}
     assert edges == {("a.js", "b.js"), ("b.js", "a.js"), ("src/same.js", "src/other.js"), ("src/other.js", "lib/same.js"), ("tests/test_a.js", "a.js")}
     cycles = rows(spark, "grf04_cycles", tree)
-    assert [(r.length, {path[r.m1], path[r.m2]}) for r in cycles] == [(2, {"a.js", "b.js"})]
+    assert [(r.length, [path[x] for x in r.cycle]) for r in cycles] == [(2, ["a.js", "b.js"])]
     assert [sorted(path[int(x)] for x in r.cycle) for r in rows(spark, "grf04_dfs_cycles", tree)] == [["a.js", "b.js"]]
     assert {path[r.node] for r in rows(spark, "grf05_in_cycle", tree) if r.in_cycle} == {"a.js", "b.js"}
     assert {path[r.module]: r.shortest for r in rows(spark, "grf10_import_fixer_cycle", tree) if r.shortest} == {"a.js": 2, "b.js": 2}
@@ -138,13 +138,13 @@ def test_strong_parts(spark):
     import random
 
     rng = random.Random(4)
-    for _ in range(4):
+    for few in (0, 0, 100, 100):
         edges = {(rng.randrange(14), rng.randrange(14)) for _ in range(18)}
         reach = set(edges)
         while more := {(a, d) for a, b in reach for c, d in reach if b == c} - reach:
             reach |= more
         want = {(a, b) for a, b in edges if (b, a) in reach or a == b}
-        got = graphs.strong_parts(spark.createDataFrame(sorted(edges), "src int, dst int")).collect()
+        got = graphs.strong_parts(spark.createDataFrame(sorted(edges), "src int, dst int"), few).collect()
         assert {(r.src, r.dst) for r in got} == want
         for r in got:
             assert (r.part, r.src) in reach and (r.src, r.part) in reach or r.part == r.src
@@ -277,3 +277,37 @@ def test_bracket_balance(spark):
     cases = {"f(a[b]{c})": True, "f(a]": False, "(()": False, ")(": False, "": True, "(" * 400 + ")" * 400: True, "x " * 3000 + ")": False, "([)]": False}
     source = Relations({"texts": spark.createDataFrame([(str(i), t) for i, t in enumerate(cases)], "path string, content string")})
     assert [r.balanced for r in sorted(rows(spark, "rul18_bracket_balance", source), key=lambda r: int(r.path))] == list(cases.values())
+
+
+def simple_cycles(edges, longest):
+    """Every elementary cycle from its least node on, by a plain search."""
+    out, todo = set(), [[s] for s in {a for a, _ in edges}]
+    while todo:
+        path = todo.pop()
+        for a, b in edges:
+            if a == path[-1]:
+                if b == path[0]:
+                    out.add(tuple(path))
+                elif b > path[0] and b not in path and len(path) < longest:
+                    todo.append([*path, b])
+    return out
+
+
+def test_elementary_cycles(spark):
+    import random
+
+    rng = random.Random(9)
+    for longest, few in ((1, 100), (3, 0), (6, 100), (9, 100)):
+        edges = {(rng.randrange(9), rng.randrange(9)) for _ in range(20)}
+        found = graphs.elementary_cycles(spark.createDataFrame(sorted(edges), "src long, dst long"), longest).collect()
+        assert len(found) == len({tuple(r.cycle) for r in found}) and all(r.length == len(r.cycle) for r in found)
+        assert {tuple(r.cycle) for r in found} == simple_cycles(edges, longest)
+    ring = [(i, (i + 1) % 30) for i in range(30)]  # longer than any bound in the query
+    assert [r.length for r in graphs.elementary_cycles(spark.createDataFrame(ring, "src long, dst long"), 30).collect()] == [30]
+    assert graphs.elementary_cycles(spark.createDataFrame([], "src long, dst long"), 5).collect() == []
+
+
+def test_searched_cycles_by_size(spark):
+    edges = [(1, 2), (2, 1), (10, 11), (11, 12), (12, 10), (12, 13), (13, 10)]
+    got = {(tuple(r.cycle), r.how) for r in graphs.search_cycles(spark.createDataFrame(edges, "src long, dst long"), most=4).collect()}
+    assert got == {(("1", "2"), "searched"), (("10", "11", "12"), "enumerated"), (("10", "11", "12", "13"), "enumerated")}
