@@ -158,15 +158,6 @@ def _(d):
     return "select name from symbols where type = 'function' intersect select target_name from refs where kind = 'call'"
 
 
-@both("jn13_like_join", "links", "pages_")
-def _(d):
-    # a path that holds a module holds its first letters, up to three; these are an equi-key, and the module is then held
-    # against the path; the first path wins
-    grams = d.distinct(d.unite(d.unite(*[d.map(d.span("1", f"greatest(length(p) - {n - 1}, 1)"), "i", f"substr(p, cast(i as int), {n})") for n in (1, 2)]), d.map(d.span("1", "greatest(length(p) - 2, 1)"), "i", "substr(p, cast(i as int), 3)")))
-    paths = d.each("(select distinct path, lower(path) as p from pages_ where path <> '') p_", grams, "k_ gram", "path, p")
-    return f"""select m.module, min(g.path) as path, count(g.path) as n from (select distinct module, lower(module) as low, substr(lower(module), 1, 3) as gram from links where module <> '') m left join {paths} g on g.gram = m.gram and instr(g.p, m.low) > 0 group by m.module"""
-
-
 @both("jn22_orphans", "texts")
 def _(d):
     # files that nobody imports, by any of three rules: the resolved path, the dotted or slashed module, the base name

@@ -86,12 +86,6 @@ def _(d):
         where type in ('function', 'class', 'variable') and name in ('The', 'Of', 'De', 'La', 'Der')) x where rn <= 20"""
 
 
-@both("flt03_references", "refs")
-def _(d):
-    # an exact name or a substring of it, whatever the case
-    return refs_page(d, "target_name = 'the' or instr(lower(target_name), 'tionhe') > 0", 500)
-
-
 @both("flt04_kind_filter", "refs")
 def _(d):
     asked = [k for k in "call, import,bogus".replace(" ", "").split(",") if k in KINDS]
@@ -107,11 +101,6 @@ def _(d):
         cross join (select cast(count_if(file_id = 3) as bigint) as n_file, cast(count_if(file_id <> 3) as bigint) as n_other from refs where target_name = 'from') c where x.scope = 'file' or c.n_file = 0"""
 
 
-@both("flt06_symbol_search", "symbols")
-def _(d):
-    return "select name, type, path, start_line from symbols where instr(lower(name), lower('TIon')) > 0 order by name, path, start_line limit 30"
-
-
 @both("flt07_symbols_at_line", "symbols")
 def _(d):
     return "select path, name, start_line, end_line, cast(row_number() over (partition by path order by end_line - start_line, id) as bigint) as inner_first from symbols where 3 between start_line and end_line"

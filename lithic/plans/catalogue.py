@@ -14,7 +14,7 @@ Query = Callable[[SparkSession, relations.Source], DataFrame]
 Body = Callable[[Spark], str]
 _queries: dict[str, Query] = {}
 _oracle: dict[str, str] = {}
-_MODULES = ("search", "binding", "resolution", "nesting", "graphs", "aggregates", "windows", "scalars", "projects", "rules", "changes", "feeds", "extraction", "editing")
+_MODULES = ("search", "binding", "resolution", "nesting", "postings", "graphs", "aggregates", "windows", "scalars", "projects", "rules", "changes", "feeds", "extraction", "editing")
 
 
 def query(name: str, sql: str | None = None):

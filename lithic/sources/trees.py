@@ -125,6 +125,7 @@ def relations_of(files: DataFrame) -> dict[str, DataFrame]:
     """files: as read_tree gives them. The relations that queries on code run on; each is derived from one extraction, which
     is cut off from the files."""
     from lithic.operators.graphs import cut
+    from lithic.operators.postings import postings
 
     files = cut(numbered(files))
 
@@ -165,6 +166,7 @@ def relations_of(files: DataFrame) -> dict[str, DataFrame]:
         "code": lines.select("path", "line", "text"),
         "texts": files.select("path", "content"),
         "aliases": aliases_of(files),
+        "postings": postings(symbols.select("name").union(bound.select("target_name"))),
     }
 
 
@@ -218,7 +220,7 @@ def migrate_logs(spark: SparkSession, old: list[str], new: str, schema: str, pol
 
 
 #: What lookups filter a relation by; its files are laid out by it.
-LAYOUT = {"symbols": "name", "refs": "target_name", "calls": "dst", "lines": "path", "code": "path"}
+LAYOUT = {"postings": "gram", "symbols": "name", "refs": "target_name", "calls": "dst", "lines": "path", "code": "path"}
 
 
 def write_snapshot(tables: dict[str, DataFrame], root: str) -> None:
@@ -242,8 +244,14 @@ def open_snapshot(spark: SparkSession, root: str, names: tuple[str, ...] = ("fil
 
 def snapshot_of_tables(spark: SparkSession, sf_dir: str, root: str, names: tuple[str, ...]) -> Relations:
     """Relations projected from tables, written once and read back: queries then read an index as well."""
+    from lithic.operators.postings import postings
+
     write_snapshot({n: relation(spark, sf_dir, n) for n in names}, root)
-    return open_snapshot(spark, root, names)
+    there = open_snapshot(spark, root, names)
+    if not {"symbols", "refs"} <= set(names):
+        return there
+    write_snapshot({"postings": postings(there["symbols"].select("name").union(there["refs"].select("target_name")))}, root)
+    return open_snapshot(spark, root, (*names, "postings"))
 
 
 def upsert(base: DataFrame, changed: DataFrame, gone: DataFrame, key: str = "path") -> DataFrame:
