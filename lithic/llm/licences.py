@@ -88,7 +88,7 @@ RULES = [
 _HINT = "licen|permi|redistribut|reserved|warrant|free software|unencumbered|the hope|spdx|mozilla|neither the name|cc"
 
 
-#: What the scan looks for: each known sentence holds one. The SQL has its own.
+#: What the scan looks for: each known sentence holds one.
 _WORDS = _HINT + "|under|free"
 
 
@@ -126,10 +126,23 @@ def _sentences(text: Column) -> Column:
     return F.transform(plain, lambda s: F.regexp_replace(s, r"^[ .]+|[ .]+$", ""))
 
 
+def _rules() -> list[tuple[str, str, list[str]]]:
+    """The rules over identifiers of sentences as texts are cut."""
+    _, parts = known_parts()
+    return [(n, k, [x for i in r for x in parts.get(i, [i])]) for n, k, r in RULES]
+
+
+def _holds(ids: Column, rule: list[str]) -> Column:
+    """Whether ids hold a rule's identifiers in order, whatever stands between: one pass that counts those met so far."""
+    if len(rule) == 1:
+        return F.array_contains(ids, rule[0])
+    wanted = F.array(*map(F.lit, rule))
+    return F.aggregate(ids, F.lit(0), lambda n, x: F.when(x == F.get(wanted, n), n + 1).otherwise(n)) == len(rule)
+
+
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs as ``row``, and ``m``: ids (the known sentences in order), licences, kinds (in the rules' order)."""
-    known, parts = known_parts()
-    rules_ = [(n, k, [x for i in r for x in parts.get(i, [i])]) for n, k, r in RULES]
+    known, _ = known_parts()
     lookup = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     hint = F.lower(body).rlike(_WORDS)
@@ -140,9 +153,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     none = F.array().cast("array<string>")
     read = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.when(hint, ids(body)).otherwise(none).alias("by_line"), F.when(hint, ids(F.regexp_replace(body, r"[ \t]*\r?\n[ \t]*", " "))).otherwise(none).alias("joined"))
     found = read.select("*", F.when(F.size("joined") > F.size("by_line"), F.col("joined")).otherwise(F.col("by_line")).alias("ids"))
-    lines = [F.concat(F.lit(","), F.array_join(c, ","), F.lit(",")) for c in ("by_line", "joined")]
-    holds = lambda r: [line.rlike(",(?:[^,]*,)*?".join(["," + re.escape(r[0]), *map(re.escape, r[1:])]) + ",") for line in lines]
-    hits = [F.when(holds(r)[0] | holds(r)[1], F.struct(F.lit(n).alias("licence"), F.lit(k).alias("kind"))) for n, k, r in rules_]
+    hits = [F.when(_holds(F.col("by_line"), r) | _holds(F.col("joined"), r), F.struct(F.lit(n).alias("licence"), F.lit(k).alias("kind"))) for n, k, r in _rules()]
     rules = F.filter(F.array(*hits), lambda x: x.isNotNull())
     hit = F.when(F.size("ids") > 0, rules).otherwise(F.array().cast("array<struct<licence:string,kind:string>>"))
     return found.withColumn("hit", hit).select("row", F.struct("ids", F.array_distinct("hit.licence").alias("licences"), F.array_distinct("hit.kind").alias("kinds")).alias("m"))
@@ -154,17 +165,21 @@ def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
+    """The same tables and both readings; rules as patterns over the identifiers."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    known = ",".join(f"({quote(s)},{quote(i)})" for s, i in sentence_table().items())
-    ids = "list_filter(list_transform(list_filter(string_split(regexp_replace(regexp_replace({t}, '([Ii]dentifier):[ \\t]+', '\\1 ', 'g'), '([.!?;:])[ \\t]+', '\\1' || chr(10), 'g'), chr(10)), lambda s: regexp_matches(lower(s), '" + _HINT + "')), lambda s: (k.m)[regexp_replace(regexp_replace(regexp_replace(lower(s), '[^a-z0-9.+-]', ' ', 'g'), ' +', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g')]), lambda x: x is not null)"
-    fields = lambda i: ", ".join(f"case when regexp_matches(line, {quote(',(?:[^,]*,)*?'.join([',' + re.escape(r[0]), *map(re.escape, r[1:])]) + ',')}) then {quote(RULES_[i])} end" for RULES_ in RULES for r in [RULES_[2]])
+    known = ",".join(f"({quote(s)},{quote(i)})" for s, i in known_parts()[0].items())
+    named = r"regexp_replace(regexp_replace({t}, '([Ii]dentifier):[ \t]+', '\1 ', 'g'), '\b([Vv])\.[ \t]+([0-9])', '\1 \2', 'g')"
+    cut = f"string_split(regexp_replace({named}, '([.!?;:])[ \\t]+', '\\1' || chr(10), 'g'), chr(10))"
+    plain = "regexp_replace(regexp_replace(regexp_replace(lower(s), '[^a-z0-9.+-]', ' ', 'g'), ' +', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g')"
+    ids = f"list_filter(list_transform(list_filter({cut}, lambda s: regexp_matches(lower(s), {quote(_WORDS)})), lambda s: (k.m)[{plain}]), lambda x: x is not null)"
+    pattern = lambda r: quote(",(?:[^,]*,)*?".join(["," + re.escape(r[0]), *map(re.escape, r[1:])]) + ",")
+    fields = lambda at: ", ".join(f"case when regexp_matches(line, {pattern(r[2])}) or regexp_matches(line_, {pattern(r[2])}) then {quote(r[at])} end" for r in _rules())
     once = lambda i: f"array_to_string(list_filter(list_transform(range(1, len({i}) + 1), lambda j: case when list_position({i}, {i}[j]) = j then {i}[j] end), lambda x: x is not null), ',')"
     return f"""
 with k as (select map_from_entries(list((s, i))) as m from (values {known}) v(s, i)),
 a as (select doc_id, {ids.format(t="coalesce(text, '')")} as l, {ids.format(t="regexp_replace(coalesce(text, ''), '[ \\t]*\\r?\\n[ \\t]*', ' ', 'g')")} as j from documents, k),
-b as (select doc_id, case when len(j) > len(l) then j else l end as ids from a),
-c as (select doc_id, ids, ',' || array_to_string(ids, ',') || ',' as line from b),
-d as (select doc_id, ids, list_filter([{fields(0)}], lambda x: x is not null) as n, list_filter([{fields(1)}], lambda x: x is not null) as q from c)
+b as (select doc_id, case when len(j) > len(l) then j else l end as ids, ',' || array_to_string(l, ',') || ',' as line, ',' || array_to_string(j, ',') || ',' as line_ from a),
+d as (select doc_id, ids, list_filter([{fields(0)}], lambda x: x is not null) as n, list_filter([{fields(1)}], lambda x: x is not null) as q from b)
 select doc_id, len(ids)::bigint as n_sentences, array_to_string(ids, ',') as sentence_ids, {once('n')} as licences, {once('q')} as kinds from d
 """
 

@@ -73,3 +73,12 @@ def test_against_a_plain_version(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/documents.parquet")
     found = licences.op7_licence_scan(spark, str(tmp_path))
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.sentence_ids, r.licences) for r in found.collect()) == [(i, ",".join(a), ",".join(b)) for i, a, b, _ in want]
+
+
+def test_many_sentences_in_one_text(spark):
+    """Long sequences that nearly hold a rule many times over."""
+    line = "All rights reserved.\n"
+    start = "\n".join(licences.SENTENCES[i] for i in ("bsd.grant", "bsd.source"))
+    (m, n) = _scan(spark, [f"{start}\n{line * 50_000}", f"{start}\n{line * 20_000}{licences.SENTENCES['bsd.binary']}"])
+    assert len(m.ids) > 50_000 and m.licences == ["All-rights-reserved"]
+    assert n.licences == ["BSD-2-Clause", "All-rights-reserved"]
