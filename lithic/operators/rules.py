@@ -30,16 +30,16 @@ SECURITY = [
     ("cmd-name-concat", "high", "command-injection", _ALONE, "(?:spawn|spawnSync|execFile)\\s*[(]\\s*[^,]*[+]"),
     ("cmd-name-tpl", "high", "command-injection", _ALONE, "(?:spawn|spawnSync|execFile)\\s*[(]\\s*[^,]*[$][{]"),
     ("spawn-shell", "high", "command-injection", _ANY, "spawn\\s*[(][^,]+,\\s*[^,]+,\\s*[{][^}]*shell:\\s*true"),
-    ("sql-concat", "high", "sql-injection", _ANY, "(?:[sS][eE][lL][eE][cC][tT]|[iI][nN][sS][eE][rR][tT]|[uU][pP][dD][aA][tT][eE]|[dD][eE][lL][eE][tT][eE])\\s+.+?['\"]\\s*[+]\\s*\\w+"),
+    ("sql-concat", "high", "sql-injection", _ANY, "(?i:select|insert|update|delete)\\s+.+?['\"]\\s*[+]\\s*\\w+"),
     ("sql-fstring", "high", "sql-injection", _ANY, "f['\"][^'\"{}]*\\b(?:SELECT|INSERT|UPDATE|DELETE|REPLACE)\\b[^'\"{}]*[{][^}]*[}]"),
     ("innerHTML", "medium", "xss", _ANY, "[.]innerHTML\\s*="),
     ("dangerouslySet", "medium", "xss", _ANY, "dangerouslySetInnerHTML"),
     ("fs-unlink-sync", "medium", "file-access", _ANY, "fs[.](?:unlinkSync|rmSync|rmdirSync)\\s*[(]"),
     ("process-exit", "medium", "stability", _ANY, "\\bprocess[.]exit\\s*[(]"),
-    ("crypto-md5", "low", "crypto", _ANY, "crypto[.]createHash\\s*[(]\\s*['\"][mM][dD]5['\"]\\s*[)]"),
+    ("crypto-md5", "low", "crypto", _ANY, "crypto[.]createHash\\s*[(]\\s*['\"](?i:md5)['\"]\\s*[)]"),
     ("jwt-hardcoded", "high", "secrets", _ANY, "jwt[.]sign\\s*[(][^,]+,\\s*['\"][a-zA-Z0-9_-]{8,}['\"]"),
-    ("password-hardcode", "high", "secrets", _ANY, "(?:[pP][aA][sS][sS][wW][oO][rR][dD])\\s*[=:]\\s*['\"][^'\"]{4,}['\"]"),
-    ("api-key-hardcode", "high", "secrets", _ANY, "(?:[aA][pP][iI][_-]?[kK][eE][yY]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN])\\s*[=:]\\s*['\"][a-zA-Z0-9_-]{8,}['\"]"),
+    ("password-hardcode", "high", "secrets", _ANY, "(?i:password)\\s*[=:]\\s*['\"][^'\"]{4,}['\"]"),
+    ("api-key-hardcode", "high", "secrets", _ANY, "(?i:api[_-]?key|secret|token)\\s*[=:]\\s*['\"][a-zA-Z0-9_-]{8,}['\"]"),
     ("allow-all-cors", "medium", "cors", _ANY, "(?:[aA]ccess-[cC]ontrol-[aA]llow-[oO]rigin|[oO]rigin)\\s*[=:]\\s*['\"][*]['\"]"),
     ("no-rate-limit", "low", "dos", _ANY, "app[.](?:get|post|put|delete|patch)\\s*[(]['\"][^'\"]+['\"]\\s*,\\s*(?:async\\s*)?[(]"),
     ("debug-log", "low", "info-leak", _ANY, "console[.](?:log|dir|table)\\s*[(][^)]*(?:password|secret|token|key|Password|Secret|Token|Key|PASSWORD|SECRET|TOKEN|KEY)"),
@@ -54,18 +54,48 @@ _TEST_PATH = "(^|/)(tests|fixtures|examples|__tests__|testdata|spec)/|(^|/)[tT][
 MARKER = "lint-ignore"
 
 
+#: What a text must hold, in lower case, for a rule to find anything in it: one of these.
+_SQL = ("select", "insert", "update", "delete")
+HOLDS = {
+    "eval": ("eval",), "Function-ctor": ("function",), "exec-cmd": ("exec",), "exec-cmd-member": ("exec", "spawn"), "exec-cmd-tpl": ("exec",), "exec-cmd-tpl-member": ("exec",),
+    "exec-cmd-subst": ("exec",), "exec-cmd-subst-member": ("exec",), "exec-file-shell-concat": ("execfile",), "cmd-name-concat": ("spawn", "execfile"), "cmd-name-tpl": ("spawn", "execfile"),
+    "spawn-shell": ("spawn",), "sql-concat": _SQL, "sql-fstring": (*_SQL, "replace"), "innerHTML": ("innerhtml",), "dangerouslySet": ("dangerouslysetinnerhtml",),
+    "fs-unlink-sync": ("unlinksync", "rmsync", "rmdirsync"), "process-exit": ("process.exit",), "crypto-md5": ("createhash",), "jwt-hardcoded": ("jwt.sign",), "password-hardcode": ("password",),
+    "api-key-hardcode": ("key", "secret", "token"), "allow-all-cors": ("origin",), "no-rate-limit": ("app.",), "debug-log": ("console.",), "insecure-compare": ("==",), "no-input-validation": ("body.",),
+    "dotenv-secret": ("=",),
+}
+
+
+def _holds(words) -> str:
+    return "(" + " or ".join(f"instr(low, '{w}') > 0" for w in sorted(set(words))) + ")"
+
+
 def findings(d, rules=SECURITY) -> str:
-    """(path, rule, severity, category, line, source, before, found): every place in every text. A rule's places are marked
-    in the text, which is then cut at the marks: the line is the number of line ends before."""
+    """(path, rule, severity, category, line, prepared): every place in every text; prepared: a statement that is prepared.
+
+    Rules are tried only on texts that hold one of their words. A rule's places are marked in the text, which is cut at the
+    marks at once: of each piece go on how many lines it ends and what stands at its ends, never the text. The line is the
+    number of line ends before.
+    """
     spot = lambda i: d.replace("content", _LITERALS, "$1") if i == "insecure-compare" else "content"
     only = lambda i: f" and {d.rlike('path', '(^|/)[.]env([.][^/]*)?$')}" if i == "dotenv-secret" else ""
-    marked = d.keep(d.list(*[f"case when {d.rlike(spot(i), w + '(?:' + p + ')')}{only(i)} then concat('{i}', chr(2), {d.replace(spot(i), w + '(' + p + ')', '$1' + chr(1) + '$2')}) end" for i, _, _, w, p in rules]), "x", "x is not null")
+    marked = d.keep(d.list(*[f"case when {_holds(HOLDS[i])} and {d.rlike(spot(i), w + '(?:' + p + ')')}{only(i)} then concat('{i}', chr(2), {d.replace(spot(i), w + '(' + p + ')', '$1' + chr(1) + '$2')}) end" for i, _, _, w, p in rules]), "x", "x is not null")
     facts = lambda k: "case rule " + " ".join(f"when '{r[0]}' then '{r[k]}'" for r in rules) + " end"
-    each = d.each("(select path, content from texts where content is not null) t_", marked, "n_ mark", "path, content")
-    parts = d.each(f"(select path, content, {d.nth('mark', chr(2), 1)} as rule, {d.nth('mark', chr(2), 2)} as body from {each} m_) b_", d.split("body", chr(1)), "place found", "path, content, rule")
-    ends = d.count("found", "\n")
-    return f"""(select path, rule, {facts(1)} as severity, {facts(2)} as category, line, {d.item(d.split('content', chr(92) + 'n'), 'line')} as source, before, found from (
-        select path, content, rule, place, found, lag(found) over (partition by path, rule order by place) as before, cast(1 + coalesce(sum({ends}) over (partition by path, rule order by place rows between unbounded preceding and 1 preceding), 0) as bigint) as line from {parts} p_) q_ where place > 1)"""
+    texts = f"(select path, content, low from (select path, content, lower(content) as low from texts where content is not null) l_ where {_holds(w for r in rules for w in HOLDS[r[0]])}) t_"
+    each = d.each(texts, marked, "n_ mark", "path")
+    parts = d.each(f"(select path, {d.nth('mark', chr(2), 1)} as rule, {d.nth('mark', chr(2), 2)} as body from {each} m_) b_", d.split("body", chr(1)), "place found", "path, rule")
+    call = "[.]prepare\\s*[(]"
+    inner = d.extract("found", "^((?s:.*?))[\"']\\s*[+]")
+    pieces = f"""select path, rule, place, {d.count('found', chr(10))} as ends, substr(found, greatest(length(found) - 39, 1), 40) as tail, case when rule = 'sql-concat' then {d.rlike(inner, call)} else false end as inside,
+        case when rule = 'sql-concat' then substr({inner}, 1, 200) else '' end as head from {parts} p_"""
+    return f"""(select path, rule, {facts(1)} as severity, {facts(2)} as category, line, rule = 'sql-concat' and (inside or {d.rlike('concat(before, head)', call)}) as prepared from (
+        select path, rule, place, inside, head, lag(tail) over (partition by path, rule order by place) as before, cast(1 + coalesce(sum(ends) over (partition by path, rule order by place rows between unbounded preceding and 1 preceding), 0) as bigint) as line from ({pieces}) q_) r_ where place > 1)"""
+
+
+def findings_on_lines(d) -> str:
+    """findings() with source: the line that each stands on, met by its number in the texts that may have any."""
+    texts = f"(select path, content from (select path, content, lower(content) as low from texts where content is not null) l_ where {_holds(w for r in SECURITY for w in HOLDS[r[0]])}) u_"
+    return f"(select f.*, s.source from {findings(d)} f join {d.each(texts, d.split('content', chr(92) + 'n'), 'line source', 'path')} s on s.path = f.path and s.line = f.line)"
 
 
 @both("rul01_security_review", "texts")
@@ -79,8 +109,7 @@ def suppressed(d, config: list[tuple[str, str]]) -> str:
     marked = f"instr(source, '{MARKER}') > 0 and (not {d.rlike('source', MARKER + '\\[')} or instr(concat(',', {d.replace(d.extract('source', MARKER + '\\[([^\\]]*)\\]'), ' ', '')}, ','), concat(',', rule, ',')) > 0)"
     ignored = " or ".join(f"({d.rlike('path', glob_pattern(g))} and '{r}' in ('*', rule))" for g, r in config) or "false"
     exempt = ", ".join(f"'{r}'" for r in _TEST_EXEMPT)
-    prepared = f"rule = 'sql-concat' and {d.rlike('concat(substr(before, greatest(length(before) - 39, 1), 40), ' + d.extract('found', '^((?s:.*?))[' + chr(34) + chr(39) + ']' + chr(92) + 's*[+]') + ')', '[.]prepare' + chr(92) + 's*[(]')}"
-    return f"case when {marked} then 'marker' when {ignored} then 'config' when rule in ({exempt}) and {d.rlike('path', _TEST_PATH)} then 'test_path' when {prepared} then 'prepared' else 'reported' end"
+    return f"case when {marked} then 'marker' when {ignored} then 'config' when rule in ({exempt}) and {d.rlike('path', _TEST_PATH)} then 'test_path' when prepared then 'prepared' else 'reported' end"
 
 
 def glob_pattern(glob: str) -> str:
@@ -105,7 +134,7 @@ CONFIG_IGNORE = [("shop/lib/**", "*"), ("**/store.js", "sql-concat"), ("a/**/b/*
 
 @both("rul02_suppression", "texts")
 def _(d):
-    return f"select {suppressed(d, CONFIG_IGNORE)} as state, rule, count(*) as n from {findings(d)} f group by 1, 2"
+    return f"select {suppressed(d, CONFIG_IGNORE)} as state, rule, count(*) as n from {findings_on_lines(d)} f group by 1, 2"
 
 
 # Where a definition begins, by the end of the path.
@@ -327,13 +356,13 @@ def _(d):
 @both("agg12_findings", "texts")
 def _(d):
     # how often a rule finds something, and the first five places
-    return f"select rule, severity, count(*) as n, count(distinct path) as n_files, {d.join(d.slice(d.sorted(f'concat(path, {chr(39)}:{chr(39)}, {pad('line')})'), '1', '5'), ' ')} as locations from {findings(d)} f where {suppressed(d, CONFIG_IGNORE)} = 'reported' group by rule, severity"
+    return f"select rule, severity, count(*) as n, count(distinct path) as n_files, {d.join(d.slice(d.sorted(f'concat(path, {chr(39)}:{chr(39)}, {pad('line')})'), '1', '5'), ' ')} as locations from {findings_on_lines(d)} f where {suppressed(d, CONFIG_IGNORE)} = 'reported' group by rule, severity"
 
 
 @both("agg12_security_score", "texts")
 def _(d):
     count = lambda s: f"cast(sum(case when severity = '{s}' then 1 else 0 end) as bigint)"
-    return f"select path, h, m, l, greatest(0, 100 - 30 * h - 10 * m - 3 * l) as score from (select t.path, {count('high')} as h, {count('medium')} as m, {count('low')} as l from (select path from texts) t left join (select path, severity from {findings(d)} f where {suppressed(d, CONFIG_IGNORE)} = 'reported') s on s.path = t.path group by t.path) x"
+    return f"select path, h, m, l, greatest(0, 100 - 30 * h - 10 * m - 3 * l) as score from (select t.path, {count('high')} as h, {count('medium')} as m, {count('low')} as l from (select path from texts) t left join (select path, severity from {findings_on_lines(d)} f where {suppressed(d, CONFIG_IGNORE)} = 'reported') s on s.path = t.path group by t.path) x"
 
 
 @both("agg13_review_score", "code")

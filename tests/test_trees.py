@@ -311,3 +311,21 @@ def test_searched_cycles_by_size(spark):
     edges = [(1, 2), (2, 1), (10, 11), (11, 12), (12, 10), (12, 13), (13, 10)]
     got = {(tuple(r.cycle), r.how) for r in graphs.search_cycles(spark.createDataFrame(edges, "src long, dst long"), most=4).collect()}
     assert got == {(("1", "2"), "searched"), (("10", "11", "12"), "enumerated"), (("10", "11", "12", "13"), "enumerated")}
+
+
+def test_many_findings_in_one_file(spark):
+    """A file of sixteen thousand findings, each met with its own line."""
+    lines = ["eval(x)" if k % 3 else "eval(y) // lint-ignore" for k in range(16_000)]
+    source = Relations({"texts": spark.createDataFrame([("big.js", "\n".join(lines))], "path string, content string")})
+    states = {(r.state, r.rule): r.n for r in rows(spark, "rul02_suppression", source)}
+    assert states == {("marker", "eval"): 5334, ("reported", "eval"): 10666}
+    assert {(r.path, r.score) for r in rows(spark, "agg12_security_score", source)} == {("big.js", 0)}
+    assert sorted(r.line for r in rows(spark, "rul01_security_review", source)) == list(range(1, 16_001))
+
+
+def test_each_rule_is_tried_on_texts_that_hold_its_word():
+    from lithic.operators.rules import HOLDS, SECURITY
+
+    assert set(HOLDS) == {r[0] for r in SECURITY}
+    for rule, (hit, _) in HITS.items():
+        assert any(w in hit.lower() for w in HOLDS[rule]), rule
