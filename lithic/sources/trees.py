@@ -65,6 +65,19 @@ def read_tree(spark: SparkSession, root: str, extensions: tuple[str, ...] = tupl
     return files.orderBy("path").limit(most).withColumn("truncated", F.lit(files.select("path").limit(most + 1).count() > most))
 
 
+def read_files(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    """The files at some paths below root, as read_tree has them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    start = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(at).toString().rstrip("/")
+    schema = "path string, size long, mtime timestamp, content string, content_hash string"
+    if not paths:
+        return spark.createDataFrame([], schema)
+    glob = [f"{start}/" + re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in paths]
+    raw = spark.read.format("binaryFile").load(glob)
+    path = F.substr(F.col("path"), F.lit(len(start) + 2))
+    return raw.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.col("content").cast("string").alias("content"), F.sha2("content", 256).alias("content_hash"))
+
+
 ROW = "file_id long, path string, row string, name string, kind string, line int, end_line int, module string, target string, source int, signature string"
 
 
@@ -121,26 +134,39 @@ def numbered(files: DataFrame) -> DataFrame:
     return files.join(own.select("path", (F.col("n") + F.element_at(first, F.col("part"))).cast("long").alias("file_id")), "path")
 
 
-def relations_of(files: DataFrame) -> dict[str, DataFrame]:
-    """files: as read_tree gives them. The relations that queries on code run on; each is derived from one extraction, which
-    is cut off from the files."""
-    from lithic.operators.graphs import cut
-    from lithic.operators.postings import postings
-
-    files = cut(numbered(files))
+def extracted(files: DataFrame) -> DataFrame:
+    """files (file_id, path, content) as the rows of ROW, a symbol or a reference each."""
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame([r for i, p, c in zip(b.file_id, b.path, b.content, strict=True) for r in _rows(i, p, c or "")], columns=[c.split()[0] for c in ROW.split(", ")])
 
-    rows = cut(files.select("file_id", "path", "content").mapInPandas(each, ROW))
+    return files.select("file_id", "path", "content").mapInPandas(each, ROW)
+
+
+def symbols_and_refs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     symbols = rows.where("row = 'symbol'").select((F.col("file_id") * 1_000_000 + F.col("source")).alias("id"), "file_id", "path", "name", F.col("kind").alias("type"), "signature", F.col("line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))
     name = F.when(F.col("kind") == "call", F.element_at(F.split("name", r"\.|::"), -1)).otherwise(F.col("name"))
     refs = rows.where("row = 'ref'").select("file_id", "path", F.col("line").cast("long").alias("line"), "kind", "name", name.alias("target_name"), "module", "target", F.when(F.col("source") > 0, F.col("file_id") * 1_000_000 + F.col("source")).alias("source_symbol_id"))
     refs = refs.withColumn("place", F.row_number().over(Window.partitionBy("file_id", "line").orderBy("kind", "name", "module")).cast("long")).withColumn("id", F.concat_ws(":", "file_id", "line", "place"))
-    refs = refs.withColumn("expr", F.when(F.col("kind") == "call", F.col("name")).otherwise(F.lit("")))
-    bound = bind(refs, symbols, files)
-    bound = cut(bound)
+    return symbols, refs.withColumn("expr", F.when(F.col("kind") == "call", F.col("name")).otherwise(F.lit("")))
+
+
+def relations_of(files: DataFrame) -> dict[str, DataFrame]:
+    """files: as read_tree gives them. The relations that queries on code run on; each is derived from one extraction, which
+    is cut off from the files."""
+    from lithic.operators.graphs import cut
+
+    files = cut(numbered(files))
+    symbols, refs = symbols_and_refs(cut(extracted(files)))
+    aliases = aliases_of(files)
+    return derived(files, symbols, cut(bind(refs, symbols, files, aliases)), aliases)
+
+
+def derived(files: DataFrame, symbols: DataFrame, bound: DataFrame, aliases: DataFrame) -> dict[str, DataFrame]:
+    """All relations, of the files, their symbols, bound references and aliases."""
+    from lithic.operators.postings import postings
+
     family = F.when(F.col("path").rlike(r"[.][mc]?[jt]sx?$"), "js").otherwise(F.regexp_extract("path", r"[.]([A-Za-z]+)$", 1))
     functions = symbols.where("type in ('function', 'method')").select("id", "name", "path", F.regexp_extract("path", "^([^/]*)/", 1).alias("dir"), family.alias("family"), F.col("path").rlike(TEST_PATH).alias("is_test"), F.col("type").alias("kind"), "start_line")
     calls = bound.where("kind = 'call' and source_symbol_id is not null and target_symbol_id is not null and source_symbol_id <> target_symbol_id").select(F.col("source_symbol_id").alias("src"), F.col("target_symbol_id").alias("dst")).distinct()
@@ -165,7 +191,7 @@ def relations_of(files: DataFrame) -> dict[str, DataFrame]:
         "modules": files.select(F.col("file_id").alias("id"), "path"),
         "code": lines.select("path", "line", "text"),
         "texts": files.select("path", "content"),
-        "aliases": aliases_of(files),
+        "aliases": aliases,
         "postings": postings(symbols.select("name").union(bound.select("target_name"))),
     }
 
@@ -178,13 +204,13 @@ def aliases_of(files: DataFrame) -> DataFrame:
     return found.join(files.select("path", "file_id"), "path").select("file_id", "local", "original", "place")
 
 
-def bind(refs: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+def bind(refs: DataFrame, symbols: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFrame:
     """refs with target_symbol_id: what an alias stands for, else the last symbol of that name in the file, else the candidate
     of another file that the call's module speaks of, or the first."""
     from lithic.operators.resolution import OWN, elsewhere, rebound
 
     spark = refs.sparkSession
-    given = Relations({"refs": refs, "symbols": symbols, "files": files.select("file_id", "path"), "aliases": aliases_of(files)})
+    given = Relations({"refs": refs, "symbols": symbols, "files": files.select("file_id", "path"), "aliases": aliases})
     other = run(spark, given, elsewhere(SPARK), ("refs", "symbols", "files")).select("id", F.col("target_symbol_id").alias("other_id"))
     alias = run(spark, given, rebound(SPARK), ("refs", "symbols", "aliases")).select("id", F.col("target_symbol_id").alias("alias_id"))
     own = symbols.groupBy("file_id", F.col("name").alias("target_name")).agg(F.max("id").alias("own_id"))
@@ -192,6 +218,61 @@ def bind(refs: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
     return refs.join(own, ["file_id", "target_name"], "left").join(other, "id", "left").join(alias, "id", "left").withColumn("target_symbol_id", F.coalesce("alias_id", own_id, "other_id")).drop("own_id", "other_id", "alias_id")
 
 
+BOUND = ("file_id", "path", "line", "kind", "name", "target_name", "module", "target", "source_symbol_id", "place", "id", "expr", "target_symbol_id")
+#: Changed files that are read by name; beyond it the tree is read whole.
+NAMED = 10_000
+
+
+def changes(spark: SparkSession, root: str, files: DataFrame, **how) -> DataFrame:
+    """(path, change) of a tree against indexed files (path, size, mtime): new, changed or gone, by size and time of change;
+    contents aren't read."""
+    now = read_tree(spark, root, **how).select("path", F.col("size").alias("size_now"), F.col("mtime").alias("mtime_now"))
+    met = now.join(files.select("path", "size", "mtime"), "path", "full_outer")
+    change = F.when(F.col("size").isNull(), "new").when(F.col("size_now").isNull(), "gone").when((F.col("size") != F.col("size_now")) | (F.col("mtime") != F.col("mtime_now")), "changed")
+    return met.select("path", change.alias("change")).where("change is not null")
+
+
+def refresh(spark: SparkSession, root: str, old: Relations, **how) -> tuple[Relations, DataFrame]:
+    """The relations of a tree as it is now, from those of before, and the references that were bound anew.
+
+    Only files that are new or changed are read and extracted; a file keeps its number, new ones follow the last. A
+    reference is bound anew if its file changed, or if its name, or what its alias stands for, is the name of a symbol that
+    some file gained or lost: no other binding can change. The result is what binding everything would give.
+    """
+    from lithic.operators.graphs import cut
+
+    changed = cut(changes(spark, root, old["files"], **how))
+    todo = [r.path for r in changed.where("change <> 'gone'").select("path").limit(NAMED + 1).collect()]  # at most NAMED + 1
+    if len(todo) <= NAMED:
+        text = read_files(spark, root, todo)
+    else:
+        text = read_tree(spark, root, **how).join(changed.where("change <> 'gone'").select("path"), "path", "left_semi")
+    last = old["files"].agg(F.coalesce(F.max("file_id"), F.lit(0))).first()[0]
+    known = text.join(old["files"].select("path", "file_id"), "path", "left")
+    fresh = numbered(known.where("file_id is null").drop("file_id")).withColumn("file_id", F.col("file_id") + F.lit(last))
+    columns = ["file_id", "path", "size", "mtime", "content", "content_hash"]
+    added = cut(known.where("file_id is not null").select(*columns).union(fresh.select(*columns)))
+    symbols_, refs_ = symbols_and_refs(cut(extracted(added)))
+    aliases_ = aliases_of(added)
+
+    stale = old["files"].join(changed.select("path"), "path", "left_semi").select("file_id")
+    kept = {n: old[n].join(stale, "file_id", "left_anti") for n in ("files", "symbols", "refs", "aliases")}
+    files = kept["files"].select(*columns).union(added)
+    symbols, aliases = cut(kept["symbols"].unionByName(symbols_)), kept["aliases"].unionByName(aliases_)
+    moved = cut(old["symbols"].join(stale, "file_id", "left_semi").select("name").union(symbols_.select("name")).distinct())
+    meant = aliases.join(moved.withColumnRenamed("name", "original"), "original", "left_semi").select("file_id", F.col("local").alias("target_name")).distinct()
+    by_name = kept["refs"].join(moved.withColumnRenamed("name", "target_name"), "target_name", "left_semi")
+    by_alias = kept["refs"].where("kind = 'call'").join(meant, ["file_id", "target_name"], "left_semi")
+    plain = [c for c in BOUND if c != "target_symbol_id"]
+    again = cut(by_name.select(*plain).union(by_alias.select(*plain)).distinct().union(refs_.select(*plain)))
+    # what the references to bind may mean: symbols of their names, and of what their files' aliases stand for
+    own = aliases.join(again.select("file_id", F.col("target_name").alias("local")).distinct(), ["file_id", "local"], "left_semi")
+    names = again.select(F.col("target_name").alias("name")).union(own.select("original")).distinct()
+    bound = cut(bind(again, symbols.join(names, "name", "left_semi"), files, own).select(*BOUND))
+    refs = cut(kept["refs"].join(bound.select("id"), "id", "left_anti").select(*BOUND).union(bound))
+    return Relations(derived(cut(files), symbols, refs, cut(aliases))), bound
+
+
 def index(spark: SparkSession, root: str, **how) -> Relations:
     """A folder of sources as relations that any query of the catalogue on code runs on."""
     return Relations(relations_of(read_tree(spark, root, **how)))
