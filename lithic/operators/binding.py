@@ -74,9 +74,11 @@ def _(d):
         join {first_elsewhere(files, 'base', 'path')} t on t.base = i_.base) i join functions f on f.id = i.dst_id join functions g on g.id = f.id"""
 
 
-@both("jn15_dangling_anti", "calls", "functions")
+@both("jn15_dangling_anti", "refs", "symbols", "after")
 def _(d):
-    return "select c.src, case when f.id is null then null else c.dst end as dst, f.id is null as dangling from calls c left join (select id from functions where id % 17 <> 0) f on f.id = c.dst"
+    # calls that were bound to a symbol of a file that has gone since: their target is taken away
+    return """select b.id, case when s.id is null then null else b.target end as target_symbol_id, s.id is null as dangling from (select r.id, t.id as target from refs r join (select name, min(id) as id from symbols group by name) t on t.name = r.target_name where r.kind = 'call') b
+        left join (select s.id from symbols s join after a on a.file_id = s.file_id) s on s.id = b.target"""
 
 
 @both("jn16_unused_symbols", "symbols", "refs")
@@ -98,14 +100,23 @@ def _(d):
         full outer join (select file_id, name, max(case when file_id % 7 = 0 then concat(signature, '!') else signature end) as signature from symbols where file_id % 11 <> 0 group by file_id, name) a on a.file_id = b.file_id and a.name = b.name"""
 
 
-@both("jn20_caller_sync", "calls", "functions")
+@both("jn20_caller_sync", "refs", "symbols", "before", "after")
 def _(d):
-    return "select c.src, c.dst from calls c join functions f on f.id = c.dst where f.id % 9 = 0 and not exists (select 1 from functions g where g.id = c.src and g.id % 9 = 0)"
+    # who calls a symbol of a changed file and hasn't changed with it; a call means the first symbol of its name
+    return """with changed as (select a.file_id from after a join before b on b.file_id = a.file_id where a.content <> b.content)
+        select r.path as caller, s.path as changed, s.name, count(*) as n from refs r join (select name, min(id) as id from symbols group by name) t on t.name = r.target_name join symbols s on s.id = t.id
+        join changed c on c.file_id = s.file_id left join changed o on o.file_id = r.file_id where r.kind = 'call' and o.file_id is null group by r.path, s.path, s.name"""
 
 
-@both("jn21_overlap_pairs", "symbols")
+def edit_ranges(d) -> str:
+    """(file_id, path, seq, start, stop, grows): where an edit's old text stands first, and by how much the file grows."""
+    return "(select e.file_id, e.path, e.seq, cast(instr(f.content, e.old) as bigint) as start, cast(instr(f.content, e.old) + length(e.old) as bigint) as stop, cast(length(e.new) - length(e.old) as bigint) as grows from edits e join files f on f.file_id = e.file_id where e.old <> '' and instr(f.content, e.old) > 0)"
+
+
+@both("jn21_overlap_pairs", "edits", "files")
 def _(d):
-    return "select path, start_line, prev_end, prev_end >= start_line as overlaps from (select path, start_line, lag(start_line + (id % 3)) over (partition by path order by start_line) as prev_end from symbols) x where prev_end is not null"
+    # of a file's edits by place, each against the one before
+    return f"select path, seq, start, prev_stop, prev_stop > start as overlaps from (select path, seq, start, lag(stop) over (partition by file_id order by start, seq) as prev_stop from {edit_ranges(d)} e) x where prev_stop is not null"
 
 
 @both("jn23_test_importers", "calls", "functions")
@@ -113,11 +124,24 @@ def _(d):
     return "select b.path as target, a.path as test_path, min(c.src) as first_test from calls c join functions a on a.id = c.src and a.is_test join functions b on b.id = c.dst group by b.path, a.path"
 
 
-@both("jn24_scoped_hierarchy", "functions")
-def _(d):
-    # definitions of the same directory; those of everywhere only where there are none
-    return """select u.id, coalesce(o.n, e.n) as n_definitions, o.n is null as fell_back from functions u left join (select dir, kind, count(*) as n from functions where id % 5 = 0 group by dir, kind) o on o.dir = u.dir and o.kind = u.kind
-        left join (select kind, count(*) as n from functions where id % 5 = 0 group by kind) e on e.kind = u.kind"""
+@both("jn24_scoped_hierarchy", "code")
+def _(d):
+    # the exceptions that a file may throw: of its language, in its folder, below it or in a folder above; if there are none,
+    # those of everywhere. Folders meet by their ancestors, which are equi-keys. What extends an exception is one, at any depth
+    family = f"case when {d.rlike('path', '[.]py$')} then 'py' when {d.rlike('path', '[.][mc]?[jt]sx?$')} then 'js' end"
+    placed = f"(select path, text, {family} as family, {d.extract('path', '^(.*)/[^/]*$')} as dir from code) p_"
+    ups = lambda t: d.each(t, d.unite(d.list("''"), d.map(d.span("1", d.size(d.split("dir", "/"))), "i", d.join(d.slice(d.split("dir", "/"), "1", "cast(i as int)"), "/"))), "k_ up")
+    head = "^\\s*(?:export\\s+)?(?:default\\s+)?class\\s+([A-Za-z_$][A-Za-z0-9_$]*)\\s*(?:[(]|extends\\s+)\\s*"
+    classes = f"select distinct path, dir, family, {d.extract('text', head + '[A-Za-z_$]')} as name, {d.extract('text', head.replace('([A-Za-z_$][A-Za-z0-9_$]*)', '[A-Za-z_$][A-Za-z0-9_$]*') + '(?:[A-Za-z0-9_$]+[.])*([A-Za-z_$][A-Za-z0-9_$]*)')} as base from {placed} where family is not null"
+    throws = d.rlike("text", "^\\s*(?:raise|throw)\\s+(?:new\\s+)?[A-Za-z_$]")
+    return f"""with recursive classes as ({classes}),
+        thrown as (select path, dir, family, name, 1 as depth from classes where name <> '' and {d.rlike('base', '(Error|Exception)$')} union all select c.path, c.dir, c.family, c.name, t.depth + 1 from thrown t join classes c on c.base = t.name and c.family = t.family where t.depth < 10),
+        known as (select path, dir, family, name, min(depth) as depth from thrown group by path, dir, family, name),
+        asks as (select distinct path, dir, family from {placed} where family is not null and {throws}),
+        near as (select a.path, k.name, k.path as at from {ups('asks')} a join known k on k.dir = a.up and k.family = a.family union select a.path, k.name, k.path as at from asks a join {ups('known')} k on k.up = a.dir and k.family = a.family),
+        counts as (select path, count(*) as n, {d.sorted_set('name')} as names from near group by path),
+        everywhere as (select family, count(*) as n, {d.sorted_set('name')} as names from known group by family)
+        select a.path, coalesce(c.n, e.n, 0) as n_exceptions, {d.join(d.slice('coalesce(c.names, e.names)', '1', '10'), ' ')} as names, c.n is null as fell_back from asks a left join counts c on c.path = a.path left join everywhere e on e.family = a.family"""
 
 
 @both("set02_first_wins", "calls", "functions")

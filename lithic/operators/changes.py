@@ -100,13 +100,17 @@ def _(d):
 
 @both("stm07_mark_dirty", "before")
 def _(d):
-    return "select path, case when file_id = 5 or file_id % 10 = 0 then 'dirty' else state end as state from before"
+    # one file, by its path; or all of them
+    return "select path, case when path = 'src5/en/5.txt' or file_id = 5 then 'dirty' else state end as one, 'dirty' as forced from before"
 
 
-@both("stm08_rebind_unresolved", "calls", "functions")
+@both("stm08_rebind_unresolved", "refs", "symbols", "before", "after")
 def _(d):
-    # only what is unbound is resolved anew; doing it again changes nothing
-    return "select c.src, c.dst, case when c.dst % 3 = 0 then n.id else c.dst end as bound from calls c join functions f on f.id = c.dst left join (select name, min(id) as id from functions group by name) n on n.name = f.name"
+    # after a change only what names of changed, new or gone files' symbols is resolved anew, and doing it again changes
+    # nothing; trees.refresh does it on an index
+    return """with moved as (select coalesce(a.file_id, b.file_id) as file_id from after a full outer join before b on b.file_id = a.file_id where a.file_id is null or b.file_id is null or a.content <> b.content),
+        names as (select distinct s.name from symbols s join moved m on m.file_id = s.file_id), there as (select s.name, min(s.id) as id from symbols s join after a on a.file_id = s.file_id group by s.name)
+        select r.path, r.target_name, t.id as bound, count(*) as n from refs r join names n on n.name = r.target_name left join there t on t.name = r.target_name where r.kind = 'call' group by r.path, r.target_name, t.id"""
 
 
 @both("stm15_map_staleness", "before", "after")

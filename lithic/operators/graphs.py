@@ -316,10 +316,12 @@ def _(spark, source):
     return search_cycles(relation(spark, source, "imports"))
 
 
-@both("grf06_callees_ambiguity", "calls", "functions")
+@both("grf06_callees_ambiguity", "refs", "symbols")
 def _(d):
-    return """select c.src, f.name, min(f.id) as target, count(*) as n, max(n.same) > 1 and min(case when i.dst is null then 0 else 1 end) = 0 as ambiguous from calls c join functions f on f.id = c.dst
-        join (select name, count(*) as same from functions group by name) n on n.name = f.name left join (select distinct dst from calls where src % 5 = 0) i on i.dst = c.dst group by c.src, f.name"""
+    # a bare call that its own file doesn't define and no import names means the first symbol elsewhere: a guess
+    return """select c.path, c.target_name, coalesce(o.id, t.id) as target, count(*) as n, o.id is null and i.file_id is null as ambiguous from (select * from refs where kind = 'call') c
+        left join (select file_id, name, max(id) as id from symbols group by file_id, name) o on o.file_id = c.file_id and o.name = c.target_name join (select name, min(id) as id from symbols group by name) t on t.name = c.target_name
+        left join (select distinct file_id, target_name from refs where kind = 'import') i on i.file_id = c.file_id and i.target_name = c.target_name group by c.path, c.target_name, coalesce(o.id, t.id), o.id is null and i.file_id is null"""
 
 
 def impact(symbol: int) -> str:

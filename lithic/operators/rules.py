@@ -231,22 +231,22 @@ def _(d):
 
 def todos(d) -> str:
     """(path, line, kind, author, priority, reason): markers of open work. What stands in a file that is being edited comes
-    first, then what was touched within a week; over the tables a file's age and state go by its length."""
+    first, then what was touched within a week."""
     kind = d.extract("text", "(?:^|[^A-Za-z])(TODO|FIXME|XXX|HACK)(?:[^A-Za-z]|$)")
-    age = "concat('modified ', cast(age as varchar(20)), ' days ago')"
-    state = f"select path, max(length(text)) % 30 as age, max(length(text)) % 5 = 0 as edited from code group by path"
-    return f"""select c.path, c.line, c.kind, c.author, case when edited then 'high' when age < 7 then 'medium' else 'low' end as priority, case when edited then 'file being edited' when age < 7 then {age} else concat({age}, ', unchanged') end as reason
-        from (select path, line, {kind} as kind, {d.extract('text', '(?:TODO|FIXME|XXX|HACK)[(]([a-z]+)[)]')} as author from code) c join ({state}) s on s.path = c.path where c.kind <> ''"""
+    age = "concat('modified ', cast(coalesce(age, 0) as varchar(20)), ' days ago')"
+    state = "select path, age, edited from touched"
+    return f"""select c.path, c.line, c.kind, c.author, case when edited then 'high' when coalesce(age, 0) < 7 then 'medium' else 'low' end as priority, case when edited then 'file being edited' when coalesce(age, 0) < 7 then {age} else concat({age}, ', unchanged') end as reason
+        from (select path, line, {kind} as kind, {d.extract('text', '(?:TODO|FIXME|XXX|HACK)[(]([a-z]+)[)]')} as author from code) c left join ({state}) s on s.path = c.path where c.kind <> ''"""
 
 
-@both("rul07_active_todos", "code")
+@both("rul07_active_todos", "code", "touched")
 def _(d):
     return todos(d)
 
 
 @both("rul10_naming_consistency", "symbols")
 def _(d):
-    return f"""with s as (select dir, style, count(*) as n from (select {d.extract('path', '^([^/]*)')} as dir, {style(d)} as style from (select path, lower(name) as name from symbols where length(name) % 2 = 0 union all select path, name from symbols where length(name) % 2 = 1) x) y where style is not null group by dir, style),
+    return f"""with s as (select dir, style, count(*) as n from (select {d.extract('path', '^([^/]*)')} as dir, {style(d)} as style from symbols) y where style is not null group by dir, style),
         t as (select dir, style, n, sum(n) over (partition by dir) as total, row_number() over (partition by dir order by n desc, style) as rn from s) select dir, style as dominant, n, cast(total as bigint) as total, n >= 0.7 * total as consistent from t where rn = 1"""
 
 
@@ -375,6 +375,6 @@ def _(d):
     return f"select i as path, cast(floor(100 * overall + 0.5) as double) as score from ({quality(d, '(select path as i, content as x from texts where content is not null)')}) q"
 
 
-@both("agg18_todo_summary", "code")
+@both("agg18_todo_summary", "code", "touched")
 def _(d):
     return f"select priority, count(*) as n from ({todos(d)}) t group by priority"

@@ -251,8 +251,10 @@ def _(d):
 
 @both("dat02_age_label", "usage")
 def _(d):
-    minutes = "(event_id % 5000)"
-    return f"select event_id, case when {minutes} < 60 then concat(cast({minutes} as varchar(20)), ' min') when {minutes} < 1440 then concat(cast(cast(floor({minutes} / 60.0) as bigint) as varchar(20)), ' h') else concat(cast(cast(floor({minutes} / 1440.0) as bigint) as varchar(20)), ' d') end as label from usage"
+    # how long before the newest event
+    minutes = f"floor((newest - {d.seconds('ts')}) / 60.0)"
+    text = lambda x: f"cast(cast({x} as bigint) as varchar(20))"
+    return f"select event_id, case when minutes < 60 then concat({text('minutes')}, ' min') when minutes < 1440 then concat({text('floor(minutes / 60.0)')}, ' h') else concat({text('floor(minutes / 1440.0)')}, ' d') end as label from (select event_id, {minutes} as minutes from usage cross join (select max({d.seconds('ts')}) as newest from usage) m) x"
 
 
 @both("arr01_list_ops", "lines")

@@ -265,7 +265,7 @@ def _(d):
     return f"select path, line, confidence from (select path, line, cast(floor({score} * 100 + 0.5) as double) / 100 as confidence from code where instr(text, 'tion') > 0) x where confidence >= 0.5 order by confidence desc, path, line limit 500"
 
 
-@both("top06_priority_sort", "code")
+@both("top06_priority_sort", "code", "touched")
 def _(d):
     from lithic.operators.rules import todos
 

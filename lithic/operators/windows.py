@@ -82,12 +82,15 @@ def _(d):
 
 @both("win08_range_conflicts", "symbols")
 def _(d):
-    return "select path, start_line, name, coalesce(lag(start_line + length(name) % 4) over (partition by path order by start_line) >= start_line, false) as conflict from symbols"
+    return "select path, start_line, name, coalesce(lag(end_line) over (partition by path order by start_line, id) >= start_line, false) as conflict from symbols"
 
 
-@both("win09_line_delta", "symbols")
+@both("win09_line_delta", "edits", "files")
 def _(d):
-    return "select path, start_line, start_line + coalesce(delta, 0) as moved_to from (select path, start_line, cast(sum(length(name) % 5 - 2) over (partition by path order by start_line rows between unbounded preceding and 1 preceding) as bigint) as delta from symbols) x"
+    # where a file's later edits stand once the earlier ones are made
+    from lithic.operators.binding import edit_ranges
+
+    return f"select path, seq, start, start + coalesce(grown, 0) as moved_to from (select path, seq, start, cast(sum(grows) over (partition by file_id order by start, seq rows between unbounded preceding and 1 preceding) as bigint) as grown from {edit_ranges(d)} e) x"
 
 
 def common_ends(d) -> str:

@@ -81,6 +81,8 @@ RELATIONS: dict[str, tuple[tuple[str, ...], Callable[[Spark], str]]] = {
     # two snapshots of the files: some changed, some gone, some new
     "before": (("files",), lambda d: "select file_id, path, content, cast(file_id * 1000 as double) as mtime, 'fresh' as state from files where file_id % 13 <> 0"),
     "after": (("files",), lambda d: "select file_id, path, case when file_id % 7 = 0 then concat(content, ' edited') else content end as content, case when file_id % 7 = 0 then file_id * 1000 + 60000.4 else file_id * 1000 + 0.3 end as mtime from files where file_id % 11 <> 0"),
+    # how long ago a file was touched, in days before the newest, and whether it is being edited
+    "touched": (("before", "after"), lambda d: "select a.path, cast(floor((m.newest - a.mtime) / 86400000.0) as bigint) as age, coalesce(b.content <> a.content, false) as edited from after a cross join (select max(mtime) as newest from after) m left join before b on b.path = a.path"),
 }
 
 

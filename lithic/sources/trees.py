@@ -188,6 +188,7 @@ def derived(files: DataFrame, symbols: DataFrame, bound: DataFrame, aliases: Dat
         "functions": functions,
         "imports": imports,
         "requires": imports,
+        "touched": files.select("path", F.datediff(F.current_date(), "mtime").cast("long").alias("age"), F.lit(False).alias("edited")),
         "modules": files.select(F.col("file_id").alias("id"), "path"),
         "code": lines.select("path", "line", "text"),
         "texts": files.select("path", "content"),
