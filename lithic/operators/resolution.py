@@ -40,8 +40,8 @@ def postings(d, asked: str) -> str:
 
 def hints(d) -> str:
     """CTEs: postings and the first two candidates of each (name, seg) in ``asked`` (target_name, seg, ...)."""
-    found = "select s.name, p.seg, s.file_id, s.id from symbols s join postings p on p.file_id = s.file_id join (select distinct target_name, seg from asked) a on a.target_name = s.name and a.seg = p.seg"
-    return f"postings as ({postings(d, 'asked')}), found as ({found}), hinted as {first_elsewhere('found', 'name, seg', 'file_id')}"
+    found = "select s.name, p.seg, s.file_id, s.id from symbols s join answering p on p.file_id = s.file_id join (select distinct target_name, seg from asked) a on a.target_name = s.name and a.seg = p.seg"
+    return f"answering as ({postings(d, 'asked')}), found as ({found}), hinted as {first_elsewhere('found', 'name, seg', 'file_id')}"
 
 
 def elsewhere(d) -> str:
