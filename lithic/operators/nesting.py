@@ -22,7 +22,9 @@ from lithic.plans.dialect import DUCK
 from lithic.sources.relations import relation, with_ctes
 
 OWNERS = ("function", "method")
-RESULT = "file_id long, id long, ref string, parent_id long, parent string, parent_line long, qualified string, depth long, container_id long, container string, root boolean"
+#: What a reference may stand in.
+HOLDERS = (*OWNERS, "class")
+RESULT = "file_id long, id long, ref string, parent_id long, parent string, parent_line long, qualified string, depth long, container_id long, container string, root boolean, line long"
 _FIELDS = [(c.split()[0], {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}[c.split()[1]]) for c in RESULT.split(", ")]
 
 
@@ -60,7 +62,7 @@ class Sweep:
             container = min(around, key=lambda p: (p.end - p.start, p.id), default=None)
             s.qualified, s.depth = (f"{parent.qualified}.{s.name}", parent.depth + 1) if parent else (s.name, 0)
             root = not around and s.end == furthest and alone
-            out.append((self.file, s.id, None, parent and parent.id, parent and parent.name, parent and parent.start, s.qualified, s.depth, container and container.id, container and container.name, root))
+            out.append((self.file, s.id, None, parent and parent.id, parent and parent.name, parent and parent.start, s.qualified, s.depth, container and container.id, container and container.name, root, s.start))
         self.open += now
         return out
 
@@ -83,17 +85,17 @@ def _run(batches):
             else:
                 out += sweep.settle()
                 if s := sweep.owner():
-                    out.append((file, None, ref, s.id, s.name, s.start, None, None, None, None, None))
+                    out.append((file, None, ref, s.id, s.name, s.start, None, None, None, None, None, line))
         if out:
             yield _batch(out)
     if out := sweep.settle():
         yield _batch(out)
 
 
-def nested(symbols: DataFrame, refs: DataFrame | None = None) -> DataFrame:
+def nested(symbols: DataFrame, refs: DataFrame | None = None, owners: tuple[str, ...] = OWNERS) -> DataFrame:
     """RESULT: a row for each of symbols (id, file_id, name, type, start_line, end_line), and one for each of refs (id,
     file_id, line) that has an owner, which is its parent."""
-    owner = F.col("type").isin(*OWNERS)
+    owner = F.col("type").isin(*owners)
     rows = symbols.select("file_id", F.col("start_line").cast("long").alias("line"), F.lit(None).cast("string").alias("ref"), F.col("end_line").cast("long").alias("end_line"), "id", "name", owner.alias("owner"))
     if refs is not None:
         rows = rows.union(refs.select("file_id", F.col("line").cast("long"), F.col("id").cast("string"), *[F.lit(None).cast(t) for t in ("long", "long", "string", "boolean")]))
@@ -138,21 +140,27 @@ def _(spark, source):
     return symbols.select("id", "name").join(found, "id")
 
 
-def owned(spark, source) -> DataFrame:
-    """The calls that a function or method holds: (id, source_symbol_id, source_name) beside the reference's columns."""
-    calls = relation(spark, source, "refs").where("kind = 'call'")
-    found = nested(_symbols(spark, source), calls).where("ref is not null").select(F.col("ref").alias("id"), F.col("parent_id").alias("source_symbol_id"), F.col("parent").alias("source_name"))
-    return calls.select("id", "file_id", "path", "line", "target_name").join(found, "id")
+def owned(refs: DataFrame, symbols: DataFrame, key: str) -> DataFrame:
+    """(key, line, source_symbol_id, source_name): each reference that a function, method or class holds, by a column that it
+    is to be known by."""
+    found = nested(symbols, refs.where("file_id is not null").select(F.col(key).alias("id"), "file_id", "line"), HOLDERS).where("ref is not null")
+    return found.select(F.col("ref").alias(key), "line", F.col("parent_id").alias("source_symbol_id"), F.col("parent").alias("source_name"))
 
 
-_CALLS = f"(select * from ({enclosing(DUCK, ', '.join(repr(x) for x in OWNERS))}) e where kind = 'call') e"
+_HELD = f"({enclosing(DUCK, ', '.join(repr(x) for x in HOLDERS))}) e"
 
 
-@query("jn10_enclosing_symbol", with_ctes(f"select path, source_name, source_symbol_id, count(*) as n, min(line) as first_line from {_CALLS} group by path, source_name, source_symbol_id", DUCK, ("refs", "symbols")))
+@query("jn10_enclosing_symbol", with_ctes(f"select path, source_name, source_symbol_id, count(*) as n, min(line) as first_line from {_HELD} group by path, source_name, source_symbol_id", DUCK, ("refs", "symbols")))
 def _(spark, source):
-    return owned(spark, source).groupBy("path", "source_name", "source_symbol_id").agg(F.count("*").alias("n"), F.min("line").alias("first_line"))
+    """Of references of every kind. A line's references have one owner, so they go through the sweep as one row."""
+    lines = relation(spark, source, "refs").groupBy("file_id", "path", "line").agg(F.count("*").alias("n")).withColumn("key", F.to_json(F.struct("path", "n")))
+    held = owned(lines, _symbols(spark, source), "key").withColumn("key", F.from_json("key", "path string, n long"))
+    return held.groupBy("key.path", "source_name", "source_symbol_id").agg(F.sum("key.n").alias("n"), F.min("line").alias("first_line"))
 
 
-@query("jn03_caller_symbols", with_ctes(f"select e.id, e.line, e.target_name, f.lang, e.source_name from {_CALLS} join files f on f.file_id = e.file_id", DUCK, ("refs", "symbols", "files")))
+@query("jn03_caller_symbols", with_ctes(f"select e.id, e.line, e.target_name, f.lang, e.source_name from {_HELD} join files f on f.file_id = e.file_id where e.kind = 'call'", DUCK, ("refs", "symbols", "files")))
 def _(spark, source):
-    return owned(spark, source).join(relation(spark, source, "files").select("file_id", "lang"), "file_id").select("id", "line", "target_name", "lang", "source_name")
+    calls = relation(spark, source, "refs").where("kind = 'call'")
+    held = owned(calls, _symbols(spark, source), "id").drop("line")
+    files = relation(spark, source, "files").select("file_id", "lang")
+    return calls.select("id", "file_id", "line", "target_name").join(held, "id").join(files, "file_id").select("id", "line", "target_name", "lang", "source_name")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lithic.operators import nesting
 from lithic.plans import catalogue
 from lithic.sources import trees
+from lithic.sources.relations import Relations
 
 KIND = "id long, file_id long, name string, type string, start_line long, end_line long"
 
@@ -75,3 +76,15 @@ def test_many_lines_and_nothing(spark):
     assert nesting.nested(spark.createDataFrame([], KIND)).collect() == []
     wide = spark.createDataFrame([(1, 1, None, "function", 5, None)], KIND)
     assert [(r.qualified, r.root) for r in nesting.nested(wide.withColumn("end_line", F.col("end_line"))).collect()] == [("", True)]
+
+
+def test_all_that_is_held(spark):
+    """References of every kind, and what stands in a class but in none of its functions; paths may be null."""
+    symbols = [(1, 1, "A", "class", 1, 5), (2, 1, "f", "function", 3, 4), (3, 2, "v", "variable", 1, 9)]
+    refs = [("a", 1, "x/a", 2, "call", "g"), ("b", 1, "x/a", 3, "use", "h"), ("c", 1, "x/a", 4, "call", "g"), ("d", 1, "x/a", 7, "call", "g"), ("e", 2, "x/b", 1, "call", "g"), ("f", 1, None, 5, "import", "k")]
+    files = spark.createDataFrame([(1, "en"), (2, "de")], "file_id long, lang string")
+    source = Relations({"symbols": spark.createDataFrame(symbols, KIND), "refs": spark.createDataFrame(refs, "id string, file_id long, path string, line long, kind string, target_name string"), "files": files})
+    got = {tuple(r) for r in catalogue.queries()["jn10_enclosing_symbol"](spark, source).collect()}
+    assert got == {("x/a", "A", 1, 1, 2), ("x/a", "f", 2, 2, 3), (None, "A", 1, 1, 5)}
+    calls = {tuple(r) for r in catalogue.queries()["jn03_caller_symbols"](spark, source).collect()}
+    assert calls == {("a", 2, "g", "en", "A"), ("c", 4, "g", "en", "f")}
