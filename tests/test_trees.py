@@ -307,6 +307,19 @@ def test_elementary_cycles(spark):
     assert graphs.elementary_cycles(spark.createDataFrame([], "src long, dst long"), 5).collect() == []
 
 
+def test_cycles_of_large_graphs_take_few_rounds(spark, monkeypatch):
+    """Above FEW edges no labels are sent around: half a cycle from each end finds where cycles begin."""
+    import random
+
+    monkeypatch.setattr(graphs, "FEW", 0)
+    monkeypatch.setattr(graphs, "_labels", None)
+    rng = random.Random(3)
+    for longest in (2, 5, 8):
+        edges = {(rng.randrange(10), rng.randrange(10)) for _ in range(22)}
+        found = graphs.elementary_cycles(spark.createDataFrame(sorted(edges), "src long, dst long"), longest).collect()
+        assert sorted(tuple(r.cycle) for r in found) == sorted(simple_cycles(edges, longest))
+
+
 def test_searched_cycles_by_size(spark):
     edges = [(1, 2), (2, 1), (10, 11), (11, 12), (12, 10), (12, 13), (13, 10)]
     got = {(tuple(r.cycle), r.how) for r in graphs.search_cycles(spark.createDataFrame(edges, "src long, dst long"), most=4).collect()}
