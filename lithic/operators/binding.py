@@ -205,12 +205,9 @@ def _(d):
 @query("set10_visited_union", with_ctes("with recursive r as (select dst as node from calls where src = 1 union select c.dst from r join calls c on c.src = r.node) select node from r", DUCK, ("calls",)))
 def _(spark, source):
     """All that one node's calls reach, however far."""
-    from lithic.operators.graphs import bfs
+    from lithic.operators.graphs import reached
 
-    calls = relation(spark, source, "calls").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    start = spark.createDataFrame([(1,)], "node long")
-    reached = bfs(calls, start, 1000).where("depth > 0").select("node")
-    return reached.union(calls.where("src = 1").select(F.col("src").alias("node")).distinct())
+    return reached(relation(spark, source, "calls"), spark.createDataFrame([(1,)], "node long"))
 
 
 @both("set08_rule_override", "code")

@@ -320,6 +320,14 @@ def test_cycles_of_large_graphs_take_few_rounds(spark, monkeypatch):
         assert sorted(tuple(r.cycle) for r in found) == sorted(simple_cycles(edges, longest))
 
 
+def test_reached_from_a_start(spark):
+    """A node that is only called, and not from what it reaches, doesn't reach itself; a ring's node does."""
+    reach = lambda edges: sorted(r.node for r in rows(spark, "set10_visited_union", Relations({"calls": spark.createDataFrame(edges, "src long, dst long")})))
+    assert reach([(5, 1)]) == []
+    assert reach([(5, 1), (1, 2), (2, 3)]) == [2, 3]
+    assert reach([(1, 2), (2, 3), (3, 1), (3, 4), (7, 4)]) == [1, 2, 3, 4]
+
+
 def test_searched_cycles_by_size(spark):
     edges = [(1, 2), (2, 1), (10, 11), (11, 12), (12, 10), (12, 13), (13, 10)]
     got = {(tuple(r.cycle), r.how) for r in graphs.search_cycles(spark.createDataFrame(edges, "src long, dst long"), most=4).collect()}
