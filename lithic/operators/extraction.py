@@ -93,7 +93,18 @@ def _(spark, sf_dir):
 
 @query("ext06_python_constants")
 def _(spark, sf_dir):
-    return table_function(samples(spark, "[.]py$"), lambda p, c: X.constants(c), "path string, name string, line int")
+    """Of a tree's Python files; over the tables also of a settings file that each part is written as."""
+    files = sources_of(spark, sf_dir, "[.]py$")
+    if not isinstance(sf_dir, Relations):
+        files = files.unionByName(settings(relation(spark, sf_dir, "functions")))
+    return table_function(files, lambda p, c: X.constants(c), "path string, name string, line int")
+
+
+def settings(functions: DataFrame) -> DataFrame:
+    """(path, content): Python files that assign a constant of each row's name, one of its kind, and a variable."""
+    constant = lambda c: F.upper(F.regexp_replace(c, "[^A-Za-z0-9]+", "_"))
+    lines = F.concat_ws("\n", F.lit("import os"), F.concat(constant("name"), F.lit(" = "), F.col("start_line")), F.concat(F.lit("size = "), F.col("start_line")), F.concat(constant("kind"), F.lit(": int = 1")))
+    return functions.select(F.concat(F.lit("settings/"), F.col("dir"), F.lit("/"), F.col("id"), F.lit(".py")).alias("path"), lines.alias("content"))
 
 
 @query("ext13_has_errors")

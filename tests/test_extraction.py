@@ -205,3 +205,18 @@ def test_broken_and_odd_sources():
     assert X.rust_uses("a::{self, b::{c, d as e}, f::*}") == ["a", "a::b::c", "a::b::d"]
     assert X.binding_names("{ a, b: c, d = 1, ...rest }") == ["a", "c", "d", "rest"] and X.binding_names("[x, [y], , z]") == ["x", "y", "z"]
     assert X.strip("a = `x ${b + `c`} d` // e", "javascript").split("//")[0].count("${b + ") == 1
+
+
+def test_constants_of_a_table(spark):
+    from pyspark.sql import functions as F
+
+    from lithic.operators import extraction
+    from lithic.plans import catalogue
+
+    parts = spark.createDataFrame([(1, "hot blue-steel", "B#1", "SMALL TIN", 7), (2, "x", "B#2", "y", 9)], "id long, name string, dir string, kind string, start_line int")
+    files = extraction.settings(parts)
+    got = {tuple(r) for r in extraction.table_function(files, lambda p, c: X.constants(c), "path string, name string, line int").collect()}
+    assert got == {("settings/B#1/1.py", "HOT_BLUE_STEEL", 2), ("settings/B#1/1.py", "SMALL_TIN", 4), ("settings/B#2/2.py", "X", 2), ("settings/B#2/2.py", "Y", 4)}
+    found = catalogue.queries()["ext06_python_constants"](spark, "/root/testdata/sf0.001")
+    n = spark.read.parquet("/root/testdata/sf0.001/part.parquet").count()
+    assert found.where(F.col("path").startswith("settings/")).count() == 2 * n
