@@ -100,3 +100,10 @@ def test_picks_against_a_loop(spark):
         hit = next((s for seg in reversed(asked) for s in sorted(others) if answers(path_of[s[1]], seg)), None)
         want[n] = (hit or min(others))[0]
     assert got == want
+
+
+def test_references_are_shuffled_once(spark):
+    """Candidates go to the references, not the references to each kind of candidate in turn."""
+    found = catalogue.queries()["jn08_cross_file_pick"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(file_id") <= 3 and "hashpartitioning(id#" not in plan and "Window [row_number" not in plan
