@@ -274,3 +274,20 @@ def test_rename_and_aliases():
     assert editing.rename_in(text, "a.js", "helper", "aid") == [(1, "import { helper as h } from './b'", "import { aid as h } from './b'")]
     text = "import { helper } from './b'\nlet x = helper(`${helper} helper`) // helper\n"
     assert [after for _, _, after in editing.rename_in(text, "a.js", "helper", "aid")] == ["import { aid } from './b'", "let x = aid(`${aid} helper`) // helper"]
+
+
+def test_diff_facts_of_versions(spark):
+    """Names that went, by how many other files say them; equal ends of versions; ids that stand twice, as the SQL has it."""
+    from pyspark.sql import functions as F
+
+    from lithic.plans import catalogue
+    from lithic.sources.relations import Relations
+
+    kind = "file_id long, path string, content string"
+    before = spark.createDataFrame([(1, "a", "one x\ntwo\nthree"), (2, "b", "one\nfour"), (3, "c", None), (4, "d", "same")], kind)
+    after = spark.createDataFrame([(1, "a", "one x\nnew\nthree\nthree"), (3, "c", "five"), (4, "d", "same")], kind)
+    refs = spark.createDataFrame([(1, "two"), (2, "two"), (2, "two"), (5, "two"), (5, "four"), (6, "one")], "file_id long, target_name string")
+    source = Relations({"before": before.withColumn("state", F.lit("fresh")), "after": after, "refs": refs})
+    found = catalogue.queries()["mut10_diff_facts"](spark, source)
+    assert {r.path: tuple(r)[1:] for r in found.collect()} == {"a": ("changed", 2, 1, 1, 1, 2), "b": ("removed", 0, 0, 2, 0, 2), "c": ("same", 0, 0, 0, 1, 0), "d": ("same", 0, 0, 0, 0, 0)}
+    assert "target_name" not in found._jdf.queryExecution().executedPlan().toString()  # no file meets all that say its names
