@@ -10,9 +10,9 @@ A frequent word is one row in each block, so no word is a hot key.
 
 The model's ids are the 256 byte pieces and the most frequent pieces of the training texts; other pieces are spelled in
 bytes, so any text has a probability. Counts of all training texts choose the ids and start the output's biases; the
-other weights are learnt from a sample of training texts that holds ``tokens`` ids, or one in ``share`` where that is
-more, so it grows with the corpus. Each task takes a pass over its part of the sample; the tasks' weights are averaged
-by place, and the next round starts from there. A text is scored in windows that overlap: each id once, by the window
+other weights are learnt from all training texts too. Each round takes its share of them, so that every text is learnt from
+once; where a share would have fewer than ``tokens`` ids, every round takes all. Each task takes a pass over its part of the
+round; the tasks' weights are averaged by place, and the next round starts from there. A text is scored in windows that overlap: each id once, by the window
 that shows it the most text before it.
 
 Cases: null and empty texts, and texts of white space, have only the end; repeated rows are scored alike and each counts
@@ -42,8 +42,8 @@ from lithic.llm.quality import fold
 
 #: Ids of the model, classes of ids; ids a window moves on by.
 IDS, CLASSES, STEP = 1024, 32, 28
-#: Ids of the sample at least, and one in how many ids otherwise; ids of a task at least, tasks at most; rates of the rounds.
-TOKENS, SHARE, PART, TASKS, RATES = 1_500_000, 128, 500_000, 256, (0.01, 0.006, 0.003)
+#: Ids of a round at least, where there are as many; ids of a task at least, tasks at most; rates of the rounds.
+TOKENS, PART, TASKS, RATES = 1_500_000, 500_000, 256, (0.01, 0.006, 0.003)
 #: Bytes of texts in a block, words scored together, windows in one step of the model; characters of a word cut at once.
 BLOCK, TOGETHER, STEPS, LONG = 24 << 20, 60_000, 256, 200
 _DOC = 1 << 40
@@ -201,9 +201,9 @@ def _id_counts(words: DataFrame) -> dict[int, int]:
     return dict(map(tuple, words.where("once AND c > 0").select("c", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n")).collect()))
 
 
-def _windows(docs: DataFrame, text: str, ids: list[str], rate: float, file: bytes, spelling: Spelling, context: int) -> DataFrame:
-    """(key, window) of the training texts in the sample: context + 1 ids, -1 after the end."""
-    chosen = docs.where(fold(ids[0]) != 1).where(F.pmod(F.xxhash64(F.lit(13), *ids, text), F.lit(1 << 20)) < int(rate * (1 << 20)))
+def _windows(docs: DataFrame, text: str, ids: list[str], share: int, shares: int, file: bytes, spelling: Spelling, context: int) -> DataFrame:
+    """(key, window) of one of so many shares of the training texts: context + 1 ids, -1 after the end."""
+    chosen = docs.where(fold(ids[0]) != 1).where(F.pmod(F.xxhash64(F.lit(13), *ids, text), F.lit(shares)) == share)
     start, end = len(spelling.shares), len(spelling.shares) - 1
 
     def run(batches):
@@ -263,19 +263,19 @@ class Model(NamedTuple):
         return np.log10((np.asarray(c) + 0.5) / (self.n + 0.5 * (self.distinct + 1)))
 
 
-def train(docs: DataFrame, blocks: DataFrame, words: DataFrame, text: str, ids: list[str], file: bytes, tokens: int = TOKENS, share: int = SHARE, rates: tuple[float, ...] = RATES) -> Model:
+def train(docs: DataFrame, blocks: DataFrame, words: DataFrame, text: str, ids: list[str], file: bytes, tokens: int = TOKENS, rates: tuple[float, ...] = RATES) -> Model:
     total = words.where("once AND c > 0").agg(F.sum("c"), F.count("*")).first()
     texts = blocks.where("words IS NOT NULL AND NOT held_out").count()
     counts = _id_counts(words)
     spelling = Spelling.of(counts, texts, ranks_of(file))
     weights = attention.initial(spelling.shares, CLASSES)
     every = sum(counts.values()) + texts
-    rate = min(1.0, max(tokens / max(every, 1), 1 / share))
-    tasks = int(min(TASKS, max(1, rate * every // PART)))
-    windows = save(_windows(docs, text, ids, rate, file, spelling, attention.CONTEXT))
-    dealt = windows.withColumn("part", F.col("key") % tasks).repartition(tasks, "part")  # no more tasks than parts, however many partitions
-    weights = learn(dealt.sortWithinPartitions("part", "key", "window"), weights, rates)
-    drop(windows)
+    shares = len(rates) if every >= tokens * len(rates) else 1
+    tasks = int(min(TASKS, max(1, every // shares // PART)))
+    for k, rate in enumerate(rates):
+        windows = _windows(docs, text, ids, k % shares, shares, file, spelling, attention.CONTEXT)
+        dealt = windows.withColumn("part", F.col("key") % tasks).repartition(tasks, "part")  # no more tasks than parts, however many partitions
+        weights = learn(dealt.sortWithinPartitions("part", "key", "window"), weights, (rate,))
     return Model(weights, spelling, (total[0] or 0) + texts, total[1] + (texts > 0), texts)
 
 
@@ -368,7 +368,7 @@ def scored(blocks: DataFrame, words: DataFrame, model: Model) -> DataFrame:
     return dealt.mapInArrow(run, f"row {row}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
-def language_scores(docs: DataFrame, text: str = "text", ids: list[str] | None = None, tokenizer: str | None = None, tokens: int = TOKENS, share: int = SHARE, rates: tuple[float, ...] = RATES, block: int = BLOCK) -> tuple[DataFrame, Model]:
+def language_scores(docs: DataFrame, text: str = "text", ids: list[str] | None = None, tokenizer: str | None = None, tokens: int = TOKENS, rates: tuple[float, ...] = RATES, block: int = BLOCK) -> tuple[DataFrame, Model]:
     """(row, held_out, n_tokens, n_known, base_score, score) of each text, and the model. ids: the columns to keep, the
     first of which decides the fold."""
     ids = ids or ["doc_id"]
@@ -376,7 +376,7 @@ def language_scores(docs: DataFrame, text: str = "text", ids: list[str] | None =
         file = f.read()
     blocks = save(blocks_of(docs, text, ids, block))
     words = save(counted(blocks, file))
-    model = train(docs, blocks, words, text, ids, file, tokens, share, rates)
+    model = train(docs, blocks, words, text, ids, file, tokens, rates)
     return scored(blocks, words, model), model
 
 

@@ -138,3 +138,14 @@ def test_query_on_held_out_texts(spark):
     print(held[["base_score", "score"]].sum())
     assert held.score.sum() > held.base_score.sum()
     assert np.corrcoef(held.score / held.n_tokens, held.base_score / held.n_tokens)[0, 1] > 0.3
+
+
+def test_every_training_text_is_learnt_from(spark, monkeypatch):
+    """Each once where there are enough for all rounds, else each in every round; held-out texts never."""
+    docs = spark.createDataFrame([(i, f"word{i} and others {i % 7}") for i in range(200)], "doc_id long, text string")
+    training = docs.where(lmscore.fold("doc_id") != 1).count()
+    for tokens, times in ((1, 1), (10**9, 3)):
+        seen = []
+        monkeypatch.setattr(lmscore, "learn", lambda windows, weights, rates, seen=seen: (seen.append(windows.count()), weights)[1])
+        lmscore.language_scores(docs, tokens=tokens)
+        assert len(seen) == 3 and sum(seen) == times * training  # a short text is one window
