@@ -7,6 +7,8 @@ logarithms of the ids' shares in the corpus are where its biases start. Gradient
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 Weights = dict[str, np.ndarray]
@@ -36,24 +38,45 @@ def flat(w: Weights) -> np.ndarray:
     return np.concatenate([x.ravel() for x in w.values()])
 
 
-def unflat(values: np.ndarray, like: Weights) -> Weights:
+def _views(values: np.ndarray, like: Weights) -> Weights:
     out, at = {}, 0
     for k, x in like.items():
-        out[k] = values[at : at + x.size].reshape(x.shape).astype(np.float32)
+        out[k] = values[at : at + x.size].reshape(x.shape)
         at += x.size
     return out
 
 
+def unflat(values: np.ndarray, like: Weights) -> Weights:
+    return {k: x.astype(np.float32) for k, x in _views(values, like).items()}
+
+
+@lru_cache(maxsize=4)
+def _back(length: int) -> tuple[np.ndarray, np.ndarray]:
+    """How far each place is behind each, where it is not ahead; and which are ahead, of all (length * length)."""
+    far = (np.arange(length)[:, None] - np.arange(length)[None, :]).ravel()
+    return far[far >= 0], far < 0
+
+
 def _bias(near: np.ndarray, length: int) -> np.ndarray:
     """(heads, length, length): the weight of each distance back; what lies ahead is masked."""
-    back = np.arange(length)[:, None] - np.arange(length)[None, :]
-    return np.where(back >= 0, near[:, np.maximum(back, 0)], _FAR).astype(np.float32)
+    back, ahead = _back(length)
+    out = np.full((len(near), length * length), _FAR, np.float32)
+    out[:, ~ahead] = near[:, back]
+    return out.reshape(-1, length, length)
+
+
+def _sum_rows(x: np.ndarray, out: np.ndarray) -> None:
+    np.matmul(np.ones(len(x), x.dtype), x, out=out)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=-1, keepdims=True)
+def _softmax(x: np.ndarray, seen: np.ndarray | None = None) -> np.ndarray:
+    """In place; seen: 0 where nothing is to be seen. What an exponential takes is held between -_MOST and _MOST, which no
+    score of a trained model comes near: no row's sum is zero or infinite."""
+    np.clip(x, -_MOST, _MOST, out=x)
     np.exp(x, out=x)
-    x /= x.sum(axis=-1, keepdims=True)
+    if seen is not None:
+        x *= seen
+    x /= (x @ np.ones(x.shape[-1], x.dtype))[..., None]
     return x
 
 
@@ -74,8 +97,9 @@ def _body(w: Weights, x: np.ndarray):
     q, k, v = (_split(h @ w[name], n, length, heads) for name in ("query", "key", "value"))
     q *= np.float32((h.shape[1] // heads) ** -0.5)
     a = np.matmul(q, k.transpose(0, 1, 3, 2))
-    a += _bias(w["near"], length)
-    _softmax(a)
+    bias = _bias(w["near"], length)
+    a += np.maximum(bias, -_MOST)
+    _softmax(a, bias > _FAR)
     o = _join(np.matmul(a, v))
     z = h + o @ w["mix"]
     u = np.maximum(z @ w["up"] + w["up0"], 0)
@@ -118,7 +142,7 @@ def _states(w: Weights, x: np.ndarray, keep: np.ndarray) -> np.ndarray:
 
 def _by_class(y: np.ndarray, each: int):
     """Rows in the order of their class, and where each class's rows begin and end."""
-    of = y // each
+    of = (y // each).astype(np.int16)  # sorted by radix
     order = np.argsort(of, kind="stable")
     ends = np.cumsum(np.bincount(of))
     return order, [(c, s, e) for c, (s, e) in enumerate(zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist(), strict=True)) if e > s]
@@ -146,66 +170,93 @@ def logs(w: Weights, x: np.ndarray, y: np.ndarray, keep: np.ndarray) -> np.ndarr
     return out
 
 
-def gradient(w: Weights, x: np.ndarray, y: np.ndarray, keep: np.ndarray) -> tuple[Weights, float]:
-    """The gradient of the mean loss over the places keep, and the loss."""
+def gradient(w: Weights, x: np.ndarray, y: np.ndarray, keep: np.ndarray, g: Weights | None = None) -> tuple[Weights, float]:
+    """The gradient of the mean loss over the places keep, and the loss. g: arrays like w's that it is put into."""
     n, length = x.shape
     heads, each, width = len(w["near"]), w["id"].shape[2], w["embed"].shape[1]
     s, (h, q, k, v, a, o, z, u) = _body(w, x)
-    s_ = s[keep]
-    g = {name: np.zeros_like(t) for name, t in w.items()}
+    g = g or {name: np.empty_like(t) for name, t in w.items()}
     order, parts = _by_class(y, each)
-    st, yt = s_[order], y[order]
-    rows, size = np.arange(len(yt)), np.float32(1 / len(yt))
-    top = _softmax(st @ w["class"] + w["class0"])
-    loss = -np.log(top[rows, yt // each]).sum(dtype=float)
-    top[rows, yt // each] -= 1
-    top *= size
-    g["class"], g["class0"] = st.T @ top, top.sum(0)
-    ds = top @ w["class"].T
+    at = keep[order]
+    st, yt = s[at], y[order]
+    size = s.dtype.type(1 / len(yt))
+    top, low, ds = st @ w["class"], np.empty((len(yt), each), s.dtype), np.empty_like(st)
+    top += w["class0"]
+    for c, b, e in parts:
+        np.matmul(st[b:e], w["id"][c], out=low[b:e])
+        low[b:e] += w["id0"][c]
+    loss, rows = 0.0, np.arange(len(yt))
+    for t, right in ((top, yt // each), (low, yt % each)):
+        _softmax(t)
+        loss -= np.log(t[rows, right]).sum(dtype=float)
+        t[rows, right] -= 1
+        t *= size
+    np.matmul(st.T, top, out=g["class"])
+    _sum_rows(top, g["class0"])
+    np.matmul(top, w["class"].T, out=ds)
+    g["id"].fill(0)
+    g["id0"].fill(0)
     for c, b, e in parts:
-        low = _softmax(st[b:e] @ w["id"][c] + w["id0"][c])
-        r = np.arange(e - b)
-        loss -= np.log(low[r, yt[b:e] % each]).sum(dtype=float)
-        low[r, yt[b:e] % each] -= 1
-        low *= size
-        g["id"][c], g["id0"][c] = st[b:e].T @ low, low.sum(0)
-        ds[b:e] += low @ w["id"][c].T
+        np.matmul(st[b:e].T, low[b:e], out=g["id"][c])
+        ds[b:e] += low[b:e] @ w["id"][c].T
+    g["id0"][[c for c, _, _ in parts]] = np.add.reduceat(low, [b for _, b, _ in parts], axis=0)
     full = np.zeros_like(s)
-    full[keep[order]] = ds
-    du = (full @ w["down"].T) * (u > 0)
-    g["down"], g["up"], g["up0"] = u.T @ full, z.T @ du, du.sum(0)
-    dz = full + du @ w["up"].T
-    g["mix"] = o.T @ dz
+    full[at] = ds
+    du = full @ w["down"].T
+    du *= u > 0
+    np.matmul(u.T, full, out=g["down"])
+    np.matmul(z.T, du, out=g["up"])
+    _sum_rows(du, g["up0"])
+    dz = full
+    dz += du @ w["up"].T
+    np.matmul(o.T, dz, out=g["mix"])
     do = _split(dz @ w["mix"].T, n, length, heads)
     da = np.matmul(do, v.transpose(0, 1, 3, 2))
     dv = np.matmul(a.transpose(0, 1, 3, 2), do)
-    da -= (da * a).sum(axis=-1, keepdims=True)
+    da -= np.einsum("nhij,nhij->nhi", da, a)[..., None]
     da *= a
-    total = da.sum(axis=0)
-    for d in range(length):
-        g["near"][:, d] = np.trace(total, offset=-d, axis1=1, axis2=2)
-    dq, dk = np.matmul(da, k) * np.float32((width // heads) ** -0.5), np.matmul(da.transpose(0, 1, 3, 2), q)
+    back, ahead = _back(length)
+    for by, total in zip(g["near"], da.sum(axis=0), strict=True):
+        by[:] = np.bincount(back, weights=total.ravel()[~ahead], minlength=length)
+    dq, dk = np.matmul(da, k), np.matmul(da.transpose(0, 1, 3, 2), q)
+    dq *= s.dtype.type((width // heads) ** -0.5)
     dh = dz
     for name, d in (("query", dq), ("key", dk), ("value", dv)):
         d = _join(d)
-        g[name] = h.T @ d
-        dh = dh + d @ w[name].T
-    np.add.at(g["embed"], x.ravel(), dh)
+        np.matmul(h.T, d, out=g[name])
+        dh += d @ w[name].T
+    many = np.bincount(x.ravel())
+    ids = np.flatnonzero(many)
+    g["embed"].fill(0)
+    g["embed"][ids] = np.add.reduceat(dh[np.argsort(x.ravel().astype(np.int16), kind="stable")], np.cumsum(many[ids]) - many[ids], axis=0)
     return g, loss / len(yt)
 
 
 class Adam:
+    """Steps on a copy of the weights: all of them are one array, of which w, g and the rest are views."""
+
     def __init__(self, w: Weights, rate: float):
-        self.w, self.rate, self.t = w, rate, 0
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
+        self.all, self.rate, self.t = flat(w), rate, 0
+        self.slope, self.m, self.v, self.by = (np.zeros_like(self.all) for _ in range(4))
+        self.w, self.g = _views(self.all, w), _views(self.slope, w)
 
-    def step(self, g: Weights) -> None:
+    def step(self) -> None:
+        """A step down the gradient in g, which is used up."""
         self.t += 1
-        by = self.rate * (1 - 0.99**self.t) ** 0.5 / (1 - 0.9**self.t)
-        for k, x in self.w.items():
-            self.m[k] += np.float32(0.1) * (g[k] - self.m[k])
-            self.v[k] += np.float32(0.01) * (g[k] * g[k] - self.v[k])
-            x -= np.float32(by) * self.m[k] / (np.sqrt(self.v[k]) + np.float32(1e-8))
+        rate = np.float32(self.rate * (1 - 0.99**self.t) ** 0.5 / (1 - 0.9**self.t))
+        g, m, v, by = self.slope, self.m, self.v, self.by
+        m *= np.float32(0.9)
+        v *= np.float32(0.99)
+        np.multiply(g, np.float32(0.1), out=by)
+        m += by
+        g *= g
+        g *= np.float32(0.01)
+        v += g
+        np.sqrt(v, out=by)
+        by += np.float32(1e-8)
+        np.divide(m, by, out=by)
+        by *= rate
+        self.all -= by
 
 
 def fit_steps(steps: Adam, windows: np.ndarray, batch: int = 32) -> None:
@@ -214,4 +265,5 @@ def fit_steps(steps: Adam, windows: np.ndarray, batch: int = 32) -> None:
         part = windows[i : i + batch]
         y = part[:, 1:].ravel()
         keep = np.flatnonzero(y >= 0)
-        steps.step(gradient(steps.w, np.maximum(part[:, :-1], 0), y[keep], keep)[0])
+        gradient(steps.w, np.maximum(part[:, :-1], 0), y[keep], keep, steps.g)
+        steps.step()

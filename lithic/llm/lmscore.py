@@ -46,6 +46,8 @@ IDS, CLASSES, STEP = 1024, 32, 28
 TOKENS, PART, TASKS, RATES = 1_500_000, 500_000, 256, (0.01, 0.006, 0.003)
 #: Bytes of texts in a block, words scored together, windows in one step of the model; characters of a word cut at once.
 BLOCK, TOGETHER, STEPS, LONG = 24 << 20, 60_000, 256, 200
+#: Words whose ids a task remembers between texts.
+KNOWN = 200_000
 _DOC = 1 << 40
 
 
@@ -204,7 +206,7 @@ def _id_counts(words: DataFrame) -> dict[int, int]:
 def _windows(docs: DataFrame, text: str, ids: list[str], share: int, shares: int, file: bytes, spelling: Spelling, context: int) -> DataFrame:
     """(key, window) of one of so many shares of the training texts: context + 1 ids, -1 after the end."""
     chosen = docs.where(fold(ids[0]) != 1).where(F.pmod(F.xxhash64(F.lit(13), *ids, text), F.lit(shares)) == share)
-    start, end = len(spelling.shares), len(spelling.shares) - 1
+    start, end, most = len(spelling.shares), len(spelling.shares) - 1, KNOWN
 
     def run(batches):
         encoding, known, made = _encoding(file), {}, 0
@@ -212,10 +214,10 @@ def _windows(docs: DataFrame, text: str, ids: list[str], share: int, shares: int
             out = []
             for t in b.column(0).to_pylist():
                 words = t.lower().split() if t else []
+                if len(known) > most:  # between texts: a text's own words stay until it is cut
+                    known.clear()
                 for w in words:
                     if w not in known:
-                        if len(known) > 200_000:
-                            known.clear()
                         raw = np.array(pieces_of(w, encoding))
                         known[w] = ragged(spelling.flat, spelling.first[raw], spelling.count[raw]).tobytes()
                 full = np.concatenate(([start], np.frombuffer(b"".join([known[w] for w in words]), np.int16), [end]))
@@ -235,14 +237,14 @@ def learn(windows: DataFrame, weights: attention.Weights, rates: tuple[float, ..
     for rate in rates:
 
         def run(batches, w=weights, rate=rate):
-            steps, n = attention.Adam({k: x.copy() for k, x in w.items()}, rate), 0
+            steps, n = attention.Adam(w, rate), 0
             for b in batches:
                 found, _ = _joined(b.column(0), np.int16)
                 found = found.reshape(b.num_rows, -1).astype(np.int64)
                 attention.fit_steps(steps, found, batch)
                 n += b.num_rows
             if n:
-                flat = attention.flat(steps.w).astype(np.float64)
+                flat = steps.all.astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * n), pa.array(np.full(len(flat), n))], ["i", "v", "n"])
 
         mean = windows.select("window").mapInArrow(run, "i long, v double, n long").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v"))

@@ -149,3 +149,16 @@ def test_every_training_text_is_learnt_from(spark, monkeypatch):
         monkeypatch.setattr(lmscore, "learn", lambda windows, weights, rates, seen=seen: (seen.append(windows.count()), weights)[1])
         lmscore.language_scores(docs, tokens=tokens)
         assert len(seen) == 3 and sum(seen) == times * training  # a short text is one window
+
+
+def test_a_text_of_more_new_words_than_a_task_remembers(spark, file, monkeypatch):
+    """Windows are the same, however few words are remembered: those of a text that was begun are not forgotten."""
+    texts = ["a b c", "a " + " ".join(f"new{i}" for i in range(50)) + " a b c", None, "a new1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    spelling = lmscore.Spelling.of({}, 1, lmscore.ranks_of(file))
+    found = []
+    for known in (200_000, 3):
+        monkeypatch.setattr(lmscore, "KNOWN", known)
+        monkeypatch.setattr(lmscore, "fold", lambda c: lmscore.F.lit(0))
+        found.append([tuple(r) for r in lmscore._windows(docs, "text", ["doc_id"], 0, 1, file, spelling, attention.CONTEXT).collect()])
+    assert found[0] == found[1] and len(found[0]) > 4
