@@ -18,6 +18,11 @@ belongs together needn't meet again; rows of the smaller components of a group g
 fewest rarer shingles: a text that others are copies of has none of its own. A group ends when one component is left, so
 a group of n near copies of a text costs n confirmations. Rows that have met all others are done.
 
+Copies of one text that are no copies of each other meet in the same large groups, and are unlike by little. Rows of large
+groups so have parities beside them: of the shingles with each of 512 remainders, whether there are evenly or oddly many.
+Where the parities of two sets differ there is a shingle that only one of them has, so the sets differ by as many at
+least; pairs that differ by too many are not made.
+
 Cases: null and empty texts have no shingles and are alike; texts of at most five words are one shingle; equal sets are
 one node; words are lower case. Repeated rows and rows that share an id are one node if their texts are equal, and else
 decided by their texts. Very long texts are taken whole. An empty table stays empty; columns keep their names, whatever
@@ -40,8 +45,10 @@ from lithic.llm.simhash import SEED, _signed, fingerprint_links, majority, shing
 SHINGLE = 5
 #: One text in so many is counted for the order of shingles, and so many shingles at most are put last.
 SAMPLE, COMMON = 32, 100_000
+#: Parities of a set, in numbers of 64 bits; rows of a shingle from which on they stand beside them.
+PARITIES, CROWD = 8, 32
 
-METRICS = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.ShortType())), T.StructField("fp", T.LongType())])
+METRICS = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.ShortType())), T.StructField("fp", T.LongType()), T.StructField("bits", T.ArrayType(T.LongType()))])
 SHINGLES = T.StructType([T.StructField("shingles", T.ArrayType(T.LongType()))])
 
 
@@ -54,6 +61,12 @@ def _sets(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return annotate(docs, text, lambda texts: [[shingle_set(t) for t in texts]], SHINGLES, keep)
 
 
+def parities(h: np.ndarray) -> np.ndarray:
+    """Of the hashes with each remainder, whether there are oddly many: PARITIES numbers of 64 bits."""
+    many = np.bincount((h >> 8) & (64 * PARITIES - 1), minlength=64 * PARITIES)
+    return np.packbits((many & 1).astype(np.uint8)).view(np.int64)
+
+
 def _common(docs: DataFrame, text: str) -> np.ndarray:
     """Shingles that are common in a sample of the texts, the most common one at the end."""
     some = _sets(docs.where(F.pmod(F.xxhash64(F.col(f"`{text}`")), F.lit(SAMPLE)) == 0), text, [])
@@ -62,7 +75,7 @@ def _common(docs: DataFrame, text: str) -> np.ndarray:
 
 
 def described(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs as column ``row``, and ``m``: a node for equal sets, the number of shingles, their prefix and sketch."""
+    """docs as column ``row``, and ``m``: a node for equal sets, the number of shingles, their prefix, sketch and parities."""
     common = _common(docs, text)
     order = np.argsort(common)
     known = common[order]
@@ -72,14 +85,15 @@ def described(docs: DataFrame, text: str = "text") -> DataFrame:
         h = np.unique(every).view(np.int64)
         n, digest, fp = len(h), xxhash.xxh64_intdigest(h.tobytes()) if len(h) else 0, majority(every)
         sketch = np.unique(h[h & 3 == 0].view(np.uint64) >> np.uint64(48)).astype(np.uint16).view(np.int16)
+        bits = parities(h)
         if len(known) and n:
             at = np.minimum(np.searchsorted(known, h), len(known) - 1)
             last = known[at] == h
             if last.any():
                 h = np.concatenate((h[~last], h[last][np.argsort(order[at[last]])]))
-        return _signed(digest), n, h[: n - (4 * n + 4) // 5 + 1], sketch, _signed(fp)
+        return _signed(digest), n, h[: n - (4 * n + 4) // 5 + 1], sketch, _signed(fp), bits
 
-    return annotate(docs, text, lambda texts: [list(c) for c in zip(*map(one, texts), strict=True)] or [[]] * 5, METRICS)
+    return annotate(docs, text, lambda texts: [list(c) for c in zip(*map(one, texts), strict=True)] or [[]] * 6, METRICS)
 
 
 def _rows(batches):
@@ -136,9 +150,9 @@ def alike(found: DataFrame, text: str = "text") -> DataFrame | None:
     batch_conf(found.sparkSession)
     rows = found.select("m.node", "m.n", "m.prefix").mapInArrow(_rows, "h long, node long, n long, pos long")
     rows = rows.repartition("h").dropDuplicates(["h", "node"])
-    rows = save(rows.withColumn("g", F.count("*").over(Window.partitionBy("h"))).where("g > 1").drop("g").withColumn("root", F.col("node")))
+    rows = save(rows.withColumn("g", F.count("*").over(Window.partitionBy("h"))).where("g > 1").withColumn("crowd", F.col("g") >= CROWD).drop("g").withColumn("root", F.col("node")))
     # nodes without a row there are like no other
-    nodes = save(found.select("m.node", "m.n", "m.fp", "m.sketch").join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")))
+    nodes = save(found.select("m.node", "m.n", "m.fp", "m.sketch", "m.bits").join(rows.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits")))
     links, roots, heads = None, None, 1
 
     def met(pairs: DataFrame, rows: DataFrame, before: DataFrame) -> DataFrame:
@@ -156,6 +170,12 @@ def alike(found: DataFrame, text: str = "text") -> DataFrame | None:
 
     if rows.limit(1).count():
         rows = met(_by_fingerprint(nodes.select("node", "n", "fp")), rows, rows)
+    bits = [f"b{i}" for i in range(PARITIES)]
+    few = rows.where("NOT crowd").select("*", *[F.lit(None).cast("long").alias(b) for b in bits])
+    many = rows.where("crowd").join(nodes.select("node", *[F.col("bits")[i].alias(b) for i, b in enumerate(bits)]), "node")
+    rows, before = save(few.unionByName(many).drop("crowd")), rows
+    drop(before)
+    apart = sum((F.bit_count(F.col(f"x.{b}").bitwiseXOR(F.col(f"y.{b}"))) for b in bits), F.lit(0))
     while rows.limit(1).count():
         rows = rows.repartition("h").withColumn("share", F.count("*").over(Window.partitionBy("h", "root")))
         rows, before = save(rows.withColumn("k", F.row_number().over(Window.partitionBy("h").orderBy("share", "pos", "root", "node"))).drop("share")), rows
@@ -163,6 +183,7 @@ def alike(found: DataFrame, text: str = "text") -> DataFrame | None:
         x, y = rows.where(F.col("k") <= heads).alias("x"), rows.alias("y")
         room = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
         near = (F.col("x.h") == F.col("y.h")) & (F.col("x.k") < F.col("y.k")) & (F.col("x.root") != F.col("y.root")) & (9 * room >= 4 * (F.col("x.n") + F.col("y.n")))
+        near &= F.col("x.b0").isNull() | (9 * apart <= F.col("x.n") + F.col("y.n"))
         low = F.col("x.node") < F.col("y.node")
         side = lambda c, a, b: F.when(low, F.col(f"{a}.{c}")).otherwise(F.col(f"{b}.{c}"))
         pairs = save(x.join(y, near).select(side("node", "x", "y").alias("a"), side("node", "y", "x").alias("b"), side("n", "x", "y").alias("na"), side("n", "y", "x").alias("nb")).distinct())

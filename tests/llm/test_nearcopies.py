@@ -78,3 +78,37 @@ def test_near_copies_with_many_fingerprint_bits(spark):
 def test_no_links(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (2, "g h i j k l"), (None, None), (None, None)], "doc_id long, text string")
     assert sorted(str(r.doc_id) for r in nearcopies.first_of_alike(docs).collect()) == ["1", "2", "None"]
+
+
+def test_parities_differ_in_no_more_than_the_sets():
+    rng = np.random.default_rng(3)
+    for n, new in ((0, 1), (5, 2), (150, 30), (150, 400), (5000, 900)):
+        a = np.unique(rng.integers(-(1 << 62), 1 << 62, n))
+        b = np.unique(np.concatenate((a[new // 2 :], rng.integers(-(1 << 62), 1 << 62, new))))
+        differ = sum((int(x) ^ int(y)).bit_count() for x, y in zip(nearcopies.parities(a).view(np.uint64), nearcopies.parities(b).view(np.uint64), strict=True))
+        assert 0 < differ <= len(np.setxor1d(a, b))
+        assert nearcopies.parities(a).tolist() == nearcopies.parities(a[::-1]).tolist()
+
+
+def test_copies_of_a_text_that_are_no_copies_of_each_other(spark, monkeypatch):
+    """Each is like the text they come from, and some are like each other: the same are kept, of a tenth of the pairs."""
+    rng = np.random.default_rng(11)
+    one, texts = [f"w{i}" for i in range(150)], []
+    for k in range(160):
+        two = list(one)
+        for place in rng.choice(np.arange(5, 145, 6), 4 if k % 8 else 2, replace=False):
+            two[place] = f"new{k}at{place}"
+        texts.append(" ".join(two))
+    rows, made, kept = list(enumerate(texts)), {}, {}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    confirmed = nearcopies._confirmed
+    for crowd in (nearcopies.CROWD, 10**9):  # 10**9: no group has parities
+        count = []
+        monkeypatch.setattr(nearcopies, "CROWD", crowd)
+        monkeypatch.setattr(nearcopies, "_confirmed", lambda pairs, *a, count=count: (count.append(pairs.count()), confirmed(pairs, *a))[1])
+        kept[crowd] = sorted(r.doc_id for r in nearcopies.first_of_alike(docs).collect())
+        made[crowd] = sum(count)
+    print(made, len(kept[10**9]))
+    (few, got), (many, plain) = [(made[c], kept[c]) for c in sorted(made)]
+    assert got == plain == sorted(_kept(rows))
+    assert 10 * few <= many
