@@ -1,7 +1,8 @@
 """A small causal self-attention model over subword ids, in numpy.
 
 One layer: embeddings, attention of some heads with a learnt weight for each distance, a residual, a two-layer map with a
-residual. The output is a class of ids and then an id of the class, so that a prediction costs two short softmaxes; the
+residual. A head reads its part of the state with one learnt map for keys and one for values: with one head, as here, maps
+for queries and for what is seen would only be factors of these two. The output is a class of ids and then an id of the class, so that a prediction costs two short softmaxes; the
 logarithms of the ids' shares in the corpus are where its biases start. Gradients are written out; steps are Adam's.
 """
 
@@ -19,18 +20,20 @@ _FAR, _MOST = np.float32(-1e9), np.float32(60)
 
 
 def initial(shares: np.ndarray, classes: int, seed: int = 5, context: int = CONTEXT, width: int = WIDTH, heads: int = HEADS, hidden: int = HIDDEN) -> Weights:
-    """shares: of each id, class by class (classes * ids a class). The id after the last is the start of a text."""
+    """shares: of each id, class by class (classes * ids a class). The id after the last is the start of a text. The last
+    row of class, and of each class in id, is a bias."""
     rng = np.random.default_rng(seed)
     each = len(shares) // classes
     table = shares.reshape(classes, each)
     draw = lambda *shape, by: (rng.standard_normal(shape) * by).astype(np.float32)
+    biased = lambda x, bias: np.concatenate([x, bias.astype(np.float32)], axis=-2)
     return {
         "embed": draw(len(shares) + 1, width, by=0.3),
-        "query": draw(width, width, by=width**-0.5), "key": draw(width, width, by=width**-0.5), "value": draw(width, width, by=width**-0.5), "mix": draw(width, width, by=width**-0.5),
+        "pair": draw(width, 2 * width, by=width**-0.5),
         "near": np.zeros((heads, context), np.float32) - np.linspace(0, 2, context, dtype=np.float32) * np.arange(heads, dtype=np.float32)[:, None],
         "up": draw(width, hidden, by=width**-0.5), "up0": np.zeros(hidden, np.float32), "down": draw(hidden, width, by=0.3 * hidden**-0.5),
-        "class": draw(width, classes, by=0.1), "class0": np.log(table.sum(1)).astype(np.float32),
-        "id": draw(classes, width, each, by=0.1), "id0": np.log(table / table.sum(1, keepdims=True)).astype(np.float32),
+        "class": biased(draw(width, classes, by=0.1), np.log(table.sum(1))[None]),
+        "id": biased(draw(classes, width, each, by=0.1), np.log(table / table.sum(1, keepdims=True))[:, None]),
     }
 
 
@@ -70,8 +73,8 @@ def _sum_rows(x: np.ndarray, out: np.ndarray) -> None:
 
 
 def _softmax(x: np.ndarray, seen: np.ndarray | None = None) -> np.ndarray:
-    """In place; seen: 0 where nothing is to be seen. What an exponential takes is held between -_MOST and _MOST, which no
-    score of a trained model comes near: no row's sum is zero or infinite."""
+    """In place; seen: a factor of each, 0 where nothing is to be seen. What an exponential takes is held between -_MOST and
+    _MOST, which no score of a trained model comes near: no row's sum is zero or infinite."""
     np.clip(x, -_MOST, _MOST, out=x)
     np.exp(x, out=x)
     if seen is not None:
@@ -81,7 +84,7 @@ def _softmax(x: np.ndarray, seen: np.ndarray | None = None) -> np.ndarray:
 
 
 def _split(x: np.ndarray, n: int, length: int, heads: int) -> np.ndarray:
-    return np.ascontiguousarray(x.reshape(n, length, heads, -1).transpose(0, 2, 1, 3))
+    return x.reshape(n, length, heads, -1).transpose(0, 2, 1, 3)
 
 
 def _join(x: np.ndarray) -> np.ndarray:
@@ -92,47 +95,48 @@ def _join(x: np.ndarray) -> np.ndarray:
 def _body(w: Weights, x: np.ndarray):
     """x: (windows, length) ids. The states of all places, and what the gradient needs."""
     n, length = x.shape
-    heads = len(w["near"])
-    h = w["embed"][x.ravel()]
-    q, k, v = (_split(h @ w[name], n, length, heads) for name in ("query", "key", "value"))
-    q *= np.float32((h.shape[1] // heads) ** -0.5)
-    a = np.matmul(q, k.transpose(0, 1, 3, 2))
-    bias = _bias(w["near"], length)
-    a += np.maximum(bias, -_MOST)
-    _softmax(a, bias > _FAR)
-    o = _join(np.matmul(a, v))
-    z = h + o @ w["mix"]
-    u = np.maximum(z @ w["up"] + w["up0"], 0)
-    return z + u @ w["down"], (h, q, k, v, a, o, z, u)
+    heads, width = len(w["near"]), w["embed"].shape[1]
+    h = w["embed"].take(x.ravel(), axis=0)
+    pair = h @ w["pair"]
+    k, v = (_split(pair[:, i : i + width], n, length, heads) for i in (0, width))
+    a = np.matmul(_split(h, n, length, heads), k.transpose(0, 1, 3, 2))
+    a *= a.dtype.type((width // heads) ** -0.5)
+    _softmax(a, np.exp(_bias(w["near"], length)))
+    z = h + _join(np.matmul(a, v))
+    u = z @ w["up"]
+    u += w["up0"]
+    np.maximum(u, 0, out=u)
+    return z + u @ w["down"], (h, k, v, a, z, u)
 
 
 def prepared(w: Weights, length: int = CONTEXT) -> Weights:
-    """w with what _states makes of it, for many calls."""
-    each = w["embed"].shape[1] // len(w["near"])
-    fused = np.concatenate([w["query"] * np.float32(each**-0.5), w["key"], w["value"]], axis=1)
-    return w | {"fused": fused, "seen": np.exp(_bias(w["near"], length)), "ones": np.ones((length, 1), np.float32)}
+    """w with what _states makes of it, for many calls: how much each id looks at each other, as the exponential, and what
+    it sees there, with a 1 that sums the weights; a state before attention is its id's alone."""
+    heads, (n, width) = len(w["near"]), w["embed"].shape
+    each = width // heads
+    pair = w["embed"] @ w["pair"]
+    looks, sees = [], []
+    for at in (slice(k * each, (k + 1) * each) for k in range(heads)):
+        scores = w["embed"][:, at] @ pair[:, at].T
+        scores *= np.float32(each**-0.5)
+        looks.append(np.exp(np.clip(scores, -_MOST, _MOST)).ravel())
+        sees.append(np.concatenate([pair[:, width:][:, at], np.ones((n, 1), np.float32)], axis=1))
+    return w | {"looks": looks, "sees": sees, "seen": np.exp(_bias(w["near"], length))}
 
 
 def _states(w: Weights, x: np.ndarray, keep: np.ndarray) -> np.ndarray:
-    """What _body gives for the places keep, in fewer passes: weights of attention are divided by their sum at the end, and
-    what an exponential takes is held below _MOST, which no score of a trained model comes near."""
+    """What _body gives for the places keep; w: prepared."""
     n, length = x.shape
-    if "fused" not in w:
-        w = prepared(w, length)
-    heads, width = len(w["near"]), w["embed"].shape[1]
-    each = width // heads
-    h = w["embed"][x.ravel()]
-    fused = (h @ w["fused"]).reshape(n, length, 3 * width)
-    seen, ones, o = w["seen"], w["ones"], np.empty((n, length, width), np.float32)
-    for k in range(heads):
-        at = slice(k * each, (k + 1) * each)
-        a = np.matmul(fused[:, :, at], fused[:, :, width + k * each : width + (k + 1) * each].transpose(0, 2, 1))
-        np.minimum(a, _MOST, out=a)
-        np.exp(a, out=a)
+    x = x.astype(np.intp)
+    ids, pairs = x.ravel(), (x * len(w["embed"]))[:, :, None] + x[:, None, :]
+    seen, parts = w["seen"], []
+    for k, (looks, sees) in enumerate(zip(w["looks"], w["sees"], strict=True)):
+        a = looks.take(pairs)
         a *= seen[k]
-        np.divide(np.matmul(a, fused[:, :, 2 * width + k * each : 2 * width + (k + 1) * each]), np.matmul(a, ones), out=o[:, :, at])
-    z = o.reshape(-1, width)[keep] @ w["mix"]
-    z += h[keep]
+        o = np.matmul(a, sees.take(ids, axis=0).reshape(n, length, -1)).reshape(n * length, -1).take(keep, axis=0)
+        parts.append(o[:, :-1] / o[:, -1:])
+    z = parts[0] if len(parts) == 1 else np.concatenate(parts, axis=1)
+    z += w["embed"].take(ids.take(keep), axis=0)
     u = z @ w["up"]
     u += w["up0"]
     np.maximum(u, 0, out=u)
@@ -148,24 +152,30 @@ def _by_class(y: np.ndarray, each: int):
     return order, [(c, s, e) for c, (s, e) in enumerate(zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist(), strict=True)) if e > s]
 
 
+def _outputs(w: Weights, s: np.ndarray, at: np.ndarray, parts: list[tuple[int, int, int]]):
+    """The states of the places at, class by class, with a 1 for the bias, and the scores of classes and of ids."""
+    st = np.empty((len(at), s.shape[1] + 1), s.dtype)
+    st[:, :-1] = s.take(at, axis=0)
+    st[:, -1] = 1
+    low = np.empty((len(at), w["id"].shape[2]), s.dtype)
+    for c, b, e in parts:
+        np.matmul(st[b:e], w["id"][c], out=low[b:e])
+    return st, st @ w["class"], low
+
+
 def logs(w: Weights, x: np.ndarray, y: np.ndarray, keep: np.ndarray) -> np.ndarray:
     """Natural logarithms of the probabilities of y at the places keep of the windows x, in keep's order."""
-    s = _states(w, x, keep)
+    s = _states(w, x, keep) if "looks" in w else _body(w, x)[0][keep]
     each = w["id"].shape[2]
     order, parts = _by_class(y, each)
-    s, y = s[order], y[order]
-    top = s @ w["class"]
-    top += w["class0"]
-    low = np.empty((len(y), each), np.float32)
-    for c, a, b in parts:
-        np.matmul(s[a:b], w["id"][c], out=low[a:b])
-        low[a:b] += w["id0"][c]
+    y = y[order]
+    _, top, low = _outputs(w, s, order, parts)
     rows, out, got = np.arange(len(y)), np.empty(len(y)), 0.0
     for t, at in ((top, y // each), (low, y % each)):
         np.minimum(t, _MOST, out=t)
         got = got + t[rows, at]
         np.exp(t, out=t)
-        got -= np.log(t.sum(axis=1))
+        got -= np.log(t @ np.ones(t.shape[1], t.dtype))
     out[order] = got
     return out
 
@@ -174,17 +184,12 @@ def gradient(w: Weights, x: np.ndarray, y: np.ndarray, keep: np.ndarray, g: Weig
     """The gradient of the mean loss over the places keep, and the loss. g: arrays like w's that it is put into."""
     n, length = x.shape
     heads, each, width = len(w["near"]), w["id"].shape[2], w["embed"].shape[1]
-    s, (h, q, k, v, a, o, z, u) = _body(w, x)
+    s, (h, k, v, a, z, u) = _body(w, x)
     g = g or {name: np.empty_like(t) for name, t in w.items()}
     order, parts = _by_class(y, each)
-    at = keep[order]
-    st, yt = s[at], y[order]
+    at, yt = keep[order], y[order]
+    st, top, low = _outputs(w, s, at, parts)
     size = s.dtype.type(1 / len(yt))
-    top, low, ds = st @ w["class"], np.empty((len(yt), each), s.dtype), np.empty_like(st)
-    top += w["class0"]
-    for c, b, e in parts:
-        np.matmul(st[b:e], w["id"][c], out=low[b:e])
-        low[b:e] += w["id0"][c]
     loss, rows = 0.0, np.arange(len(yt))
     for t, right in ((top, yt // each), (low, yt % each)):
         _softmax(t)
@@ -192,14 +197,12 @@ def gradient(w: Weights, x: np.ndarray, y: np.ndarray, keep: np.ndarray, g: Weig
         t[rows, right] -= 1
         t *= size
     np.matmul(st.T, top, out=g["class"])
-    _sum_rows(top, g["class0"])
-    np.matmul(top, w["class"].T, out=ds)
     g["id"].fill(0)
-    g["id0"].fill(0)
+    ds, ids = np.empty((len(yt), width), s.dtype), w["id"][:, :-1].transpose(0, 2, 1)
     for c, b, e in parts:
         np.matmul(st[b:e].T, low[b:e], out=g["id"][c])
-        ds[b:e] += low[b:e] @ w["id"][c].T
-    g["id0"][[c for c, _, _ in parts]] = np.add.reduceat(low, [b for _, b, _ in parts], axis=0)
+        np.matmul(low[b:e], ids[c], out=ds[b:e])
+    ds += top @ w["class"][:-1].T
     full = np.zeros_like(s)
     full[at] = ds
     du = full @ w["down"].T
@@ -209,26 +212,25 @@ def gradient(w: Weights, x: np.ndarray, y: np.ndarray, keep: np.ndarray, g: Weig
     _sum_rows(du, g["up0"])
     dz = full
     dz += du @ w["up"].T
-    np.matmul(o.T, dz, out=g["mix"])
-    do = _split(dz @ w["mix"].T, n, length, heads)
+    do = _split(dz, n, length, heads)
+    pair = np.empty((len(h), 2 * width), s.dtype)
+    dk, dv = (_split(pair[:, i : i + width], n, length, heads) for i in (0, width))
     da = np.matmul(do, v.transpose(0, 1, 3, 2))
-    dv = np.matmul(a.transpose(0, 1, 3, 2), do)
+    np.matmul(a.transpose(0, 1, 3, 2), do, out=dv)
     da -= np.einsum("nhij,nhij->nhi", da, a)[..., None]
     da *= a
     back, ahead = _back(length)
     for by, total in zip(g["near"], da.sum(axis=0), strict=True):
         by[:] = np.bincount(back, weights=total.ravel()[~ahead], minlength=length)
-    dq, dk = np.matmul(da, k), np.matmul(da.transpose(0, 1, 3, 2), q)
-    dq *= s.dtype.type((width // heads) ** -0.5)
-    dh = dz
-    for name, d in (("query", dq), ("key", dk), ("value", dv)):
-        d = _join(d)
-        np.matmul(h.T, d, out=g[name])
-        dh += d @ w[name].T
+    da *= s.dtype.type((width // heads) ** -0.5)
+    np.matmul(da.transpose(0, 1, 3, 2), _split(h, n, length, heads), out=dk)
+    dh = dz + _join(np.matmul(da, k))
+    dh += pair @ w["pair"].T
+    np.matmul(h.T, pair, out=g["pair"])
     many = np.bincount(x.ravel())
     ids = np.flatnonzero(many)
     g["embed"].fill(0)
-    g["embed"][ids] = np.add.reduceat(dh[np.argsort(x.ravel().astype(np.int16), kind="stable")], np.cumsum(many[ids]) - many[ids], axis=0)
+    g["embed"][ids] = np.add.reduceat(dh.take(np.argsort(x.ravel().astype(np.int16), kind="stable"), axis=0), np.cumsum(many[ids]) - many[ids], axis=0)
     return g, loss / len(yt)
 
 
@@ -244,16 +246,14 @@ class Adam:
         """A step down the gradient in g, which is used up."""
         self.t += 1
         rate = np.float32(self.rate * (1 - 0.99**self.t) ** 0.5 / (1 - 0.9**self.t))
-        g, m, v, by = self.slope, self.m, self.v, self.by
+        g, m, v, by = self.slope, self.m, self.v, self.by  # m and v: 10 and 100 times the means
         m *= np.float32(0.9)
-        v *= np.float32(0.99)
-        np.multiply(g, np.float32(0.1), out=by)
-        m += by
+        m += g
         g *= g
-        g *= np.float32(0.01)
+        v *= np.float32(0.99)
         v += g
         np.sqrt(v, out=by)
-        by += np.float32(1e-8)
+        by += np.float32(1e-7)
         np.divide(m, by, out=by)
         by *= rate
         self.all -= by

@@ -5,8 +5,9 @@ a causal self-attention model over subword ids gives it (lithic.llm.attention).
 
 Texts are read once and become numbers of words in blocks of some megabytes, each with its own dictionary. The blocks'
 dictionaries, not the texts' words, are what meets by word: a window over a word sums its counts, each distinct word is
-cut into subword ids once, and a block's rows return to it. Then a block's texts are looked up and scored by array steps.
-A frequent word is one row in each block, so no word is a hot key.
+cut into subword ids once, and a block's rows return to it. Then a block's texts are looked up by array steps and become
+the model's ids, once: learning and scoring read these and know no words. A frequent word is one row in each block, so no
+word is a hot key.
 
 The model's ids are the 256 byte pieces and the most frequent pieces of the training texts; other pieces are spelled in
 bytes, so any text has a probability. Counts of all training texts choose the ids and start the output's biases; the
@@ -45,7 +46,7 @@ IDS, CLASSES, STEP = 1024, 32, 28
 #: Ids of a round at least, where there are as many; ids of a task at least, tasks at most; rates of the rounds.
 TOKENS, PART, TASKS, RATES = 1_500_000, 500_000, 256, (0.01, 0.006, 0.003)
 #: Bytes of texts in a block, words scored together, windows in one step of the model; characters of a word cut at once.
-BLOCK, TOGETHER, STEPS, LONG = 24 << 20, 60_000, 256, 200
+BLOCK, TOGETHER, STEPS, LONG = 24 << 20, 60_000, 32, 200
 #: Words whose ids a task remembers between texts.
 KNOWN = 200_000
 _DOC = 1 << 40
@@ -203,13 +204,51 @@ def _id_counts(words: DataFrame) -> dict[int, int]:
     return dict(map(tuple, words.where("once AND c > 0").select("c", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n")).collect()))
 
 
+def _framed(model_ids: int, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' ids with start and end around each, and where each text begins."""
+    first = np.cumsum(lengths + 2) - (lengths + 2)
+    full = np.empty(int((lengths + 2).sum()), np.int16)
+    full[first], full[first + lengths + 1] = model_ids, model_ids - 1
+    inside = np.ones(len(full), bool)
+    inside[first] = inside[first + lengths + 1] = False
+    full[inside] = ids
+    return full, first
+
+
+def _numbered(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text of each window and its number there, for so many windows of each text."""
+    owner = np.repeat(np.arange(len(windows)), windows)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+
+
+def _cut(spelt: DataFrame, size: int, context: int) -> DataFrame:
+    """(key, window) of texts as ids of a model of so many: context + 1 ids, -1 after the end."""
+
+    def run(batches):
+        made = 0
+        for b in batches:
+            ids, lengths = _joined(b.column(0), np.int16)
+            full, first = _framed(size, ids, lengths)
+            owner, number = _numbered(-(-(lengths + 1) // context))
+            ends = (first + lengths + 1)[owner][:, None]
+            at = (first[owner] + number * context)[:, None] + np.arange(context + 1)
+            windows = np.where(at <= ends, full[np.minimum(at, ends)], np.int16(-1))
+            out = [w.tobytes() for w in windows]
+            keys = [xxhash.xxh64_intdigest(w, made + i) >> 1 for i, w in enumerate(out)]  # equal windows in different places
+            made += len(out)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], ["key", "window"])
+
+    return spelt.select("ids").mapInArrow(run, "key long, window binary")
+
+
 def _windows(docs: DataFrame, text: str, ids: list[str], share: int, shares: int, file: bytes, spelling: Spelling, context: int) -> DataFrame:
-    """(key, window) of one of so many shares of the training texts: context + 1 ids, -1 after the end."""
+    """_cut of one of so many shares of the training texts, from their words and without blocks: for texts that aren't in
+    blocks, and tests hold the windows of those that are against it."""
     chosen = docs.where(fold(ids[0]) != 1).where(F.pmod(F.xxhash64(F.lit(13), *ids, text), F.lit(shares)) == share)
-    start, end, most = len(spelling.shares), len(spelling.shares) - 1, KNOWN
+    most = KNOWN
 
     def run(batches):
-        encoding, known, made = _encoding(file), {}, 0
+        encoding, known = _encoding(file), {}
         for b in batches:
             out = []
             for t in b.column(0).to_pylist():
@@ -220,16 +259,10 @@ def _windows(docs: DataFrame, text: str, ids: list[str], share: int, shares: int
                     if w not in known:
                         raw = np.array(pieces_of(w, encoding))
                         known[w] = ragged(spelling.flat, spelling.first[raw], spelling.count[raw]).tobytes()
-                full = np.concatenate(([start], np.frombuffer(b"".join([known[w] for w in words]), np.int16), [end]))
-                for at in range(0, len(full) - 1, context):
-                    part = np.full(context + 1, -1, np.int16)
-                    part[: len(full) - at] = full[at : at + context + 1]
-                    out.append(part.tobytes())
-            keys = [xxhash.xxh64_intdigest(w, made + i) >> 1 for i, w in enumerate(out)]  # equal windows in different places
-            made += len(out)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], ["key", "window"])
+                out.append(b"".join([known[w] for w in words]))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["ids"])
 
-    return chosen.select(F.col(f"`{text}`").cast("binary")).mapInArrow(run, "key long, window binary")
+    return _cut(chosen.select(F.col(f"`{text}`").cast("binary")).mapInArrow(run, "ids binary"), len(spelling.shares), context)
 
 
 def learn(windows: DataFrame, weights: attention.Weights, rates: tuple[float, ...] = RATES, batch: int = 32) -> attention.Weights:
@@ -265,36 +298,34 @@ class Model(NamedTuple):
         return np.log10((np.asarray(c) + 0.5) / (self.n + 0.5 * (self.distinct + 1)))
 
 
-def train(docs: DataFrame, blocks: DataFrame, words: DataFrame, text: str, ids: list[str], file: bytes, tokens: int = TOKENS, rates: tuple[float, ...] = RATES) -> Model:
+def untrained(blocks: DataFrame, words: DataFrame, file: bytes) -> tuple[Model, int]:
+    """The model as it starts, after the counts of all training texts, and how many ids these have."""
     total = words.where("once AND c > 0").agg(F.sum("c"), F.count("*")).first()
     texts = blocks.where("words IS NOT NULL AND NOT held_out").count()
     counts = _id_counts(words)
     spelling = Spelling.of(counts, texts, ranks_of(file))
     weights = attention.initial(spelling.shares, CLASSES)
-    every = sum(counts.values()) + texts
+    return Model(weights, spelling, (total[0] or 0) + texts, total[1] + (texts > 0), texts), sum(counts.values()) + texts
+
+
+def train(spelt: DataFrame, model: Model, every: int, tokens: int = TOKENS, rates: tuple[float, ...] = RATES) -> Model:
+    weights = model.weights
     shares = len(rates) if every >= tokens * len(rates) else 1
     tasks = int(min(TASKS, max(1, every // shares // PART)))
+    training = spelt.where("NOT held_out").withColumn("share", F.pmod(F.xxhash64(F.lit(13), "row.*", "ids"), F.lit(shares)))
     for k, rate in enumerate(rates):
-        windows = _windows(docs, text, ids, k % shares, shares, file, spelling, attention.CONTEXT)
+        windows = _cut(training.where(F.col("share") == k % shares), len(model.spelling.shares), attention.CONTEXT)
         dealt = windows.withColumn("part", F.col("key") % tasks).repartition(tasks, "part")  # no more tasks than parts, however many partitions
         weights = learn(dealt.sortWithinPartitions("part", "key", "window"), weights, (rate,))
-    return Model(weights, spelling, (total[0] or 0) + texts, total[1] + (texts > 0), texts)
+    return model._replace(weights=weights)
 
 
 def log10_of(model: Model, ids: np.ndarray, lengths: np.ndarray, step: int = STEP, steps: int = STEPS) -> np.ndarray:
     """The model's log10 probability of each text; ids: the texts' ids one after the other, without start and end."""
-    context, start, end = attention.CONTEXT, len(model.spelling.shares), len(model.spelling.shares) - 1
-    n = len(lengths)
-    first = np.cumsum(lengths + 2) - (lengths + 2)
-    full = np.empty(int((lengths + 2).sum()), np.int16)
-    full[first], full[first + lengths + 1] = start, end
-    inside = np.ones(len(full), bool)
-    inside[first] = inside[first + lengths + 1] = False
-    full[inside] = ids
+    context, n = attention.CONTEXT, len(lengths)
+    full, first = _framed(len(model.spelling.shares), ids, lengths)
     many = lengths + 1  # predictions of a text
-    windows = 1 + np.maximum(0, -(-(many - context) // step))
-    owner = np.repeat(np.arange(n), windows)
-    number = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
+    owner, number = _numbered(1 + np.maximum(0, -(-(many - context) // step)))
     out, places, weights = np.zeros(n), np.arange(context), attention.prepared(model.weights)
     for a in range(0, len(owner), steps):
         who, k = owner[a : a + steps], number[a : a + steps]
@@ -307,8 +338,8 @@ def log10_of(model: Model, ids: np.ndarray, lengths: np.ndarray, step: int = STE
     return out / math.log(10)
 
 
-def scored(blocks: DataFrame, words: DataFrame, model: Model) -> DataFrame:
-    """row, held_out, n_tokens, n_known, base_score, score of every text."""
+def spelled(blocks: DataFrame, words: DataFrame, model: Model) -> DataFrame:
+    """row, held_out, n_tokens, n_known, base_score of every text, and its ids of the model, without start and end."""
     spark = blocks.sparkSession
     row = blocks.schema["row"].dataType.simpleString()
     texts = blocks.where("words IS NOT NULL").select("block", "at", F.lit(None).cast("long").alias("c"), F.lit(None).cast("binary").alias("ids"), "row", "held_out", "words")
@@ -322,15 +353,17 @@ def scored(blocks: DataFrame, words: DataFrame, model: Model) -> DataFrame:
         lengths = np.concatenate([x[2] for x in parts]) if parts else np.zeros(0, np.int64)
         return (model.cost(c), c > 0, *model.spelling.words(raw, lengths))
 
-    def score(held, found):
+    def spell(held, found):
         cost, known, flat, first, count = found
         rows, out, words = (pa.concat_arrays([h[i] for h in held]) for i in range(3))
         w, lengths = _joined(words, np.int32)
         doc, n = np.repeat(np.arange(len(lengths)), lengths), len(lengths)
         sums = lambda x: np.bincount(doc, weights=x, minlength=n)
-        got = log10_of(model, ragged(flat, first[w], count[w]), sums(count[w]).astype(np.int64))
-        columns = [pa.array(lengths + 1), pa.array(sums(known[w]).astype(np.int64) + end_known), pa.array(sums(cost[w]) + end_cost), pa.array(got)]
-        return pa.RecordBatch.from_arrays([rows, out, *columns], ["row", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        ids = ragged(flat, first[w], count[w]).astype(np.int16).tobytes()
+        ends = [0, *(2 * np.cumsum(sums(count[w]).astype(np.int64))).tolist()]
+        spelt = pa.array([ids[s:e] for s, e in zip(ends, ends[1:], strict=False)], pa.binary())
+        columns = [pa.array(lengths + 1), pa.array(sums(known[w]).astype(np.int64) + end_known), pa.array(sums(cost[w]) + end_cost), spelt]
+        return pa.RecordBatch.from_arrays([rows, out, *columns], ["row", "held_out", "n_tokens", "n_known", "base_score", "ids"])
 
     def run(batches):
         block, parts, found, held, size = None, [], None, [], 0
@@ -343,7 +376,7 @@ def scored(blocks: DataFrame, words: DataFrame, model: Model) -> DataFrame:
                 part = b.slice(s, e - s)
                 if of[s] != block:
                     if held:
-                        yield score(held, found)
+                        yield spell(held, found)
                     block, parts, found, held, size = of[s], [], None, [], 0
                 if part.column(1)[0].as_py() < _DOC:
                     parts.append((part.column(2).to_numpy(), *_joined(part.column(3), np.int32)))
@@ -360,14 +393,27 @@ def scored(blocks: DataFrame, words: DataFrame, model: Model) -> DataFrame:
                     held.append([part.column(i).slice(at, to - at) for i in (4, 5, 6)])
                     at = to
                     if size >= 4 * TOGETHER:
-                        yield score(held, found)
+                        yield spell(held, found)
                         held, size = [], 0
         if held:
-            yield score(held, found)
+            yield spell(held, found)
 
     batch_conf(spark)
     dealt = both.repartition(spread(many, 1, spark), "block").sortWithinPartitions("block", "at")
-    return dealt.mapInArrow(run, f"row {row}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return dealt.mapInArrow(run, f"row {row}, held_out boolean, n_tokens long, n_known long, base_score double, ids binary")
+
+
+def scored(spelt: DataFrame, model: Model) -> DataFrame:
+    """row, held_out, n_tokens, n_known, base_score, score of every text."""
+    row = spelt.schema["row"].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            got = log10_of(model, *_joined(b.column(5), np.int16))
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(got)], ["row", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    batch_conf(spelt.sparkSession)
+    return spelt.mapInArrow(run, f"row {row}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
 
 
 def language_scores(docs: DataFrame, text: str = "text", ids: list[str] | None = None, tokenizer: str | None = None, tokens: int = TOKENS, rates: tuple[float, ...] = RATES, block: int = BLOCK) -> tuple[DataFrame, Model]:
@@ -378,8 +424,11 @@ def language_scores(docs: DataFrame, text: str = "text", ids: list[str] | None =
         file = f.read()
     blocks = save(blocks_of(docs, text, ids, block))
     words = save(counted(blocks, file))
-    model = train(docs, blocks, words, text, ids, file, tokens, rates)
-    return scored(blocks, words, model), model
+    model, every = untrained(blocks, words, file)
+    spelt = save(spelled(blocks, words, model))
+    drop(blocks, words)
+    model = train(spelt, model, every, tokens, rates)
+    return scored(spelt, model), model
 
 
 def op13_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

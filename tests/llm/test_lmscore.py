@@ -162,3 +162,22 @@ def test_a_text_of_more_new_words_than_a_task_remembers(spark, file, monkeypatch
         monkeypatch.setattr(lmscore, "fold", lambda c: lmscore.F.lit(0))
         found.append([tuple(r) for r in lmscore._windows(docs, "text", ["doc_id"], 0, 1, file, spelling, attention.CONTEXT).collect()])
     assert found[0] == found[1] and len(found[0]) > 4
+
+
+def test_texts_are_cut_into_words_once(spark, file, monkeypatch):
+    """Learning reads the ids that were spelled for scoring, and its windows are those of the texts themselves."""
+    docs = spark.createDataFrame(rows_of(), KIND).repartition(3)
+    seen, plain = [], lmscore._windows
+    monkeypatch.setattr(lmscore, "_windows", None)
+    monkeypatch.setattr(lmscore, "learn", lambda windows, weights, rates: (seen.append(sorted(bytes(r.window) for r in windows.collect())), weights)[1])
+    _, model = lmscore.language_scores(docs, block=600)
+    want = plain(docs, "text", ["doc_id"], 0, 1, file, model.spelling, attention.CONTEXT).collect()
+    assert len(seen) == 3 and all(s == sorted(bytes(r.window) for r in want) for s in seen)
+
+
+def test_prepared_weights_give_the_same(file):
+    rng = np.random.default_rng(3)
+    w = attention.initial(rng.random(12) + 0.1, 3, context=6, width=8, heads=2, hidden=8)
+    x, keep = rng.integers(0, 13, (7, 6)), np.arange(2, 42, 3)
+    y = rng.integers(0, 12, len(keep))
+    assert attention.logs(attention.prepared(w, 6), x, y, keep) == pytest.approx(attention.logs(w, x, y, keep), rel=1e-4)
