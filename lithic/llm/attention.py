@@ -17,6 +17,8 @@ Weights = dict[str, np.ndarray]
 #: Context, width, heads, hidden width.
 CONTEXT, WIDTH, HEADS, HIDDEN = 32, 32, 1, 32
 _FAR, _MOST = np.float32(-1e9), np.float32(60)
+#: Half the bytes that a process keeps between steps (glibc counts blocks up to 32 MB).
+_KEPT = 24 << 20
 
 
 def initial(shares: np.ndarray, classes: int, seed: int = 5, context: int = CONTEXT, width: int = WIDTH, heads: int = HEADS, hidden: int = HIDDEN) -> Weights:
@@ -234,10 +236,17 @@ def gradient(w: Weights, x: np.ndarray, y: np.ndarray, keep: np.ndarray, g: Weig
     return g, loss / len(yt)
 
 
+def keep_freed() -> None:
+    """Has this process keep the memory that a step frees for the next step: glibc gives back what lies free beyond twice the
+    largest block that was ever freed, and else each step's arrays are given back and paged in again."""
+    np.empty(_KEPT, np.uint8)
+
+
 class Adam:
     """Steps on a copy of the weights: all of them are one array, of which w, g and the rest are views."""
 
     def __init__(self, w: Weights, rate: float):
+        keep_freed()
         self.all, self.rate, self.t = flat(w), rate, 0
         self.slope, self.m, self.v, self.by = (np.zeros_like(self.all) for _ in range(4))
         self.w, self.g = _views(self.all, w), _views(self.slope, w)
