@@ -107,3 +107,64 @@ def test_references_are_shuffled_once(spark):
     found = catalogue.queries()["jn08_cross_file_pick"](spark, "/root/testdata/sf0.001")
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(file_id") <= 3 and "hashpartitioning(id#" not in plan and "Window [row_number" not in plan
+
+
+def relations_of(spark, files, symbols, refs):
+    return Relations({
+        "files": spark.createDataFrame(files, "file_id long, path string"),
+        "symbols": spark.createDataFrame(symbols, "id long, file_id long, name string"),
+        "refs": spark.createDataFrame(refs, "id string, file_id long, target_name string, kind string, expr string"),
+    })
+
+
+def shuffled(spark, since: int = -1) -> tuple[int, int]:
+    """Rows that stages after the given one have written for shuffles, and the last stage."""
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+    sc.listenerBus().waitUntilEmpty(30_000)
+    found = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    stages = [found.apply(i) for i in range(found.size())]
+    return sum(s.shuffleWriteRecords() for s in stages if s.stageId() > since), max(s.stageId() for s in stages)
+
+
+def test_references_to_no_symbol_are_not_shuffled(spark):
+    """However many names there are: they're not broadcast here."""
+    files = [(i, f"a/m{i}/f{i}.rs") for i in range(5)]
+    symbols = [(i * 100 + k, i, f"f{(i + k) % 8}") for i in range(5) for k in range(4)]
+    refs = [(str(n), n % 5, f"f{n % 9}" if n % 400 == 0 else f"word{n}", "call", f"m{n % 7}::f") for n in range(20_000)]
+    given = relations_of(spark, files, symbols, refs)
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        want = sorted(run(spark, given, resolution.elsewhere(SPARK), ("refs", "symbols", "files")).collect())
+        _, last = shuffled(spark)
+        got = sorted(catalogue.queries()["jn08_cross_file_pick"](spark, given).collect())
+        n, _ = shuffled(spark, last)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    assert got == want and len(got) > 10
+    assert n < 5_000
+
+
+@pytest.mark.parametrize("few, hot, parts", [(1000, 1000, 64), (0, 4, 3), (2, 1, 1)])
+def test_the_query_picks_as_its_text(spark, monkeypatch, few, hot, parts):
+    """Whether segments go as literals or all along, whatever is hot; with places that aren't known."""
+    for k, v in {"FEW": few, "HOT": hot, "PARTS": parts, "WORDS": 1}.items():
+        monkeypatch.setattr(resolution, k, v)
+    rng = random.Random(few)
+    words = ["ab", "b", "cab", "core", "x1"]
+    files = [(i, "/".join(rng.choices(words, k=rng.randint(0, 3)) + [rng.choice(words) + rng.choice([".rs", ".py", ".js", ""])])) for i in range(40)]
+    symbols = [(i * 1_000_000 + k, i if i % 9 else None, rng.choice(["f", "f", "f", "g", "h", f"own{i}"])) for i, _ in files for k in range(rng.randint(0, 4))]
+    refs = []
+    for n in range(600):
+        name = rng.choice(["f", "f", "f", "g", "h", f"own{n % 40}", "none", f"no{n}", ""])
+        segs = rng.choices([*words, "crate", "self", "CORE", "odd"], k=rng.randint(0, 4))
+        refs.append((str(n), rng.choice([*range(40), None]), name, rng.choice(["call", "use", "import", "extends", "odd"]), rng.choice(["", "::".join([*segs, name]), "::".join([*segs, name]), "obj." + name])))
+    given = relations_of(spark, files, symbols, refs)
+    plain = lambda rows: sorted(tuple(r) for r in rows)
+    want = plain(run(spark, given, resolution.elsewhere(SPARK), ("refs", "symbols", "files")).collect())
+    assert plain(catalogue.queries()["jn08_cross_file_pick"](spark, given).collect()) == want and {r[3] for r in want} == {True, False}
+
+
+def test_no_symbols_no_picks(spark):
+    given = relations_of(spark, [(1, "a/b.rs")], [], [("1", 1, "f", "call", "b::f")])
+    assert catalogue.queries()["jn08_cross_file_pick"](spark, given).collect() == []
