@@ -145,10 +145,10 @@ def test_references_to_no_symbol_are_not_shuffled(spark):
     assert n < 5_000
 
 
-@pytest.mark.parametrize("few, hot, parts", [(1000, 1000, 64), (0, 4, 3), (2, 1, 1)])
-def test_the_query_picks_as_its_text(spark, monkeypatch, few, hot, parts):
-    """Whether segments go as literals or all along, whatever is hot; with places that aren't known."""
-    for k, v in {"FEW": few, "HOT": hot, "PARTS": parts, "WORDS": 1}.items():
+@pytest.mark.parametrize("few, hot, parts, common, words", [(1000, 1000, 64, 10_000, 1 << 20), (0, 4, 3, 2, 64), (2, 1, 1, 0, 1), (1000, 1000, 64, 5, 1)])
+def test_the_query_picks_as_its_text(spark, monkeypatch, few, hot, parts, common, words):
+    """Whether segments go as literals or all along, whatever is hot or common; with places that aren't known."""
+    for k, v in {"FEW": few, "HOT": hot, "PARTS": parts, "COMMON": common, "WORDS": words}.items():
         monkeypatch.setattr(resolution, k, v)
     rng = random.Random(few)
     words = ["ab", "b", "cab", "core", "x1"]
